@@ -82,7 +82,7 @@ t AS (SELECT source, pos, ss, CASE WHEN filled THEN cap::DOUBLE ELSE (w * lr)::D
 k AS (SELECT greatest(16, least(1024, sum(ss) // greatest(1, count(*) * 1024)))::BIGINT AS words, sum(ss)::BIGINT AS total FROM t),
 cu AS (SELECT pos, sum(target) OVER (ORDER BY pos) AS upto, pos = max(pos) OVER () AS last FROM t WHERE target > 0),
 iv AS (SELECT pos, coalesce(lag(upto) OVER (ORDER BY pos), 0) / max(upto) OVER () AS lo, upto / max(upto) OVER () AS hi, last FROM cu),
-pt AS (SELECT i * 0.6180339887498949::DOUBLE - floor(i * 0.6180339887498949::DOUBLE) AS x FROM (SELECT unnest(range(0, -((-total) // words))) AS i FROM k)),
+pt AS (SELECT i * 0.6180339887498949::DOUBLE - floor(i * 0.6180339887498949::DOUBLE) AS x FROM (SELECT unnest(range(0, (total + words - 1) // words)) AS i FROM k)),
 n AS (SELECT pos, count(*) AS slots FROM pt JOIN iv ON x >= lo AND (x < hi OR last) GROUP BY pos),
 o AS (SELECT d.*, ss, target, coalesce(slots, 0) * words AS got,
       coalesce(sum(size) OVER (PARTITION BY d.source ORDER BY h, doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start

@@ -1,17 +1,513 @@
-"""All registered queries of the analytics operators and their SQL."""
+"""All registered queries of the analytics operators and their SQL.
+
+The tables stand in for a corpus: documents are articles, benchmark is the reference corpus, doc_id modulo small numbers
+makes clusters, tiers and pairs (as data, not as filters), embeddings are vectors, pages are web pages.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from textloom.functions import text as T
+from textloom.operators import annotate, keyness, language_model, linkage, metrics, search, stats, vocabulary
+from textloom.sources import corpus
 
-def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return next(iter(queries().values()))(spark, sf_dir)
+TOK = annotate.token_sql()
+TOKL = annotate.token_sql("lang, ")
+WORDS = r"'[\p{L}\p{N}]+'"
+
+
+def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
+    """Sums of floats depend on their order, so reports are rounded."""
+    return df.withColumns({c: F.round(c, digits) for c, t in df.dtypes if t == "double"})
+
+
+def table(s: SparkSession, d: str, name: str) -> DataFrame:
+    return s.read.parquet(f"{d}/{name}.parquet")
+
+
+def _docs(s, d):
+    return table(s, d, "documents")
+
+
+def _spread(df: DataFrame) -> DataFrame:
+    """A file read by one task is dealt out before the heavy projection."""
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(n, "doc_id") if len(df.inputFiles()) < n else df
+
+
+def _tok(s, d, *keep):
+    return annotate.tokens(_spread(_docs(s, d)), "doc_id", "text", *keep)
+
+
+def _words(df: DataFrame, *keep: str) -> DataFrame:
+    return df.select(*keep, F.explode(F.regexp_extract_all("text", F.lit(r"[\p{L}\p{N}]+"), F.lit(0))).alias("lemma"))
+
+
+def _freqs(s, d):
+    low = lambda df: df.withColumn("lemma", F.lower("lemma"))
+    return keyness.frequencies(low(_words(_docs(s, d)))), keyness.frequencies(low(_words(table(s, d, "benchmark"))))
+
+
+def _titles(s, d):
+    """Documents as records: title is the first line's first 40 characters."""
+    return _docs(s, d).select("doc_id", F.col("lang").alias("language"), "source", F.substring(F.split_part("text", F.lit("\n"), F.lit(1)), 1, 40).alias("title"), "text", "n_chars")
+
+
+TITLES = "SELECT doc_id, lang AS language, source, substring(split_part(text, chr(10), 1), 1, 40) AS title, text, n_chars FROM documents"
+
+
+def _atoms(s, d):
+    return _docs(s, d).select(F.when(F.col("doc_id") % 2 == 0, "de").otherwise("en").alias("language"), F.floor(F.col("doc_id") / 8).alias("cluster_id"), F.element_at(F.array(*map(F.lit, ("msd", "gesund", "nhs", "apoum"))), (F.col("doc_id") % 4 + 1).cast("int")).alias("source"),
+                              F.col("doc_id").cast("string").alias("id"), (2 + F.floor(F.col("doc_id") / 8) % 3).alias("tier"))
+
+
+ATOMS = "SELECT CASE WHEN doc_id % 2 = 0 THEN 'de' ELSE 'en' END AS language, doc_id // 8 AS cluster_id, ['msd','gesund','nhs','apoum'][doc_id % 4 + 1] AS source, doc_id::VARCHAR AS id, 2 + (doc_id // 8) % 3 AS tier FROM documents"
+
+
+def _edges(s, d):
+    c = F.col("doc_id")
+    label = F.element_at(F.array(*map(F.lit, ("richtig_1", "spezialisierung", "generalisierung", "False"))), (c % 4 + 1).cast("int"))
+    return _docs(s, d).select(F.concat(F.lit("n"), (c % 97).cast("string")).alias("a"), F.concat(F.lit("n"), (c * 7 % 89).cast("string")).alias("b"), label.alias("label"), F.when(c % 3 == 0, "human").otherwise("llm").alias("judge"), F.lit("m").alias("model"),
+                              F.lit("va").alias("a_view"), F.lit("vb").alias("b_view"))
+
+
+EDGES = """SELECT 'n' || (doc_id % 97) AS a, 'n' || (doc_id * 7 % 89) AS b, ['richtig_1','spezialisierung','generalisierung','False'][doc_id % 4 + 1] AS label,
+CASE WHEN doc_id % 3 = 0 THEN 'human' ELSE 'llm' END AS judge, 'm' AS model, 'va' AS a_view, 'vb' AS b_view FROM documents"""
+
+
+def _index(s, d):
+    """Record ids of four vocabularies, from a document's number."""
+    c, v = F.col("doc_id"), ("ICD-10CM", "MeSH", "DOID", "Pschyrembel")
+    ids = [F.struct(F.lit(x).alias("vocab"), F.floor(c / (3 + i)).cast("string").alias("value")) for i, x in enumerate(v)]
+    return _docs(s, d).select(F.explode(F.array(*ids)).alias("x"), "source", c.cast("string").alias("instance")).select("x.*", "source", "instance")
+
+
+INDEX = "SELECT v AS vocab, (doc_id // k)::VARCHAR AS value, source, doc_id::VARCHAR AS instance FROM documents, (VALUES ('ICD-10CM', 3), ('MeSH', 4), ('DOID', 5), ('Pschyrembel', 6)) t(v, k)"
+
+
+def _cells(s, d):
+    """Paired values of orders' lines: group and difference."""
+    li = table(s, d, "lineitem")
+    return li.select(F.col("l_returnflag").alias("metric"), F.col("l_linestatus").alias("step"), (F.col("l_quantity") - 25).alias("delta"), (F.col("l_quantity") / 2 - 12).alias("d_simp"), (F.col("l_quantity") - 25.0).alias("d_orig"), F.col("l_extendedprice").alias("value"))
+
+
+CELLS = "SELECT l_returnflag AS metric, l_linestatus AS step, l_quantity - 25 AS delta, l_quantity / 2 - 12 AS d_simp, l_quantity - 25.0 AS d_orig, l_extendedprice AS value FROM lineitem"
+
+
+def _post(s, d):
+    return search.postings(_titles(s, d).withColumnRenamed("doc_id", "rowid"))
+
+
+def _phrases(s):
+    rows = [(1, 1, "the"), (1, 2, "of the"), (2, 1, "is and"), (3, 1, "die und"), (4, 1, "in the that")]
+    return s.createDataFrame(rows, "query_id int, phrase_id int, phrase string")
+
+
+POST = rf"""post AS (SELECT c AS col, doc_id AS rowid, unnest(ws) AS term, unnest(range(len(ws))) AS pos FROM (
+  SELECT 'title' AS c, doc_id, regexp_extract_all(lower(title), {WORDS}) AS ws FROM ti UNION ALL SELECT 'text', doc_id, regexp_extract_all(lower(text), {WORDS}) FROM ti)),
+q(query_id, phrase_id, phrase) AS (VALUES (1, 1, 'the'), (1, 2, 'of the'), (2, 1, 'is and'), (3, 1, 'die und'), (4, 1, 'in the that')),
+w AS (SELECT query_id, phrase_id, string_split(phrase, ' ') AS ws FROM q),
+tm AS (SELECT query_id, phrase_id, len(ws) AS m, unnest(ws) AS term, unnest(range(len(ws))) AS off FROM w),
+ph AS (SELECT query_id, phrase_id, rowid, count(*) AS tf FROM (SELECT query_id, phrase_id, rowid, col, pos - off AS ap, m FROM post JOIN tm USING (term) GROUP BY ALL HAVING count(DISTINCT off) = m) GROUP BY ALL)"""
+BM25 = """dl AS (SELECT rowid, count(*) AS dl FROM post GROUP BY rowid), st AS (SELECT count(*) AS n, avg(dl) AS a FROM dl),
+df AS (SELECT query_id, phrase_id, count(*) AS k FROM ph GROUP BY ALL),
+sc AS (SELECT query_id, rowid, -sum(greatest(ln((n - k + 0.5) / (k + 0.5)), 1e-6) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / a))) AS rank FROM ph JOIN df USING (query_id, phrase_id) JOIN dl USING (rowid), st GROUP BY ALL)"""
+
+
+def _knn(metric):
+    def run(s, d):
+        e = table(s, d, "embeddings")
+        q = e.where(F.col("vec_id") % 20 == 0).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
+        return rounded(search.nearest(q, e.select(F.col("vec_id").alias("rowid"), "embedding"), 5, metric).drop("rn"))
+    return run
+
+
+def _knn_sql(expr):
+    return f"""WITH p AS (SELECT a.vec_id AS query_id, b.vec_id AS rowid, {expr} AS distance FROM embeddings a, embeddings b WHERE a.vec_id % 20 = 0)
+SELECT query_id, rowid, round(distance, 6) AS distance FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, rowid) AS rn FROM p) WHERE rn <= 5"""
+
+
+_VA, _VB = "a.embedding::DOUBLE[]", "b.embedding::DOUBLE[]"
+
+
+def _smoothed(s, d):
+    return keyness.compare(*_freqs(s, d))
+
+
+KEY = rf"""st AS (SELECT lower(t) AS token, count(*) AS study_freq FROM (SELECT unnest(regexp_extract_all(text, {WORDS})) AS t FROM documents) GROUP BY 1),
+rf AS (SELECT lower(t) AS token, count(*) AS ref_freq FROM (SELECT unnest(regexp_extract_all(text, {WORDS})) AS t FROM benchmark) GROUP BY 1),
+ts AS (SELECT sum(study_freq)::DOUBLE AS sn, count(*) AS sk FROM st), tr AS (SELECT sum(ref_freq)::DOUBLE AS rn, count(*) AS rk FROM rf),
+j AS (SELECT coalesce(st.token, rf.token) AS token, coalesce(study_freq, 0) AS study_freq, coalesce(ref_freq, 0) AS ref_freq FROM st FULL JOIN rf ON st.token = rf.token),
+ab AS (SELECT *, study_freq / sn AS study_rel_freq, ref_freq / rn AS ref_rel_freq, study_freq + 0.1::DOUBLE AS a, ref_freq + 0.1::DOUBLE AS b, sn - study_freq + 0.1::DOUBLE * sk AS c, rn - ref_freq + 0.1::DOUBLE * rk AS d FROM j, ts, tr),
+ke AS (SELECT *, CASE WHEN a / (a + c) < b / (b + d) THEN -1 ELSE 1 END * 2 * (a * ln(a / ((a + c) * (a + b) / (a + b + c + d))) + b * ln(b / ((b + d) * (a + b) / (a + b + c + d)))) AS ll,
+  a * d / (b * c) AS "or", 100 * (a / (a + c) - b / (b + d)) / (b / (b + d)) AS pd FROM ab)"""
+
+
+def _jargon_table(s, d):
+    return _smoothed(s, d)
+
+
+def _doc_words(s, d):
+    return _words(_docs(s, d), "doc_id").withColumn("lemma", F.lower("lemma"))
+
+
+DOC_WORDS = rf"dw AS (SELECT doc_id, lower(t) AS token FROM (SELECT doc_id, unnest(regexp_extract_all(text, {WORDS})) AS t FROM documents))"
+
+
+def _freq_table(s, d):
+    f = keyness.frequencies(_tok(s, d).where("is_word"))
+    total = f.agg(F.sum("freq").alias("t")).first()["t"]
+    return f.select("token", (F.col("freq") / F.lit(float(total or 1))).alias("rel"))
+
+
+def _measures(s, d):
+    tok = _tok(s, d, "lang")
+    return rounded(metrics.basic(tok))
+
+
+_W = "count(*) FILTER (is_word)"
+MEASURES = rf"""WITH {TOKL}, m AS (SELECT doc_id, {_W} AS n, {_W}::DOUBLE / nullif(count(DISTINCT sent_id) FILTER (is_word), 0) AS sl, avg(syllables) FILTER (is_word) AS sy,
+ count(*) FILTER (is_word AND syllables >= 3)::DOUBLE / nullif({_W}, 0) AS ms, count(*) FILTER (is_word AND syllables = 1)::DOUBLE / nullif({_W}, 0) AS es, count(*) FILTER (is_word AND length(text) > 6)::DOUBLE / nullif({_W}, 0) AS iw,
+ count(*) FILTER (is_word AND pos = 'NOUN')::DOUBLE / nullif({_W}, 0) AS no, count(*) FILTER (is_word AND pos = 'ADJ')::DOUBLE / nullif({_W}, 0) AS aj, count(*) FILTER (is_word AND pos IN ('VERB', 'AUX'))::DOUBLE / nullif({_W}, 0) AS ve,
+ count(*) FILTER (is_word AND pos NOT IN ('AUX', 'DET', 'ADP'))::DOUBLE / nullif({_W}, 0) AS fu, count(*) FILTER (is_word AND pos = 'NUM')::DOUBLE / nullif({_W}, 0) AS nu,
+ count(*) FILTER (is_word AND ((lang = 'de' AND lemma IN ({", ".join(repr(x) for x in annotate.NEGATIONS["de"])})) OR (lang = 'en' AND lemma IN ({", ".join(repr(x) for x in annotate.NEGATIONS["en"])}))))::DOUBLE / nullif({_W}, 0) AS ng,
+ count(DISTINCT lemma) FILTER (is_word)::DOUBLE / nullif({_W}, 0) AS tt, count(DISTINCT lemma) FILTER (is_alpha AND NOT is_stop) AS v, count(*) FILTER (is_alpha AND NOT is_stop) AS tl, count(*) FILTER (is_alpha) AS ta, count(DISTINCT sent_id) AS ns FROM tok GROUP BY doc_id)
+SELECT doc_id, round(sl, 6) AS avg_sentence_length, round(sy, 6) AS avg_syllable_length, round(no, 6) AS noun_ratio, round(aj, 6) AS adjective_ratio, round(ve, 6) AS verb_ratio, round(fu, 6) AS function_word_ratio, round(nu, 6) AS numbers_ratio, round(ng, 6) AS negations_ratio,
+ round(tt, 6) AS type_token_ratio, tl AS text_length_lex, ta AS text_length, ns AS text_length_sentences, n AS n_words, round(0.39 * sl + 11.8 * sy - 15.59, 6) AS fkgl,
+ round(0.1935 * 100 * ms + 0.1672 * sl + 0.1297 * 100 * iw - 0.0327 * 100 * es - 0.875, 6) AS wstf, round(CASE WHEN tl = 1 THEN 0.0 WHEN tl > 1 THEN ln(v) / ln(tl) END, 6) AS herdans_c FROM m"""
+_SEQ = "row_number() OVER (PARTITION BY doc_id ORDER BY sent_id, tok_i)"
+
+
+def _heaps_sql(test, least, tail, name):
+    return rf"""WITH {TOK}, s AS (SELECT doc_id, lemma, {_SEQ} AS i FROM tok WHERE {test}),
+f AS (SELECT *, CASE WHEN row_number() OVER (PARTITION BY doc_id, lemma ORDER BY i) = 1 THEN 1 ELSE 0 END AS f, count(*) OVER (PARTITION BY doc_id) AS n FROM s),
+v AS (SELECT *, sum(f) OVER (PARTITION BY doc_id ORDER BY i) AS v FROM f WHERE n >= {least}),
+p AS (SELECT doc_id, ln(i) AS x, ln(v) AS y, i::DOUBLE * i AS w FROM v WHERE i % greatest(1, n // 600) = 0 AND i >= {tail})
+SELECT doc_id, round((sum(w) * sum(w * x * y) - sum(w * x) * sum(w * y)) / nullif(sum(w) * sum(w * x * x) - sum(w * x) * sum(w * x), 0), 4) AS {name} FROM p GROUP BY doc_id HAVING count(*) >= 2"""
+
+
+def _text_functions(s, d):
+    t = F.col("text")
+    df = _docs(s, d).withColumn("md", F.concat(F.lit("| a | b |\n|---|---|\n"), t))
+    return df.select("doc_id", F.md5(T.normalize_newlines(t).cast("binary")).alias("newlines"), F.md5(T.collapse_newlines(F.replace(t, F.lit("\n"), F.lit("\n\n\n"))).cast("binary")).alias("collapsed"), F.md5(T.edit_md_tables(F.col("md")).cast("binary")).alias("tables"),
+                     T.word_count(t).cast("long").alias("n_words"), F.array_join(T.split_ids(F.lit("a; b;;c ")), "|").alias("ids"), T.short_id(F.col("source"), F.concat(F.col("doc_id").cast("string"), F.lit("_de"))).alias("short"),
+                     T.after_thinking(F.concat(F.lit("<think>x</think> "), F.col("source"))).alias("answer"), T.parse_verdict(F.concat(F.lit("<think>falsch</think>Ist richtig "), F.col("source"))).alias("verdict"), T.sig_marker(F.col("n_chars") / 10000.0).alias("marker"),
+                     T.format_query(F.concat(F.col("source"), F.lit(", x"))).alias("query"), F.to_json(T.highlight_offsets(F.concat(F.lit("a <b>bc</b> d <b>"), F.col("source"), F.lit("</b>")))).alias("offsets"), T.plot_title(F.lit("a--b \\%")).alias("title"),
+                     T.render_prompt("Say: {TEXT}!", F.col("source")).alias("prompt"), T.strip_bracket(F.concat(F.col("source"), F.lit(" [x]"))).alias("bare"))
+
+
+TEXT_FUNCTIONS = r"""SELECT doc_id, md5(regexp_replace(trim(text), '\n+', chr(10) || chr(10), 'g')) AS newlines, md5(regexp_replace(replace(text, chr(10), chr(10) || chr(10) || chr(10)), '\n\n+', chr(10) || chr(10), 'g')) AS collapsed,
+md5(regexp_replace(regexp_replace('| a | b |' || chr(10) || '|---|---|' || chr(10) || text, '(\| *-+ *)+\| *\n', chr(10), 'g'), ' *\| *', chr(10), 'g')) AS tables, len(regexp_extract_all(text, '[^\x20\x09-\x0D]+'))::BIGINT AS n_words,
+'a|b|c' AS ids, doc_id::VARCHAR AS short, source AS answer, 'richtig' AS verdict, CASE WHEN n_chars / 10000.0 < 0.001 THEN '***' WHEN n_chars / 10000.0 < 0.01 THEN '**' WHEN n_chars / 10000.0 < 0.05 THEN '*' ELSE 'ns' END AS marker,
+'("' || source || '" OR "x")' AS query, '[{"s":2,"e":4},{"s":7,"e":' || (7 + length(source)) || '}]' AS offsets, 'a–b %' AS title, 'Say: ' || source || '!' AS prompt, source AS bare FROM documents"""
+
+
+def _members(s, d):
+    return _docs(s, d).select("source", F.col("doc_id").cast("string").alias("id"), F.element_at(F.array(*map(F.lit, ("4_tier", "3_tier", "2_tier", "unaligned"))), (F.col("doc_id") % 4 + 1).cast("int")).alias("bucket"))
+
+
+def _instances(s, d):
+    corp = _docs(s, d).select("source", F.col("doc_id").cast("string").alias("id"), T.word_count(F.col("text")).alias("n_words"))
+    return linkage.stratified(linkage.best_bucket(_members(s, d), corp, ["4_tier", "3_tier", "2_tier", "unaligned"], 1000)).select("source", "id", "priority", "bucket", "turn")
+
+
+def _gold(s, d):
+    lab = table(s, d, "labels")
+    return lab.select(F.col("quality").cast("string").alias("gold"), F.col("toxic").cast("string").alias("pred"))
+
+
+def _signed(s, d):
+    return rounded(stats.signed_ranks(_cells(s, d), ["metric", "step"]))
+
+
+SIGNED = f"""c AS ({CELLS}), md AS (SELECT metric, step, count(*) AS n_all, median(delta) AS median_delta FROM c GROUP BY ALL),
+t AS (SELECT metric, step, abs(delta) AS m, count(*) AS t, count(*) FILTER (delta > 0) AS pos FROM c WHERE delta <> 0 GROUP BY ALL),
+r AS (SELECT *, coalesce(sum(t) OVER (PARTITION BY metric, step ORDER BY m ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + (t + 1) / 2 AS rank FROM t),
+a AS (SELECT metric, step, sum(t)::BIGINT AS n, sum(rank * pos) AS w_plus, sum(rank * (t - pos)) AS w_minus, sum(t::HUGEINT * t * t - t)::BIGINT AS ties, sum(pos)::BIGINT AS n_pos FROM r GROUP BY ALL),
+z AS (SELECT *, (w_plus - n::DOUBLE * (n + 1) / 4) / sqrt(n::DOUBLE * (n + 1) * (2 * n + 1) / 24 - ties / 48.0) AS z FROM a)
+SELECT metric, step, n_all, round(median_delta, 6) AS median_delta, n, round(w_plus, 6) AS w_plus, round(w_minus, 6) AS w_minus, ties, n_pos, round(z, 6) AS z, round((w_plus - w_minus) / (w_plus + w_minus), 6) AS rank_biserial, round(n_pos::DOUBLE / n, 6) AS pct_positive FROM md JOIN z USING (metric, step)"""
+
+
+def _tests(s, d):
+    """p-values as data: a family per market segment."""
+    c = table(s, d, "customer")
+    return c.select(F.col("c_mktsegment").alias("metric"), F.col("c_custkey").alias("step"), ((F.col("c_custkey") * 37 % 1009) / 200000.0).alias("p"))
+
+
+TESTS = "SELECT c_mktsegment AS metric, c_custkey AS step, (c_custkey * 37 % 1009) / 200000.0 AS p FROM customer"
+
+
+def _rejected(how):
+    return lambda s, d: stats.rejected(_tests(s, d), ["metric"], how).select("metric", "step", "reject")
+
+
+def _steps(s, d):
+    c = table(s, d, "customer")
+    return c.select((F.col("c_custkey") % 40).alias("metric"), F.lit(1).alias("expected"), F.when(F.col("c_custkey") % 11 == 0, -1.0).otherwise(1.0).alias("shift"), ((F.col("c_custkey") % 7) / 100.0).alias("p"))
+
+
+def _bigram(s, d):
+    tok = _tok(s, d)
+    two, one = language_model.fit(tok)
+    v = tok.select("lemma").distinct().count()
+    return rounded(language_model.perplexities(language_model.sentence_loss(tok, (two, one), v)), 4)
+
+
+BIGRAM = f"""WITH {TOK}, b AS (SELECT doc_id, sent_id, lemma, coalesce(lag(lemma) OVER (PARTITION BY doc_id, sent_id ORDER BY tok_i), '<s>') AS before FROM tok),
+two AS (SELECT before, lemma, count(*) AS c2 FROM b GROUP BY ALL), one AS (SELECT before, sum(c2) AS c1 FROM two GROUP BY before), v AS (SELECT count(DISTINCT lemma) AS v FROM tok),
+l AS (SELECT doc_id, sent_id, count(*) AS n, avg(-ln((c2 + 0.1::DOUBLE) / (c1 + 0.1::DOUBLE * v))) AS loss FROM b JOIN two USING (before, lemma) JOIN one USING (before), v GROUP BY doc_id, sent_id)
+SELECT doc_id, round(avg(exp(loss)) FILTER (n >= 3), 4) AS appl_filtered_mean, round(median(exp(loss)) FILTER (n >= 3), 4) AS appl_filtered_median, round(avg(exp(loss)), 4) AS appl_full_mean, round(median(exp(loss)), 4) AS appl_full_median,
+round(exp(sum(loss * n) / sum(n)), 4) AS appl_fulltext FROM l GROUP BY doc_id"""
+
+
+def _mask(s, d):
+    tok = _tok(s, d)
+    from pyspark.sql import Window
+    f = keyness.frequencies(tok).groupBy("freq").agg(F.collect_list("token").alias("ts"), F.count("*").alias("c"))
+    r = f.select(F.explode("ts").alias("token"), (1 + F.coalesce(F.sum("c").over(Window.orderBy(F.desc("freq")).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).alias("rank"))
+    return rounded(language_model.masked_rank(tok, r))
+
+
+def _hits(s, d):
+    h = search.bm25(_post(s, d), _phrases(s), 5)
+    return h, _titles(s, d).select(F.col("doc_id").alias("rowid"), "source", "language")
+
+
+_PAIR = f"""pr AS (SELECT language, a.source AS source_a, a.id AS id_a, b.source AS source_b, b.id AS id_b, array_to_string(list_sort(list(DISTINCT cluster_id)), ',') AS cluster_ids, max(a.tier) AS max_tier
+FROM ats a JOIN ats b USING (language, cluster_id) WHERE (a.source, a.id) < (b.source, b.id) GROUP BY ALL)"""
+
+
+def _pairs(s, d):
+    return linkage.cluster_pairs(_atoms(s, d))
+
+
+def _titled(s, d):
+    t = _docs(s, d).select(F.col("doc_id").cast("string").alias("id"), F.substring("text", 1, 12).alias("t"))
+    return _pairs(s, d).join(t.withColumnsRenamed({"id": "id_a", "t": "title_a"}), "id_a").join(t.withColumnsRenamed({"id": "id_b", "t": "title_b"}), "id_b")
+
+
+_TITLED = "tp AS (SELECT pr.*, substring(x.text, 1, 12) AS title_a, substring(y.text, 1, 12) AS title_b FROM pr JOIN documents x ON x.doc_id::VARCHAR = id_a JOIN documents y ON y.doc_id::VARCHAR = id_b)"
+
+
+def _gold_titles(s, d):
+    return _titled(s, d).where(F.col("id_a").cast("long") % 5 == 0).select("title_a", "title_b")
 
 
 def queries() -> dict:
-    return {}
+    q = {
+        "document_measures": _measures,
+        "sentence_split": lambda s, d: annotate.sentences(_docs(s, d)).select("doc_id", "sent_id", F.md5(F.col("sentence").cast("binary")).alias("sentence")),
+        "token_table": lambda s, d: _tok(s, d).groupBy("pos", "is_word", "is_alpha", "is_stop").agg(F.count("*").alias("n"), F.sum("syllables").alias("syllables"), F.countDistinct("lemma").alias("types")),
+        "syntax_measures": lambda s, d: rounded(metrics.syntax(_tok(s, d))),
+        "moving_ttr": lambda s, d: rounded(metrics.mattr(_tok(s, d))),
+        "heaps_beta": lambda s, d: rounded(metrics.heaps_law_beta(_tok(s, d)), 4),
+        "heaps_beta_lex": lambda s, d: rounded(metrics.heaps_law_beta_lex(_tok(s, d)), 4),
+        "lexical_chains": lambda s, d: rounded(metrics.chains(_tok(s, d))),
+        "word_frequency": lambda s, d: rounded(metrics.word_freq(_tok(s, d), _freq_table(s, d)), 8),
+        "noun_phrases": lambda s, d: rounded(metrics.noun_phrases(_tok(s, d))),
+        "tree_depth": lambda s, d: rounded(metrics.tree_depth(_tok(s, d))),
+        "subword_measures": lambda s, d: rounded(vocabulary.subword_metrics(annotate.sentences(_spread(_docs(s, d))), _tok(s, d))),
+        "text_functions": _text_functions,
+        "markdown_plain": lambda s, d: _docs(s, d).select("doc_id", F.length(T.preprocess(F.col("text"), "strip", True)).alias("n_chars")),
+        "normal_titles": lambda s, d: _titles(s, d).select("doc_id", T.clean_query(F.col("title")).alias("query")),
+        "html_plain": lambda s, d: corpus.html_pages(table(s, d, "pages")),
+        "token_frequencies": lambda s, d: keyness.frequencies(_words(_docs(s, d))),
+        "token_frequencies_lower": lambda s, d: keyness.transformed(keyness.frequencies(_words(_docs(s, d)))),
+        "corpus_stats": lambda s, d: keyness.corpus_stats(_freqs(s, d)[0]),
+        "keyness_full": lambda s, d: rounded(_smoothed(s, d)).select("token", "study_freq", "ref_freq", "study_rel_freq", "ref_rel_freq", "ll", "or", "pd"),
+        "keyness_bayes_g": lambda s, d: rounded(keyness.compare(*_freqs(s, d), metrics=("bf", "g"))).select("token", "bf", "g"),
+        "keyness_unknown": lambda s, d: rounded(keyness.unknown_mass(*_freqs(s, d))),
+        "keyness_merge_outer": lambda s, d: rounded(_merge(s, d, "outer")), "keyness_merge_inner": lambda s, d: rounded(_merge(s, d, "inner")),
+        "jargon_density": lambda s, d: keyness.jargon_density(_doc_words(s, d), _jargon_table(s, d), 2.0, 0.1),
+        "jargon_terms": lambda s, d: rounded(keyness.jargon_terms(_doc_words(s, d), _jargon_table(s, d), 2.0, "or", 0.1)).where("is_jargon").select("doc_id", "token", "freq_in_text", "score"),
+        "phrase_search": lambda s, d: rounded(search.bm25(_post(s, d), _phrases(s))).select("query_id", "rowid", "rank"),
+        "phrase_top": lambda s, d: search.bm25(_post(s, d), _phrases(s), 10).groupBy("query_id").agg(F.count("*").alias("n"), F.max("rn").alias("last")),
+        "title_lookup": lambda s, d: search.lookup_titles(*_hits(s, d), ["source", "language"]).select("query_id", F.array_join("source", ",").alias("sources"), F.array_join("language", ",").alias("languages")),
+        "knn_l2": _knn("l2"), "knn_l1": _knn("l1"), "knn_cosine": _knn("cosine"),
+        "knn_by_label": _knn_label, "min_distance": lambda s, d: rounded(search.min_distance(_near(s, d), "label")),
+        "reverse_search": _reverse,
+        "metadata_filter": lambda s, d: table(s, d, "events").select("event_id", F.to_json(F.struct("event_type", "user_id")).alias("meta")).where(search.metadata_filter(F.col("meta"), event_type=["click", "view", "purchase"])).select("event_id"),
+        "synonym_rows": lambda s, d: linkage.flattened_synonyms(_titles(s, d).withColumn("syn", F.concat_ws(";", "language", "source", "title")), "doc_id", "title", "syn"),
+        "descriptor_sets": lambda s, d: linkage.joined_sets(_titles(s, d), "source", ["language"]),
+        "reverse_index": lambda s, d: _index(s, d).groupBy("vocab", "value").agg(F.count("*").alias("n")),
+        "two_hop_expansion": lambda s, d: linkage.expand_two_hops(_index(s, d)),
+        "instance_expansion": lambda s, d: linkage.expand_by_instance(_index(s, d)),
+        "merge_down": lambda s, d: linkage.merged_down(_index(s, d).where("vocab = 'MeSH'").select("vocab", "value", "source", "instance"), ["vocab", "value"]),
+        "cluster_tiers": lambda s, d: linkage.tiers(_atoms(s, d)), "bilingual_clusters": lambda s, d: linkage.bilingual(_bi(s, d)),
+        "cluster_pairs": _pairs,
+        "pair_duplicates": lambda s, d: linkage.duplicate_pairs(_titled(s, d).select("title_a", "title_b"), 5).select("n"),
+        "pairs_filtered": lambda s, d: linkage.filtered_pairs(_titled(s, d), _gold_titles(s, d)).select("language", "id_a", "id_b"),
+        "pairs_bilingual": lambda s, d: linkage.bilingual_id_pairs(_pairs(s, d).unionByName(_pairs(s, d).withColumn("language", F.lit("xx")))),
+        "confusion": lambda s, d: rounded(linkage.confusion(_gold(s, d))),
+        "article_titles": lambda s, d: linkage.article_titles(_views(s, d), ["professional", "amateur", "short"]),
+        "site_pairs": lambda s, d: linkage.site_pairs(_views(s, d)),
+        "title_expansion": lambda s, d: linkage.title_expand(_titled(s, d).select("title_a", "title_b").distinct(), _nodes(s, d)).select("a", "b").distinct(),
+        "unresolved_titles": lambda s, d: linkage.unresolved(_titled(s, d).select("title_a", "title_b", F.lit("x").alias("label")), _nodes(s, d).where(F.col("node").cast("long") % 3 > 0)).groupBy("side").agg(F.count("*").alias("n")),
+        "canonical_edges": lambda s, d: linkage.canonical(_edges(s, d)), "edge_counts": lambda s, d: linkage.canonical(_edges(s, d), True).rollup("judge", "label").agg(F.count("*").alias("n")),
+        "partner_tiers": lambda s, d: linkage.partner_tiers(_edges(s, d), _membership(s, d)),
+        "rule_judge": lambda s, d: linkage.rule_judge(_titled(s, d)).groupBy("pred").agg(F.count("*").alias("n")),
+        "best_instances": _instances, "resume_rest": lambda s, d: linkage.remaining(_docs(s, d).select("doc_id"), table(s, d, "labels"), ["doc_id"]),
+        "adjacent_steps": lambda s, d: stats.adjacent_steps(_chain(s, d)),
+        "oriented_deltas": lambda s, d: rounded(_delta(s, d)).groupBy("sa", "sb").agg(F.count("*").alias("n"), F.round(F.sum("delta"), 4).alias("total")),
+        "signed_ranks": _signed, "signed_rank_p": lambda s, d: stats.with_p(stats.signed_ranks(_cells(s, d), ["metric", "step"])).select("metric", "step", "p"),
+        "reject_holm": _rejected("holm"), "reject_bonferroni": _rejected("bonferroni"), "reject_none": _rejected("none"),
+        "verdicts": lambda s, d: stats.grade(_steps(s, d), ["metric"]),
+        "bleed_through": lambda s, d: rounded(stats.bleed_through(_cells(s, d), ["metric"])),
+        "mean_sd": lambda s, d: rounded(stats.mean_sd(_cells(s, d), ["metric", "step"])), "tier_medians": lambda s, d: rounded(stats.medians(_cells(s, d), ["metric"], 0.5)),
+        "box_summary": lambda s, d: rounded(stats.box_summary(_cells(s, d), ["metric", "step"])),
+        "value_cleaning": lambda s, d: stats.clean_values(_docs(s, d).select((F.col("doc_id") % 50).alias("id"), F.when(F.col("doc_id") % 3 == 0, "-1").when(F.col("doc_id") % 7 == 0, "x").otherwise(F.col("n_chars").cast("string")).alias("v"), "doc_id"), "v", "id", "doc_id"),
+        "bigram_perplexity": _bigram, "adjacent_overlap": lambda s, d: rounded(language_model.adjacent_overlap(_tok(s, d))), "masked_rank": _mask,
+        "simplify_rule": lambda s, d: language_model.simplify(_docs(s, d)).select("doc_id", F.length("simplified_text").alias("n")),
+        "split_registry": lambda s, d: corpus.splits(s, language="de").select("source", "subtree", "language"),
+    }
+    return q
+
+
+def _merge(s, d, how):
+    st, rf = _freqs(s, d)
+    one = keyness.compare(st, rf, ("ll",)).select("token", "study_freq", "ref_freq", "ll").where("study_freq > 2")
+    two = keyness.compare(rf, st, ("or",)).select("token", "study_freq", "ref_freq", "or").where("study_freq > 1")
+    return keyness.merged({"d-v-b": one, "b-v-d": two}, how)
+
+
+def _near(s, d):
+    e = table(s, d, "embeddings")
+    q = e.where(F.col("vec_id") % 20 == 0).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
+    return search.nearest(q, e.select(F.col("vec_id").alias("rowid"), "embedding"), 5).join(e.select(F.col("vec_id").alias("rowid"), "label"), "rowid")
+
+
+def _knn_label(s, d):
+    e = table(s, d, "embeddings")
+    q = e.where(F.col("vec_id") % 20 == 0).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"), "label")
+    return rounded(search.nearest(q, e.select(F.col("vec_id").alias("rowid"), "embedding", "label"), 3, on=["label"]).drop("rn"))
+
+
+def _reverse(s, d):
+    n = _near(s, d)
+    return rounded(search.reverse_checked(n, n.where(F.col("rowid") % 2 == 1).select("rowid", "query_id")))
+
+
+def _bi(s, d):
+    return _atoms(s, d).select("cluster_id").distinct().select(F.explode(F.array(F.struct(F.lit("de").alias("language"), (2 + F.col("cluster_id") % 3).alias("tier")), F.struct(F.lit("en").alias("language"), (2 + F.col("cluster_id") % 2).alias("tier")))).alias("x"), "cluster_id").select("x.*", "cluster_id")
+
+
+def _views(s, d):
+    sub = F.element_at(F.array(*map(F.lit, ("professional", "amateur", "short"))), (F.col("doc_id") % 3 + 1).cast("int"))
+    return _titles(s, d).select("source", F.floor(F.col("doc_id") / 6).cast("string").alias("id"), F.when(F.col("doc_id") % 2 == 0, "de").otherwise("en").alias("language"), sub.alias("subtree"), "title", "text")
+
+
+VIEWS = f"SELECT source, (doc_id // 6)::VARCHAR AS id, CASE WHEN doc_id % 2 = 0 THEN 'de' ELSE 'en' END AS language, ['professional','amateur','short'][doc_id % 3 + 1] AS subtree, title, text FROM ({TITLES})"
+
+
+def _nodes(s, d):
+    return _docs(s, d).select(F.substring("text", 1, 12).alias("title"), F.col("doc_id").cast("string").alias("node"))
+
+
+def _membership(s, d):
+    return _docs(s, d).select(F.concat(F.lit("n"), (F.col("doc_id") % 97).cast("string")).alias("node"), (F.col("doc_id") % 97 % 4).alias("tier"))
+
+
+def _chain(s, d):
+    return table(s, d, "nation").select(F.col("n_regionkey").alias("language"), F.col("n_nationkey").alias("pos"), F.col("n_name").alias("source"))
+
+
+def _delta(s, d):
+    o = table(s, d, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_totalprice").alias("value"))
+    e = table(s, d, "orders").select(F.col("o_orderkey").alias("a"), F.col("o_custkey").alias("b"), F.col("o_orderpriority").alias("source_a"), F.col("o_orderstatus").alias("source_b"))
+    steps = table(s, d, "orders").select(F.col("o_orderpriority").alias("source"), F.col("o_orderstatus").alias("next")).distinct()
+    return stats.deltas(stats.oriented_pairs(e, steps), o)
+
+
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _measures(spark, sf_dir)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    pair = f"WITH ats AS ({ATOMS}), {_PAIR}"
+    titled = f"{pair}, {_TITLED}"
+    return {
+        "document_measures": MEASURES,
+        "sentence_split": f"WITH {TOK} SELECT doc_id, sent_id, md5(sentence) AS sentence FROM sx",
+        "token_table": f"WITH {TOK} SELECT pos, is_word, is_alpha, is_stop, count(*) AS n, sum(syllables)::BIGINT AS syllables, count(DISTINCT lemma) AS types FROM tok GROUP BY ALL",
+        "moving_ttr": f"""WITH {TOK}, s AS (SELECT doc_id, lemma, {_SEQ} AS i FROM tok WHERE is_word), p AS (SELECT *, lag(i) OVER (PARTITION BY doc_id, lemma ORDER BY i) AS pv, count(*) OVER (PARTITION BY doc_id) AS n FROM s)
+SELECT doc_id, round(CASE WHEN max(n) <= 100 THEN count(DISTINCT lemma)::DOUBLE / max(n) ELSE sum(greatest(0, least(i, n - 99) - greatest(coalesce(pv, 0), i - 100, 0)))::DOUBLE / (max(n) - 99) / 100 END, 6) AS mattr FROM p GROUP BY doc_id""",
+        "heaps_beta": _heaps_sql("is_alpha", 500, 400, "heaps_law_beta"), "heaps_beta_lex": _heaps_sql("is_alpha AND NOT is_stop", 200, 100, "heaps_law_beta_lex"),
+        "syntax_measures": f"""WITH {TOK}, s AS (SELECT doc_id, sent_id, string_agg(CASE pos {" ".join(f"WHEN '{k}' THEN '{v}'" for k, v in metrics.TAG_LETTERS.items())} END, '' ORDER BY tok_i) AS tags FROM tok WHERE is_word GROUP BY ALL),
+p AS (SELECT *, lag(tags) OVER (PARTITION BY doc_id ORDER BY sent_id) AS before FROM s)
+SELECT doc_id, round(count(DISTINCT tags)::DOUBLE / count(*), 6) AS grammar_frequency, round(avg(levenshtein(tags, before)::DOUBLE / greatest(length(tags), length(before))), 6) AS adjacent_sent_edit_distance FROM p GROUP BY doc_id""",
+        "lexical_chains": f"""WITH {TOK}, a AS (SELECT *, {_SEQ} AS ap FROM tok), w AS (SELECT doc_id, count(*) FILTER (is_word) AS n FROM tok GROUP BY doc_id),
+c AS (SELECT doc_id, lemma, count(*) AS c, min(ap) AS s, max(ap) AS e FROM a WHERE is_word AND pos = 'NOUN' GROUP BY ALL HAVING count(*) > 1),
+m AS (SELECT doc_id, avg(c) AS mean FROM c GROUP BY doc_id), x AS (SELECT a.doc_id, count(*) AS k FROM c a JOIN c b ON a.doc_id = b.doc_id AND a.lemma < b.lemma AND a.s <= b.e AND b.s <= a.e GROUP BY 1)
+SELECT w.doc_id, round(mean / nullif(n, 0), 6) AS lexical_chain_lens, round(coalesce(k, 0)::DOUBLE / nullif(n, 0), 6) AS crossing_lexical_chains FROM w LEFT JOIN m USING (doc_id) LEFT JOIN x USING (doc_id)""",
+        "word_frequency": f"""WITH {TOK}, f AS (SELECT lemma, count(*)::DOUBLE / (SELECT count(*) FROM tok WHERE is_word) AS rel FROM tok WHERE is_word GROUP BY lemma)
+SELECT doc_id, round(avg(coalesce(rel, 0)) FILTER (is_word), 8) AS word_freq, round(avg(coalesce(rel, 0)) FILTER (is_alpha AND NOT is_stop), 8) AS word_freq_filtered FROM tok LEFT JOIN f USING (lemma) GROUP BY doc_id""",
+        "noun_phrases": f"""WITH {TOK}, p AS (SELECT *, pos IN ('DET','ADJ','NUM','NOUN') AS part FROM tok), n AS (SELECT *, CASE WHEN part AND NOT coalesce(lag(part) OVER (PARTITION BY doc_id, sent_id ORDER BY tok_i), false) THEN 1 ELSE 0 END AS new FROM p),
+c AS (SELECT *, sum(new) OVER (PARTITION BY doc_id, sent_id ORDER BY tok_i) AS chunk FROM n), k AS (SELECT doc_id, sent_id, chunk, count(*) FILTER (is_word) AS n FROM c WHERE part GROUP BY ALL HAVING count(*) FILTER (pos = 'NOUN') > 0)
+SELECT doc_id, round(avg(n), 6) AS noun_phrase_complexity FROM k GROUP BY doc_id""",
+        "tree_depth": f"""WITH RECURSIVE {TOK}, h AS (SELECT doc_id, sent_id, tok_i, is_punct, CASE WHEN tok_i = 0 OR lag(is_punct) OVER (PARTITION BY doc_id, sent_id ORDER BY tok_i) THEN 0 ELSE tok_i - 1 END AS head FROM tok),
+r AS (SELECT doc_id, sent_id, tok_i, 0 AS d FROM h WHERE tok_i = 0 UNION ALL SELECT h.doc_id, h.sent_id, h.tok_i, d + 1 FROM r JOIN h ON h.doc_id = r.doc_id AND h.sent_id = r.sent_id AND h.head = r.tok_i AND h.tok_i <> h.head AND NOT h.is_punct)
+SELECT doc_id, round(avg(d), 6) AS dep_tree_depth FROM (SELECT doc_id, sent_id, max(d) AS d FROM r GROUP BY ALL) GROUP BY doc_id""",
+        "text_functions": TEXT_FUNCTIONS,
+        "token_frequencies": f"SELECT t AS token, count(*) AS freq FROM (SELECT unnest(regexp_extract_all(text, {WORDS})) AS t FROM documents) GROUP BY 1",
+        "token_frequencies_lower": f"SELECT lower(t) AS token, count(*) AS freq FROM (SELECT unnest(regexp_extract_all(text, {WORDS})) AS t FROM documents) GROUP BY 1",
+        "corpus_stats": f"WITH {KEY} SELECT sn::BIGINT AS total, sk AS types FROM ts",
+        "keyness_full": f'WITH {KEY} SELECT token, study_freq, ref_freq, round(study_rel_freq, 6) AS study_rel_freq, round(ref_rel_freq, 6) AS ref_rel_freq, round(ll, 6) AS ll, round("or", 6) AS "or", round(pd, 6) AS pd FROM ke',
+        "keyness_unknown": f"WITH {KEY} SELECT '<unk>' AS token, coalesce(sum(ref_freq), 0)::BIGINT AS ref_freq, 0.1::DOUBLE AS a, round(sum(ref_freq) + 0.1::DOUBLE, 6) AS b, round(max(sn) + 0.1::DOUBLE * max(sk), 6) AS c, round(max(rn) - sum(ref_freq) + 0.1::DOUBLE * max(rk), 6) AS d FROM j, ts, tr WHERE study_freq = 0",
+        "jargon_density": f"""WITH {KEY}, {DOC_WORDS}, t AS (SELECT doc_id, token, count(*) AS n FROM dw GROUP BY ALL)
+SELECT doc_id, sum(n)::BIGINT AS total_tokens, coalesce(sum(n) FILTER ("or" > 2 AND ref_rel_freq <= 0.1), 0)::BIGINT AS jargon_count, round(100.0 * coalesce(sum(n) FILTER ("or" > 2 AND ref_rel_freq <= 0.1), 0) / sum(n), 4) AS jargon_per_100 FROM t JOIN ke USING (token) GROUP BY doc_id""",
+        "jargon_terms": f"""WITH {KEY}, {DOC_WORDS} SELECT doc_id, token, count(*) AS freq_in_text, round(max("or"), 6) AS score FROM dw JOIN ke USING (token) WHERE "or" > 2 AND ref_rel_freq <= 0.1 GROUP BY doc_id, token""",
+        "phrase_search": f"WITH ti AS ({TITLES}), {POST}, {BM25} SELECT query_id, rowid, round(rank, 6) AS rank FROM sc",
+        "phrase_top": f"WITH ti AS ({TITLES}), {POST} SELECT query_id, least(10, count(DISTINCT rowid)) AS n, least(10, count(DISTINCT rowid))::INT AS last FROM ph GROUP BY query_id",
+        "knn_l2": _knn_sql(f"sqrt(list_sum(list_transform(list_zip({_VA}, {_VB}), lambda x: (x[1] - x[2]) * (x[1] - x[2]))))"), "knn_l1": _knn_sql(f"list_sum(list_transform(list_zip({_VA}, {_VB}), lambda x: abs(x[1] - x[2])))"),
+        "knn_cosine": _knn_sql(f"1 - list_cosine_similarity({_VA}, {_VB})"),
+        "metadata_filter": "SELECT event_id FROM events WHERE event_type IN ('click', 'view', 'purchase')",
+        "synonym_rows": f"""WITH t AS ({TITLES}), y AS (SELECT doc_id, title, 0 AS o FROM t UNION ALL SELECT doc_id, trim(u), 1 FROM (SELECT doc_id, title, unnest(string_split(language || ';' || source || ';' || title, ';')) AS u FROM t) WHERE trim(u) <> '' AND trim(u) <> title)
+SELECT doc_id, title, min(o) AS is_synonym FROM y GROUP BY ALL""",
+        "descriptor_sets": "SELECT source, string_agg(DISTINCT lang, '; ' ORDER BY lang) AS language FROM documents GROUP BY source",
+        "reverse_index": f"SELECT vocab, value, count(*) AS n FROM ({INDEX}) GROUP BY ALL",
+        "two_hop_expansion": f"""WITH i AS ({INDEX}), one AS (SELECT DISTINCT * FROM i), m AS (SELECT DISTINCT o.vocab AS v0, o.value AS x0, i.vocab, i.value FROM one o JOIN i USING (source, instance))
+SELECT vocab, value, source, instance FROM one UNION SELECT v0, x0, source, instance FROM m JOIN i USING (vocab, value)""",
+        "instance_expansion": f"WITH i AS ({INDEX}) SELECT DISTINCT a.source, a.instance, b.source AS other_source, b.instance AS other FROM i a JOIN i b USING (vocab, value) WHERE a.source <> b.source",
+        "merge_down": f"WITH i AS (SELECT * FROM ({INDEX}) WHERE vocab = 'MeSH') SELECT DISTINCT a.source, a.instance, b.source AS other_source, b.instance AS other FROM i a JOIN i b USING (vocab, value)",
+        "cluster_tiers": f"""WITH a AS ({ATOMS}) SELECT language, cluster_id, CASE WHEN any_value(language) = 'de' THEN 2 + max((source = 'gesund')::INT) + max((source = 'apoum')::INT) ELSE 2 + max((source = 'nhs')::INT) END AS tier FROM a GROUP BY language, cluster_id HAVING max((source = 'msd')::INT) = 1""",
+        "bilingual_clusters": f"SELECT DISTINCT cluster_id FROM ({ATOMS}) WHERE 2 + cluster_id % 3 = 4 AND 2 + cluster_id % 2 = 3",
+        "cluster_pairs": f"{pair} SELECT * FROM pr",
+        "pair_duplicates": f"{titled} SELECT count(*) AS n FROM tp GROUP BY least(title_a, title_b), greatest(title_a, title_b) HAVING count(*) > 1 ORDER BY n DESC LIMIT 5",
+        "pairs_bilingual": f"{pair} SELECT source_a, id_a, source_b, id_b, 2::BIGINT AS n_languages FROM pr",
+        "pairs_filtered": f"""{titled}, k AS (SELECT *, least(title_a, title_b) AS t1, greatest(title_a, title_b) AS t2 FROM tp),
+g AS (SELECT DISTINCT least(trim(title_a), trim(title_b)) AS t1, greatest(trim(title_a), trim(title_b)) AS t2 FROM tp WHERE id_a::BIGINT % 5 = 0),
+f AS (SELECT k.* FROM k ANTI JOIN g ON k.t1 = g.t1 AND k.t2 = g.t2), e AS (SELECT * FROM f x WHERE language <> 'en' OR NOT EXISTS (SELECT 1 FROM f y WHERE y.language = 'de' AND y.source_a = x.source_a AND y.id_a = x.id_a AND y.source_b = x.source_b AND y.id_b = x.id_b))
+SELECT language, id_a, id_b FROM (SELECT *, row_number() OVER (PARTITION BY t1, t2 ORDER BY language, source_a, id_a, source_b, id_b) AS r FROM e) WHERE r = 1""",
+        "confusion": "SELECT quality::VARCHAR AS gold, count(*) AS n, count(*) FILTER (quality = toxic) AS n_right, round(count(*) FILTER (quality = toxic)::DOUBLE / count(*), 6) AS accuracy FROM labels GROUP BY ROLLUP (quality)",
+        "article_titles": f"""SELECT source, id, language, title FROM (SELECT *, row_number() OVER (PARTITION BY source, id, language ORDER BY CASE subtree WHEN 'professional' THEN 1 WHEN 'amateur' THEN 2 ELSE 3 END) AS r FROM ({VIEWS}) WHERE length(trim(text)) > 0) WHERE r = 1""",
+        "site_pairs": f"""WITH v AS (SELECT DISTINCT source, id, language || '/' || subtree AS view FROM ({VIEWS}) WHERE length(trim(text)) > 0) SELECT source, id, a.view AS view_a, b.view AS view_b, 'richtig' AS label FROM v a JOIN v b USING (source, id) WHERE a.view < b.view""",
+        "title_expansion": f"{titled}, x AS (SELECT DISTINCT substring(text, 1, 12) AS t, doc_id::VARCHAR AS n FROM documents) SELECT DISTINCT a.n AS a, b.n AS b FROM tp JOIN x a ON a.t = title_a JOIN x b ON b.t = title_b WHERE a.n <> b.n",
+        "canonical_edges": f"""WITH e AS (SELECT *, CASE label WHEN 'richtig_1' THEN 'richtig' WHEN 'False' THEN 'falsch' ELSE label END AS l FROM ({EDGES}))
+SELECT DISTINCT least(a, b) AS a, greatest(a, b) AS b, CASE WHEN a > b AND l = 'spezialisierung' THEN 'generalisierung' WHEN a > b AND l = 'generalisierung' THEN 'spezialisierung' ELSE l END AS label, judge, model,
+CASE WHEN a > b THEN b_view ELSE a_view END AS a_view, CASE WHEN a > b THEN a_view ELSE b_view END AS b_view FROM e WHERE l <> 'falsch'""",
+        "partner_tiers": f"""WITH e AS (SELECT a, b FROM ({EDGES}) WHERE a <> b), z AS (SELECT a, b FROM e UNION SELECT b, a FROM e), m AS (SELECT DISTINCT 'n' || (doc_id % 97) AS node, doc_id % 97 % 4 AS tier FROM documents),
+k AS (SELECT x.node, x.tier, count(DISTINCT y.tier) AS k FROM z JOIN m x ON x.node = z.a JOIN m y ON y.node = z.b WHERE x.tier <> y.tier GROUP BY ALL) SELECT tier, coalesce(k, 0) AS n_partners, count(*) AS n FROM m LEFT JOIN k USING (node, tier) GROUP BY ALL""",
+        "best_instances": """WITH c AS (SELECT source, doc_id::VARCHAR AS id, doc_id % 4 + 1 AS priority FROM documents WHERE len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')) BETWEEN 1 AND 1000)
+SELECT source, id, priority, ['4_tier', '3_tier', '2_tier', 'unaligned'][priority] AS bucket, row_number() OVER (PARTITION BY priority, source ORDER BY md5('42:' || id), id)::INT AS turn FROM c""",
+        "resume_rest": "SELECT doc_id FROM documents ANTI JOIN labels USING (doc_id)",
+        "adjacent_steps": "SELECT * FROM (SELECT n_regionkey AS language, n_nationkey AS pos, n_name AS source, lead(n_name) OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) AS next FROM nation) WHERE next IS NOT NULL",
+        "signed_ranks": f"WITH {SIGNED}",
+        "reject_holm": f"""WITH t AS (SELECT *, count(p) OVER (PARTITION BY metric) AS m, row_number() OVER (PARTITION BY metric ORDER BY p) AS r FROM ({TESTS})), b AS (SELECT *, min(CASE WHEN p >= 0.05::DOUBLE / (m - r + 1) THEN r END) OVER (PARTITION BY metric) AS bad FROM t)
+SELECT metric, step, coalesce(r < bad, true) AS reject FROM b""",
+        "reject_bonferroni": f"SELECT metric, step, p < 0.05::DOUBLE / count(p) OVER (PARTITION BY metric) AS reject FROM ({TESTS})", "reject_none": f"SELECT metric, step, p < 0.05 AS reject FROM ({TESTS})",
+        "verdicts": """WITH s AS (SELECT c_custkey % 40 AS metric, CASE WHEN c_custkey % 11 = 0 THEN -1.0 ELSE 1.0 END AS shift, (c_custkey % 7) / 100.0 AS p FROM customer),
+c AS (SELECT metric, count(*) AS k, count(*) FILTER (shift < 0 AND 1 - p < 0.05) AS ws, count(*) FILTER (shift < 0) AS w, count(*) FILTER (shift > 0 AND p < 0.05) AS rs FROM s GROUP BY metric)
+SELECT metric, CASE WHEN ws > 0 THEN 'WRONG DIRECTION' WHEN w > 0 THEN 'NEAR-MONO' WHEN rs = k THEN 'PASS' ELSE 'monotonic ' || rs || '/' || k END AS verdict FROM c""",
+        "bleed_through": f"""WITH c AS ({CELLS}), m AS (SELECT metric, step, median(d_orig) AS mo, median(d_simp) AS ms FROM c GROUP BY ALL), p AS (SELECT metric, 100 * median(d_simp) / nullif(median(d_orig), 0) AS pooled FROM c GROUP BY metric)
+SELECT metric, round(100 * avg(ms) / nullif(avg(mo), 0), 6) AS ratio_of_means, round(median(100 * ms / nullif(mo, 0)), 6) AS median_of_ratios, round(100 * max_by(ms, step) / nullif(max_by(mo, step), 0), 6) AS last_step, round(any_value(pooled), 6) AS pooled FROM m JOIN p USING (metric) GROUP BY metric""",
+        "mean_sd": f"SELECT metric, step, count(*) AS n, round(avg(value), 6) AS mean, round(stddev_samp(value), 6) AS sd FROM ({CELLS}) WHERE value <> -1 GROUP BY ALL", "tier_medians": f"SELECT metric, round(median(value) * 0.5, 6) AS median FROM ({CELLS}) GROUP BY metric",
+        "box_summary": f"""WITH c AS ({CELLS}), q AS (SELECT metric, step, quantile_cont(value, 0.25) AS q1, median(value) AS med, quantile_cont(value, 0.75) AS q3 FROM c GROUP BY ALL)
+SELECT metric, step, round(q1, 6) AS q1, round(med, 6) AS med, round(q3, 6) AS q3, round(min(value) FILTER (value >= q1 - 1.5 * (q3 - q1)), 6) AS lo, round(max(value) FILTER (value <= q3 + 1.5 * (q3 - q1)), 6) AS hi FROM c JOIN q USING (metric, step) GROUP BY ALL""",
+        "value_cleaning": "SELECT doc_id % 50 AS id, max_by(n_chars::DOUBLE, doc_id) AS value FROM documents WHERE doc_id % 3 <> 0 AND doc_id % 7 <> 0 GROUP BY 1",
+        "bigram_perplexity": BIGRAM,
+        "adjacent_overlap": f"""WITH {TOK}, s AS (SELECT doc_id, sent_id, coalesce(list(DISTINCT lemma) FILTER (is_alpha AND NOT is_stop), []) AS l FROM tok GROUP BY ALL), n AS (SELECT *, lead(l) OVER (PARTITION BY doc_id ORDER BY sent_id) AS m FROM s)
+SELECT doc_id, round(avg(list_has_any(l, m)::INT), 6) AS ansp FROM n WHERE m IS NOT NULL GROUP BY doc_id""",
+        "split_registry": "SELECT * FROM (VALUES ('msd','professional','de'), ('msd','amateur','de'), ('msd','short','de'), ('gesund','amateur','de'), ('apoum','amateur','de')) t(source, subtree, language)",
+    }

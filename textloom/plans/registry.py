@@ -395,10 +395,10 @@ def _bi(s, d):
 
 def _views(s, d):
     sub = F.element_at(F.array(*map(F.lit, ("professional", "amateur", "short"))), (F.col("doc_id") % 3 + 1).cast("int"))
-    return _titles(s, d).select("source", F.floor(F.col("doc_id") / 6).cast("string").alias("id"), F.when(F.col("doc_id") % 2 == 0, "de").otherwise("en").alias("language"), sub.alias("subtree"), "title", "text")
+    return _titles(s, d).select("source", F.floor(F.col("doc_id") / 60).cast("string").alias("id"), F.when(F.col("doc_id") % 2 == 0, "de").otherwise("en").alias("language"), sub.alias("subtree"), "title", "text")
 
 
-VIEWS = f"SELECT source, (doc_id // 6)::VARCHAR AS id, CASE WHEN doc_id % 2 = 0 THEN 'de' ELSE 'en' END AS language, ['professional','amateur','short'][doc_id % 3 + 1] AS subtree, title, text FROM ({TITLES})"
+VIEWS = f"SELECT source, (doc_id // 60)::VARCHAR AS id, CASE WHEN doc_id % 2 = 0 THEN 'de' ELSE 'en' END AS language, ['professional','amateur','short'][doc_id % 3 + 1] AS subtree, title, text FROM ({TITLES})"
 
 
 def _nodes(s, d):

@@ -20,7 +20,7 @@ from pyspark.sql.types import StructType
 
 from textloom.session import ship
 
-LAST_ID = (1 << 63) - 1
+LAST_ID, ROWS = (1 << 63) - 1, 1500
 SPACE_BYTES = np.zeros(256, bool)
 SPACE_BYTES[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 
@@ -215,11 +215,19 @@ def row_key(doc: np.ndarray, th: np.ndarray) -> np.ndarray:
     return mix(doc.view(np.uint64) * _P + th.view(np.uint64))
 
 
+def prepared(spark: SparkSession) -> None:
+    """Workers get the package, and record batches of at most ``ROWS`` rows, so that long texts fit in their memory."""
+    ship(spark)
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if int(spark.conf.get(key)) > ROWS:
+        spark.conf.set(key, str(ROWS))
+
+
 def arrow(fn, df: DataFrame, schema: str) -> DataFrame:
     """``mapInArrow`` by a function from one record batch to any number of column dicts."""
     from pyspark.sql.pandas.types import to_arrow_schema
 
-    ship(df.sparkSession)
+    prepared(df.sparkSession)
     spark_schema = StructType.fromDDL(schema)
     target = to_arrow_schema(spark_schema)
 

@@ -21,8 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from textloom.llm.common import LAST_ID, arrow, key_bitmap, passes, stored
-from textloom.session import ship
+from textloom.llm.common import LAST_ID, arrow, key_bitmap, passes, prepared, stored
 
 BITS = 24
 
@@ -103,7 +102,7 @@ def edited(docs: DataFrame, suffix: dict[bytes, str] | None = None, width: int =
                 kinds = (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64())
                 yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(out.values(), kinds)], names=list(out))
 
-    ship(docs.sparkSession)
+    prepared(docs.sparkSession)
     return in_order(docs).mapInArrow(run, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
 
 

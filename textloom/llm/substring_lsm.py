@@ -133,7 +133,7 @@ def batches(docs: DataFrame, n: int) -> list[DataFrame]:
 
 
 def repeats(docs: DataFrame, n: int = N, k: int = K, n_batches: int = 3, bits: int = BITS, chunk: int = CHUNK):
-    """``doc, th, at``: starts of windows that also start in a smaller document; and the later copies.
+    """``doc, th, at, n``: runs of n window starts that also start in a smaller document (n is 1); and the later copies.
 
     ``docs``: as ``keyed`` gives them.
     """
@@ -166,7 +166,7 @@ def repeats(docs: DataFrame, n: int = N, k: int = K, n_batches: int = 3, bits: i
 
     wins = stored(arrow(fn, docs, "wh long, doc long, th long, at int"))
     first = wins.groupBy("wh").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi")).where("lo < hi").select("wh", "lo")
-    return wins.join(first, "wh").where("lo < doc").select("doc", "th", "at"), copies.later
+    return wins.join(first, "wh").where("lo < doc").select("doc", "th", "at", F.lit(1).alias("n")), copies.later
 
 
 def marked_rows(docs: DataFrame, hits: DataFrame, later: DataFrame, bits: int = BITS) -> tuple[DataFrame, DataFrame]:
@@ -175,7 +175,7 @@ def marked_rows(docs: DataFrame, hits: DataFrame, later: DataFrame, bits: int =
     Only rows whose slot is marked are shuffled; a row marked by chance just finds nothing to join.
     """
     spark = docs.sparkSession
-    per = stored(hits.groupBy("doc", "th").agg(F.sort_array(F.collect_list("at")).alias("at")))
+    per = stored(hits.groupBy("doc", "th").agg(F.collect_list("at").alias("at"), F.collect_list("n").alias("n")))
     later = stored(later)
     marked = spark.sparkContext.broadcast(row_bitmap(per.select("doc", "th").unionAll(later), bits))
 

@@ -3,7 +3,8 @@
 Every string of ``n`` bytes has one anchor, its smallest ``k``-byte gram (leftmost on ties), so equal strings have
 equal anchors. Anchors seen in two documents or more mark slots of a bitmap of fixed size; only strings whose anchor
 is marked can repeat. Neighbouring strings with one anchor form a snippet; equal snippets are merged before the
-shuffle, then snippets are dealt out by anchor and each task sorts the suffixes of its snippets by the difference
+shuffle. Where an anchor's snippets are all equal, so are their strings, place by place. The snippets of the other
+anchors are dealt out by anchor and each task sorts the suffixes of its snippets by the difference
 cover modulo 3: sampled triples are sorted and named, the names are sorted by recursion, the remaining suffixes are
 merged in, and neighbours in the order are compared by their first ``n`` bytes. Recursion stops once the names cover
 ``n`` bytes. Strings that compare equal get the smallest document that holds one of them.
@@ -26,11 +27,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from textloom.llm import common as C
-from textloom.llm.common import arrow, chunks, key_bitmap, keyed, passes, row_key, stored, text_buffer
+from textloom.llm.common import arrow, chunks, key_bitmap, keyed, passes, prepared, row_key, stored, text_buffer
 from textloom.llm.substring_lsm import Copies, marked_rows
-from textloom.session import ship
 
-N, K, BITS, CHUNK, HOT = 50, 20, 27, 1 << 19, 50_000
+N, K, BITS, CHUNK, HOT = 50, 26, 27, 1 << 19, 50_000
 PIECE = 1 << 20
 
 
@@ -76,23 +76,24 @@ def suffix_ranks(s: np.ndarray, depth: int) -> np.ndarray:
         # Names are raised by one so that the separator is smaller than any of them.
         r = np.concatenate([name[:len(p1)] + 1, [1], name[len(p1):] + 1])
         rr = suffix_ranks(r, -(-depth // 3) + 1)
-        name, _ = _names(np.concatenate([rr[:len(p1)], rr[len(p1) + 1:]]))
+        name, count = _names(np.concatenate([rr[:len(p1)], rr[len(p1) + 1:]]))
     rank = np.zeros(n + 4, np.int64)
     rank[p] = name
     # Remaining suffixes: first symbol, then the sampled rank that follows. Merge by the cover's comparisons:
     # against position 1, (symbol, rank); against position 2, (symbol, symbol, rank).
     two = lambda q: (z[q], rank[q + 1])
     three = lambda q: (z[q], z[q + 1], rank[q + 2])
-    a, _ = _names(*(np.concatenate(x) for x in zip(two(p0), two(p1))))
-    b, _ = _names(*(np.concatenate(x) for x in zip(three(p0), three(p2))))
+    a, na = _names(*(np.concatenate(x) for x in zip(two(p0), two(p1))))
+    b, nb = _names(*(np.concatenate(x) for x in zip(three(p0), three(p2))))
     a0, a1, b0, b2 = a[:len(p0)], a[len(p0):], b[:len(p0)], b[len(p0):]
-    s0, s1, s2, t0 = np.sort(a0), np.sort(a1), np.sort(b2), np.sort(b0)
-    every = np.sort(name)
+    # A suffix's place is the number of suffixes before it, whichever kind they are. Names are dense, so these are
+    # running sums of how often each name occurs.
+    below = lambda x, top: np.cumsum(np.bincount(x, minlength=top + 1)) - np.bincount(x, minlength=top + 1)
+    every, f0, f1, g0, g2 = below(name, count), below(a0, na), below(a1, na), below(b0, nb), below(b2, nb)
     out = np.empty(n, np.int64)
-    # A suffix's place is the number of suffixes before it, whichever kind they are.
-    out[p0] = np.searchsorted(s0, a0) + np.searchsorted(s1, a0) + np.searchsorted(s2, b0)
-    out[p1] = np.searchsorted(every, rank[p1]) + np.searchsorted(s0, a1)
-    out[p2] = np.searchsorted(every, rank[p2]) + np.searchsorted(t0, b2)
+    out[p0] = f0[a0] + f1[a0] + g2[b0]
+    out[p1] = every[rank[p1]] + f0[a1]
+    out[p2] = every[rank[p2]] + g0[b2]
     return out + 1
 
 
@@ -148,7 +149,7 @@ def _anchors(data, off, n, k):
 
 
 def repeats(docs: DataFrame, n: int = N, k: int = K, bits: int = BITS, hot: int = HOT, chunk: int = CHUNK):
-    """``doc, th, at``: starts of strings that also start in a smaller document; and the later copies."""
+    """``doc, th, at, n``: runs of starts of strings that also start in a smaller document; and the later copies."""
     spark = docs.sparkSession
     copies = Copies(docs, bits)
     firsts = spark.sparkContext.broadcast(copies.firsts)
@@ -171,7 +172,8 @@ def repeats(docs: DataFrame, n: int = N, k: int = K, bits: int = BITS, hot: int
     busy = seen.where(F.col("n") >= hot)
     heat = spark.sparkContext.broadcast(key_bitmap(busy, "g", 20))
 
-    def snippets(b):
+    def strings(b, sure=None):
+        """Runs of strings under marked anchors; with ``sure``, of those anchors alone and with their bytes."""
         data, off = text_buffer(b["text"])
         doc, th = b["doc"].to_numpy(), b["th"].to_numpy()
         mine = passes(firsts.value, row_key(doc, th), bits)
@@ -183,24 +185,40 @@ def repeats(docs: DataFrame, n: int = N, k: int = K, bits: int = BITS, hot: int
             key = g[place]
             ok = mine[i:j][row[first]] & passes(marks.value, key, bits)
             first, count, key = first[ok], count[ok], key[ok]
-            if not len(first):
-                continue
             warm = passes(heat.value, key, 20)
             if warm.any():  # one string a snippet, keyed by its content
                 c = count[warm]
                 f = np.repeat(first[warm] - np.r_[0, np.cumsum(c)[:-1]], c) + np.arange(c.sum())
                 own = C.grams(C.byte_values(part), n)[f]
                 first, count, key = np.r_[first[~warm], f], np.r_[count[~warm], np.ones(len(f), np.int64)], np.r_[key[~warm], own]
-            size = count + n - 1
-            ends = np.cumsum(size)
-            take = np.repeat(first - np.r_[0, ends[:-1]], size) + np.arange(ends[-1])
-            snip = pa.Array.from_buffers(pa.binary(), len(first), [None, pa.py_buffer(np.r_[0, ends].astype(np.int32)), pa.py_buffer(part[take])])
-            r = row[first]
-            yield {"g": key.view(np.int64), "sk": C.span_hashes(part, first, first + size).view(np.int64), "doc": doc[i:j][r], "th": th[i:j][r],
-                   "at": (first - po[r]).astype(np.int32), "snip": snip}
-
-    every = stored(arrow(snippets, docs, "g long, sk long, doc long, th long, at int, snip binary"))
-    distinct = every.groupBy("g", "sk", "snip").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi"))
+            if sure is not None:
+                ok = passes(sure.value, key, bits)
+                first, count, key = first[ok], count[ok], key[ok]
+            if not len(first):
+                continue
+            size, r = count + n - 1, row[first]
+            out = {"g": key.view(np.int64), "sk": C.span_hashes(part, first, first + size).view(np.int64), "doc": doc[i:j][r]}
+            if sure is None:
+                yield out | {"th": th[i:j][r], "at": (first - po[r]).astype(np.int32), "n": count.astype(np.int32)}
+            else:
+                ends = np.cumsum(size)
+                take = np.repeat(first - np.r_[0, ends[:-1]], size) + np.arange(ends[-1])
+                yield out | {"snip": pa.Array.from_buffers(pa.binary(), len(first), [None, pa.py_buffer(np.r_[0, ends].astype(np.int32)), pa.py_buffer(part[take])])}
+
+    every = stored(arrow(strings, docs, "g long, sk long, doc long, th long, at int, n int"))
+    # Anchors all of whose snippets are equal need no sorting: their strings pair up by place. The others do.
+    kinds = stored(every.groupBy("g", "sk").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi")))
+    mixed = kinds.groupBy("g").agg(F.count("*").alias("c"), F.min("lo").alias("lo"), F.max("hi").alias("hi")).where("c > 1 and lo < hi")
+    sure = spark.sparkContext.broadcast(key_bitmap(mixed, "g", bits))
+
+    def plain(b):
+        keep = pa.array(~passes(sure.value, b["g"].to_numpy(), bits))
+        b = b.filter(keep)
+        yield {"g": b["g"], "sk": b["sk"], "lo": b["lo"]}
+
+    alone = arrow(plain, kinds.where("lo < hi").select("g", "sk", "lo"), "g long, sk long, lo long")
+    distinct = arrow(lambda b: strings(b, sure), docs, "g long, sk long, doc long, snip binary").groupBy("g", "sk", "snip").agg(
+        F.min("doc").alias("lo"), F.max("doc").alias("hi"))
 
     def sort_piece(rows: list[pa.RecordBatch]):
         t = pa.Table.from_batches(rows).combine_chunks()
@@ -237,12 +255,13 @@ def repeats(docs: DataFrame, n: int = N, k: int = K, bits: int = BITS, hot: int
         if held:
             yield sort_piece(held)
 
-    ship(spark)
+    prepared(spark)
     dealt = distinct.repartition("g").sortWithinPartitions("g").select("g", "sk", "lo", "hi", "snip")
     low = dealt.mapInArrow(sort_task, "g long, sk long, low array<long>")
-    hit = every.select("g", "sk", "doc", "th", "at").join(stored(low), ["g", "sk"])
-    found = hit.select("doc", "th", F.explode(F.expr("filter(transform(low, (x, i) -> if(x < doc, at + i, -1)), x -> x >= 0)")).alias("at"))
-    return found, copies.later
+    known = alone.select("g", "sk", "lo", F.lit(None).cast("array<long>").alias("low")).unionAll(low.select("g", "sk", F.lit(None).cast("long").alias("lo"), "low"))
+    hit = every.join(known, ["g", "sk"]).where("lo is null or lo < doc")
+    runs = F.expr("if(lo is not null, array(named_struct('at', at, 'n', n)), transform(filter(transform(low, (x, i) -> if(x < doc, at + i, -1)), x -> x >= 0), x -> named_struct('at', x, 'n', 1)))")
+    return hit.select("doc", "th", F.explode(runs).alias("r")).select("doc", "th", "r.at", "r.n"), copies.later
 
 
 def _finish(n: int):
@@ -257,9 +276,9 @@ def _finish(n: int):
             if copy[i] and len(raw) >= n:
                 gone[0] += 1
             elif has and b["at"][i].is_valid:
-                a = b["at"][i].values.to_numpy()
+                a, m = b["at"][i].values.to_numpy(), b["n"][i].values.to_numpy()
                 np.add.at(gone, a, 1)
-                np.add.at(gone, a + n, -1)
+                np.add.at(gone, a + m - 1 + n, -1)
             out = np.cumsum(gone)[:-1] > 0
             size.append(len(raw))
             removed.append(int(out.sum()))

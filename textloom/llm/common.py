@@ -7,6 +7,7 @@ told apart by a hash of their text, so equal rows get equal results.
 from __future__ import annotations
 
 import atexit
+import gc
 import shutil
 import tempfile
 import uuid
@@ -40,9 +41,16 @@ def stored(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = shared_dir(spark)
     df.write.parquet(path)
+    release(spark)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession) -> None:
+    """Let Spark's cleaner drop the shuffle files of finished steps now: it does so when their handles are collected."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
@@ -200,6 +208,7 @@ def key_bitmap(keys: DataFrame, col: str, bits: int) -> np.ndarray:
     words = keys.groupBy(F.shiftrightunsigned(slot, 6).alias("word")).agg(
         F.bit_or(F.expr(f"shiftleft(1L, cast(shiftrightunsigned(`{col}`, {64 - bits}) & 63 as int))")).alias("bit"))
     got = words.toArrow()
+    release(keys.sparkSession)
     out = np.zeros(1 << (bits - 6), np.int64)
     out[got["word"].to_numpy()] = got["bit"].to_numpy()
     return out.view(np.uint64)

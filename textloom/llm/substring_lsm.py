@@ -88,6 +88,7 @@ class RunIndex:
         self.made += 1
         table = f"{self.name}_{self.made}"
         df.write.bucketBy(self.buckets, "g").sortBy("g").format("parquet").saveAsTable(table)
+        C.release(self.spark)
         return table
 
     def add(self, prints: DataFrame) -> DataFrame:

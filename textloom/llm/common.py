@@ -7,11 +7,11 @@ told apart by a hash of their text, so equal rows get equal results.
 from __future__ import annotations
 
 import atexit
-import gc
 import shutil
 import tempfile
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -40,15 +40,21 @@ def stored(df: DataFrame) -> DataFrame:
     """Cut the lineage: write to the shared folder and read back. Survives lost executors."""
     spark = df.sparkSession
     path = shared_dir(spark)
-    df.write.parquet(path)
-    release(spark)
+    with tidy(spark):
+        df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def release(spark: SparkSession) -> None:
-    """Let Spark's cleaner drop the shuffle files of finished steps now: it does so when their handles are collected."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+@contextmanager
+def tidy(spark: SparkSession):
+    """Shuffle files of the queries run inside are dropped as soon as each has ended."""
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key, "false")
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
 
 
 def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -207,8 +213,8 @@ def key_bitmap(keys: DataFrame, col: str, bits: int) -> np.ndarray:
     slot = F.shiftrightunsigned(F.col(col), 64 - bits)
     words = keys.groupBy(F.shiftrightunsigned(slot, 6).alias("word")).agg(
         F.bit_or(F.expr(f"shiftleft(1L, cast(shiftrightunsigned(`{col}`, {64 - bits}) & 63 as int))")).alias("bit"))
-    got = words.toArrow()
-    release(keys.sparkSession)
+    with tidy(keys.sparkSession):
+        got = words.toArrow()
     out = np.zeros(1 << (bits - 6), np.int64)
     out[got["word"].to_numpy()] = got["bit"].to_numpy()
     return out.view(np.uint64)

@@ -87,8 +87,8 @@ class RunIndex:
     def _write(self, df: DataFrame) -> str:
         self.made += 1
         table = f"{self.name}_{self.made}"
-        df.write.bucketBy(self.buckets, "g").sortBy("g").format("parquet").saveAsTable(table)
-        C.release(self.spark)
+        with C.tidy(self.spark):
+            df.write.bucketBy(self.buckets, "g").sortBy("g").format("parquet").saveAsTable(table)
         return table
 
     def add(self, prints: DataFrame) -> DataFrame:

@@ -168,14 +168,14 @@ def report(docs: DataFrame, q: float = Q) -> DataFrame:
 
 def redact(docs: DataFrame, mark: str = "[secret]", q: float = Q) -> DataFrame:
     """``docs`` with every span of its texts replaced by ``mark``; other texts stay as they are."""
-    hits = scan(docs, q).where(F.size("spans") > 0).groupBy("doc", "th").agg(F.first("spans").alias("_spans"))
-    own = docs.withColumns({"_doc": F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST_ID)), "_th": F.xxhash64("text")})
+    hits = scan(docs, q).where(F.size("spans") > 0).groupBy(F.col("doc").alias("_hit_doc"), F.col("th").alias("_hit_th")).agg(F.first("spans").alias("_spans"))
+    own = docs.withColumns({"_own_doc": F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST_ID)), "_own_th": F.xxhash64("text")})
     # Overlapping spans merge: what follows a span starts at the largest end so far.
     new = F.expr(f"""aggregate(_spans, named_struct('at', 0, 'out', ''), (a, x) -> named_struct(
         'at', greatest(a.at, x.end),
         'out', if(x.start >= a.at, concat(a.out, substring(text, a.at + 1, x.start - a.at), '{mark}'), a.out)),
         a -> concat(a.out, substring(text, a.at + 1)))""")
-    out = own.join(hits, (own["_doc"] == hits["doc"]) & (own["_th"] == hits["th"]), "left")
+    out = own.join(hits, (F.col("_own_doc") == F.col("_hit_doc")) & (F.col("_own_th") == F.col("_hit_th")), "left")
     out = out.withColumn("text", F.when(F.col("_spans").isNull(), F.col("text")).otherwise(new))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.when(F.col("_spans").isNull(), F.col("n_chars")).otherwise(F.length("text").cast("long")))

@@ -28,7 +28,7 @@ from textloom.llm.common import LAST_ID, arrow, chunks, key_bitmap, keyed, passe
 
 N, SHARE = 3, 85
 BANDS, ROWS = 24, 4
-RING, CHUNK, BLOCK = 1 << 17, 1 << 20, 256
+RING, CHUNK, BLOCK = 1 << 17, 1 << 20, 512
 INSIDE = ~C.SPACE_BYTES
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[ord("A"):ord("Z") + 1] += 32
@@ -101,18 +101,18 @@ def described(docs: DataFrame, n: int = N) -> DataFrame:
 
 
 def buckets(reps: DataFrame) -> DataFrame:
-    """``band, doc``: bucket keys of each representative; buckets of one are dropped before anything is joined."""
+    """``band, doc, nth``: bucket keys of each representative; buckets of one are dropped before anything is joined."""
     def fn(b):
         sig = np.frombuffer(b["sig"].buffers()[2], np.int32)[b["sig"].offset * BANDS * ROWS:][:b.num_rows * BANDS * ROWS].reshape(b.num_rows, -1)
-        yield {"band": band_keys(sig).ravel().view(np.int64), "doc": np.repeat(b["doc"].to_numpy(), BANDS)}
+        yield {"band": band_keys(sig).ravel().view(np.int64), "doc": np.repeat(b["doc"].to_numpy(), BANDS), "nth": np.tile(np.arange(BANDS, dtype=np.int32), b.num_rows)}
 
-    rows = arrow(fn, reps.select("doc", "sig"), "band long, doc long")
+    rows = arrow(fn, reps.select("doc", "sig"), "band long, doc long, nth int")
     full = rows.groupBy("band").agg(F.count("*").alias("c")).where("c > 1")
     return rows.join(full.select("band"), "band", "left_semi")
 
 
 def sets_of(docs: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
-    """``doc, set``: hashes of the representatives' shingles, for marked documents alone."""
+    """``doc, set, low``: hashes of the representatives' shingles and their low halves, for marked documents alone."""
     key = wanted.select(F.xxhash64("doc").alias("key"))
     marks = docs.sparkSession.sparkContext.broadcast(key_bitmap(key, "key", 26))
 
@@ -126,10 +126,11 @@ def sets_of(docs: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
         for i, j in chunks(off, CHUNK):
             r, x = shingles(data[off[i]:off[j]], off[i:j + 1] - off[i], n)
             at = np.r_[0, np.cumsum(np.bincount(r, minlength=j - i))].astype(np.int32)
-            yield {"doc": doc[i:j], "th": th[i:j], "set": pa.ListArray.from_arrays(pa.array(at), pa.array(x.view(np.int64)))}
+            low = pa.Array.from_buffers(pa.binary(), j - i, [None, pa.py_buffer(4 * at), pa.py_buffer(x.astype(np.uint32))])
+            yield {"doc": doc[i:j], "th": th[i:j], "set": pa.ListArray.from_arrays(pa.array(at), pa.array(x.view(np.int64))), "low": low}
 
-    got = arrow(fn, docs.select("doc", "th", "text", F.xxhash64("doc").alias("key")), "doc long, th long, set array<long>")
-    return got.join(wanted, ["doc", "th"], "left_semi").dropDuplicates(["doc", "th"]).select("doc", "set")
+    got = arrow(fn, docs.select("doc", "th", "text", F.xxhash64("doc").alias("key")), "doc long, th long, set array<long>, low binary")
+    return got.join(wanted, ["doc", "th"], "left_semi").dropDuplicates(["doc", "th"]).select("doc", "set", "low")
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame, share: int) -> DataFrame:
@@ -165,7 +166,7 @@ def links(reps: DataFrame, docs: DataFrame, n: int = N, share: int = SHARE, roun
     nodes = stored(band.select("doc").distinct())
     sets = stored(sets_of(docs, info.join(nodes, "doc", "left_semi").select("doc", "th"), n))
     size = info.select("doc", "n")
-    comp, found, tried = nodes.select("doc", F.col("doc").alias("comp")), None, None
+    comp, found = nodes.select("doc", F.col("doc").alias("comp")), None
     for r in range(rounds):
         live = band.join(comp, "doc")
         mixed = live.groupBy("band").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("band")
@@ -174,7 +175,6 @@ def links(reps: DataFrame, docs: DataFrame, n: int = N, share: int = SHARE, roun
         centre = live.groupBy("band").agg(pick).select("band", F.col("c.doc").alias("centre"), F.col("c.comp").alias("cc"))
         pairs = live.join(centre, "band").where("comp <> cc").select(F.least("doc", "centre").alias("a"), F.greatest("doc", "centre").alias("b")).distinct()
         pairs = stored(in_reach(pairs, size, share))
-        tried = pairs if tried is None else tried.unionAll(pairs)
         if not pairs.limit(1).count():
             break
         good = stored(confirmed(pairs, sets, share))
@@ -182,8 +182,7 @@ def links(reps: DataFrame, docs: DataFrame, n: int = N, share: int = SHARE, roun
         comp = components(nodes, found)
     live = band.join(comp, "doc")
     count = live.groupBy("band").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("c")).where("lo < hi").select("band", "c")
-    rest = blocked(live.join(count, "band").join(info.select("doc", "n", "sig"), "doc"), share)
-    rest = stored(rest if tried is None else rest.join(tried, ["a", "b"], "left_anti"))
+    rest = stored(blocked(live.join(count, "band").join(info.select("doc", "n", "sig"), "doc").join(sets.select("doc", "low"), "doc"), share))
     if rest.limit(1).count():
         good = confirmed(rest, sets, share)
         found = stored(good if found is None else found.unionAll(good))
@@ -198,31 +197,53 @@ def in_reach(pairs: DataFrame, size: DataFrame, share: int) -> DataFrame:
 
 
 def blocked(members: DataFrame, share: int) -> DataFrame:
-    """Pairs between components within each bucket whose signatures could reach the threshold.
+    """Pairs between components within each bucket that reach the threshold by the low halves of their hashes.
 
     A bucket of c members has c / BLOCK blocks; each pair of blocks is a group of its own, at most two blocks large.
-    An estimate of 0.22 below the threshold is more than five standard deviations off.
+    A pair is compared once, in the first band that it shares, and only while its members are apart; equal low halves
+    can only raise an intersection, and what is returned is confirmed on the full sets (to hide a link, two 32-bit halves
+    would have to collide in a pair at the very threshold). Signatures
+    spare most comparisons: an estimate of 0.22 below the threshold is six standard deviations off.
     """
     blocks = F.ceil(F.col("c") / BLOCK).cast("int")
     own = F.pmod(F.xxhash64("doc"), blocks).cast("int")
     dealt = members.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    dealt = dealt.select("band", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "doc", "comp", "n", "sig").distinct()
+    dealt = dealt.select("band", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "nth", "own", "doc", "comp", "n", "sig", "low")
 
     def pairs(t: pa.Table) -> pa.Table:
-        i, j, own = t["i"][0].as_py(), t["j"][0].as_py(), t["own"].to_numpy()
+        i, j, nth, own = t["i"][0].as_py(), t["j"][0].as_py(), t["nth"][0].as_py(), t["own"].to_numpy()
         sig = np.frombuffer(b"".join(t["sig"].to_pylist()), np.int32).reshape(len(own), -1)
         doc, comp, n = t["doc"].to_numpy(), t["comp"].to_numpy(), t["n"].to_numpy()
+        sets = [frozenset(np.frombuffer(x, np.uint32).tolist()) for x in t["low"].to_pylist()]
+        up: dict[int, int] = {}
+
+        def root(c: int) -> int:
+            while c in up:
+                c = up[c]
+            return c
+
         left, right = np.flatnonzero(own == i), np.flatnonzero(own == j)
         a, b = [], []
-        for x in left:
+        for x in left.tolist():
             y = right[(comp[right] != comp[x]) & (100 * np.minimum(n[right], n[x]) >= share * np.maximum(n[right], n[x]))]
-            y = y[(sig[y] == sig[x]).mean(axis=1) >= share / 100 - 0.22] if len(y) else y
-            a.append(np.full(len(y), doc[x]))
-            b.append(doc[y])
-        a, b = (np.concatenate(v).astype(np.int64) if v else np.zeros(0, np.int64) for v in (a, b))
+            if i == j:
+                y = y[doc[y] > doc[x]]
+            if not len(y):
+                continue
+            eq = sig[y] == sig[x]
+            y = y[(eq.mean(axis=1) >= share / 100 - 0.22) & ~eq[:, :nth * ROWS].reshape(len(y), nth, ROWS).all(axis=2).any(axis=1)]
+            for z in y.tolist():
+                if (p := root(int(comp[x]))) == (q := root(int(comp[z]))):
+                    continue
+                k = len(sets[x] & sets[z])
+                if 100 * k >= share * (n[x] + n[z] - k):
+                    up[max(p, q)] = min(p, q)
+                    a.append(doc[x])
+                    b.append(doc[z])
+        a, b = np.array(a, np.int64), np.array(b, np.int64)
         return pa.table({"a": np.minimum(a, b), "b": np.maximum(a, b)})
 
-    return dealt.groupBy("band", "i", "j").applyInArrow(pairs, "a long, b long").where("a < b").distinct()
+    return dealt.groupBy("band", "i", "j").applyInArrow(pairs, "a long, b long").distinct()
 
 
 def near_dedup(docs: DataFrame, n: int = N, share: int = SHARE) -> DataFrame:

@@ -161,28 +161,25 @@ def repeats(docs: DataFrame, n: int = N, k: int = K, bits: int = BITS, hot: int
             row, _, _, place, g = _anchors(data[off[i]:off[j]], off[i:j + 1] - off[i], n, k)
             if len(place):
                 place = place[mine[i:j][row[place]]]
-                key = g[place]
-                r = row[place]
-                order = np.lexsort((key, r))  # one row for a key and document
-                key, r = key[order], r[order]
-                yield {"g": key[np.r_[True, (key[1:] != key[:-1]) | (r[1:] != r[:-1])][:len(key)]].view(np.int64)}
+                yield {"g": g[place].view(np.int64)}
 
     seen = stored(arrow(keys, docs, "g long").groupBy("g").agg(F.count("*").alias("n")).where("n > 1"))
     marks = spark.sparkContext.broadcast(key_bitmap(seen, "g", bits))
     busy = seen.where(F.col("n") >= hot)
     heat = spark.sparkContext.broadcast(key_bitmap(busy, "g", 20))
 
-    def strings(b, sure=None):
-        """Runs of strings under marked anchors; with ``sure``, of those anchors alone and with their bytes."""
+    def strings(b, sure=None, place=False):
+        """Snippets under marked anchors: those of a batch, merged; with ``place``, each where it is; with ``sure``, of
+        those anchors alone and with their bytes."""
         data, off = text_buffer(b["text"])
         doc, th = b["doc"].to_numpy(), b["th"].to_numpy()
         mine = passes(firsts.value, row_key(doc, th), bits)
         for i, j in chunks(off, chunk):
             part, po = data[off[i]:off[j]], off[i:j + 1] - off[i]
-            row, first, count, place, g = _anchors(part, po, n, k)
+            row, first, count, gram, g = _anchors(part, po, n, k)
             if not len(first):
                 continue
-            key = g[place]
+            key = g[gram]
             ok = mine[i:j][row[first]] & passes(marks.value, key, bits)
             first, count, key = first[ok], count[ok], key[ok]
             warm = passes(heat.value, key, 20)
@@ -197,28 +194,35 @@ def repeats(docs: DataFrame, n: int = N, k: int = K, bits: int = BITS, hot: int
             if not len(first):
                 continue
             size, r = count + n - 1, row[first]
-            out = {"g": key.view(np.int64), "sk": C.span_hashes(part, first, first + size).view(np.int64), "doc": doc[i:j][r]}
-            if sure is None:
-                yield out | {"th": th[i:j][r], "at": (first - po[r]).astype(np.int32), "n": count.astype(np.int32)}
-            else:
+            own, d = C.span_hashes(part, first, first + size).view(np.int64), doc[i:j][r]
+            if place:
+                yield {"sk": own, "doc": d, "th": th[i:j][r], "at": (first - po[r]).astype(np.int32), "n": count.astype(np.int32)}
+                continue
+            # The content gives the anchor, so equal snippets of the chunk are one row.
+            order = np.lexsort((d, own))
+            new = np.flatnonzero(np.r_[True, own[order[1:]] != own[order[:-1]]])
+            lo, hi = d[order[new]], d[order[np.r_[new[1:], len(order)] - 1]]
+            first, size, key, own = (x[order[new]] for x in (first, size, key, own))
+            out = {"g": key.view(np.int64), "sk": own, "lo": lo, "hi": hi}
+            if sure is not None:
                 ends = np.cumsum(size)
                 take = np.repeat(first - np.r_[0, ends[:-1]], size) + np.arange(ends[-1])
-                yield out | {"snip": pa.Array.from_buffers(pa.binary(), len(first), [None, pa.py_buffer(np.r_[0, ends].astype(np.int32)), pa.py_buffer(part[take])])}
+                out["snip"] = pa.Array.from_buffers(pa.binary(), len(first), [None, pa.py_buffer(np.r_[0, ends].astype(np.int32)), pa.py_buffer(part[take])])
+            yield out
 
-    every = stored(arrow(strings, docs, "g long, sk long, doc long, th long, at int, n int"))
+    span = (F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+    kinds = stored(arrow(strings, docs, "g long, sk long, lo long, hi long").groupBy("g", "sk").agg(*span))
     # Anchors all of whose snippets are equal need no sorting: their strings pair up by place. The others do.
-    kinds = stored(every.groupBy("g", "sk").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi")))
     mixed = kinds.groupBy("g").agg(F.count("*").alias("c"), F.min("lo").alias("lo"), F.max("hi").alias("hi")).where("c > 1 and lo < hi")
     sure = spark.sparkContext.broadcast(key_bitmap(mixed, "g", bits))
 
     def plain(b):
         keep = pa.array(~passes(sure.value, b["g"].to_numpy(), bits))
         b = b.filter(keep)
-        yield {"g": b["g"], "sk": b["sk"], "lo": b["lo"]}
+        yield {"sk": b["sk"], "lo": b["lo"]}
 
-    alone = arrow(plain, kinds.where("lo < hi").select("g", "sk", "lo"), "g long, sk long, lo long")
-    distinct = arrow(lambda b: strings(b, sure), docs, "g long, sk long, doc long, snip binary").groupBy("g", "sk", "snip").agg(
-        F.min("doc").alias("lo"), F.max("doc").alias("hi"))
+    alone = arrow(plain, kinds.where("lo < hi").select("g", "sk", "lo"), "sk long, lo long")
+    distinct = arrow(lambda b: strings(b, sure), docs, "g long, sk long, lo long, hi long, snip binary").repartition("g").groupBy("g", "sk", "snip").agg(*span)
 
     def sort_piece(rows: list[pa.RecordBatch]):
         t = pa.Table.from_batches(rows).combine_chunks()
@@ -228,7 +232,7 @@ def repeats(docs: DataFrame, n: int = N, k: int = K, bits: int = BITS, hot: int
         hi = t["hi"].to_numpy()
         keep = np.maximum.reduceat((best < np.repeat(hi, count)).astype(np.int8), off[:-1]) > 0
         lists = pa.ListArray.from_arrays(pa.array(off), pa.array(best))
-        return pa.RecordBatch.from_arrays([t["g"].combine_chunks(), t["sk"].combine_chunks(), lists], names=["g", "sk", "low"]).filter(pa.array(keep))
+        return pa.RecordBatch.from_arrays([t["sk"].combine_chunks(), lists], names=["sk", "low"]).filter(pa.array(keep))
 
     def sort_task(it):
         """Rows come sorted by g; a piece ends between two values of g."""
@@ -256,10 +260,11 @@ def repeats(docs: DataFrame, n: int = N, k: int = K, bits: int = BITS, hot: int
             yield sort_piece(held)
 
     prepared(spark)
-    dealt = distinct.repartition("g").sortWithinPartitions("g").select("g", "sk", "lo", "hi", "snip")
-    low = dealt.mapInArrow(sort_task, "g long, sk long, low array<long>")
-    known = alone.select("g", "sk", "lo", F.lit(None).cast("array<long>").alias("low")).unionAll(low.select("g", "sk", F.lit(None).cast("long").alias("lo"), "low"))
-    hit = every.join(known, ["g", "sk"]).where("lo is null or lo < doc")
+    dealt = distinct.sortWithinPartitions("g").select("g", "sk", "lo", "hi", "snip")
+    low = dealt.mapInArrow(sort_task, "sk long, low array<long>")
+    known = alone.select("sk", "lo", F.lit(None).cast("array<long>").alias("low")).unionAll(low.select("sk", F.lit(None).cast("long").alias("lo"), "low"))
+    every = arrow(lambda b: strings(b, place=True), docs, "sk long, doc long, th long, at int, n int")
+    hit = every.join(known, "sk").where("lo is null or lo < doc")
     runs = F.expr("if(lo is not null, array(named_struct('at', at, 'n', n)), transform(filter(transform(low, (x, i) -> if(x < doc, at + i, -1)), x -> x >= 0), x -> named_struct('at', x, 'n', 1)))")
     return hit.select("doc", "th", F.explode(runs).alias("r")).select("doc", "th", "r.at", "r.n"), copies.later
 

@@ -38,6 +38,7 @@ ENCODINGS = (
     ("base64url", r"^(?=.*[0-9])(?=.*[a-z])(?=.*[A-Z])[A-Za-z0-9_-]+$", UPPER + LOWER + DIGITS + "-_"),
 )
 ALPHA, Q = 0.001, 0.05
+BROADCAST_SPANS = 500_000
 
 
 def _spans(text: str, pattern: str, kind: int, keep: str = "true", value: int = 0) -> str:
@@ -169,6 +170,9 @@ def report(docs: DataFrame, q: float = Q) -> DataFrame:
 def redact(docs: DataFrame, mark: str = "[secret]", q: float = Q) -> DataFrame:
     """``docs`` with every span of its texts replaced by ``mark``; other texts stay as they are."""
     hits = scan(docs, q).where(F.size("spans") > 0).groupBy(F.col("doc").alias("_hit_doc"), F.col("th").alias("_hit_th")).agg(F.first("spans").alias("_spans"))
+    hits = stored(hits)
+    if (hits.agg(F.sum(F.size("_spans"))).first()[0] or 0) <= BROADCAST_SPANS:  # beyond, texts are shuffled
+        hits = F.broadcast(hits)
     own = docs.withColumns({"_own_doc": F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST_ID)), "_own_th": F.xxhash64("text")})
     # Overlapping spans merge: what follows a span starts at the largest end so far.
     new = F.expr(f"""aggregate(_spans, named_struct('at', 0, 'out', ''), (a, x) -> named_struct(

@@ -106,6 +106,7 @@ def decontaminate(docs: DataFrame, items: DataFrame, n: int = N, k: int = K) ->
 def clean(docs: DataFrame, items: DataFrame, n: int = N, k: int = K) -> DataFrame:
     """``docs`` without the documents in which a window of the benchmark occurs."""
     _, spots, _ = hits(docs, items, n, k)
-    found = spots.select(F.col("doc").alias("_hit_doc"), F.col("th").alias("_hit_th")).distinct()
+    found = stored(spots.select(F.col("doc").alias("_hit_doc"), F.col("th").alias("_hit_th")).distinct())
+    found = _small(found, found.count())  # texts are shuffled only where the documents found are too many to send
     own = docs.withColumns({"_own_doc": F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1)), "_own_th": F.xxhash64("text")})
     return own.join(found, (F.col("_own_doc") == F.col("_hit_doc")) & (F.col("_own_th") == F.col("_hit_th")), "left_anti").select(*docs.columns)

@@ -12,8 +12,9 @@ blocks of bounded size, and those whose estimate could reach the threshold are c
 its pairs unless its members stay apart, and none is capped. Every link is confirmed on the full sets.
 
 Null texts and texts without words have empty sets: they are linked with nothing. Rows that repeat a doc_id count as
-one document with one component. Rows with a null doc_id are taken together as one last document without id
-(component_id null, kept false unless they are alone). Texts of fewer than ``n`` words have one shingle.
+one document with one component. Rows with a null doc_id are documents of their own, one for each text; a component
+is named by its smallest doc_id, and one without any has component_id null and keeps one of its texts. Texts of fewer
+than ``n`` words have one shingle.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from textloom.llm import common as C
-from textloom.llm.common import LAST_ID, arrow, chunks, key_bitmap, keyed, passes, stored, text_buffer
+from textloom.llm.common import LAST_ID, arrow, chunks, key_bitmap, passes, stored, text_buffer
 
 N, SHARE = 3, 85
 BANDS, ROWS = 24, 4
@@ -81,7 +82,7 @@ def band_keys(sig: np.ndarray) -> np.ndarray:
 
 
 def described(docs: DataFrame, n: int = N) -> DataFrame:
-    """``doc, th, n, k1, k2, sig``: size of the set, its 128-bit key, and the signature (binary)."""
+    """``doc, th, n, k1, k2, sig, own``: size of the set, its 128-bit key, the signature (binary) and the doc_id."""
     def fn(b):
         data, off = text_buffer(b["text"])
         doc, th = b["doc"].to_numpy(), b["th"].to_numpy()
@@ -95,9 +96,9 @@ def described(docs: DataFrame, n: int = N) -> DataFrame:
                 c = np.r_[np.uint64(0), np.cumsum(C.mix(x * C._P + np.uint64(salt)))]
                 sums.append(C.mix(c[at[1:]] - c[at[:-1]] + size.astype(np.uint64)).view(np.int64))
             flat = pa.FixedSizeBinaryArray.from_buffers(pa.binary(4 * BANDS * ROWS), j - i, [None, pa.py_buffer(np.ascontiguousarray(sig))])
-            yield {"doc": doc[i:j], "th": th[i:j], "n": size, "k1": sums[0], "k2": sums[1], "sig": flat.cast(pa.binary())}
+            yield {"doc": doc[i:j], "th": th[i:j], "n": size, "k1": sums[0], "k2": sums[1], "sig": flat.cast(pa.binary()), "own": b["own"].slice(i, j - i)}
 
-    return arrow(fn, docs, "doc long, th long, n long, k1 long, k2 long, sig binary")
+    return arrow(fn, docs, "doc long, th long, n long, k1 long, k2 long, sig binary, own long")
 
 
 def buckets(reps: DataFrame) -> DataFrame:
@@ -246,9 +247,34 @@ def blocked(members: DataFrame, share: int) -> DataFrame:
     return dealt.groupBy("band", "i", "j").applyInArrow(pairs, "a long, b long").distinct()
 
 
-def near_dedup(docs: DataFrame, n: int = N, share: int = SHARE) -> DataFrame:
-    """The query's columns, one row per row of ``docs``."""
-    rows, texts = stored(described(keyed(docs), n)), keyed(docs)
+def told_apart(docs: DataFrame, repeated: bool = False) -> tuple[DataFrame, bool]:
+    """``doc, th, text, own`` (doc_id), and whether any ``doc`` is not the doc_id but a number made of the text's hash.
+
+    Rows with a null doc_id, and with ``repeated`` those that share a doc_id, have such numbers, which no doc_id equals.
+    """
+    own, th = F.col("doc_id").cast("long"), F.xxhash64("text")
+    rows = docs.select(own.alias("doc"), th.alias("th"), F.col("text").cast("string").alias("text"), own.alias("own"))
+    ids = docs.select(own.alias("id"))
+    many = stored(ids.where("id is not null").groupBy("id").agg(F.count("*").alias("c")).where("c > 1").select("id")) if repeated else None
+    again = many is not None and bool(many.limit(1).count())
+    if not again and not ids.where("id is null").limit(1).count():
+        return rows, False
+    if again:  # null ids are dealt out by their texts
+        rows = rows.join(many, F.coalesce("doc", "th") == F.col("id"), "left")
+    made = rows.withColumn("made", F.isnull("own") | (F.isnotnull("id") if again else F.lit(False))).drop("id")
+    salt = 0
+    while True:
+        own_number = F.col("th").bitwiseXOR(F.lit(salt).cast("long"))
+        marks = made.where("made").select(own_number.alias("doc")).distinct()
+        if not made.where("not made").select("doc").join(marks, "doc", "left_semi").limit(1).count():
+            return made.withColumn("doc", F.when(F.col("made"), own_number).otherwise(F.col("doc"))).select("doc", "th", "text", "own"), True
+        salt += 1
+
+
+def grouped(docs: DataFrame, n: int, share: int, repeated: bool = False) -> tuple[DataFrame, bool]:
+    """``doc, th, n, own, comp``, one row per row of ``docs``, and whether numbers were made (see ``told_apart``)."""
+    texts, made = told_apart(docs, repeated)
+    rows = stored(described(texts, n))
     full = rows.where("n > 0")
     cls = full.groupBy("k1", "k2", "n").agg(F.min(F.struct("doc", "th")).alias("r"))
     rep = stored(full.join(cls, ["k1", "k2", "n"]).select("doc", "th", F.col("r.doc").alias("rep"), F.col("r.th").alias("rth")))
@@ -262,13 +288,33 @@ def near_dedup(docs: DataFrame, n: int = N, share: int = SHARE) -> DataFrame:
         top = components(own.select(F.col("comp").alias("doc")).distinct(), tie).withColumnsRenamed({"doc": "comp", "comp": "top"})
         own = own.join(top, "comp").select("doc", "th", F.col("top").alias("comp"))
     own = own.distinct()
-    out = rows.select("doc", "th", "n").join(own, ["doc", "th"], "left")
-    real = lambda c: F.when(F.col(c) < LAST_ID, F.col(c))
-    comp = F.coalesce("comp", "doc")
-    return out.withColumn("comp", comp).select(real("doc").alias("doc_id"), F.col("n").alias("n_shingles"), real("comp").alias("component_id"), (F.col("doc") == F.col("comp")).alias("kept"))
+    out = rows.select("doc", "th", "n", "own").join(own, ["doc", "th"], "left")
+    return out.withColumn("comp", F.coalesce("comp", "doc")), made
+
+
+def near_dedup(docs: DataFrame, n: int = N, share: int = SHARE) -> DataFrame:
+    """The query's columns, one row per row of ``docs``."""
+    out, made = grouped(docs, n, share)
+    least, kept = F.col("comp"), F.col("doc") == F.col("comp")
+    if made:  # the component is named by its smallest doc_id
+        out = stored(out)
+        out = out.join(out.groupBy("comp").agg(F.min("own").alias("least")), "comp")
+        least, kept = F.col("least"), F.when(F.isnull("least"), kept).otherwise(F.coalesce(F.col("own") == F.col("least"), F.lit(False)))
+    return out.select(F.col("own").alias("doc_id"), F.col("n").alias("n_shingles"), least.alias("component_id"), kept.alias("kept"))
 
 
 def representatives(docs: DataFrame, n: int = 5, share: int = 80) -> DataFrame:
-    """``docs`` with one document of each group: the one of the smallest doc_id. Rows of no words stay."""
-    kept = near_dedup(docs, n, share).where("kept").select(F.coalesce("doc_id", F.lit(LAST_ID)).alias("_d")).distinct()
-    return docs.join(kept, F.coalesce(docs["doc_id"].cast("long"), F.lit(LAST_ID)) == kept["_d"], "left_semi")
+    """``docs`` with one row of each group of near copies: the one of the smallest doc_id, null ones last. Rows of no words stay.
+
+    Texts alone make the groups: rows that share a doc_id, or have none, are grouped like those of different doc_ids.
+    """
+    out, made = grouped(docs, n, share, repeated=True)
+    if not made:
+        kept = out.where("doc = comp").select(F.col("doc").alias("_d")).distinct()
+        return docs.join(kept, docs["doc_id"].cast("long") == kept["_d"], "left_semi")
+    out = stored(out.select(F.coalesce("own", F.lit(LAST_ID)).alias("_d"), F.col("th").alias("_th"), "n", "comp"))
+    first = out.where("n > 0").groupBy("comp").agg(F.min(F.struct("_d", "_th")).alias("k")).select("k.*")
+    rows = docs.withColumns({"_d": F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST_ID)), "_th": F.xxhash64("text")})
+    one = rows.join(first, ["_d", "_th"], "left_semi").dropDuplicates(["_d", "_th"])
+    bare = rows.join(out.where("n = 0").select("_d", "_th").distinct(), ["_d", "_th"], "left_semi")
+    return one.unionByName(bare).select(*docs.columns)

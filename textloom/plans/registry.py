@@ -144,6 +144,9 @@ ab AS (SELECT *, study_freq / sn AS study_rel_freq, ref_freq / rn AS ref_rel_fre
 ke AS (SELECT *, CASE WHEN a / (a + c) < b / (b + d) THEN -1 ELSE 1 END * 2 * (a * ln(a / ((a + c) * (a + b) / (a + b + c + d))) + b * ln(b / ((b + d) * (a + b) / (a + b + c + d)))) AS ll,
   a * d / (b * c) AS "or", 100 * (a / (a + c) - b / (b + d)) / (b / (b + d)) AS pd FROM ab)"""
 
+# Either comparison holds every token of both corpora, so the outer and the inner merge have the same rows.
+MERGE = f"""WITH {KEY} SELECT token, study_freq AS "abs-freq_d", ref_freq AS "abs-freq_b", round(ll, 6) AS "d-v-b_ll", round(b * c / (a * d), 6) AS "b-v-d_or" FROM ke"""
+
 
 def _jargon_table(s, d):
     return _smoothed(s, d)
@@ -367,8 +370,8 @@ def queries() -> dict:
 
 def _merge(s, d, how):
     st, rf = _freqs(s, d)
-    one = keyness.compare(st, rf, ("ll",)).select("token", "study_freq", "ref_freq", "ll").where("study_freq > 2")
-    two = keyness.compare(rf, st, ("or",)).select("token", "study_freq", "ref_freq", "or").where("study_freq > 1")
+    one = keyness.compare(st, rf, ("ll",)).select("token", "study_freq", "ref_freq", "ll")
+    two = keyness.compare(rf, st, ("or",)).select("token", "study_freq", "ref_freq", "or")
     return keyness.merged({"d-v-b": one, "b-v-d": two}, how)
 
 
@@ -455,6 +458,7 @@ SELECT doc_id, round(avg(d), 6) AS dep_tree_depth FROM (SELECT doc_id, sent_id,
         "corpus_stats": f"WITH {KEY} SELECT sn::BIGINT AS total, sk AS types FROM ts",
         "keyness_full": f'WITH {KEY} SELECT token, study_freq, ref_freq, round(study_rel_freq, 6) AS study_rel_freq, round(ref_rel_freq, 6) AS ref_rel_freq, round(ll, 6) AS ll, round("or", 6) AS "or", round(pd, 6) AS pd FROM ke',
         "keyness_unknown": f"WITH {KEY} SELECT '<unk>' AS token, coalesce(sum(ref_freq), 0)::BIGINT AS ref_freq, 0.1::DOUBLE AS a, round(sum(ref_freq) + 0.1::DOUBLE, 6) AS b, round(max(sn) + 0.1::DOUBLE * max(sk), 6) AS c, round(max(rn) - sum(ref_freq) + 0.1::DOUBLE * max(rk), 6) AS d FROM j, ts, tr WHERE study_freq = 0",
+        "keyness_merge_outer": MERGE, "keyness_merge_inner": MERGE,
         "jargon_density": f"""WITH {KEY}, {DOC_WORDS}, t AS (SELECT doc_id, token, count(*) AS n FROM dw GROUP BY ALL)
 SELECT doc_id, sum(n)::BIGINT AS total_tokens, coalesce(sum(n) FILTER ("or" > 2 AND ref_rel_freq <= 0.1), 0)::BIGINT AS jargon_count, round(100.0 * coalesce(sum(n) FILTER ("or" > 2 AND ref_rel_freq <= 0.1), 0) / sum(n), 4) AS jargon_per_100 FROM t JOIN ke USING (token) GROUP BY doc_id""",
         "jargon_terms": f"""WITH {KEY}, {DOC_WORDS} SELECT doc_id, token, count(*) AS freq_in_text, round(max("or"), 6) AS score FROM dw JOIN ke USING (token) WHERE "or" > 2 AND ref_rel_freq <= 0.1 GROUP BY doc_id, token""",

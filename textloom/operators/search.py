@@ -47,6 +47,33 @@ def bm25(post: DataFrame, queries: DataFrame, k: int | None = None) -> DataFrame
     return out if k is None else out.where(F.col("rn") <= k)
 
 
+def lookup_hits(table: DataFrame, queries: DataFrame, k: int = 5, column: str = "title", columns: tuple[str, ...] = ("title", "text")) -> DataFrame:
+    """``query_id, rowid, rank, rn``: what ``bm25`` gives for phrases sought in one short column.
+
+    ``table``: rowid and the columns; ``queries``: query_id, phrases (array). Equal queries are searched once, and runs
+    of words are joined to whole phrases, so common words make no pairs.
+    """
+    words = lambda c: F.regexp_extract_all(F.lower(c), F.lit(WORD), F.lit(0))
+    dl = sum((F.coalesce(F.greatest(F.size(words(c)), F.lit(0)), F.lit(0)) for c in columns), F.lit(0))
+    rows = table.select("rowid", words(column).alias("w"), dl.alias("dl")).where("dl > 0")
+    stats = rows.agg(F.count("*").alias("n_docs"), F.avg("dl").alias("avgdl"))
+    q = queries.select("query_id", F.filter(F.transform("phrases", words), lambda p: F.size(p) > 0).alias("set"))
+    sets = q.select("set").distinct().select("set", F.explode("set").alias("phrase"))
+    phrases = sets.select("phrase").distinct()
+    sizes = sorted(r["m"] for r in phrases.select(F.size("phrase").alias("m")).distinct().collect())
+    runs = lambda m: F.when(F.size("w") >= m, F.transform(F.sequence(F.lit(1), F.size("w") - m + 1), lambda i: F.slice(F.col("w"), i, m)))
+    none = F.array().cast("array<array<string>>")
+    grams = rows.select("rowid", "dl", F.explode(F.concat(none, *(F.coalesce(runs(m), none) for m in sizes))).alias("phrase"))
+    hit = grams.join(phrases, "phrase", "left_semi").groupBy("phrase", "rowid", "dl").agg(F.count("*").alias("tf"))
+    df = hit.groupBy("phrase").agg(F.count("*").alias("n"))
+    idf = F.greatest(F.ln((F.col("n_docs") - F.col("n") + 0.5) / (F.col("n") + 0.5)), F.lit(1e-6))
+    score = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
+    one = hit.join(df, "phrase").join(F.broadcast(stats)).select("phrase", "rowid", score.alias("score"))  # one row
+    out = sets.join(one, "phrase").groupBy("set", "rowid").agg((-F.sum("score")).alias("rank"))
+    out = out.withColumn("rn", F.row_number().over(Window.partitionBy("set").orderBy("rank", "rowid"))).where(F.col("rn") <= k)
+    return q.join(out, "set").select("query_id", "rowid", "rank", "rn")
+
+
 def metadata_filter(meta: Column, **want) -> Column:
     """Conjunction of equality tests on a JSON column: lists mean any of, strings and numbers equality."""
     test = F.lit(True)

@@ -347,7 +347,7 @@ def queries() -> dict:
         "article_titles": lambda s, d: linkage.article_titles(_views(s, d), ["professional", "amateur", "short"]),
         "site_pairs": lambda s, d: linkage.site_pairs(_views(s, d)),
         "title_expansion": lambda s, d: linkage.title_expand(_titled(s, d).select("title_a", "title_b").distinct(), _nodes(s, d)).select("a", "b").distinct(),
-        "unresolved_titles": lambda s, d: linkage.unresolved(_titled(s, d).select("title_a", "title_b", F.lit("x").alias("label")), _nodes(s, d).where(F.col("node").cast("long") % 3 > 0)).groupBy("side").agg(F.count("*").alias("n")),
+        "unresolved_titles": _unresolved,
         "canonical_edges": lambda s, d: linkage.canonical(_edges(s, d)), "edge_counts": lambda s, d: linkage.canonical(_edges(s, d), True).rollup("judge", "label").agg(F.count("*").alias("n")),
         "partner_tiers": lambda s, d: linkage.partner_tiers(_edges(s, d), _membership(s, d)),
         "rule_judge": lambda s, d: linkage.rule_judge(_titled(s, d)).groupBy("pred").agg(F.count("*").alias("n")),
@@ -387,9 +387,26 @@ def _knn_label(s, d):
     return rounded(search.nearest(q, e.select(F.col("vec_id").alias("rowid"), "embedding", "label"), 3, on=["label"]).drop("rn"))
 
 
+def _title_queries(records: DataFrame) -> DataFrame:
+    """The search for each record's title: any of its parts between commas, without regard to case.
+
+    Accents stay composed, as in the titles that are searched.
+    """
+    return records.select(F.col("rowid").alias("query_id"), T.query_phrases(F.translate(F.lower("title"), '"()', "")).alias("phrases"))
+
+
 def _reverse(s, d):
-    n = _near(s, d)
-    return rounded(search.reverse_checked(n, n.where(F.col("rowid") % 2 == 1).select("rowid", "query_id")))
+    """Vectors are those of the documents of the same number; neighbours' titles are looked up among all documents."""
+    n, rows = _near(s, d).persist(), _titles(s, d).withColumnRenamed("doc_id", "rowid")
+    found = search.lookup_hits(rows, _title_queries(rows.join(n.select("rowid").distinct(), "rowid", "left_semi")))
+    return rounded(search.reverse_checked(n, found.select(F.col("query_id").alias("rowid"), F.col("rowid").alias("query_id"))))
+
+
+def _unresolved(s, d):
+    """Unresolved titles of each side of the pairs; a side without any has a row too."""
+    left = linkage.unresolved(_titled(s, d).select("title_a", "title_b", F.lit("x").alias("label")), _nodes(s, d))
+    sides = s.createDataFrame([("a",), ("b",)], "side string")
+    return sides.join(left.groupBy("side").agg(F.count("*").alias("n")), "side", "left").select("side", F.coalesce("n", F.lit(0)).alias("n"))
 
 
 def _bi(s, d):

@@ -42,3 +42,15 @@ def test_reverse_search_looks_titles_up(spark):
 def test_unresolved_titles_use_every_node(spark):
     got = {r["side"]: r["n"] for r in registry.queries()["unresolved_titles"](spark, DATA).collect()}
     assert got == {"a": 0, "b": 0}  # pairs and nodes are the same documents
+
+
+def test_title_lookup_takes_titles(spark):
+    rows = registry._titles(spark, DATA).withColumnRenamed("doc_id", "rowid")
+    one = registry._title_queries(rows.where("rowid % 20 = 0")).selectExpr("query_id", "posexplode(phrases) as (phrase_id, phrase)").withColumn("col", F.lit("title"))
+    meta = {r["rowid"]: r for r in rows.select("rowid", "source", "language").collect()}
+    want = {}
+    for r in search.bm25(search.postings(rows), one, 5).collect():
+        want.setdefault(r["query_id"], []).append(meta[r["rowid"]])
+    want = {q: (",".join(sorted({r["source"] for r in rs})), ",".join(sorted({r["language"] for r in rs}))) for q, rs in want.items()}
+    got = {r["query_id"]: (r["sources"], r["languages"]) for r in registry.queries()["title_lookup"](spark, DATA).collect()}
+    assert got == want and len(got) > 4

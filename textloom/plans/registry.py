@@ -274,8 +274,9 @@ def _mask(s, d):
 
 
 def _hits(s, d):
-    h = search.bm25(_post(s, d), _phrases(s), 5)
-    return h, _titles(s, d).select(F.col("doc_id").alias("rowid"), "source", "language")
+    """Hits of the titles of every twentieth document among all titles."""
+    rows = _titles(s, d).withColumnRenamed("doc_id", "rowid")
+    return search.lookup_hits(rows, _title_queries(rows.where(F.col("rowid") % 20 == 0))), rows.select("rowid", "source", "language")
 
 
 _PAIR = f"""pr AS (SELECT language, a.source AS source_a, a.id AS id_a, b.source AS source_b, b.id AS id_b, array_to_string(list_sort(list(DISTINCT cluster_id)), ',') AS cluster_ids, max(a.tier) AS max_tier

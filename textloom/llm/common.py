@@ -7,6 +7,7 @@ told apart by a hash of their text, so equal rows get equal results.
 from __future__ import annotations
 
 import atexit
+import re
 import shutil
 import tempfile
 import uuid
@@ -21,15 +22,17 @@ from pyspark.sql.types import StructType
 
 from textloom.session import ship
 
-LAST_ID, ROWS = (1 << 63) - 1, 1500
+LAST_ID, ROWS, BATCH_BYTES = (1 << 63) - 1, 1500, 16 << 20
 SPACE_BYTES = np.zeros(256, bool)
 SPACE_BYTES[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """A fresh folder under ``spark.checkpoint.dir``; only where that is unset, a local one of our own."""
+    """A fresh folder under ``spark.checkpoint.dir``; only where that is unset, and only in a local session, one of our own."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="textloom-")
         atexit.register(shutil.rmtree, base[7:], ignore_errors=True)
         spark.conf.set("spark.checkpoint.dir", base)
@@ -68,6 +71,21 @@ def keyed(docs: DataFrame, *more: str) -> DataFrame:
         F.xxhash64("text").alias("th"), F.col("text").cast("string").alias("text"), *more)
 
 
+def lowest(rows: DataFrame, key: str, n: int) -> DataFrame:
+    """The ``n`` rows of the smallest ``key``, a hash; ties by the other columns. As a stored table.
+
+    Only the rows of a share of the hash's range that should hold 8 times as many are sorted, so no task gathers more
+    than that however many rows there are; where repeats leave fewer than ``n`` in that share, all rows are sorted.
+    """
+    total = rows.count()
+    some = rows
+    if total > 8 * n:
+        top = int(8 * n / total * float(1 << 64)) - (1 << 63)
+        some = rows.where(F.col(key) < F.lit(top))
+    out = stored(some.orderBy(key, *(c for c in rows.columns if c != key)).limit(n))
+    return out if some is rows or out.count() >= n else stored(rows.orderBy(key, *(c for c in rows.columns if c != key)).limit(n))
+
+
 # ---- Arrow text buffers -------------------------------------------------------------------------
 
 def text_buffer(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -220,22 +238,65 @@ def key_bitmap(keys: DataFrame, col: str, bits: int) -> np.ndarray:
     return out.view(np.uint64)
 
 
+def bits_for(keys: int, least: int = 20, most: int = 28) -> int:
+    """Bits of a bitmap with about 16 slots a key, within 128 KB and 32 MB."""
+    return max(least, min(most, (16 * max(1, keys) - 1).bit_length()))
+
+
 def passes(bitmap: np.ndarray, keys: np.ndarray, bits: int) -> np.ndarray:
     slot = keys.view(np.uint64) >> np.uint64(64 - bits)
     return (bitmap[slot >> np.uint64(6)] >> (slot & np.uint64(63)) & np.uint64(1)).astype(bool)
 
 
+def slots(keys: DataFrame, col: str, most: int = 24) -> tuple[DataFrame, int]:
+    """The same as a table ``_word, _bits`` for plans of SQL functions alone, and its number of slots' bits.
+
+    At most ``2**(most - 6)`` rows of two longs, whatever the number of keys, so it may always be broadcast.
+    """
+    bits = bits_for(keys.count(), 12, most)
+    slot = F.shiftrightunsigned(F.xxhash64(F.col(col)), 64 - bits)
+    words = keys.select(slot.alias("_s")).select(F.shiftright("_s", 6).alias("_word"), F.expr("shiftleft(1L, cast(_s & 63 as int))").alias("_bit"))
+    return stored(words.groupBy("_word").agg(F.bit_or("_bit").alias("_bits"))), bits
+
+
+def may_hold(df: DataFrame, col: str, found: tuple[DataFrame, int], name: str = "_may") -> DataFrame:
+    """Adds whether the slot of ``col`` is marked: true for all keys of ``slots``, and for few others by chance."""
+    words, bits = found
+    slot = F.shiftrightunsigned(F.xxhash64(F.col(col)), 64 - bits)
+    out = df.withColumn("_slot", slot).join(F.broadcast(words), F.shiftright("_slot", 6) == F.col("_word"), "left")
+    return out.withColumn(name, F.expr("coalesce(shiftright(_bits, cast(_slot & 63 as int)) & 1L, 0L) = 1L")).drop("_slot", "_word", "_bits")
+
+
+def packed(docs: DataFrame) -> DataFrame:
+    """``doc, th`` as ``keyed`` gives them and ``row``, a struct of all columns, whatever their names."""
+    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST_ID)).alias("doc"), F.xxhash64("text").alias("th"),
+                       F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
+
+
+def parted(rows: DataFrame, found: DataFrame, most: int = 24) -> tuple[DataFrame, DataFrame]:
+    """Rows whose (doc, th) may be among those of ``found``, a stored table, and rows whose are not.
+
+    The first ones are few unless most rows are found: so a join with ``found`` shuffles little else.
+    """
+    key = F.xxhash64("doc", "th").alias("_k")
+    marked = may_hold(rows.withColumn("_k", key), "_k", slots(found.select(key), "_k", most)).drop("_k")
+    return marked.where("_may").drop("_may"), marked.where("not _may").drop("_may")
+
+
 def row_key(doc: np.ndarray, th: np.ndarray) -> np.ndarray:
     """Key of a row from its document and text hash, as ``row_key_col`` gives it."""
     return mix(doc.view(np.uint64) * _P + th.view(np.uint64))
 
 
 def prepared(spark: SparkSession) -> None:
-    """Workers get the package, and record batches of at most ``ROWS`` rows, so that long texts fit in their memory."""
+    """Workers get the package, and record batches of at most ``ROWS`` rows and about ``BATCH_BYTES`` bytes.
+
+    A single longer text still makes a batch of its own. Smaller limits that the session has already are kept.
+    """
     ship(spark)
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if int(spark.conf.get(key)) > ROWS:
-        spark.conf.set(key, str(ROWS))
+    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", ROWS), ("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)):
+        if not 0 < int(re.sub(r"\D", "", spark.conf.get(key)) or 0) <= most:
+            spark.conf.set(key, str(most))
 
 
 def arrow(fn, df: DataFrame, schema: str) -> DataFrame:

@@ -1,24 +1,31 @@
 """Language ID: a bidirectional gated recurrent network over bytes, in numpy.
 
-Texts are cut into segments of ``SEG`` bytes that start from a zero state, so any length is read whole in bounded
-memory. A forward and a backward GRU read each segment, every byte gets a probability of each language, and a document
-gets the mean over its bytes. Training is backpropagation through time with Adam on a bounded sample: slices of
-``SLICE`` characters, at a place given by a hash, of at most ``SAMPLE`` labelled documents, those of the smallest
-hashes of doc_id; held-out documents are never among them. Only text and lang are learned from.
-
-Null texts and texts without a letter are ``und`` with score 0; so is everything where nothing can be learned. A null
-doc_id counts as the empty string for the hold-out rule. Rows are judged one by one: repeated rows are kept.
+A forward and a backward GRU read a text, every byte gets a probability of each language, and a document gets the mean
+over its bytes. Texts are read whole, in segments of ``SEG`` bytes that advance together; each direction first reads the
+``LEAD`` bytes that lie before a segment (after it, for the backward one), so that states at its bytes know their
+surroundings and memory is bounded at any length.
+
+Training is backpropagation through time with Adam, on windows of ``FIT_SEG`` bytes at uniform places of the whole
+texts of at most ``SAMPLE`` labelled documents, those of the smallest hashes of doc_id (ties: of the smallest hash of the
+text); held-out documents are never among them. Workers draw ``DRAWS`` windows of each sampled text, so what reaches the
+driver is bounded by the sample, however long the texts are. Only text and lang are learned from.
+
+Null texts and texts without a letter are ``und`` with score 0; so is everything where nothing can be learned, as from
+an empty table. A null doc_id counts as the empty string for the hold-out rule. Rows are judged one by one: repeated rows
+are kept and get equal results, columns of other names are ignored (``accepted`` returns all columns as they are).
+Languages that tie are won by the first in code-point order.
 """
 
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from textloom.llm.common import arrow, text_buffer
+from textloom.llm.common import arrow, chunks, lowest, prepared, stored, text_buffer
 
-HIDDEN, SEG, BATCH, SAMPLE, SLICE, STEPS, FIT_SEG, FIT_BATCH, RATE = 8, 128, 1024, 3000, 1500, 250, 64, 160, 0.03
+HIDDEN, SEG, LEAD, BATCH, SAMPLE, DRAWS, STEPS, FIT_SEG, FIT_BATCH, RATE = 8, 160, 32, 1024, 3000, 12, 250, 64, 160, 0.03
 
 
 def held_out(doc_id: str = "doc_id") -> Column:
@@ -59,18 +66,20 @@ class BiGRU:
             out[t] = s
         return out, kept
 
-    def position_probs(self, x: np.ndarray) -> np.ndarray:
-        """Probability of each language at each byte: (time, language, segment). The batch is the last axis: rows of
-        gates are then contiguous, which numpy runs several times faster."""
+    def position_probs(self, x: np.ndarray, lead: int = 0) -> np.ndarray:
+        """Probability of each language at each byte but the first and last ``lead``: (time, language, segment).
+
+        The batch is the last axis: rows of gates are then contiguous, which numpy runs several times faster.
+        """
         h, o = self.h, np.ascontiguousarray(self.p["o"].T)
         T, B = x.shape
-        y = np.empty((T, len(self.labels), B), np.float32)
+        y = np.empty((T - 2 * lead, len(self.labels), B), np.float32)
         for side in "fb":
             e, u = self._halved(side)
             u, w = np.ascontiguousarray(u.T), np.ascontiguousarray(o[:, :h] if side == "f" else o[:, h:])
             s, a, b = np.zeros((h, B), np.float32), np.empty((3 * h, B), np.float32), np.empty((3 * h, B), np.float32)
             d = np.empty((h, B), np.float32)
-            for t in range(T) if side == "f" else range(T - 1, -1, -1):
+            for t in range(T - lead) if side == "f" else range(T - 1, lead - 1, -1):
                 a[:] = e.take(x[t], axis=0).T
                 np.matmul(u, s, out=b)
                 z, r, n, bn = a[:h], a[h:2 * h], a[2 * h:], b[2 * h:]
@@ -85,10 +94,12 @@ class BiGRU:
                 np.subtract(s, n, out=d)
                 d *= z
                 np.add(n, d, out=s)
+                if not lead <= t < T - lead:
+                    continue
                 if side == "f":
-                    np.matmul(w, s, out=y[t])
+                    np.matmul(w, s, out=y[t - lead])
                 else:
-                    y[t] += w @ s
+                    y[t - lead] += w @ s
         y += self.p["c"][:, None]
         y -= y.max(axis=1, keepdims=True)
         np.exp(y, out=y)
@@ -102,17 +113,17 @@ class BiGRU:
         segs = -(-size // SEG)
         row = np.repeat(np.arange(n), segs)
         first = off[row] + SEG * (np.arange(len(row)) - np.repeat(np.cumsum(segs) - segs, segs))
-        last = np.minimum(first + SEG, off[row + 1]) if len(row) else first
         total = np.zeros((n, len(self.labels)))
-        padded = np.append(data, np.zeros(SEG, np.uint8))
+        padded = np.concatenate([np.zeros(LEAD, np.uint8), data, np.zeros(SEG + LEAD, np.uint8)])
+        place = np.arange(SEG + 2 * LEAD)[:, None]
         for i in range(0, len(row), BATCH):
-            f, m = first[i:i + BATCH], (last - first)[i:i + BATCH]
-            x = padded[f[None, :] + np.arange(SEG)[:, None]].astype(np.int64)
-            inside = np.arange(SEG)[:, None] < m[None, :]
-            x[~inside] = 256
-            y = self.position_probs(x)
-            y *= inside[:, None, :]
-            np.add.at(total, row[i:i + BATCH], y.sum(axis=0).T)
+            f, r = first[i:i + BATCH], row[i:i + BATCH]
+            x = padded[f[None, :] + place].astype(np.int64)  # place 0 is LEAD bytes before the segment
+            at = f[None, :] + place - LEAD
+            x[(at < off[r]) | (at >= off[r + 1])] = 256
+            y = self.position_probs(x, LEAD)
+            y *= (f[None, :] + place[:SEG] < off[r + 1])[:, None, :]
+            np.add.at(total, r, y.sum(axis=0).T)
         return total / np.maximum(size, 1)[:, None]
 
     def gradients(self, x: np.ndarray, inside: np.ndarray, target: np.ndarray) -> tuple[float, dict]:
@@ -154,22 +165,17 @@ class BiGRU:
             rows[256] = 0
         return loss, g
 
-    def fit(self, texts: list[bytes], target: np.ndarray, steps: int = STEPS, seed: int = 5) -> "BiGRU":
-        """Adam with a falling rate; each language is drawn equally often."""
+    def fit(self, windows: np.ndarray, target: np.ndarray, steps: int = STEPS, seed: int = 5) -> "BiGRU":
+        """Adam with a falling rate on rows of ``windows`` (256: padding); each language is drawn equally often."""
         r = np.random.default_rng(seed)
         m, v = ({k: np.zeros_like(x) for k, x in self.p.items()} for _ in range(2))
         by = [np.flatnonzero(target == c) for c in range(len(self.labels))]
         for step in range(1, steps + 1):
             lang = r.integers(0, len(self.labels), FIT_BATCH)
-            docs = [int(r.choice(by[c])) for c in lang]
-            x = np.full((FIT_SEG, FIT_BATCH), 256, np.int64)
-            for j, d in enumerate(docs):
-                t = texts[d]
-                a = int(r.integers(0, max(1, len(t) - FIT_SEG + 1)))
-                part = np.frombuffer(t[a:a + FIT_SEG], np.uint8)
-                x[:len(part), j] = part
+            picked = np.array([r.choice(by[c]) for c in lang])
+            x = np.ascontiguousarray(windows[picked].T)
             inside = (x != 256).astype(np.float32)
-            _, g = self.gradients(x, inside, target[docs])
+            _, g = self.gradients(x, inside, target[picked])
             rate = RATE * (1 - step / (steps + 1))
             for k, w in self.p.items():
                 m[k] += 0.1 * (g[k] - m[k])
@@ -178,18 +184,52 @@ class BiGRU:
         return self
 
 
+def _drawn(b: pa.RecordBatch):
+    """``DRAWS`` windows of each text, at places drawn by its key; a text that fits into one window gives one."""
+    data, off = text_buffer(b["text"])
+    key = b["key"].to_numpy().view(np.uint64)
+    out, lang, own = [], [], []
+    for i in range(b.num_rows):
+        t = data[off[i]:off[i + 1]]
+        room = len(t) - FIT_SEG
+        at = np.random.default_rng(int(key[i])).integers(0, room + 1, DRAWS) if room > 0 else [0]
+        for a in at:
+            out.append(t[a:a + FIT_SEG].tobytes())
+        lang += [b["lang"][i].as_py()] * len(at)
+        own += [int(key[i].view(np.int64))] * len(at)
+    yield {"key": own, "lang": lang, "window": out}
+
+
 def learn(docs: DataFrame, sample: int = SAMPLE, steps: int = STEPS) -> BiGRU | None:
-    """A network fitted on at most ``sample`` slices; None if there is nothing to learn from."""
-    key = F.xxhash64(F.col("doc_id").cast("string"), F.lit(3))
+    """A network fitted on windows of at most ``sample`` texts; None if there is nothing to learn from.
+
+    The keys of the sample are chosen without texts and broadcast (at most ``sample`` rows of two longs); a worker
+    sends windows of the texts that they name. Equal keys are equal rows but for their other columns.
+    """
     rows = docs.where(~held_out() & F.col("lang").isNotNull() & (F.length(F.trim("text")) > 0)).select(
-        key.alias("key"), F.col("lang").cast("string").alias("lang"),
-        F.expr(f"substring(text, 1 + cast(pmod(xxhash64(cast(doc_id as string)), greatest(1, length(text) - {SLICE})) as int), {SLICE})").alias("text"))
-    got = [(r["lang"], r["text"].encode("utf-8", "surrogatepass")) for r in rows.orderBy("key", "lang", "text").limit(sample).collect()]
-    labels = sorted({x for x, _ in got})
+        F.xxhash64(F.col("doc_id").cast("string"), F.lit(3)).alias("key"), F.xxhash64("text").alias("th"),
+        F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
+    keys = lowest(rows.select("key", "th").distinct(), "key", sample)
+    picked = rows.join(F.broadcast(keys), ["key", "th"]).select("key", "lang", "text")
+    drawn = stored(arrow(_drawn, picked, "key long, lang string, window binary").distinct())
+    got = drawn.orderBy("key", "lang", "window").limit(sample * DRAWS).toArrow()
+    labels = sorted(set(got["lang"].to_pylist()))
     if not labels:
         return None
-    net = BiGRU(labels)
-    return net.fit([t for _, t in got], np.array([labels.index(x) for x, _ in got]), steps if len(labels) > 1 else 0)
+    windows = np.full((len(got), FIT_SEG), 256, np.int64)
+    for j, t in enumerate(got["window"].to_pylist()):
+        windows[j, :len(t)] = np.frombuffer(t, np.uint8)
+    target = np.array([labels.index(x) for x in got["lang"].to_pylist()])
+    return BiGRU(labels).fit(windows, target, steps if len(labels) > 1 else 0)
+
+
+def _probabilities(net: BiGRU, texts: pa.Array) -> np.ndarray:
+    """Of each text, about 1 MB of texts at once."""
+    data, off = text_buffer(texts)
+    out = np.zeros((len(texts), len(net.labels)))
+    for i, j in chunks(off, 1 << 20):
+        out[i:j] = net.documents(data[off[i]:off[j]], off[i:j + 1] - off[i])
+    return out
 
 
 def identify(docs: DataFrame, net: BiGRU | None = None) -> DataFrame:
@@ -203,41 +243,30 @@ def identify(docs: DataFrame, net: BiGRU | None = None) -> DataFrame:
 
     def fn(b):
         net = shared.value
-        data, off = text_buffer(b["text"])
         letter = b["letter"].to_numpy(zero_copy_only=False)
-        probs = np.zeros((b.num_rows, len(net.labels)))
-        i = 0
-        while i < b.num_rows:  # about 1 MB of text at once
-            j = max(i + 1, int(np.searchsorted(off, off[i] + (1 << 20), "right")) - 1)
-            probs[i:j] = net.documents(data[off[i]:off[j]], off[i:j + 1] - off[i])
-            i = j
-        best = probs.argmax(axis=1)
-        yield {"doc_id": b["doc_id"], "held_out": b["held_out"], "lang_pred": [net.labels[c] if ok else "und" for c, ok in zip(best, letter)],
+        probs = _probabilities(net, b["text"])
+        yield {"doc_id": b["doc_id"], "held_out": b["held_out"], "lang_pred": [net.labels[c] if ok else "und" for c, ok in zip(probs.argmax(axis=1), letter)],
                "score": np.where(letter, np.clip(probs.max(axis=1), 0, 1), 0.0)}
 
     return arrow(fn, rows, "doc_id long, held_out boolean, lang_pred string, score double")
 
 
 def accepted(docs: DataFrame, least: float = 0.4) -> DataFrame:
-    """``docs`` without documents of no known language: no letters, or no language with a mean of ``least``."""
+    """``docs``, all columns as they are, without documents of no known language: no letters (null and empty texts among
+    them), or no language with a mean probability of ``least``. An empty table, or one without languages to learn, gives
+    no rows; repeated rows stay or go together."""
     net = learn(docs)
     if net is None:
         return docs.where(F.lit(False))
-    shared = docs.sparkSession.sparkContext.broadcast(net)
+    spark = docs.sparkSession
+    prepared(spark)
+    shared = spark.sparkContext.broadcast(net)
+    place = docs.columns.index("text")
 
     def run(it):
-        import pyarrow as pa
         for b in it:
-            data, off = text_buffer(b["text"])
-            top = np.zeros(b.num_rows)
-            i = 0
-            while i < b.num_rows:
-                j = max(i + 1, int(np.searchsorted(off, off[i] + (1 << 20), "right")) - 1)
-                top[i:j] = shared.value.documents(data[off[i]:off[j]], off[i:j + 1] - off[i]).max(axis=1)
-                i = j
-            keep = pa.array(top >= least)
             if b.num_rows:
-                yield b.filter(keep)
+                yield b.filter(pa.array(_probabilities(shared.value, b.column(place)).max(axis=1) >= least))
 
     some = docs.where(F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)))
     return some.mapInArrow(run, some.schema)

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from textloom.llm import common as C
-from textloom.llm.common import arrow, chunks, text_buffer
+from textloom.llm.common import arrow, chunks, lowest, stored, text_buffer
 from textloom.llm.langid_gru import held_out
 
 SAMPLE, BINS, COARSE, ROUNDS, PAIRS, PAIR_ROUNDS, RATE, CUT = 20_000, 32, 8, 120, 8, 60, 0.1, 0.7
@@ -73,7 +73,6 @@ def features(data: np.ndarray, off: np.ndarray) -> np.ndarray:
 
 def _tree(g: np.ndarray, h: np.ndarray, levels: int = 2) -> tuple[np.ndarray, float]:
     """Values over bins of a tree of so many levels, and its gain."""
-    total = lambda a: a.sum() ** 2
     def split(a: int, b: int, level: int):
         G, H = g[a:b].sum(), h[a:b].sum()
         leaf = (np.full(b - a, -G / (H + 1.0)), G * G / (H + 1.0))
@@ -86,7 +85,6 @@ def _tree(g: np.ndarray, h: np.ndarray, levels: int = 2) -> tuple[np.ndarray, fl
             return leaf
         (x, gx), (y, gy) = split(a, a + i + 1, level - 1), split(a + i + 1, b, level - 1)
         return np.concatenate([x, y]), gx + gy
-    del total
     return split(0, len(g), levels)
 
 
@@ -163,15 +161,17 @@ def _vectors(b):
 def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Gam | None:
     """The labels of the sample are at most ``sample`` rows, so they are broadcast; the texts stay where they are."""
     label = (labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull() & ~held_out()).groupBy(F.col("doc_id").cast("long").alias("doc_id"))
-             .agg(F.min("quality").cast("double").alias("y")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample))
+             .agg(F.min("quality").cast("double").alias("y")).select(F.xxhash64("doc_id").alias("key"), "doc_id", "y"))
+    label = lowest(label, "key", sample)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(label), "doc_id")
-    schema = "y double, " + ", ".join(f"{f} double" for f in FEATURES)
+    schema = "key long, y double, " + ", ".join(f"{f} double" for f in FEATURES)
 
     def fn(b):
         x = _vectors(b)
-        yield {"y": b["y"], **{f: x[:, i] for i, f in enumerate(FEATURES)}}
+        yield {"key": b["key"], "y": b["y"], **{f: x[:, i] for i, f in enumerate(FEATURES)}}
 
-    got = arrow(fn, rows, schema).toPandas()
+    # Rows that repeat a doc_id of the sample may exceed it: distinct ones, the smallest keys first, are taken.
+    got = stored(arrow(fn, rows, schema).distinct()).orderBy("key", *FEATURES).limit(sample).drop("key").toPandas()
     got = got.sort_values(list(got.columns), kind="stable")  # the fit does not depend on the order of tasks
     if not len(got):
         return None

@@ -79,14 +79,16 @@ s3 AS (SELECT *, (sum(ss) OVER () - coalesce(sum(cap) OVER (ORDER BY cap / w::DO
 s4 AS (SELECT *, cap * rw <= w * rest AS filled FROM s3),
 lv AS (SELECT arg_min(rest, cap / w::DOUBLE) AS lr, arg_min(rw, cap / w::DOUBLE) AS lw FROM s4 WHERE NOT filled),
 t AS (SELECT source, pos, ss, CASE WHEN filled THEN cap::DOUBLE ELSE (w * lr)::DOUBLE / lw END AS target FROM s4, lv),
-k AS (SELECT greatest(16, least(1024, sum(ss) // greatest(1, count(*) * 1024)))::BIGINT AS words, sum(ss)::BIGINT AS total FROM t),
-cu AS (SELECT pos, sum(target) OVER (ORDER BY pos) AS upto, pos = max(pos) OVER () AS last FROM t WHERE target > 0),
+k AS (SELECT greatest(16, least(1024, sum(ss) // greatest(1, count(*) * 1024)))::BIGINT AS words FROM t),
+bl AS (SELECT t.*, greatest(1, least(words, floor(target / 64)::BIGINT))::BIGINT AS words FROM t, k),
+du AS (SELECT *, target / words AS due FROM bl),
+cu AS (SELECT pos, sum(due) OVER (ORDER BY pos) AS upto, pos = max(pos) OVER () AS last FROM du WHERE target > 0),
 iv AS (SELECT pos, coalesce(lag(upto) OVER (ORDER BY pos), 0) / max(upto) OVER () AS lo, upto / max(upto) OVER () AS hi, last FROM cu),
-pt AS (SELECT i * 0.6180339887498949::DOUBLE - floor(i * 0.6180339887498949::DOUBLE) AS x FROM (SELECT unnest(range(0, (total + words - 1) // words)) AS i FROM k)),
+pt AS (SELECT i * 0.6180339887498949::DOUBLE - floor(i * 0.6180339887498949::DOUBLE) AS x FROM (SELECT unnest(range(0, sum(ceil(due))::BIGINT)) AS i FROM du)),
 n AS (SELECT pos, count(*) AS slots FROM pt JOIN iv ON x >= lo AND (x < hi OR last) GROUP BY pos),
 o AS (SELECT d.*, ss, target, coalesce(slots, 0) * words AS got,
       coalesce(sum(size) OVER (PARTITION BY d.source ORDER BY h, doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start
-      FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source LEFT JOIN n ON n.pos = t.pos, k)
+      FROM d JOIN du ON d.source IS NOT DISTINCT FROM du.source LEFT JOIN n ON n.pos = du.pos)
 SELECT doc_id, size, source, ss AS source_size, target,
        (least(size, greatest(0, got - start)) + least(size, greatest(0, got - ss - start)) + least(size, greatest(0, got - 2 * ss - start)))::BIGINT AS taken FROM o"""
 

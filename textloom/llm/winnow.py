@@ -6,23 +6,28 @@ document has the same smallest hash there, so every occurrence is found: trainin
 of the windows, and where they meet, the words themselves are compared. Windows shorter than ``n`` are fingerprinted
 whole, once for each length that occurs.
 
-The benchmark side is broadcast only after its rows have been counted; beyond the bound the joins are shuffled.
-Null texts and texts without words have no windows and are never hit. Repeated rows get equal results, rows with a
-null doc_id are judged like others, a null item_id counts for hits but is not listed.
+Nothing is broadcast but tables of marked slots (``common.slots``), whose size is bounded whatever the benchmark's:
+they keep fingerprints, windows and documents that cannot meet out of the shuffles, and the joins behind them are exact.
+
+Null texts and texts without words have no windows and are never hit; nor is anything where the benchmark is empty. An
+empty table gives no rows. Repeated rows get equal results, rows with a null doc_id are judged like others, a null
+item_id counts for hits but is not listed. Texts of any length are read whole: the words and windows of one text are
+the largest group. Columns beyond doc_id and text are ignored, and ``clean`` returns them as they are.
 """
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from textloom.llm.common import keyed, stored
+from textloom.llm.common import keyed, may_hold, packed, parted, slots, stored
 
 # Fixed values of the contract.
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 N, K = 10, 5
-BROADCAST_ROWS = 500_000
 
 
 def words(text: str = "text") -> Column:
@@ -52,38 +57,33 @@ def windows(items: DataFrame, n: int = N) -> DataFrame:
     return df.select("item_id", "m", F.explode(F.expr("array_distinct(transform(sequence(0, size(w) - m), i -> array_join(slice(w, i + 1, m), ' ')))")).alias("win"))
 
 
-def _small(df: DataFrame, rows: int) -> DataFrame:
-    return F.broadcast(df) if rows <= BROADCAST_ROWS else df
+def _met(rows: DataFrame, prints: DataFrame) -> DataFrame:
+    """Rows whose ``fp`` is among the fingerprints of the benchmark."""
+    return may_hold(rows, "fp", slots(prints, "fp")).where("_may").drop("_may").join(prints, "fp", "left_semi")
 
 
-def hits(docs: DataFrame, items: DataFrame, n: int = N, k: int = K) -> tuple[DataFrame, DataFrame]:
-    """Base table (``doc, th, doc_id, n_words``) and ``doc, th, at, m, win``: where windows start in documents."""
+def hits(docs: DataFrame, items: DataFrame, n: int = N, k: int = K) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Base table (``doc, th, doc_id, n_words``); ``doc, th, at, m, win``: where windows start in documents; the windows."""
     win = stored(windows(items, n))
     texts = win.select("m", "win").distinct()
     lengths = sorted(r["m"] for r in texts.select("m").distinct().collect())  # at most n
-    short = [m for m in lengths if m < n]
-    prints = texts.select(F.split("win", " ").alias("w"), "m").withColumn("g", F.expr(_grams(k))).select(F.explode(F.expr(
-        f"if(m = {n}, {_least(n, k)}, array(xxhash64(m, array_join(w, ' '))))")).alias("fp")).distinct()
-    n_prints = prints.count()
+    prints = stored(texts.select(F.split("win", " ").alias("w"), "m").withColumn("g", F.expr(_grams(k))).select(F.explode(F.expr(
+        f"if(m = {n}, {_least(n, k)}, array(xxhash64(m, array_join(w, ' '))))")).alias("fp")).distinct())
     marks = {"_g": F.expr(_grams(k))} if n in lengths else {}
-    lists = [_least(n, k).replace("g[", "_g[")] if n in lengths else []
-    lists += [_whole(m) for m in short]
-    every = f"array_distinct(concat({', '.join(lists)}))" if lists else "cast(array() as array<long>)"
+    lists = {m: _least(n, k).replace("g[", "_g[") if m == n else _whole(m) for m in lengths}
+    every = f"array_distinct(concat({', '.join(lists.values())}))" if lists else "cast(array() as array<long>)"
     base = stored(keyed(docs, "doc_id").withColumn("w", words()).withColumns({"n_words": F.size("w").cast("long"), **marks})
                   .select("doc", "th", "doc_id", "n_words", F.expr(every).alias("fps")))
-    met = stored(base.select("doc", "th", F.explode("fps").alias("fp")).join(_small(prints, n_prints), "fp")
-                 .groupBy("doc", "th").agg(F.collect_set("fp").alias("met")))
-    # Second reading: only documents that met a fingerprint, only windows whose fingerprint was met.
-    again = keyed(docs).join(_small(met, met.count()), ["doc", "th"]).withColumn("w", words()).withColumns(marks)
-    starts = []
-    for m in lengths:
-        fp = _least(n, k).replace("g[", "_g[") if m == n else _whole(m)
-        starts.append(f"transform(filter(transform({fp}, (f, i) -> if(array_contains(met, f), i, -1)), i -> i >= 0), "
-                      f"i -> named_struct('at', i, 'm', {m}, 'win', array_join(slice(w, i + 1, {m}), ' ')))")
-    at = F.expr(f"concat({', '.join(starts)})") if starts else F.expr("cast(array() as array<struct<at:int,m:int,win:string>>)")
-    spots = again.select("doc", "th", F.explode(at).alias("s")).select("doc", "th", "s.*").distinct()
-    n_texts = texts.count()
-    return base, stored(spots.join(_small(texts, n_texts), ["m", "win"], "left_semi").select("doc", "th", "at", "m", "win")), win
+    found = stored(_met(base.select("doc", "th", F.explode("fps").alias("fp")), prints).select("doc", "th").distinct())
+    # Second reading: only documents that met a fingerprint, and of those only the places where they did.
+    own = stored(parted(keyed(docs), found)[0].join(found, ["doc", "th"], "left_semi").withColumn("w", words()).select("doc", "th", "w").distinct())
+    places = [own.withColumns(marks).select("doc", "th", F.lit(m).alias("m"), F.posexplode(F.expr(fp)).alias("at", "fp")) for m, fp in lists.items()]
+    if not places:
+        places = [own.select("doc", "th", F.lit(n).alias("m"), F.posexplode(F.expr("cast(array() as array<long>)")).alias("at", "fp"))]
+    where = _met(functools.reduce(DataFrame.unionAll, places), prints).groupBy("doc", "th").agg(F.collect_set(F.struct("at", "m")).alias("met"))
+    spots = own.join(where, ["doc", "th"]).select("doc", "th", F.explode(F.expr(
+        "transform(met, x -> named_struct('at', x.at, 'm', x.m, 'win', array_join(slice(w, x.at + 1, x.m), ' ')))")).alias("s")).select("doc", "th", "s.*")
+    return base, stored(spots.join(texts, ["m", "win"], "left_semi").select("doc", "th", "at", "m", "win")), win
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, n: int = N, k: int = K) -> DataFrame:
@@ -104,9 +104,11 @@ def decontaminate(docs: DataFrame, items: DataFrame, n: int = N, k: int = K) ->
 
 
 def clean(docs: DataFrame, items: DataFrame, n: int = N, k: int = K) -> DataFrame:
-    """``docs`` without the documents in which a window of the benchmark occurs."""
+    """``docs``, all columns as they are, without the documents in which a window of the benchmark occurs.
+
+    Repeated rows stay or go together. Only texts that may be among those found are shuffled.
+    """
     _, spots, _ = hits(docs, items, n, k)
-    found = stored(spots.select(F.col("doc").alias("_hit_doc"), F.col("th").alias("_hit_th")).distinct())
-    found = _small(found, found.count())  # texts are shuffled only where the documents found are too many to send
-    own = docs.withColumns({"_own_doc": F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1)), "_own_th": F.xxhash64("text")})
-    return own.join(found, (F.col("_own_doc") == F.col("_hit_doc")) & (F.col("_own_th") == F.col("_hit_th")), "left_anti").select(*docs.columns)
+    found = stored(spots.select("doc", "th").distinct())
+    some, rest = parted(packed(docs), found)
+    return some.join(found, ["doc", "th"], "left_anti").select("row.*").unionAll(rest.select("row.*"))

@@ -14,7 +14,9 @@ its pairs unless its members stay apart, and none is capped. Every link is confi
 Null texts and texts without words have empty sets: they are linked with nothing. Rows that repeat a doc_id count as
 one document with one component. Rows with a null doc_id are documents of their own, one for each text; a component
 is named by its smallest doc_id, and one without any has component_id null and keeps one of its texts. Texts of fewer
-than ``n`` words have one shingle.
+than ``n`` words have one shingle; very long texts are read whole, and one text's set is the largest value of a row. Of
+equal texts the one of the smallest doc_id stands for all. An empty table gives no rows; columns beyond doc_id and text
+are ignored.
 """
 
 from __future__ import annotations
@@ -25,11 +27,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from textloom.llm import common as C
-from textloom.llm.common import LAST_ID, arrow, chunks, key_bitmap, passes, stored, text_buffer
+from textloom.llm.common import LAST_ID, arrow, bits_for, chunks, key_bitmap, packed, parted, passes, stored, text_buffer
 
 N, SHARE = 3, 85
 BANDS, ROWS = 24, 4
-RING, CHUNK, BLOCK = 1 << 17, 1 << 20, 512
+RING, CHUNK, BLOCK, LEAST = 1 << 17, 1 << 20, 512, 0.5
 INSIDE = ~C.SPACE_BYTES
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[ord("A"):ord("Z") + 1] += 32
@@ -113,12 +115,13 @@ def buckets(reps: DataFrame) -> DataFrame:
 
 
 def sets_of(docs: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
-    """``doc, set, low``: hashes of the representatives' shingles and their low halves, for marked documents alone."""
+    """``doc, set``: hashes of the representatives' shingles, for marked documents alone. ``wanted`` is a stored table."""
     key = wanted.select(F.xxhash64("doc").alias("key"))
-    marks = docs.sparkSession.sparkContext.broadcast(key_bitmap(key, "key", 26))
+    bits = bits_for(wanted.count())
+    marks = docs.sparkSession.sparkContext.broadcast(key_bitmap(key, "key", bits))
 
     def fn(b):
-        keep = passes(marks.value, b["key"].to_numpy(), 26)
+        keep = passes(marks.value, b["key"].to_numpy(), bits)
         b = b.filter(pa.array(keep))
         if not b.num_rows:
             return
@@ -127,11 +130,12 @@ def sets_of(docs: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
         for i, j in chunks(off, CHUNK):
             r, x = shingles(data[off[i]:off[j]], off[i:j + 1] - off[i], n)
             at = np.r_[0, np.cumsum(np.bincount(r, minlength=j - i))].astype(np.int32)
-            low = pa.Array.from_buffers(pa.binary(), j - i, [None, pa.py_buffer(4 * at), pa.py_buffer(x.astype(np.uint32))])
-            yield {"doc": doc[i:j], "th": th[i:j], "set": pa.ListArray.from_arrays(pa.array(at), pa.array(x.view(np.int64))), "low": low}
+            yield {"doc": doc[i:j], "th": th[i:j], "set": pa.ListArray.from_arrays(pa.array(at), pa.array(x.view(np.int64)))}
 
-    got = arrow(fn, docs.select("doc", "th", "text", F.xxhash64("doc").alias("key")), "doc long, th long, set array<long>, low binary")
-    return got.join(wanted, ["doc", "th"], "left_semi").dropDuplicates(["doc", "th"]).select("doc", "set", "low")
+    got = arrow(fn, docs.select("doc", "th", "text", F.xxhash64("doc").alias("key")), "doc long, th long, set array<long>")
+    out = stored(got.join(wanted, ["doc", "th"], "left_semi").dropDuplicates(["doc", "th"]).select("doc", "set"))
+    marks.destroy()
+    return out
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame, share: int) -> DataFrame:
@@ -142,53 +146,62 @@ def confirmed(pairs: DataFrame, sets: DataFrame, share: int) -> DataFrame:
     return both.where(100 * inter >= share * (F.size("sa") + F.size("sb") - inter)).select("a", "b")
 
 
-def components(nodes: DataFrame, links: DataFrame) -> DataFrame:
-    """``doc, comp``: the smallest reachable node, by rounds of neighbour minima and pointer jumping."""
-    both = stored(links.select("a", "b").unionAll(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
-    label = stored(nodes.select("doc", F.col("doc").alias("comp")))
-    while True:
-        near = both.join(label.withColumnsRenamed({"doc": "b", "comp": "c"}), "b").groupBy("a").agg(F.min("c").alias("c"))
-        step = label.join(near.withColumnRenamed("a", "doc"), "doc", "left").select("doc", "comp", F.least("comp", F.coalesce("c", "comp")).alias("new"))
+def components(label: DataFrame, links: DataFrame, rounds: int | None = None) -> DataFrame:
+    """``doc, comp`` after merging along ``links``: each comp becomes the smallest reachable one.
+
+    ``label`` (doc, comp) and ``links`` (a, b, of docs) are stored tables. Links are first drawn between the labels that
+    differ, so later rounds work on what is left; each one takes the least label of all neighbours, then jumps along the
+    labels' own. After ``rounds`` of them labels may be larger than the least, but equal ones are always connected.
+    """
+    name = label.withColumnsRenamed({"doc": "b", "comp": "cb"})
+    edge = links.join(label.withColumnRenamed("doc", "a"), "a").join(name, "b").where("comp <> cb").select(F.col("comp").alias("a"), F.col("cb").alias("b"))
+    edge = stored(edge.unionAll(edge.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
+    if not edge.limit(1).count():
+        return label
+    node = stored(edge.select(F.col("a").alias("doc"), F.col("a").alias("comp")).distinct())
+    while rounds is None or rounds > 0:
+        near = edge.join(node.withColumnsRenamed({"doc": "b", "comp": "c"}), "b").groupBy("a").agg(F.min("c").alias("c"))
+        step = stored(node.join(near.withColumnRenamed("a", "doc"), "doc").select("doc", "comp", F.least("comp", "c").alias("new")))
         # What a label's own node has found holds for all that carry the label.
         jump = step.select(F.col("doc").alias("new"), F.col("new").alias("to"))
         hook = step.where("new < comp").groupBy(F.col("comp").alias("root")).agg(F.min("new").alias("via"))
-        moved = step.join(jump, "new", "left").join(hook, step["comp"] == hook["root"], "left").select(
+        moved = step.join(jump, "new", "left").join(hook, F.col("comp") == F.col("root"), "left").select(
             "doc", F.col("comp").alias("old"), F.least("new", F.coalesce("to", "new"), F.coalesce("via", "new")).alias("comp"))
-        label = stored(moved)
-        if not label.where("comp < old").limit(1).count():
-            return label.select("doc", "comp")
-        label = label.select("doc", "comp")
+        node = stored(moved)
+        if not node.where("comp < old").limit(1).count():
+            break
+        node = node.select("doc", "comp")
+        rounds = None if rounds is None else rounds - 1
+    top = node.select(F.col("doc").alias("comp"), F.col("comp").alias("top"))
+    return stored(label.join(top, "comp", "left").select("doc", F.coalesce("top", "comp").alias("comp")))
+
 
+def links(reps: DataFrame, docs: DataFrame, n: int = N, share: int = SHARE, rounds: int = 3) -> DataFrame:
+    """``doc, comp`` for the representatives that have any bucket: components of the confirmed links.
 
-def links(reps: DataFrame, docs: DataFrame, n: int = N, share: int = SHARE, rounds: int = 3) -> tuple[DataFrame, DataFrame]:
-    """Confirmed links between representatives, and ``doc, comp`` for those that have any bucket."""
+    Centres and counts of buckets are stored before they are joined, so that a large bucket's rows can be split.
+    """
     band = stored(buckets(reps))
     info = reps.select("doc", "th", "n", "sig")
-    nodes = stored(band.select("doc").distinct())
-    sets = stored(sets_of(docs, info.join(nodes, "doc", "left_semi").select("doc", "th"), n))
+    comp = stored(band.select("doc").distinct().withColumn("comp", F.col("doc")))
+    sets = sets_of(docs, stored(info.join(comp, "doc", "left_semi").select("doc", "th")), n)
     size = info.select("doc", "n")
-    comp, found = nodes.select("doc", F.col("doc").alias("comp")), None
     for r in range(rounds):
         live = band.join(comp, "doc")
-        mixed = live.groupBy("band").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("band")
-        live = live.join(mixed, "band", "left_semi")
         pick = F.min(F.struct(*([F.xxhash64("doc", F.lit(r))] if r else []), "doc", "comp")).alias("c")
-        centre = live.groupBy("band").agg(pick).select("band", F.col("c.doc").alias("centre"), F.col("c.comp").alias("cc"))
+        centre = live.groupBy("band").agg(pick, F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi")
+        centre = stored(centre.select("band", F.col("c.doc").alias("centre"), F.col("c.comp").alias("cc")))
         pairs = live.join(centre, "band").where("comp <> cc").select(F.least("doc", "centre").alias("a"), F.greatest("doc", "centre").alias("b")).distinct()
         pairs = stored(in_reach(pairs, size, share))
         if not pairs.limit(1).count():
             break
-        good = stored(confirmed(pairs, sets, share))
-        found = good if found is None else found.unionAll(good)
-        comp = components(nodes, found)
+        comp = components(comp, stored(confirmed(pairs, sets, share)), None if r + 1 == rounds else 2)
     live = band.join(comp, "doc")
-    count = live.groupBy("band").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("c")).where("lo < hi").select("band", "c")
-    rest = stored(blocked(live.join(count, "band").join(info.select("doc", "n", "sig"), "doc").join(sets.select("doc", "low"), "doc"), share))
-    if rest.limit(1).count():
-        good = confirmed(rest, sets, share)
-        found = stored(good if found is None else found.unionAll(good))
-        comp = components(nodes, found)
-    return found, comp
+    count = stored(live.groupBy("band").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("c")).where("lo < hi").select("band", "c"))
+    if not count.limit(1).count():
+        return comp
+    rest = stored(blocked(live.join(count, "band").join(info.select("doc", "n", "sig"), "doc").join(sets, "doc"), share))
+    return components(comp, rest)
 
 
 def in_reach(pairs: DataFrame, size: DataFrame, share: int) -> DataFrame:
@@ -198,24 +211,23 @@ def in_reach(pairs: DataFrame, size: DataFrame, share: int) -> DataFrame:
 
 
 def blocked(members: DataFrame, share: int) -> DataFrame:
-    """Pairs between components within each bucket that reach the threshold by the low halves of their hashes.
+    """Pairs between components within each bucket that reach the threshold by their full sets.
 
     A bucket of c members has c / BLOCK blocks; each pair of blocks is a group of its own, at most two blocks large.
-    A pair is compared once, in the first band that it shares, and only while its members are apart; equal low halves
-    can only raise an intersection, and what is returned is confirmed on the full sets (to hide a link, two 32-bit halves
-    would have to collide in a pair at the very threshold). Signatures
-    spare most comparisons: an estimate of 0.22 below the threshold is six standard deviations off.
+    A pair is compared once, in the first band that it shares, and only while its members are apart. Signatures spare
+    most comparisons: pairs whose estimate is below ``LEAST`` are left out, which is nine standard deviations under the
+    threshold.
     """
     blocks = F.ceil(F.col("c") / BLOCK).cast("int")
     own = F.pmod(F.xxhash64("doc"), blocks).cast("int")
     dealt = members.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    dealt = dealt.select("band", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "nth", "own", "doc", "comp", "n", "sig", "low")
+    dealt = dealt.select("band", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "nth", "own", "doc", "comp", "n", "sig", "set")
 
     def pairs(t: pa.Table) -> pa.Table:
         i, j, nth, own = t["i"][0].as_py(), t["j"][0].as_py(), t["nth"][0].as_py(), t["own"].to_numpy()
         sig = np.frombuffer(b"".join(t["sig"].to_pylist()), np.int32).reshape(len(own), -1)
         doc, comp, n = t["doc"].to_numpy(), t["comp"].to_numpy(), t["n"].to_numpy()
-        sets = [frozenset(np.frombuffer(x, np.uint32).tolist()) for x in t["low"].to_pylist()]
+        sets = [x.values.to_numpy() for x in t["set"]]
         up: dict[int, int] = {}
 
         def root(c: int) -> int:
@@ -232,17 +244,18 @@ def blocked(members: DataFrame, share: int) -> DataFrame:
             if not len(y):
                 continue
             eq = sig[y] == sig[x]
-            y = y[(eq.mean(axis=1) >= share / 100 - 0.22) & ~eq[:, :nth * ROWS].reshape(len(y), nth, ROWS).all(axis=2).any(axis=1)]
+            y = y[(eq.mean(axis=1) >= LEAST) & ~eq[:, :nth * ROWS].reshape(len(y), nth, ROWS).all(axis=2).any(axis=1)]
+            mine = None
             for z in y.tolist():
                 if (p := root(int(comp[x]))) == (q := root(int(comp[z]))):
                     continue
-                k = len(sets[x] & sets[z])
+                mine = set(sets[x].tolist()) if mine is None else mine
+                k = len(mine.intersection(sets[z].tolist()))
                 if 100 * k >= share * (n[x] + n[z] - k):
                     up[max(p, q)] = min(p, q)
                     a.append(doc[x])
                     b.append(doc[z])
-        a, b = np.array(a, np.int64), np.array(b, np.int64)
-        return pa.table({"a": np.minimum(a, b), "b": np.maximum(a, b)})
+        return pa.table({"a": np.array(a, np.int64), "b": np.array(b, np.int64)})
 
     return dealt.groupBy("band", "i", "j").applyInArrow(pairs, "a long, b long").distinct()
 
@@ -276,18 +289,18 @@ def grouped(docs: DataFrame, n: int, share: int, repeated: bool = False) -> tupl
     texts, made = told_apart(docs, repeated)
     rows = stored(described(texts, n))
     full = rows.where("n > 0")
-    cls = full.groupBy("k1", "k2", "n").agg(F.min(F.struct("doc", "th")).alias("r"))
+    # Classes of copies are stored before the join, so that a large class's rows can be split.
+    cls = stored(full.groupBy("k1", "k2", "n").agg(F.min(F.struct("doc", "th")).alias("r")))
     rep = stored(full.join(cls, ["k1", "k2", "n"]).select("doc", "th", F.col("r.doc").alias("rep"), F.col("r.th").alias("rth")))
-    reps = rows.join(rep.where("doc = rep and th = rth").select("doc", "th").distinct(), ["doc", "th"], "left_semi").dropDuplicates(["doc", "th"])
-    _, comp = links(reps, texts, n, share)
+    first = rep.where("doc = rep and th = rth").select("doc", "th").distinct()
+    comp = links(rows.join(first, ["doc", "th"], "left_semi").dropDuplicates(["doc", "th"]), texts, n, share)
     # A doc_id on several texts ties their classes together.
-    own = rep.join(comp.withColumnRenamed("doc", "rep"), "rep", "left").select("doc", "th", F.coalesce("comp", "rep").alias("comp"))
-    split = own.groupBy("doc").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi")
+    own = stored(rep.join(comp.withColumnRenamed("doc", "rep"), "rep", "left").select("doc", "th", F.coalesce("comp", "rep").alias("comp")).distinct())
+    split = stored(own.groupBy("doc").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi"))
     if split.limit(1).count():
         tie = own.join(split, "doc").select(F.least("comp", "lo").alias("a"), F.greatest("comp", "lo").alias("b")).where("a < b").distinct()
-        top = components(own.select(F.col("comp").alias("doc")).distinct(), tie).withColumnsRenamed({"doc": "comp", "comp": "top"})
-        own = own.join(top, "comp").select("doc", "th", F.col("top").alias("comp"))
-    own = own.distinct()
+        top = components(stored(own.select(F.col("comp").alias("doc"), "comp").distinct()), stored(tie)).withColumnsRenamed({"doc": "comp", "comp": "top"})
+        own = own.join(top, "comp").select("doc", "th", F.col("top").alias("comp")).distinct()
     out = rows.select("doc", "th", "n", "own").join(own, ["doc", "th"], "left")
     return out.withColumn("comp", F.coalesce("comp", "doc")), made
 
@@ -304,17 +317,20 @@ def near_dedup(docs: DataFrame, n: int = N, share: int = SHARE) -> DataFrame:
 
 
 def representatives(docs: DataFrame, n: int = 5, share: int = 80) -> DataFrame:
-    """``docs`` with one row of each group of near copies: the one of the smallest doc_id, null ones last. Rows of no words stay.
+    """``docs``, all columns as they are, with one row of each group of near copies: the one of the smallest doc_id, null
+    ones last, ties by the hash of the text. Rows of no words (null and empty texts) stay; an empty table gives no rows.
 
     Texts alone make the groups: rows that share a doc_id, or have none, are grouped like those of different doc_ids.
+    Texts that go without any tie are told by (doc_id, hash of the text), so they are not shuffled to be kept.
     """
     out, made = grouped(docs, n, share, repeated=True)
+    rows = packed(docs)
     if not made:
-        kept = out.where("doc = comp").select(F.col("doc").alias("_d")).distinct()
-        return docs.join(kept, docs["doc_id"].cast("long") == kept["_d"], "left_semi")
-    out = stored(out.select(F.coalesce("own", F.lit(LAST_ID)).alias("_d"), F.col("th").alias("_th"), "n", "comp"))
-    first = out.where("n > 0").groupBy("comp").agg(F.min(F.struct("_d", "_th")).alias("k")).select("k.*")
-    rows = docs.withColumns({"_d": F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST_ID)), "_th": F.xxhash64("text")})
-    one = rows.join(first, ["_d", "_th"], "left_semi").dropDuplicates(["_d", "_th"])
-    bare = rows.join(out.where("n = 0").select("_d", "_th").distinct(), ["_d", "_th"], "left_semi")
-    return one.unionByName(bare).select(*docs.columns)
+        gone = stored(out.where("doc <> comp").select("doc", "th").distinct())
+        some, rest = parted(rows, gone)
+        return some.join(gone, ["doc", "th"], "left_anti").select("row.*").unionAll(rest.select("row.*"))
+    out = stored(out.select(F.coalesce("own", F.lit(LAST_ID)).alias("doc"), "th", "n", "comp"))
+    first = stored(out.where("n > 0").groupBy("comp").agg(F.min(F.struct("doc", "th")).alias("k")).select("k.*"))
+    one = rows.join(first, ["doc", "th"], "left_semi").dropDuplicates(["doc", "th"])
+    bare = rows.join(out.where("n = 0").select("doc", "th").distinct(), ["doc", "th"], "left_semi")
+    return one.select("row.*").unionAll(bare.select("row.*"))

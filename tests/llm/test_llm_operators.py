@@ -45,7 +45,6 @@ def test_substring_words(docs, empty):
 def test_suffix_bytes(docs, empty):
     same(suffix_dc.dedup(docs), brute.substring_bytes(ROWS), 5)
     same(suffix_dc.dedup(docs, hot=2), brute.substring_bytes(ROWS), 5)  # anchors of two documents are hot
-    same(suffix_dc.dedup(docs, bits=20), brute.substring_bytes(ROWS), 5)
     assert suffix_dc.dedup(empty).count() == 0
 
 

@@ -114,6 +114,7 @@ _P = np.uint64(0x9E3779B97F4A7C15)
 _PINV = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 _M1, _M2 = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53)
 _BYTE = np.random.default_rng(20240607).integers(1, 1 << 63, 256, dtype=np.uint64) | np.uint64(1)
+_OTHER = np.random.default_rng(20240608).integers(1, 1 << 63, 256, dtype=np.uint64) | np.uint64(1)
 _POW: dict[str, np.ndarray] = {"p": np.ones(1, np.uint64), "i": np.ones(1, np.uint64)}
 
 
@@ -145,11 +146,17 @@ def prefix(values: np.ndarray) -> np.ndarray:
 
 def grams(values: np.ndarray, k: int) -> np.ndarray:
     """Hash of each run of ``k`` values, by start."""
-    n = len(values) - k + 1
+    return grams_of(prefix(values), k)
+
+
+def grams_of(h: np.ndarray, k: int) -> np.ndarray:
+    """The same from prefix sums."""
+    n = len(h) - k
     if n <= 0:
         return np.zeros(0, np.uint64)
-    h = prefix(values)
-    return mix((h[k:] - h[:n]) * _powers(n)[1])
+    x = h[k:] - h[:n]
+    x *= _powers(n)[1]
+    return mix(x)
 
 
 def byte_values(data: np.ndarray) -> np.ndarray:
@@ -172,13 +179,23 @@ def word_spans(data: np.ndarray, off: np.ndarray, inside: np.ndarray) -> tuple[n
 
 def span_hashes(data: np.ndarray, s: np.ndarray, e: np.ndarray) -> np.ndarray:
     """Hash of each byte span."""
-    if not len(s):
-        return np.zeros(0, np.uint64)
-    h = prefix(byte_values(data))
-    x = (h[e] - h[s]) * _powers(len(data) + 1)[1][s]
+    return spans_of(prefix(byte_values(data)), s, e) if len(s) else np.zeros(0, np.uint64)
+
+
+def spans_of(h: np.ndarray, s: np.ndarray, e: np.ndarray) -> np.ndarray:
+    """The same from prefix sums of ``byte_values``."""
+    x = (h[e] - h[s]) * _powers(len(h))[1][s]
     return mix(x + (e - s).astype(np.uint64))
 
 
+def span_hashes32(data: np.ndarray, s: np.ndarray, e: np.ndarray) -> np.ndarray:
+    """A second hash of each byte span, of 32 bits, over other byte values."""
+    if not len(s):
+        return np.zeros(0, np.int32)
+    h = prefix(_OTHER[data])
+    return (mix((h[e] - h[s]) * _powers(len(data) + 1)[1][s]) >> np.uint64(32)).astype(np.uint32).view(np.int32)
+
+
 def sliding_min(v: np.ndarray, w: int) -> np.ndarray:
     """Minimum of each run of ``w`` values, by start: block-wise prefix and suffix minima."""
     n = len(v)
@@ -227,10 +244,12 @@ def minimisers(g: np.ndarray, row: np.ndarray, width: int, w: int) -> tuple[np.n
 # ---- key bitmaps --------------------------------------------------------------------------------
 
 def key_bitmap(keys: DataFrame, col: str, bits: int) -> np.ndarray:
-    """Bit per slot (top bits of a 64-bit key). Its size is fixed by ``bits``: as keys grow it only passes more."""
-    slot = F.shiftrightunsigned(F.col(col), 64 - bits)
-    words = keys.groupBy(F.shiftrightunsigned(slot, 6).alias("word")).agg(
-        F.bit_or(F.expr(f"shiftleft(1L, cast(shiftrightunsigned(`{col}`, {64 - bits}) & 63 as int))")).alias("bit"))
+    """Bit per slot, the ``bits`` below the 16 top ones of a 64-bit key. As keys grow it only passes more.
+
+    The top bits are left out because keys chosen as the least of many, like anchors, have few values there.
+    """
+    words = keys.select(F.shiftrightunsigned(F.shiftleft(F.col(col), 16), 64 - bits).alias("s")).groupBy(F.shiftright("s", 6).alias("word")).agg(
+        F.bit_or(F.expr("shiftleft(1L, cast(s & 63 as int))")).alias("bit"))
     with tidy(keys.sparkSession):
         got = words.toArrow()
     out = np.zeros(1 << (bits - 6), np.int64)
@@ -244,10 +263,25 @@ def bits_for(keys: int, least: int = 20, most: int = 28) -> int:
 
 
 def passes(bitmap: np.ndarray, keys: np.ndarray, bits: int) -> np.ndarray:
-    slot = keys.view(np.uint64) >> np.uint64(64 - bits)
+    slot = keys.view(np.uint64) << np.uint64(16) >> np.uint64(64 - bits)
     return (bitmap[slot >> np.uint64(6)] >> (slot & np.uint64(63)) & np.uint64(1)).astype(bool)
 
 
+class Marks:
+    """A bitmap of a stored table's keys (64-bit hashes), sized by their number, that workers share."""
+
+    def __init__(self, keys: DataFrame, col: str, most: int = 28):
+        self.bits = bits_for(keys.count(), most=most)
+        self.shared = keys.sparkSession.sparkContext.broadcast(key_bitmap(keys, col, self.bits))
+
+    def passes(self, keys: np.ndarray) -> np.ndarray:
+        """True for all keys of the table, and for about one in 16 others (more of them beyond ``2**(most - 4)`` keys)."""
+        return passes(self.shared.value, keys, self.bits)
+
+    def drop(self) -> None:
+        self.shared.destroy()
+
+
 def slots(keys: DataFrame, col: str, most: int = 24) -> tuple[DataFrame, int]:
     """The same as a table ``_word, _bits`` for plans of SQL functions alone, and its number of slots' bits.
 

@@ -26,29 +26,30 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from textloom.llm import common as C
-from textloom.llm.common import arrow, chunks, key_bitmap, keyed, passes, row_key, stored, text_buffer
+from textloom.llm.common import Marks, arrow, chunks, keyed, row_key, stored, text_buffer
 
-N, K, BITS, CHUNK = 13, 5, 27, 1 << 20
+N, K, CHUNK = 13, 5, 1 << 20
 INSIDE = ~C.SPACE_BYTES
 
 
 class Copies:
-    """First documents of equal texts, as a bitmap that also lets some later copies pass, and the later copies."""
-
-    def __init__(self, docs: DataFrame, bits: int = BITS):
-        rows = stored(docs.select("doc", "th", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("sha")))
-        first = rows.groupBy("sha").agg(F.min("doc").alias("first"))
-        rows = rows.join(first, "sha")
-        self.later = rows.where("doc > first").select("doc", "th").distinct()
-        self.firsts = row_bitmap(rows.where("doc = first").select("doc", "th"), bits)
+    """First documents of equal texts, as marks that also let some later copies pass, and the later copies.
 
+    First documents are stored before they are joined, so that the rows of a large group of copies can be split.
+    """
 
-def row_keys(rows: DataFrame) -> DataFrame:
-    return arrow(lambda b: [{"key": row_key(b["doc"].to_numpy(), b["th"].to_numpy()).view(np.int64)}], rows.select("doc", "th"), "key long")
+    def __init__(self, docs: DataFrame):
+        rows = stored(docs.select("doc", "th", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("sha")))
+        first = stored(rows.groupBy("sha").agg(F.min("doc").alias("first")))
+        rows = stored(rows.join(first, "sha").select("doc", "th", (F.col("doc") > F.col("first")).alias("copy")))
+        self.later = rows.where("copy").select("doc", "th").distinct()
+        self.firsts = row_marks(rows.where("not copy").select("doc", "th"))
 
 
-def row_bitmap(rows: DataFrame, bits: int = BITS) -> np.ndarray:
-    return key_bitmap(row_keys(rows), "key", bits)
+def row_marks(rows: DataFrame) -> Marks:
+    """Marks of rows, by the key that ``row_key`` gives."""
+    keys = arrow(lambda b: [{"key": row_key(b["doc"].to_numpy(), b["th"].to_numpy()).view(np.int64)}], rows.select("doc", "th"), "key long")
+    return Marks(stored(keys), "key")
 
 
 def windows_of(data: np.ndarray, off: np.ndarray, n: int, k: int):
@@ -60,12 +61,12 @@ def windows_of(data: np.ndarray, off: np.ndarray, n: int, k: int):
     return (s, e, row, h), (first, count, place, g)
 
 
-def _index(batch: DataFrame, firsts, n: int, k: int, bits: int) -> DataFrame:
+def _index(batch: DataFrame, firsts: Marks, n: int, k: int) -> DataFrame:
     """(g, doc) of the documents that are not later copies."""
     def fn(b):
         data, off = text_buffer(b["text"])
         doc, th = b["doc"].to_numpy(), b["th"].to_numpy()
-        mine = passes(firsts.value, row_key(doc, th), bits)
+        mine = firsts.passes(row_key(doc, th))
         for i, j in chunks(off, CHUNK):
             (_, _, row, _), (first, _, place, g) = windows_of(data[off[i]:off[j]], off[i:j + 1] - off[i], n, k)
             if not len(first):
@@ -80,7 +81,7 @@ def _index(batch: DataFrame, firsts, n: int, k: int, bits: int) -> DataFrame:
 class RunIndex:
     """Sorted immutable runs in bucketed tables, merged when ``fanout`` of them have gathered."""
 
-    def __init__(self, spark, fanout: int = 2):
+    def __init__(self, spark, fanout: int = 3):
         self.spark, self.fanout, self.runs, self.name = spark, fanout, [], f"run_{uuid.uuid4().hex[:12]}"
         self.buckets, self.made = int(spark.conf.get("spark.sql.shuffle.partitions")), 0
 
@@ -133,30 +134,32 @@ def batches(docs: DataFrame, n: int) -> list[DataFrame]:
     return out
 
 
-def repeats(docs: DataFrame, n: int = N, k: int = K, n_batches: int = 3, bits: int = BITS, chunk: int = CHUNK):
-    """``doc, th, at, n``: runs of n window starts that also start in a smaller document (n is 1); and the later copies.
+def repeats(docs: DataFrame, n: int = N, k: int = K, n_batches: int = 3, chunk: int = CHUNK):
+    """``doc, th, at, n``: per row, the window starts that also start in a smaller document (n is 1); and the later copies.
 
     ``docs``: as ``keyed`` gives them.
     """
     spark = docs.sparkSession
-    copies = Copies(docs, bits)
-    firsts = spark.sparkContext.broadcast(copies.firsts)
-    index, marked = RunIndex(spark), np.zeros(1 << (bits - 6), np.uint64)
-    for batch in batches(docs, n_batches):
-        marked |= key_bitmap(index.add(_index(batch, firsts, n, k, bits)), "g", bits)
-        index.compact()
-    index.drop()
-    marks = spark.sparkContext.broadcast(marked)
+    copies = Copies(docs)
+    firsts, index, shared = copies.firsts, RunIndex(spark), None
+    try:
+        for batch in batches(docs, n_batches):
+            index.compact()
+            found = stored(index.add(_index(batch, firsts, n, k)))
+            shared = found if shared is None else shared.unionAll(found)
+    finally:
+        index.drop()
+    marks = Marks(shared, "g")
 
     def fn(b):
         data, off = text_buffer(b["text"])
         doc, th = b["doc"].to_numpy(), b["th"].to_numpy()
-        mine = passes(firsts.value, row_key(doc, th), bits)
+        mine = firsts.passes(row_key(doc, th))
         for i, j in chunks(off, chunk):
             (_, _, row, h), (first, count, place, g) = windows_of(data[off[i]:off[j]], off[i:j + 1] - off[i], n, k)
             if not len(first):
                 continue
-            ok = mine[i:j][row[first]] & passes(marks.value, g[place], bits)
+            ok = mine[i:j][row[first]] & marks.passes(g[place])
             first, count = first[ok], count[ok]
             if not len(first):
                 continue
@@ -166,24 +169,31 @@ def repeats(docs: DataFrame, n: int = N, k: int = K, n_batches: int = 3, bits: i
             yield {"wh": C.grams(h, n)[at].view(np.int64), "doc": doc[i:j][r], "th": th[i:j][r], "at": (at - base[r]).astype(np.int32)}
 
     wins = stored(arrow(fn, docs, "wh long, doc long, th long, at int"))
-    first = wins.groupBy("wh").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi")).where("lo < hi").select("wh", "lo")
-    return wins.join(first, "wh").where("lo < doc").select("doc", "th", "at", F.lit(1).alias("n")), copies.later
+    # First holders are stored before they are joined, so that the rows of a very frequent window can be split.
+    first = stored(wins.groupBy("wh").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi")).where("lo < hi").select("wh", "lo"))
+    per = gathered(wins.join(first, "wh").where("lo < doc").select("doc", "th", "at", F.lit(1).alias("n")))
+    marks.drop()
+    firsts.drop()
+    return per, copies.later
 
 
-def marked_rows(docs: DataFrame, hits: DataFrame, later: DataFrame, bits: int = BITS) -> tuple[DataFrame, DataFrame]:
-    """Rows with hits or copies, joined with them (``at`` array, ``copy``), and the other rows.
+def gathered(hits: DataFrame) -> DataFrame:
+    """``doc, th, at, n``: the hits of each row, as a stored table of arrays."""
+    return stored(hits.groupBy("doc", "th").agg(F.collect_list("at").alias("at"), F.collect_list("n").alias("n")))
+
+
+def marked_rows(docs: DataFrame, per: DataFrame, later: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Rows with hits or copies, joined with them (``at`` and ``n`` arrays, ``copy``), and the other rows.
 
     Only rows whose slot is marked are shuffled; a row marked by chance just finds nothing to join.
     """
-    spark = docs.sparkSession
-    per = stored(hits.groupBy("doc", "th").agg(F.collect_list("at").alias("at"), F.collect_list("n").alias("n")))
     later = stored(later)
-    marked = spark.sparkContext.broadcast(row_bitmap(per.select("doc", "th").unionAll(later), bits))
+    marked = row_marks(per.select("doc", "th").unionAll(later))
 
     def part(side):
         def run(it):
             for b in it:
-                keep = passes(marked.value, row_key(b["doc"].to_numpy(), b["th"].to_numpy()), bits) == side
+                keep = marked.passes(row_key(b["doc"].to_numpy(), b["th"].to_numpy())) == side
                 if keep.any():
                     yield b.filter(pa.array(keep))
         return docs.mapInArrow(run, docs.schema)
@@ -218,10 +228,10 @@ def _finish(n: int):
     return fn
 
 
-def dedup(docs: DataFrame, n: int = N, k: int = K, n_batches: int = 3, bits: int = BITS) -> DataFrame:
+def dedup(docs: DataFrame, n: int = N, k: int = K, n_batches: int = 3) -> DataFrame:
     """The query's columns, one row per row of ``docs``."""
     own = keyed(docs, F.col("doc_id").cast("long").alias("doc_id"))
-    hits, later = repeats(keyed(docs), n, k, n_batches, bits)
-    joined, rest = marked_rows(own, hits, later, bits)
+    per, later = repeats(keyed(docs), n, k, n_batches)
+    joined, rest = marked_rows(own, per, later)
     schema = "doc_id long, n_words long, n_removed long, kept_sha256 string"
     return arrow(_finish(n), joined, schema).unionAll(arrow(_finish(n), rest, schema))

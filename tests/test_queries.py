@@ -7,10 +7,11 @@ import duckdb
 import pandas as pd
 import pytest
 
-from textloom.plans import registry
+from textloom.plans import registry, reports
 
 DATA = "/root/testdata/sf0.001"
-SQL = registry.oracle_sql()
+SQL = registry.oracle_sql() | reports.oracle_sql()
+QUERIES = registry.queries() | reports.queries()
 
 
 @pytest.fixture(scope="module")
@@ -28,10 +29,10 @@ def ordered(df):
 
 @pytest.mark.parametrize("name", sorted(SQL))
 def test_matches_sql(spark, duck, name):
-    got, want = ordered(registry.queries()[name](spark, DATA).toPandas()), ordered(duck.execute(SQL[name]).df())
+    got, want = ordered(QUERIES[name](spark, DATA).toPandas()), ordered(duck.execute(SQL[name]).df())
     pd.testing.assert_frame_equal(got, want, check_dtype=False, rtol=1e-9, atol=1e-9)
 
 
-@pytest.mark.parametrize("name", sorted(set(registry.queries()) - set(SQL)))
+@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(SQL)))
 def test_runs(spark, name):
-    assert registry.queries()[name](spark, DATA).count() > 0
+    assert QUERIES[name](spark, DATA).count() > 0

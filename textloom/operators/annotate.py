@@ -7,7 +7,7 @@ character; tags come from word lists and endings; a token hangs on the one befor
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 # Word lists of the rule annotator.
@@ -16,12 +16,16 @@ ADPOSITIONS = ("of", "in", "on", "at", "by", "for", "with", "to", "from", "von",
 AUXILIARIES = ("is", "are", "was", "be", "been", "ist", "sind", "war", "est", "sont", "es", "son")
 CONJUNCTIONS = ("and", "or", "but", "und", "oder", "et", "ou", "y", "o")
 STOPS = DETERMINERS + ADPOSITIONS + AUXILIARIES + CONJUNCTIONS
-NEGATIONS = {"de": ("nicht", "kein", "nie", "niemals", "nichts", "niemand", "nirgends", "weder", "noch", "nein", "ohne", "keinesfalls"),
-             "en": ("not", "no", "never", "nothing", "nobody", "nowhere", "neither", "nor", "without")}
-FUNCTION_TAGS = ("AUX", "DET", "ADP")
+NEGATIONS = {"de": ("nicht", "kein", "nie", "nein", "keineswegs", "keinesfalls", "nichts", "nirgends", "nimmer", "niemand", "nirgendwo", "niemals"),
+             "en": ("not", "no", "never", "neither", "nor", "nobody", "nothing", "nowhere", "none")}
+# The fine German tags among them never equal a coarse tag; languages without a set take the German one.
+FUNCTION_TAGS = {"de": ("AUX", "DET", "ADP", "VMFIN", "VMINF", "VMPP", "PWS", "PWAT", "PWAV"),
+                 "en": ("AUX", "DET", "ADP", "CCONJ", "SCONJ", "PART", "PRON")}
 PUNCTUATION = ".,;:!?()'\"-"
 SENTENCE = r"[^.!?\n]+[.!?]*|[.!?]+"
 TOKEN = r"[\p{L}\p{N}]+|[^ \t\n\r\f\x0B\p{L}\p{N}]"
+SOCIAL = (r"(?:https?://|www\.)\S+|[\w.+-]+@[\w-]+(?:\.[\w-]+)+|[:;=8][-o']?[()\[\]dDpP/]|[#@][\p{L}\p{N}_]+|"
+          r"\p{N}+(?:[.,:]\p{N}+)*|(?:\p{L}\.){2,}|[\p{L}\p{N}]+(?:[-'’][\p{L}\p{N}]+)*|[^\s\p{L}\p{N}]")
 VOWELS = "[aeiouyäöüáàâéèêíîóôúùû]+"
 
 
@@ -50,6 +54,37 @@ def tokens(docs: DataFrame, key: str = "doc_id", text: str = "text", *keep: str)
     return tok.withColumns({"is_punct": F.col("pos") == "PUNCT", "is_word": (F.col("pos") != "PUNCT") & ~symbol})
 
 
+def social_tokens(docs: DataFrame, text: str = "text", *keep: str) -> DataFrame:
+    """``keep, i, token``: a tokeniser for web text, one for all languages: links, addresses, emoticons, tags, words with
+    inner hyphens and apostrophes, numbers with separators, abbreviations, and single other characters are tokens."""
+    found = F.regexp_extract_all(text, F.lit(SOCIAL), F.lit(0))
+    return docs.select(*keep, F.posexplode(found).alias("i", "token"))
+
+
+def treebank_tokens(docs: DataFrame, text: str = "text", *keep: str) -> DataFrame:
+    """The same for English reference corpora: contractions part from their words (don't: do, n't; it's: it, 's)."""
+    parted = F.regexp_replace(F.regexp_replace(text, r"(?i)([a-z])(n['’]t)\b", "$1 $2"), r"(?i)([a-z])(['’](?:s|re|ve|ll|d|m))\b", "$1 $2")
+    found = F.regexp_extract_all(parted, F.lit(r"(?i)n['’]t\b|['’](?:s|re|ve|ll|d|m)\b|(?:(?!n['’]t\b)[\p{L}\p{N}])+(?:[-.](?:(?!n['’]t\b)[\p{L}\p{N}])+)*|[^\s\p{L}\p{N}]"), F.lit(0))
+    return docs.select(*keep, F.posexplode(found).alias("i", "token"))
+
+
+def search_tokens(docs: DataFrame, key: str = "doc_id", text: str = "text", lemma=None) -> DataFrame:
+    """``key, i, term, start, end``: terms of a search index with byte offsets of their words in the text.
+
+    ``lemma`` makes a term of a word's column (default: lower case); a lemma ``--`` falls back to the word. Words and the
+    gaps between them alternate, so offsets are running sums over one text.
+    """
+    words = F.regexp_extract_all(text, F.lit(TOKEN), F.lit(0))
+    gaps = F.split(text, TOKEN, -1)
+    rows = docs.select(key, F.posexplode(F.zip_with(words, F.slice(gaps, 1, F.size(gaps) - 1), lambda w, g: F.struct(w.alias("w"), F.octet_length(g).alias("g")))).alias("i", "x"))
+    w = F.col("x.w")
+    size = F.octet_length(w)
+    before = Window.partitionBy(key).orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
+    made = lemma(w) if lemma else F.lower(w)
+    out = rows.select(key, "i", F.when(made == "--", w).otherwise(made).alias("term"), size.alias("_n"), F.sum(F.col("x.g") + size).over(before).cast("int").alias("end"))
+    return out.select(key, "i", "term", (F.col("end") - F.col("_n")).alias("start"), "end")
+
+
 def token_sql(keep: str = "") -> str:
     """The same table as a DuckDB CTE list ``tok``; ``keep`` is a prefix list such as ``lang, ``."""
     q = lambda xs: ", ".join("'" + x + "'" for x in xs)

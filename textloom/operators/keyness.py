@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from textloom.sources import corpus
+
 METRICS = ("ll", "or", "pd", "bf")
 
 
@@ -22,8 +24,9 @@ def transformed(freqs: DataFrame, lowercase: bool = True, strip: bool = True) ->
 
 
 def percent_difference(a, b, c, d) -> Column:
+    """Infinite where the reference corpus lacks the token."""
     ref = F.try_divide(b, b + d)
-    return F.try_divide(100 * (F.try_divide(a, a + c) - ref), ref)
+    return F.when(ref == 0, float("inf")).otherwise(100 * (F.try_divide(a, a + c) - ref) / F.when(ref != 0, ref))
 
 
 def _term(x: Column, e: Column) -> Column:
@@ -59,11 +62,25 @@ def bayes_factor(a, b, c, d) -> Column:
 FORMULAS = {"ll": log_likelihood, "or": odds_ratio, "pd": percent_difference, "bf": bayes_factor, "g": g_test}
 
 
+def formula(name: str):
+    """The measure of a name; unknown names are errors that list the known ones."""
+    if name not in FORMULAS:
+        raise ValueError(f"unknown metrics: [{name!r}]; known: {sorted(FORMULAS)}")
+    return FORMULAS[name]
+
+
+def totals(study: DataFrame, ref: DataFrame) -> list:
+    """Totals and types of both lists: two rows, counted in one job."""
+    both = study.select(F.lit(0).alias("k"), "freq").unionAll(ref.select(F.lit(1), "freq")).groupBy("k").agg(F.sum("freq").alias("total"), F.count("*").alias("types"))
+    found = {r["k"]: r for r in both.collect()}
+    return [found.get(k) or {"total": 0, "types": 0} for k in (0, 1)]
+
+
 def contingency(study: DataFrame, ref: DataFrame, smoothing: float = 0.1) -> DataFrame:
     """Full outer union of tokens with cells a, b, c, d. The totals are one row each."""
     if smoothing < 0:
         raise ValueError("smoothing must not be negative")
-    s, r = corpus_stats(study).first(), corpus_stats(ref).first()
+    s, r = totals(study, ref)
     j = study.withColumnRenamed("freq", "study_freq").join(ref.withColumnRenamed("freq", "ref_freq"), "token", "full_outer")
     j = j.withColumns({c: F.coalesce(c, F.lit(0)) for c in ("study_freq", "ref_freq")})
     a, b = F.col("study_freq") + F.lit(float(smoothing)), F.col("ref_freq") + F.lit(float(smoothing))
@@ -74,7 +91,7 @@ def contingency(study: DataFrame, ref: DataFrame, smoothing: float = 0.1) -> Dat
 
 def unknown_mass(study: DataFrame, ref: DataFrame, smoothing: float = 0.1) -> DataFrame:
     """All tokens that only the reference has, as one row."""
-    s, r = corpus_stats(study).first(), corpus_stats(ref).first()
+    s, r = totals(study, ref)
     out = ref.join(study, "token", "left_anti").agg(F.coalesce(F.sum("freq"), F.lit(0)).alias("ref_freq"))
     k = F.lit(float(smoothing))
     return out.select(F.lit("<unk>").alias("token"), "ref_freq", k.alias("a"), (F.col("ref_freq") + k).alias("b"), (F.lit(s["total"]) + k * s["types"]).alias("c"), (F.lit(r["total"]) - F.col("ref_freq") + k * r["types"]).alias("d"))
@@ -119,3 +136,70 @@ def jargon_density(tok: DataFrame, table: DataFrame, threshold: float = 20.0, re
     t = jargon_terms(tok, table, threshold, "or", ref_cut, key)
     n, j = F.sum("freq_in_text"), F.coalesce(F.sum(F.when(F.col("is_jargon"), F.col("freq_in_text"))), F.lit(0))
     return t.groupBy(key).agg(n.alias("total_tokens"), j.alias("jargon_count"), F.round(F.try_divide(100.0 * j, n), 4).alias("jargon_per_100"))
+
+
+# The comparison that tells a language's jargon; scores of different languages do not compare.
+COMPARISONS = {"de": "drks-v-deleipzig", "en": "pubmed-v-enleipzig"}
+KNOWN_COMPARISONS = ("drks-v-deleipzig", "pubmed-v-enleipzig", "drks-v-pubmed", "deleipzig-v-enleipzig")
+
+
+def validated(frames: dict[str, DataFrame]) -> dict[str, DataFrame]:
+    """Comparisons as they are; one without a token column is an error."""
+    if bad := [n for n, df in frames.items() if "token" not in df.columns]:
+        raise ValueError(f"no token column in {bad}")
+    return frames
+
+
+class JargonDetector:
+    """A keyness table with the questions asked of it. Tokens are looked up as they are, or in lower case."""
+
+    def __init__(self, table: DataFrame, lower: bool = False):
+        validated({"table": table})
+        self.table, self.lower = table, lower
+
+    @classmethod
+    def read(cls, spark, folder: str, comparison: str, preprocessing: str = "default") -> "JargonDetector":
+        """The table at ``folder/preprocessing/comparison.tsv``."""
+        if preprocessing not in ("default", "lower"):
+            raise ValueError(f"unknown preprocessing: {preprocessing}")
+        path = f"{folder}/{preprocessing}/{comparison}.tsv"
+        if not corpus.exists(spark, path):
+            raise FileNotFoundError(path)
+        df = corpus.table(spark, path)
+        number = [c for c in df.columns if c != "token"]
+        return cls(df.withColumns({c: F.expr(f"try_cast(`{c}` as double)") for c in number}), preprocessing == "lower")
+
+    def _own(self, df: DataFrame, column: str) -> DataFrame:
+        return df.withColumn(column, F.lower(column)) if self.lower else df
+
+    def identify(self, words: DataFrame, metric: str = "or") -> DataFrame:
+        """``word, score, metric, in_dict`` of a table of words, one row a row."""
+        got = token_scores(self._own(words.withColumn("token", F.col("word")), "token"), self.table, metric)
+        return got.select("word", "score", F.lit(metric).alias("metric"), "in_dict")
+
+    def compare(self, words: DataFrame, metric: str = "or") -> DataFrame:
+        """Words by falling score; ties in code-point order."""
+        return self.identify(words, metric).orderBy(F.desc("score"), "word")
+
+    def analyze(self, tok: DataFrame, metric: str = "or", threshold: float | None = None, key: str = "doc_id") -> DataFrame:
+        """Every distinct token of each text: score, frequency, whether the score exceeds the threshold (20 for odds
+        ratios, else 0), and its place by falling score."""
+        cut = threshold if threshold is not None else 20.0 if metric == "or" else 0.0
+        types = self._own(tok, "lemma").groupBy(key, F.col("lemma").alias("token")).agg(F.count("*").alias("freq_in_text"))
+        got = token_scores(types, self.table, metric).withColumn("is_jargon", F.col("score") > cut)
+        return got.withColumn("place", F.row_number().over(Window.partitionBy(key).orderBy(F.desc("score"), "token"))).drop("ref_rel_freq")
+
+    def terms(self, tok: DataFrame, threshold: float = 20.0, metric: str = "or", ref_cut: float = 0.001, limit: int | None = None, key: str = "doc_id") -> DataFrame:
+        """Jargon of each text by falling score, at most ``limit`` a text where a limit is given."""
+        got = jargon_terms(self._own(tok, "lemma"), self.table, threshold, metric, ref_cut, key).where("is_jargon")
+        got = got.withColumn("place", F.row_number().over(Window.partitionBy(key).orderBy(F.desc("score"), "token")))
+        return got if limit is None else got.where(F.col("place") <= limit)
+
+
+def jargon_by_language(tok: DataFrame, tables: dict[str, DataFrame], threshold: float = 20.0, ref_cut: float = 0.001, key: str = "doc_id", language: str = "language") -> DataFrame:
+    """Density of every text by its own language's table; texts of languages without one are left out."""
+    out = None
+    for lang, table in sorted(tables.items()):
+        one = jargon_density(tok.where(F.col(language) == lang), table, threshold, ref_cut, key).withColumn(language, F.lit(lang))
+        out = one if out is None else out.unionByName(one)
+    return out

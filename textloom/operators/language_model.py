@@ -48,7 +48,7 @@ def masked_rank(tok: DataFrame, unigrams: DataFrame, ratio: float = 0.15, seed:
     """
     types = F.lit(unigrams.count())
     w = Window.partitionBy(key, "sent_id")
-    h = F.xxhash64(F.lit(seed), "sent_id", "tok_i")
+    h = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("sent_id").cast("string"), F.col("tok_i").cast("string")).cast("binary"))
     t = tok.withColumns({"_n": F.count("*").over(w), "_h": F.row_number().over(w.orderBy(h, "tok_i"))})
     m = t.where(F.col("_h") <= F.greatest(F.lit(1), F.round(F.col("_n") * ratio)))
     j = m.join(unigrams.withColumnRenamed("token", "lemma"), "lemma", "left")

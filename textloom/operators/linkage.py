@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from textloom.functions.text import normal_label
+from textloom.functions.text import LABELS, normal_label
+from textloom.session import ship
 
 # Vocabularies through which ids expand, and the sources of each language by tier.
 VOCABULARIES = ("ICD-10CM", "ICD-10", "MeSH", "DOID", "Pschyrembel")
@@ -122,12 +123,23 @@ def site_pairs(views: DataFrame) -> DataFrame:
 
 
 def title_expand(pairs: DataFrame, index: DataFrame, overrides: DataFrame | None = None) -> DataFrame:
-    """Title pairs to node pairs: every node of either title, no self pairs. ``index`` and ``overrides``: title, node."""
+    """Title pairs to node pairs: every node of either title, no self pairs. ``index`` and ``overrides``: title, node.
+
+    Overrides hold for a source too where they have a column ``source``, as then ``pairs`` has ``source_a`` and
+    ``source_b``: they replace what the index says of that title in that source; a null node skips the title.
+    """
     idx = index.select("title", "node").distinct()
-    if overrides is not None:  # an override replaces what the index says; a null node skips the title
-        idx = idx.join(overrides.select("title").distinct(), "title", "left_anti").unionAll(overrides.where("node is not null").select("title", "node"))
-    a, b = (idx.withColumnsRenamed({"title": f"title_{x}", "node": x}) for x in "ab")
-    return pairs.join(a, "title_a").join(b, "title_b").where("a <> b")
+    out = pairs
+    for x in "ab":
+        if overrides is None:
+            out = out.join(idx.withColumnsRenamed({"title": f"title_{x}", "node": x}), f"title_{x}")
+            continue
+        by = [f"title_{x}"] + ([f"source_{x}"] if "source" in overrides.columns else [])
+        o = overrides.withColumnsRenamed({"title": f"title_{x}", "source": f"source_{x}"}).select(*by, F.col("node").alias(x)).distinct()
+        known = out.join(o.select(*by).distinct(), by, "left_semi").join(o.where(F.col(x).isNotNull()), by)
+        other = out.join(o.select(*by).distinct(), by, "left_anti").join(idx.withColumnsRenamed({"title": f"title_{x}", "node": x}), f"title_{x}")
+        out = known.unionByName(other)
+    return out.where("a <> b")
 
 
 def unresolved(pairs: DataFrame, index: DataFrame) -> DataFrame:
@@ -178,3 +190,144 @@ def rule_judge(pairs: DataFrame) -> DataFrame:
     """The default judge: equal titles are right, a title inside the other is a direction, others are wrong."""
     a, b = F.lower(F.trim("title_a")), F.lower(F.trim("title_b"))
     return pairs.withColumn("pred", F.when(a == b, "richtig").when(F.contains(a, b), "spezialisierung").when(F.contains(b, a), "generalisierung").otherwise("falsch"))
+
+
+# ---- dictionaries ---------------------------------------------------------------------------------
+
+def other_names(terms: DataFrame, other: DataFrame, keys: tuple[str, ...] = ("descriptor_ui", "concept_ui"), order: str = "pos") -> DataFrame:
+    """Adds the name that another language's table has for each key, the last one winning: ``<key>_other``."""
+    out = terms
+    for k in keys:
+        name = k.replace("_ui", "_name")
+        out = out.join(other.groupBy(k).agg(F.max_by(name, order).alias(f"{name}_other")), k, "left")
+    return out
+
+
+def link_table(nodes: DataFrame, key: str, links: str) -> DataFrame:
+    """Distinct links of each node."""
+    return nodes.select(key, F.explode(links).alias("url")).distinct()
+
+
+def translations(rows: DataFrame, key: str, name: str) -> DataFrame:
+    """Names in the other language, without inversions (a comma and a blank), once for each key."""
+    return rows.where(F.col(name).isNotNull() & ~F.contains(F.col(name), F.lit(", "))).select(key, name).distinct()
+
+
+def dictionary_metadata(rows: DataFrame, icd: str, fields: list[str]) -> DataFrame:
+    """Adds ``metadata``: the fields as JSON, with the code in lower case as ``icd10``."""
+    return rows.withColumn("metadata", F.to_json(F.struct(*fields, F.lower(icd).alias("icd10"))))
+
+
+# ---- clusters as tables -----------------------------------------------------------------------------
+
+def merged_rows(members: DataFrame, key: str, numeric: tuple[str, ...] = ("gesund", "apoum")) -> DataFrame:
+    """Rows of equal joined ids become one: ``key`` and, for each source, its ids and titles joined by "; ".
+
+    ``members``: key, row, source, id, title. Ids sort as numbers in the numeric sources, titles follow their ids.
+    """
+    place = F.when(F.col("source").isin(*numeric), F.expr("lpad(id, 20, '0')")).otherwise(F.col("id"))
+    own = members.where(F.col("source") == F.lit(key)).groupBy("row").agg(F.array_join(F.transform(F.array_sort(F.collect_set(F.struct(place.alias("p"), "id"))), lambda x: x["id"]), "; ").alias("ids"))
+    every = members.join(own, "row").select("ids", "source", place.alias("p"), "id", "title").distinct()
+    got = every.groupBy("ids", "source").agg(F.array_sort(F.collect_list(F.struct("p", "id", "title"))).alias("x"))
+    joined = lambda f: F.array_join(F.array_distinct(F.transform("x", lambda v: v[f])), "; ")
+    return got.select("ids", "source", joined("id").alias("id"), joined("title").alias("title"))
+
+
+def linked_distances(edges: DataFrame, vectors: DataFrame, distance) -> DataFrame:
+    """Least distance between each article and each it is linked with in other sources: ``a, b, distance``.
+
+    ``vectors``: node, embedding; a node may have several (languages). Articles without a vector are left out.
+    """
+    va, vb = (vectors.select(F.col("node").alias(x), F.col("embedding").alias(f"v{x}")) for x in "ab")
+    j = edges.select("a", "b").distinct().join(va, "a").join(vb, "b")
+    return j.groupBy("a", "b").agg(F.min(distance(F.col("va"), F.col("vb"))).alias("distance"))
+
+
+# ---- pairs: counts, gold, judging -----------------------------------------------------------------------
+
+def pair_counts(pairs: DataFrame) -> DataFrame:
+    """Pairs by language, by (language, sources) and by tier, in one pass: nulls mark what a row sums over."""
+    c = pairs.groupingSets([["language"], ["language", "source_a", "source_b"], ["max_tier"]], "language", "source_a", "source_b", "max_tier")
+    return c.agg(F.count("*").alias("n"))
+
+
+def gold_title_pairs(rows: DataFrame, target: str = "apoum_title", sources: tuple[str, ...] = ("MSD_title", "gesund_title", "NHS_title"), *keep: str) -> DataFrame:
+    """Distinct pairs of a source title and a target title, both stripped and not empty, of lists parted by ";"."""
+    parts = lambda c: F.filter(F.transform(F.split(c, ";"), lambda x: F.trim(x)), lambda x: x != "")
+    lists = F.flatten(F.array(*(F.coalesce(parts(F.col(c)), F.array().cast("array<string>")) for c in sources)))
+    return rows.select(*keep, F.explode(parts(F.col(target))).alias("target"), lists.alias("_s")).select(*keep, F.explode("_s").alias("source"), "target").distinct()
+
+
+def eval_pairs(rows: DataFrame, raw: DataFrame | None = None, comment: str = "comments", order: str = "row") -> DataFrame:
+    """Labelled pairs, the last label of a pair winning; pairs that only the raw table has are wrong.
+
+    Only the three spellings of the sheet are normalised, so others stay as they are.
+    """
+    spelled = F.col(comment)
+    for k, v in (("False", "falsch"), ("richtig_1", "richtig"), ("richtig_2", "richtig")):
+        spelled = F.when(F.col(comment) == k, v).otherwise(spelled)
+    got = gold_title_pairs(rows.withColumn("label", spelled).where("label is not null"), "apoum_title", ("MSD_title", "gesund_title", "NHS_title"), order, "label")
+    gold = got.groupBy("source", "target").agg(F.max_by("label", order).alias("label"))
+    if raw is None:
+        return gold
+    rest = gold_title_pairs(raw).join(gold, ["source", "target"], "left_anti").withColumn("label", F.lit("falsch"))
+    return gold.unionByName(rest)
+
+
+def judged(pairs: DataFrame, provider, labels: tuple[str, ...] = LABELS, tries: int = 4, wait: float = 1.0, batch: int = 32) -> DataFrame:
+    """Adds ``pred``, ``attempts``, ``prompt_tokens``, ``cached_tokens`` and ``completion_tokens`` by a judge.
+
+    ``provider(title_a, title_b)`` returns (answer, usage dict). An answer that is no label, or an error, is tried again
+    after ``wait`` times 1, 2, 4 ... seconds; the last failure stops the task, which Spark then runs anew.
+    """
+    def run(batches):
+        import time
+
+        import pandas as pd
+        for pdf in batches:
+            out = []
+            for a, b in zip(pdf["title_a"], pdf["title_b"]):
+                for i in range(tries + 1):
+                    try:
+                        answer, usage = provider(a, b)
+                        if answer not in labels:
+                            raise ValueError(f"no label: {answer!r}")
+                        break
+                    except Exception:
+                        if i == tries:
+                            raise
+                        time.sleep(wait * 2 ** i)
+                out.append((answer, i + 1, *(int(usage.get(k, 0)) for k in ("prompt_tokens", "cached_tokens", "completion_tokens"))))
+            yield pd.concat([pdf.reset_index(drop=True), pd.DataFrame(out, columns=["pred", "attempts", "prompt_tokens", "cached_tokens", "completion_tokens"])], axis=1)
+
+    ship(pairs.sparkSession)
+    schema = ", ".join(f"`{n}` {t}" for n, t in pairs.dtypes)
+    return pairs.mapInPandas(run, f"{schema}, pred string, attempts long, prompt_tokens long, cached_tokens long, completion_tokens long")
+
+
+def usage(calls: DataFrame, *by: str) -> DataFrame:
+    """Counters of a judge's calls: requests, tokens, and the share of prompt tokens that were cached."""
+    total = lambda c: F.coalesce(F.sum(c), F.lit(0))
+    return calls.groupBy(*by).agg(F.count("*").alias("requests"), *(total(c).alias(c) for c in ("prompt_tokens", "cached_tokens", "completion_tokens")),
+                                  F.coalesce(F.try_divide(total("cached_tokens").cast("double"), total("prompt_tokens")), F.lit(0.0)).alias("cache_hit_rate"))
+
+
+def judge_run(pairs: DataFrame, done: DataFrame | None, provider, path: str, keys: list[str]) -> DataFrame:
+    """Judges what a resumed run has left and appends full rows to ``path/full`` and slim ones to ``path/slim``."""
+    from textloom.sources.sinks import append_new, exists
+    rest = pairs if done is None else remaining(pairs, done, keys)
+    full = f"{path}/full"
+    if exists(pairs.sparkSession, full):
+        rest = remaining(rest, pairs.sparkSession.read.parquet(full), keys)
+    append_new(judged(rest, provider), full, keys)
+    whole = pairs.sparkSession.read.parquet(full)
+    append_new(whole.select(*keys, "pred"), f"{path}/slim", keys)
+    return whole
+
+
+def evaluated(gold: DataFrame, provider, limit: int | None = None, hard: bool = False) -> tuple[DataFrame, DataFrame]:
+    """Judgments of gold pairs (source, target, label) and their report; ``hard`` keeps the wrong ones alone in the first."""
+    rows = gold.select(F.col("source").alias("title_a"), F.col("target").alias("title_b"), F.col("label").alias("gold"))
+    rows = rows if limit is None else rows.orderBy("title_a", "title_b").limit(limit)
+    got = judged(rows, provider)
+    return (got.where("gold <> pred") if hard else got), confusion(got)

@@ -43,7 +43,8 @@ def bm25(post: DataFrame, queries: DataFrame, k: int | None = None) -> DataFrame
     idf = F.greatest(F.ln((F.col("n_docs") - F.col("n") + 0.5) / (F.col("n") + 0.5)), F.lit(1e-6))
     score = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
     out = j.groupBy("query_id", "rowid").agg((-F.sum(score)).alias("rank"))
-    out = out.withColumn("rn", F.row_number().over(Window.partitionBy("query_id").orderBy("rank", "rowid")))
+    # Sums differ in their last digits with the order of phrases, so equal ranks are told to nine digits.
+    out = out.withColumn("rn", F.row_number().over(Window.partitionBy("query_id").orderBy(F.round("rank", 9), "rowid")))
     return out if k is None else out.where(F.col("rn") <= k)
 
 
@@ -70,7 +71,7 @@ def lookup_hits(table: DataFrame, queries: DataFrame, k: int = 5, column: str =
     score = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
     one = hit.join(df, "phrase").join(F.broadcast(stats)).select("phrase", "rowid", score.alias("score"))  # one row
     out = sets.join(one, "phrase").groupBy("set", "rowid").agg((-F.sum("score")).alias("rank"))
-    out = out.withColumn("rn", F.row_number().over(Window.partitionBy("set").orderBy("rank", "rowid"))).where(F.col("rn") <= k)
+    out = out.withColumn("rn", F.row_number().over(Window.partitionBy("set").orderBy(F.round("rank", 9), "rowid"))).where(F.col("rn") <= k)
     return q.join(out, "set").select("query_id", "rowid", "rank", "rn")
 
 

@@ -5,9 +5,11 @@ from __future__ import annotations
 import math
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from textloom.functions.text import sig_marker
+
 
 def clean_values(df: DataFrame, column: str, ids: str, order: str) -> DataFrame:
     """Numeric values by id: -1, NaN and non-numbers are dropped, the last of equal ids stays."""
@@ -63,11 +65,14 @@ def exact_p(w: float, n: int) -> float:
     return sum(ways[math.ceil(w):]) / 2 ** n
 
 
-def with_p(ranks: DataFrame, alternative: str = "two-sided", exact_up_to: int = 50) -> DataFrame:
-    """Adds ``p``: exact for up to 50 values without ties, else normal. One row a group, so a batch UDF is cheap."""
-    def p(n: pd.Series, w: pd.Series, ties: pd.Series, z: pd.Series) -> pd.Series:
+def with_p(ranks: DataFrame, alternative: str | Column = "two-sided", exact_up_to: int = 50) -> DataFrame:
+    """Adds ``p``: exact for up to 50 values without ties, else normal. One row a group, so a batch UDF is cheap.
+
+    ``alternative`` (greater, less, two-sided) may be a column.
+    """
+    def p(n: pd.Series, w: pd.Series, ties: pd.Series, z: pd.Series, side: pd.Series) -> pd.Series:
         out = []
-        for a, b, c, d in zip(n, w, ties, z):
+        for a, b, c, d, alternative in zip(n, w, ties, z, side):
             if pd.isna(a) or a == 0:
                 out.append(None)
                 continue
@@ -79,7 +84,7 @@ def with_p(ranks: DataFrame, alternative: str = "two-sided", exact_up_to: int =
             out.append({"greater": hi, "less": lo}.get(alternative, min(1.0, 2 * min(hi, lo))))
         return pd.Series(out, dtype="float64")
 
-    return ranks.withColumn("p", F.pandas_udf(p, "double")("n", "w_plus", "ties", "z"))
+    return ranks.withColumn("p", F.pandas_udf(p, "double")("n", "w_plus", "ties", "z", F.lit(alternative) if isinstance(alternative, str) else alternative))
 
 
 def rejected(tests: DataFrame, family: list[str], how: str = "holm", alpha: float = 0.05) -> DataFrame:
@@ -95,14 +100,37 @@ def rejected(tests: DataFrame, family: list[str], how: str = "holm", alpha: floa
     return t.withColumn("reject", F.coalesce(F.col("_r") < F.min("_bad").over(w), F.lit(True)) & F.col("p").isNotNull()).drop("_m", "_r", "_bad")
 
 
-def grade(steps: DataFrame, keys: list[str], alpha: float = 0.05) -> DataFrame:
-    """Verdict per metric over its steps: columns expected (-1, 0, 1), shift and p (of the expected direction)."""
-    right = F.signum("shift") == F.col("expected")
-    sig, n = F.col("p") < alpha, F.count("*")
-    c = steps.groupBy(*keys).agg(n.alias("k"), F.count_if(F.col("shift").isNull() | F.col("p").isNull()).alias("_miss"), F.max("expected").alias("_e"), F.count_if(~right & (1 - F.col("p") < alpha)).alias("_ws"),
-                                 F.count_if(~right).alias("_w"), F.count_if(right & sig).alias("_rs"), F.count_if(right).alias("_r"))
-    v = (F.when(F.col("_e") == 0, "(no expectation)").when(F.col("_miss") > 0, "missing data").when(F.col("_ws") > 0, "WRONG DIRECTION").when(F.col("_w") > 0, "NEAR-MONO")
-         .when(F.col("_rs") == F.col("k"), "PASS").otherwise(F.concat(F.lit("monotonic "), F.col("_rs"), F.lit("/"), F.col("k"))))
+def right_direction(delta: Column, expected: Column) -> Column:
+    """A shift of 0 is never right."""
+    return ((delta > 0) & (expected > 0)) | ((delta < 0) & (expected < 0))
+
+
+def wrong_p(p: Column, one_sided: bool = True) -> Column:
+    """The p-value against the expected direction: one-sided tests report it towards that direction."""
+    return 1 - p if one_sided else p
+
+
+def wrong_marker(delta: Column, p: Column, expected: Column, one_sided: bool = True) -> Column:
+    """Marker of a shift in the wrong direction; empty for right ones, none expected, or missing values."""
+    none = (expected == 0) | delta.isNull() | p.isNull() | right_direction(delta, expected)
+    return F.when(none, "").otherwise(sig_marker(wrong_p(p, one_sided)))
+
+
+def grade(steps: DataFrame, keys: list[str], alpha: float = 0.05, one_sided: bool = True) -> DataFrame:
+    """Verdict per metric over its steps: columns expected (-1, 0, 1), shift and p.
+
+    A step without data (a null shift) makes the metric "missing data"; an undefined p is not significant.
+    """
+    e = F.col("expected")
+    right = F.coalesce(right_direction(F.col("shift"), e), F.lit(False))
+    sig = F.coalesce(F.col("p") < alpha, F.lit(False))
+    flip = ~right & F.coalesce(wrong_p(F.col("p"), one_sided) < alpha, F.lit(False))
+    c = steps.groupBy(*keys).agg(F.count("*").alias("k"), F.count_if(F.col("shift").isNull()).alias("_miss"), F.max("expected").alias("_e"), F.count_if(flip).alias("_ws"),
+                                 F.count_if(~right).alias("_w"), F.count_if(right & sig).alias("_rs"))
+    of = lambda n: F.concat(F.col(n), F.lit("/"), F.col("k"))
+    v = (F.when(F.col("_miss") > 0, "missing data").when(F.col("_e") == 0, "(no expectation)").when(F.col("_ws") > 0, F.concat(F.lit("WRONG DIRECTION ("), of("_ws"), F.lit(" sig.)")))
+         .when(F.col("_w") > 0, F.concat(F.lit("NEAR-MONO (flip ns; "), of("_rs"), F.lit(" right-sig.)"))).when(F.col("_rs") == F.col("k"), "PASS (monotonic, all sig.)")
+         .otherwise(F.concat(F.lit("monotonic, "), of("_rs"), F.lit(" sig."))))
     return c.select(*keys, v.alias("verdict"))
 
 

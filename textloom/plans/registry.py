@@ -84,6 +84,14 @@ def _index(s, d):
     return _docs(s, d).select(F.explode(F.array(*ids)).alias("x"), "source", c.cast("string").alias("instance")).select("x.*", "source", "instance")
 
 
+def _records(s, d):
+    """Records with a map from vocabulary to lists of (value, distance), one vocabulary unknown."""
+    c, v = F.col("doc_id"), ("ICD-10CM", "MeSH", "DOID", "Pschyrembel")
+    one = lambda x: F.array(F.struct(x.alias("value"), F.lit(0.0).alias("distance")))
+    ids = F.create_map(*[y for i, x in enumerate(v) for y in (F.lit(x), one(F.floor(c / (3 + i)).cast("string")))], F.lit("other"), one(c.cast("string")))
+    return _docs(s, d).select("source", c.cast("string").alias("instance"), ids.alias("external_ids"))
+
+
 INDEX = "SELECT v AS vocab, (doc_id // k)::VARCHAR AS value, source, doc_id::VARCHAR AS instance FROM documents, (VALUES ('ICD-10CM', 3), ('MeSH', 4), ('DOID', 5), ('Pschyrembel', 6)) t(v, k)"
 
 
@@ -96,24 +104,33 @@ def _cells(s, d):
 CELLS = "SELECT l_returnflag AS metric, l_linestatus AS step, l_quantity - 25 AS delta, l_quantity / 2 - 12 AS d_simp, l_quantity - 25.0 AS d_orig, l_extendedprice AS value FROM lineitem"
 
 
-def _post(s, d):
-    return search.postings(_titles(s, d).withColumnRenamed("doc_id", "rowid"))
+def _rows(s, d):
+    return _titles(s, d).withColumnRenamed("doc_id", "rowid")
+
+
+def _phrase_search(s, d):
+    """The titles of every twentieth document, as phrases, in all texts: the ten best of each."""
+    rows = _rows(s, d)
+    return rounded(search.lookup_hits(rows, _title_queries(rows.where(F.col("rowid") % 20 == 0)), 10, "text")).select("query_id", "rowid", "rank")
 
 
-def _phrases(s):
-    rows = [(1, 1, "the"), (1, 2, "of the"), (2, 1, "is and"), (3, 1, "die und"), (4, 1, "in the that")]
-    return s.createDataFrame(rows, "query_id int, phrase_id int, phrase string")
+def _phrase_top(s, d):
+    """The same queries in all titles, by postings."""
+    rows = _rows(s, d)
+    q = _title_queries(rows.where(F.col("rowid") % 20 == 0)).select("query_id", F.posexplode(F.array_distinct("phrases")).alias("phrase_id", "phrase"))
+    return rounded(search.bm25(search.postings(rows, ("title",)), q, 10)).select("query_id", "rowid", "rank")
 
 
-POST = rf"""post AS (SELECT c AS col, doc_id AS rowid, unnest(ws) AS term, unnest(range(len(ws))) AS pos FROM (
-  SELECT 'title' AS c, doc_id, regexp_extract_all(lower(title), {WORDS}) AS ws FROM ti UNION ALL SELECT 'text', doc_id, regexp_extract_all(lower(text), {WORDS}) FROM ti)),
-q(query_id, phrase_id, phrase) AS (VALUES (1, 1, 'the'), (1, 2, 'of the'), (2, 1, 'is and'), (3, 1, 'die und'), (4, 1, 'in the that')),
-w AS (SELECT query_id, phrase_id, string_split(phrase, ' ') AS ws FROM q),
-tm AS (SELECT query_id, phrase_id, len(ws) AS m, unnest(ws) AS term, unnest(range(len(ws))) AS off FROM w),
-ph AS (SELECT query_id, phrase_id, rowid, count(*) AS tf FROM (SELECT query_id, phrase_id, rowid, col, pos - off AS ap, m FROM post JOIN tm USING (term) GROUP BY ALL HAVING count(DISTINCT off) = m) GROUP BY ALL)"""
-BM25 = """dl AS (SELECT rowid, count(*) AS dl FROM post GROUP BY rowid), st AS (SELECT count(*) AS n, avg(dl) AS a FROM dl),
-df AS (SELECT query_id, phrase_id, count(*) AS k FROM ph GROUP BY ALL),
-sc AS (SELECT query_id, rowid, -sum(greatest(ln((n - k + 0.5) / (k + 0.5)), 1e-6) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / a))) AS rank FROM ph JOIN df USING (query_id, phrase_id) JOIN dl USING (rowid), st GROUP BY ALL)"""
+def _look(column: str, k: int, length: str | None = None) -> str:
+    """CTEs of the search for every twentieth title: ``top`` (query_id, rowid, rank, rn). Lengths count both columns."""
+    size = f"len(regexp_extract_all(lower(coalesce({length or 'title'}, '')), {WORDS}))" + ("" if length else f" + len(regexp_extract_all(lower(coalesce(text, '')), {WORDS}))")
+    return rf"""ti AS ({TITLES}), rw AS (SELECT doc_id AS rowid, regexp_extract_all(lower({column}), {WORDS}) AS w, {size} AS dl FROM ti), st AS (SELECT count(*) AS n, avg(dl) AS a FROM rw WHERE dl > 0),
+qs AS (SELECT doc_id AS query_id, list_distinct(list_filter(list_transform(list_filter(list_transform(string_split(translate(lower(title), '"()', ''), ','), lambda p: trim(p)), lambda p: p <> ''), lambda p: regexp_extract_all(p, {WORDS})), lambda p: len(p) > 0)) AS ps FROM ti WHERE doc_id % 20 = 0),
+qp AS (SELECT query_id, unnest(ps) AS phrase FROM qs), sz AS (SELECT DISTINCT len(phrase) AS m FROM qp), pd AS (SELECT DISTINCT phrase FROM qp),
+gr AS (SELECT rowid, dl, w, m, unnest(range(len(w) - m + 1)) AS i FROM rw, sz WHERE len(w) >= m), hp AS (SELECT rowid, dl, list_slice(w, i + 1, i + m) AS phrase FROM gr),
+ht AS (SELECT phrase, rowid, dl, count(*) AS tf FROM hp SEMI JOIN pd USING (phrase) GROUP BY ALL), df AS (SELECT phrase, count(*) AS k FROM ht GROUP BY phrase),
+sc AS (SELECT query_id, rowid, -sum(greatest(ln((n - k + 0.5) / (k + 0.5)), 1e-6) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / a))) AS rank FROM qp JOIN ht USING (phrase) JOIN df USING (phrase), st GROUP BY ALL),
+top AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(rank, 9), rowid) AS rn FROM sc) WHERE rn <= {k})"""
 
 
 def _knn(metric):
@@ -174,8 +191,8 @@ _W = "count(*) FILTER (is_word)"
 MEASURES = rf"""WITH {TOKL}, m AS (SELECT doc_id, {_W} AS n, {_W}::DOUBLE / nullif(count(DISTINCT sent_id) FILTER (is_word), 0) AS sl, avg(syllables) FILTER (is_word) AS sy,
  count(*) FILTER (is_word AND syllables >= 3)::DOUBLE / nullif({_W}, 0) AS ms, count(*) FILTER (is_word AND syllables = 1)::DOUBLE / nullif({_W}, 0) AS es, count(*) FILTER (is_word AND length(text) > 6)::DOUBLE / nullif({_W}, 0) AS iw,
  count(*) FILTER (is_word AND pos = 'NOUN')::DOUBLE / nullif({_W}, 0) AS no, count(*) FILTER (is_word AND pos = 'ADJ')::DOUBLE / nullif({_W}, 0) AS aj, count(*) FILTER (is_word AND pos IN ('VERB', 'AUX'))::DOUBLE / nullif({_W}, 0) AS ve,
- count(*) FILTER (is_word AND pos NOT IN ('AUX', 'DET', 'ADP'))::DOUBLE / nullif({_W}, 0) AS fu, count(*) FILTER (is_word AND pos = 'NUM')::DOUBLE / nullif({_W}, 0) AS nu,
- count(*) FILTER (is_word AND ((lang = 'de' AND lemma IN ({", ".join(repr(x) for x in annotate.NEGATIONS["de"])})) OR (lang = 'en' AND lemma IN ({", ".join(repr(x) for x in annotate.NEGATIONS["en"])}))))::DOUBLE / nullif({_W}, 0) AS ng,
+ count(*) FILTER (is_word AND NOT CASE WHEN lang = 'en' THEN pos IN ('AUX', 'DET', 'ADP', 'CCONJ', 'SCONJ', 'PART', 'PRON') ELSE pos IN ('AUX', 'DET', 'ADP') END)::DOUBLE / nullif({_W}, 0) AS fu, count(*) FILTER (is_word AND pos = 'NUM')::DOUBLE / nullif({_W}, 0) AS nu,
+ count(*) FILTER (is_word AND ((lang = 'de' AND lemma IN ('nicht', 'kein', 'nie', 'nein', 'keineswegs', 'keinesfalls', 'nichts', 'nirgends', 'nimmer', 'niemand', 'nirgendwo', 'niemals')) OR (lang = 'en' AND lemma IN ('not', 'no', 'never', 'neither', 'nor', 'nobody', 'nothing', 'nowhere', 'none'))))::DOUBLE / nullif({_W}, 0) AS ng,
  count(DISTINCT lemma) FILTER (is_word)::DOUBLE / nullif({_W}, 0) AS tt, count(DISTINCT lemma) FILTER (is_alpha AND NOT is_stop) AS v, count(*) FILTER (is_alpha AND NOT is_stop) AS tl, count(*) FILTER (is_alpha) AS ta, count(DISTINCT sent_id) AS ns FROM tok GROUP BY doc_id)
 SELECT doc_id, round(sl, 6) AS avg_sentence_length, round(sy, 6) AS avg_syllable_length, round(no, 6) AS noun_ratio, round(aj, 6) AS adjective_ratio, round(ve, 6) AS verb_ratio, round(fu, 6) AS function_word_ratio, round(nu, 6) AS numbers_ratio, round(ng, 6) AS negations_ratio,
  round(tt, 6) AS type_token_ratio, tl AS text_length_lex, ta AS text_length, ns AS text_length_sentences, n AS n_words, round(0.39 * sl + 11.8 * sy - 15.59, 6) AS fkgl,
@@ -195,16 +212,16 @@ def _text_functions(s, d):
     t = F.col("text")
     df = _docs(s, d).withColumn("md", F.concat(F.lit("| a | b |\n|---|---|\n"), t))
     return df.select("doc_id", F.md5(T.normalize_newlines(t).cast("binary")).alias("newlines"), F.md5(T.collapse_newlines(F.replace(t, F.lit("\n"), F.lit("\n\n\n"))).cast("binary")).alias("collapsed"), F.md5(T.edit_md_tables(F.col("md")).cast("binary")).alias("tables"),
-                     T.word_count(t).cast("long").alias("n_words"), F.array_join(T.split_ids(F.lit("a; b;;c ")), "|").alias("ids"), T.short_id(F.col("source"), F.concat(F.col("doc_id").cast("string"), F.lit("_de"))).alias("short"),
-                     T.after_thinking(F.concat(F.lit("<think>x</think> "), F.col("source"))).alias("answer"), T.parse_verdict(F.concat(F.lit("<think>falsch</think>Ist richtig "), F.col("source"))).alias("verdict"), T.sig_marker(F.col("n_chars") / 10000.0).alias("marker"),
-                     T.format_query(F.concat(F.col("source"), F.lit(", x"))).alias("query"), F.to_json(T.highlight_offsets(F.concat(F.lit("a <b>bc</b> d <b>"), F.col("source"), F.lit("</b>")))).alias("offsets"), T.plot_title(F.lit("a--b \\%")).alias("title"),
+                     T.word_count(t).cast("long").alias("n_words"), F.array_join(T.split_ids(F.concat(F.col("source"), F.lit("; "), F.col("lang"), F.lit(";; "), F.col("doc_id").cast("string"))), "|").alias("ids"), T.short_id(F.col("source"), F.concat(F.col("doc_id").cast("string"), F.lit("_de"))).alias("short"),
+                     T.after_thinking(F.concat(F.lit("<think>x</think> "), F.col("source"))).alias("answer"), T.parse_verdict(F.concat(F.lit("<think>falsch</think>Ist "), F.element_at(F.array(*map(F.lit, ("Richtig", "eine Spezialisierung", "falsch", "unklar"))), (F.col("doc_id") % 4 + 1).cast("int")), F.lit(" "))).alias("verdict"), T.sig_marker(F.col("n_chars") / 10000.0).alias("marker"),
+                     T.format_query(F.concat(F.col("source"), F.lit(", x"))).alias("query"), F.to_json(T.highlight_offsets(F.concat(F.lit("a <b>bc</b> d <b>"), F.col("source"), F.lit("</b>")))).alias("offsets"), T.plot_title(F.concat(F.col("source"), F.lit("--"), F.col("lang"), F.lit(" \\%"))).alias("title"),
                      T.render_prompt("Say: {TEXT}!", F.col("source")).alias("prompt"), T.strip_bracket(F.concat(F.col("source"), F.lit(" [x]"))).alias("bare"))
 
 
 TEXT_FUNCTIONS = r"""SELECT doc_id, md5(regexp_replace(trim(text), '\n+', chr(10) || chr(10), 'g')) AS newlines, md5(regexp_replace(replace(text, chr(10), chr(10) || chr(10) || chr(10)), '\n\n+', chr(10) || chr(10), 'g')) AS collapsed,
 md5(regexp_replace(regexp_replace('| a | b |' || chr(10) || '|---|---|' || chr(10) || text, '(\| *-+ *)+\| *\n', chr(10), 'g'), ' *\| *', chr(10), 'g')) AS tables, len(regexp_extract_all(text, '[^\x20\x09-\x0D]+'))::BIGINT AS n_words,
-'a|b|c' AS ids, doc_id::VARCHAR AS short, source AS answer, 'richtig' AS verdict, CASE WHEN n_chars / 10000.0 < 0.001 THEN '***' WHEN n_chars / 10000.0 < 0.01 THEN '**' WHEN n_chars / 10000.0 < 0.05 THEN '*' ELSE 'ns' END AS marker,
-'("' || source || '" OR "x")' AS query, '[{"s":2,"e":4},{"s":7,"e":' || (7 + length(source)) || '}]' AS offsets, 'a–b %' AS title, 'Say: ' || source || '!' AS prompt, source AS bare FROM documents"""
+source || '|' || lang || '|' || doc_id AS ids, doc_id::VARCHAR AS short, source AS answer, ['richtig', 'spezialisierung', 'falsch', 'ist unklar'][doc_id % 4 + 1] AS verdict, CASE WHEN n_chars / 10000.0 < 0.001 THEN '***' WHEN n_chars / 10000.0 < 0.01 THEN '**' WHEN n_chars / 10000.0 < 0.05 THEN '*' ELSE 'ns' END AS marker,
+'("' || source || '" OR "x")' AS query, '[{"s":2,"e":4},{"s":7,"e":' || (7 + length(source)) || '}]' AS offsets, source || '–' || lang || ' %' AS title, 'Say: ' || source || '!' AS prompt, source AS bare FROM documents"""
 
 
 def _members(s, d):
@@ -247,8 +264,19 @@ def _rejected(how):
 
 
 def _steps(s, d):
-    c = table(s, d, "customer")
-    return c.select((F.col("c_custkey") % 40).alias("metric"), F.lit(1).alias("expected"), F.when(F.col("c_custkey") % 11 == 0, -1.0).otherwise(1.0).alias("shift"), ((F.col("c_custkey") % 7) / 100.0).alias("p"))
+    """Steps of metrics, some without an expectation, a shift or a p-value."""
+    k = F.col("c_custkey")
+    shift = F.when(k % 97 == 0, F.lit(None).cast("double")).when(k % 11 == 0, -1.0).when(k % 13 == 0, 0.0).otherwise(1.0)
+    return table(s, d, "customer").select((k % 400).alias("metric"), (F.lit(1) - k % 400 % 3).cast("int").alias("expected"), shift.alias("shift"),
+                                          F.when(k % 17 == 0, F.lit(None).cast("double")).otherwise((k * 7 % 101) / 100.0).alias("p"))
+
+
+_VERDICT = """WITH s AS (SELECT c_custkey % 400 AS metric, 1 - c_custkey % 400 % 3 AS e, CASE WHEN c_custkey % 97 = 0 THEN NULL WHEN c_custkey % 11 = 0 THEN -1 WHEN c_custkey % 13 = 0 THEN 0 ELSE 1 END AS shift,
+ CASE WHEN c_custkey % 17 = 0 THEN NULL ELSE (c_custkey * 7 % 101) / 100.0::DOUBLE END AS p FROM customer),
+r AS (SELECT *, coalesce(shift * e > 0, false) AS ok FROM s),
+c AS (SELECT metric, any_value(e) AS e, count(*) AS k, count(*) FILTER (shift IS NULL) AS miss, count(*) FILTER (NOT ok AND {p} < 0.05::DOUBLE) AS ws, count(*) FILTER (NOT ok) AS w, count(*) FILTER (ok AND p < 0.05::DOUBLE) AS rs FROM r GROUP BY metric)
+SELECT metric, CASE WHEN miss > 0 THEN 'missing data' WHEN e = 0 THEN '(no expectation)' WHEN ws > 0 THEN 'WRONG DIRECTION (' || ws || '/' || k || ' sig.)' WHEN w > 0 THEN 'NEAR-MONO (flip ns; ' || rs || '/' || k || ' right-sig.)'
+ WHEN rs = k THEN 'PASS (monotonic, all sig.)' ELSE 'monotonic, ' || rs || '/' || k || ' sig.' END AS verdict FROM c"""
 
 
 def _bigram(s, d):
@@ -266,11 +294,13 @@ round(exp(sum(loss * n) / sum(n)), 4) AS appl_fulltext FROM l GROUP BY doc_id"""
 
 
 def _mask(s, d):
-    tok = _tok(s, d)
+    """Ranks from the number of types of each larger frequency; there are few distinct frequencies."""
     from pyspark.sql import Window
-    f = keyness.frequencies(tok).groupBy("freq").agg(F.collect_list("token").alias("ts"), F.count("*").alias("c"))
-    r = f.select(F.explode("ts").alias("token"), (1 + F.coalesce(F.sum("c").over(Window.orderBy(F.desc("freq")).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).alias("rank"))
-    return rounded(language_model.masked_rank(tok, r))
+    tok = _tok(s, d)
+    f = keyness.frequencies(tok)
+    c = f.groupBy("freq").agg(F.count("*").alias("c"))
+    c = c.select("freq", (1 + F.coalesce(F.sum("c").over(Window.orderBy(F.desc("freq")).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).alias("rank"))
+    return rounded(language_model.masked_rank(tok, f.join(c, "freq").select("token", "rank")))
 
 
 def _hits(s, d):
@@ -312,9 +342,9 @@ def queries() -> dict:
         "word_frequency": lambda s, d: rounded(metrics.word_freq(_tok(s, d), _freq_table(s, d)), 8),
         "noun_phrases": lambda s, d: rounded(metrics.noun_phrases(_tok(s, d))),
         "tree_depth": lambda s, d: rounded(metrics.tree_depth(_tok(s, d))),
-        "subword_measures": lambda s, d: rounded(vocabulary.subword_metrics(annotate.sentences(_spread(_docs(s, d))), _tok(s, d))),
+        "subword_measures": lambda s, d: rounded(vocabulary.subword_metrics(annotate.sentences(_spread(_docs(s, d))), _tok(s, d), _docs(s, d))),
         "text_functions": _text_functions,
-        "markdown_plain": lambda s, d: _docs(s, d).select("doc_id", F.length(T.preprocess(F.col("text"), "strip", True)).alias("n_chars")),
+        "markdown_plain": lambda s, d: _docs(s, d).select("doc_id", T.preprocess(F.col("text"), "strip", True).alias("plain")),
         "normal_titles": lambda s, d: _titles(s, d).select("doc_id", T.clean_query(F.col("title")).alias("query")),
         "html_plain": lambda s, d: corpus.html_pages(table(s, d, "pages")),
         "token_frequencies": lambda s, d: keyness.frequencies(_words(_docs(s, d))),
@@ -324,10 +354,9 @@ def queries() -> dict:
         "keyness_bayes_g": lambda s, d: rounded(keyness.compare(*_freqs(s, d), metrics=("bf", "g"))).select("token", "bf", "g"),
         "keyness_unknown": lambda s, d: rounded(keyness.unknown_mass(*_freqs(s, d))),
         "keyness_merge_outer": lambda s, d: rounded(_merge(s, d, "outer")), "keyness_merge_inner": lambda s, d: rounded(_merge(s, d, "inner")),
-        "jargon_density": lambda s, d: keyness.jargon_density(_doc_words(s, d), _jargon_table(s, d), 2.0, 0.1),
-        "jargon_terms": lambda s, d: rounded(keyness.jargon_terms(_doc_words(s, d), _jargon_table(s, d), 2.0, "or", 0.1)).where("is_jargon").select("doc_id", "token", "freq_in_text", "score"),
-        "phrase_search": lambda s, d: rounded(search.bm25(_post(s, d), _phrases(s))).select("query_id", "rowid", "rank"),
-        "phrase_top": lambda s, d: search.bm25(_post(s, d), _phrases(s), 10).groupBy("query_id").agg(F.count("*").alias("n"), F.max("rn").alias("last")),
+        "jargon_density": lambda s, d: keyness.jargon_density(_doc_words(s, d), _jargon_table(s, d)),
+        "jargon_terms": lambda s, d: rounded(keyness.jargon_terms(_doc_words(s, d), _jargon_table(s, d))).where("is_jargon").select("doc_id", "token", "freq_in_text", "score"),
+        "phrase_search": _phrase_search, "phrase_top": _phrase_top,
         "title_lookup": lambda s, d: search.lookup_titles(*_hits(s, d), ["source", "language"]).select("query_id", F.array_join("source", ",").alias("sources"), F.array_join("language", ",").alias("languages")),
         "knn_l2": _knn("l2"), "knn_l1": _knn("l1"), "knn_cosine": _knn("cosine"),
         "knn_by_label": _knn_label, "min_distance": lambda s, d: rounded(search.min_distance(_near(s, d), "label")),
@@ -335,13 +364,13 @@ def queries() -> dict:
         "metadata_filter": lambda s, d: table(s, d, "events").select("event_id", F.to_json(F.struct("event_type", "user_id")).alias("meta")).where(search.metadata_filter(F.col("meta"), event_type=["click", "view", "purchase"])).select("event_id"),
         "synonym_rows": lambda s, d: linkage.flattened_synonyms(_titles(s, d).withColumn("syn", F.concat_ws(";", "language", "source", "title")), "doc_id", "title", "syn"),
         "descriptor_sets": lambda s, d: linkage.joined_sets(_titles(s, d), "source", ["language"]),
-        "reverse_index": lambda s, d: _index(s, d).groupBy("vocab", "value").agg(F.count("*").alias("n")),
+        "reverse_index": lambda s, d: linkage.reverse_index(_records(s, d)),
         "two_hop_expansion": lambda s, d: linkage.expand_two_hops(_index(s, d)),
         "instance_expansion": lambda s, d: linkage.expand_by_instance(_index(s, d)),
-        "merge_down": lambda s, d: linkage.merged_down(_index(s, d).where("vocab = 'MeSH'").select("vocab", "value", "source", "instance"), ["vocab", "value"]),
+        "merge_down": lambda s, d: linkage.merged_down(_index(s, d).select("vocab", "value", "source", "instance"), ["vocab", "value"]),
         "cluster_tiers": lambda s, d: linkage.tiers(_atoms(s, d)), "bilingual_clusters": lambda s, d: linkage.bilingual(_bi(s, d)),
         "cluster_pairs": _pairs,
-        "pair_duplicates": lambda s, d: linkage.duplicate_pairs(_titled(s, d).select("title_a", "title_b"), 5).select("n"),
+        "pair_duplicates": lambda s, d: linkage.duplicate_pairs(_titled(s, d).select("title_a", "title_b"), 5),
         "pairs_filtered": lambda s, d: linkage.filtered_pairs(_titled(s, d), _gold_titles(s, d)).select("language", "id_a", "id_b"),
         "pairs_bilingual": lambda s, d: linkage.bilingual_id_pairs(_pairs(s, d).unionByName(_pairs(s, d).withColumn("language", F.lit("xx")))),
         "confusion": lambda s, d: rounded(linkage.confusion(_gold(s, d))),
@@ -351,19 +380,19 @@ def queries() -> dict:
         "unresolved_titles": _unresolved,
         "canonical_edges": lambda s, d: linkage.canonical(_edges(s, d)), "edge_counts": lambda s, d: linkage.canonical(_edges(s, d), True).rollup("judge", "label").agg(F.count("*").alias("n")),
         "partner_tiers": lambda s, d: linkage.partner_tiers(_edges(s, d), _membership(s, d)),
-        "rule_judge": lambda s, d: linkage.rule_judge(_titled(s, d)).groupBy("pred").agg(F.count("*").alias("n")),
+        "rule_judge": lambda s, d: linkage.rule_judge(_titled(s, d)).select("language", "id_a", "id_b", "pred"),
         "best_instances": _instances, "resume_rest": lambda s, d: linkage.remaining(_docs(s, d).select("doc_id"), table(s, d, "labels"), ["doc_id"]),
         "adjacent_steps": lambda s, d: stats.adjacent_steps(_chain(s, d)),
-        "oriented_deltas": lambda s, d: rounded(_delta(s, d)).groupBy("sa", "sb").agg(F.count("*").alias("n"), F.round(F.sum("delta"), 4).alias("total")),
+        "oriented_deltas": lambda s, d: rounded(_delta(s, d)),
         "signed_ranks": _signed, "signed_rank_p": lambda s, d: stats.with_p(stats.signed_ranks(_cells(s, d), ["metric", "step"])).select("metric", "step", "p"),
         "reject_holm": _rejected("holm"), "reject_bonferroni": _rejected("bonferroni"), "reject_none": _rejected("none"),
-        "verdicts": lambda s, d: stats.grade(_steps(s, d), ["metric"]),
+        "verdicts": lambda s, d: stats.grade(_steps(s, d), ["metric"]), "verdicts_two_sided": lambda s, d: stats.grade(_steps(s, d), ["metric"], one_sided=False),
         "bleed_through": lambda s, d: rounded(stats.bleed_through(_cells(s, d), ["metric"])),
         "mean_sd": lambda s, d: rounded(stats.mean_sd(_cells(s, d), ["metric", "step"])), "tier_medians": lambda s, d: rounded(stats.medians(_cells(s, d), ["metric"], 0.5)),
         "box_summary": lambda s, d: rounded(stats.box_summary(_cells(s, d), ["metric", "step"])),
         "value_cleaning": lambda s, d: stats.clean_values(_docs(s, d).select((F.col("doc_id") % 50).alias("id"), F.when(F.col("doc_id") % 3 == 0, "-1").when(F.col("doc_id") % 7 == 0, "x").otherwise(F.col("n_chars").cast("string")).alias("v"), "doc_id"), "v", "id", "doc_id"),
         "bigram_perplexity": _bigram, "adjacent_overlap": lambda s, d: rounded(language_model.adjacent_overlap(_tok(s, d))), "masked_rank": _mask,
-        "simplify_rule": lambda s, d: language_model.simplify(_docs(s, d)).select("doc_id", F.length("simplified_text").alias("n")),
+        "simplify_rule": lambda s, d: language_model.simplify(_docs(s, d)).select("doc_id", F.md5(F.col("simplified_text").cast("binary")).alias("text")),
         "split_registry": lambda s, d: corpus.splits(s, language="de").select("source", "subtree", "language"),
     }
     return q
@@ -404,10 +433,10 @@ def _reverse(s, d):
 
 
 def _unresolved(s, d):
-    """Unresolved titles of each side of the pairs; a side without any has a row too."""
-    left = linkage.unresolved(_titled(s, d).select("title_a", "title_b", F.lit("x").alias("label")), _nodes(s, d))
-    sides = s.createDataFrame([("a",), ("b",)], "side string")
-    return sides.join(left.groupBy("side").agg(F.count("*").alias("n")), "side", "left").select("side", F.coalesce("n", F.lit(0)).alias("n"))
+    """Titles of pairs that no labelled document has: with their side, and in how many pairs."""
+    index = _nodes(s, d).join(table(s, d, "labels").select(F.col("doc_id").cast("string").alias("node")), "node", "left_semi")
+    left = linkage.unresolved(_titled(s, d).select("title_a", "title_b", F.lit("x").alias("label")), index)
+    return left.groupBy("side", "title", "label").agg(F.count("*").alias("n"))
 
 
 def _bi(s, d):
@@ -478,25 +507,28 @@ SELECT doc_id, round(avg(d), 6) AS dep_tree_depth FROM (SELECT doc_id, sent_id,
         "keyness_unknown": f"WITH {KEY} SELECT '<unk>' AS token, coalesce(sum(ref_freq), 0)::BIGINT AS ref_freq, 0.1::DOUBLE AS a, round(sum(ref_freq) + 0.1::DOUBLE, 6) AS b, round(max(sn) + 0.1::DOUBLE * max(sk), 6) AS c, round(max(rn) - sum(ref_freq) + 0.1::DOUBLE * max(rk), 6) AS d FROM j, ts, tr WHERE study_freq = 0",
         "keyness_merge_outer": MERGE, "keyness_merge_inner": MERGE,
         "jargon_density": f"""WITH {KEY}, {DOC_WORDS}, t AS (SELECT doc_id, token, count(*) AS n FROM dw GROUP BY ALL)
-SELECT doc_id, sum(n)::BIGINT AS total_tokens, coalesce(sum(n) FILTER ("or" > 2 AND ref_rel_freq <= 0.1), 0)::BIGINT AS jargon_count, round(100.0 * coalesce(sum(n) FILTER ("or" > 2 AND ref_rel_freq <= 0.1), 0) / sum(n), 4) AS jargon_per_100 FROM t JOIN ke USING (token) GROUP BY doc_id""",
-        "jargon_terms": f"""WITH {KEY}, {DOC_WORDS} SELECT doc_id, token, count(*) AS freq_in_text, round(max("or"), 6) AS score FROM dw JOIN ke USING (token) WHERE "or" > 2 AND ref_rel_freq <= 0.1 GROUP BY doc_id, token""",
-        "phrase_search": f"WITH ti AS ({TITLES}), {POST}, {BM25} SELECT query_id, rowid, round(rank, 6) AS rank FROM sc",
-        "phrase_top": f"WITH ti AS ({TITLES}), {POST} SELECT query_id, least(10, count(DISTINCT rowid)) AS n, least(10, count(DISTINCT rowid))::INT AS last FROM ph GROUP BY query_id",
+SELECT doc_id, sum(n)::BIGINT AS total_tokens, coalesce(sum(n) FILTER ("or" > 20 AND ref_rel_freq <= 0.001::DOUBLE), 0)::BIGINT AS jargon_count, round(100.0 * coalesce(sum(n) FILTER ("or" > 20 AND ref_rel_freq <= 0.001::DOUBLE), 0) / sum(n), 4) AS jargon_per_100 FROM t JOIN ke USING (token) GROUP BY doc_id""",
+        "jargon_terms": f"""WITH {KEY}, {DOC_WORDS} SELECT doc_id, token, count(*) AS freq_in_text, round(max("or"), 6) AS score FROM dw JOIN ke USING (token) WHERE "or" > 20 AND ref_rel_freq <= 0.001::DOUBLE GROUP BY doc_id, token""",
+        "phrase_search": f"WITH {_look('text', 10)} SELECT query_id, rowid, round(rank, 6) AS rank FROM top",
+        "phrase_top": f"WITH {_look('title', 10, 'title')} SELECT query_id, rowid, round(rank, 6) AS rank FROM top",
+        "title_lookup": f"""WITH {_look('title', 5)}, j AS (SELECT t.query_id, t.rn, ti.source, ti.language FROM top t JOIN ti ON ti.doc_id = t.rowid)
+SELECT query_id, CASE WHEN bool_or(rn = 1 AND source IS NOT NULL) THEN array_to_string(list_sort(list(DISTINCT source) FILTER (source <> '')), ',') END AS sources,
+ CASE WHEN bool_or(rn = 1 AND language IS NOT NULL) THEN array_to_string(list_sort(list(DISTINCT language) FILTER (language <> '')), ',') END AS languages FROM j GROUP BY query_id""",
         "knn_l2": _knn_sql(f"sqrt(list_sum(list_transform(list_zip({_VA}, {_VB}), lambda x: (x[1] - x[2]) * (x[1] - x[2]))))"), "knn_l1": _knn_sql(f"list_sum(list_transform(list_zip({_VA}, {_VB}), lambda x: abs(x[1] - x[2])))"),
         "knn_cosine": _knn_sql(f"1 - list_cosine_similarity({_VA}, {_VB})"),
         "metadata_filter": "SELECT event_id FROM events WHERE event_type IN ('click', 'view', 'purchase')",
         "synonym_rows": f"""WITH t AS ({TITLES}), y AS (SELECT doc_id, title, 0 AS o FROM t UNION ALL SELECT doc_id, trim(u), 1 FROM (SELECT doc_id, title, unnest(string_split(language || ';' || source || ';' || title, ';')) AS u FROM t) WHERE trim(u) <> '' AND trim(u) <> title)
 SELECT doc_id, title, min(o) AS is_synonym FROM y GROUP BY ALL""",
         "descriptor_sets": "SELECT source, string_agg(DISTINCT lang, '; ' ORDER BY lang) AS language FROM documents GROUP BY source",
-        "reverse_index": f"SELECT vocab, value, count(*) AS n FROM ({INDEX}) GROUP BY ALL",
+        "reverse_index": f"SELECT DISTINCT vocab, value, source, instance FROM ({INDEX})",
         "two_hop_expansion": f"""WITH i AS ({INDEX}), one AS (SELECT DISTINCT * FROM i), m AS (SELECT DISTINCT o.vocab AS v0, o.value AS x0, i.vocab, i.value FROM one o JOIN i USING (source, instance))
 SELECT vocab, value, source, instance FROM one UNION SELECT v0, x0, source, instance FROM m JOIN i USING (vocab, value)""",
         "instance_expansion": f"WITH i AS ({INDEX}) SELECT DISTINCT a.source, a.instance, b.source AS other_source, b.instance AS other FROM i a JOIN i b USING (vocab, value) WHERE a.source <> b.source",
-        "merge_down": f"WITH i AS (SELECT * FROM ({INDEX}) WHERE vocab = 'MeSH') SELECT DISTINCT a.source, a.instance, b.source AS other_source, b.instance AS other FROM i a JOIN i b USING (vocab, value)",
+        "merge_down": f"WITH i AS ({INDEX}) SELECT DISTINCT a.source, a.instance, b.source AS other_source, b.instance AS other FROM i a JOIN i b USING (vocab, value)",
         "cluster_tiers": f"""WITH a AS ({ATOMS}) SELECT language, cluster_id, CASE WHEN any_value(language) = 'de' THEN 2 + max((source = 'gesund')::INT) + max((source = 'apoum')::INT) ELSE 2 + max((source = 'nhs')::INT) END AS tier FROM a GROUP BY language, cluster_id HAVING max((source = 'msd')::INT) = 1""",
         "bilingual_clusters": f"SELECT DISTINCT cluster_id FROM ({ATOMS}) WHERE 2 + cluster_id % 3 = 4 AND 2 + cluster_id % 2 = 3",
         "cluster_pairs": f"{pair} SELECT * FROM pr",
-        "pair_duplicates": f"{titled} SELECT count(*) AS n FROM tp GROUP BY least(title_a, title_b), greatest(title_a, title_b) HAVING count(*) > 1 ORDER BY n DESC LIMIT 5",
+        "pair_duplicates": f"{titled} SELECT least(title_a, title_b) || chr(31) || greatest(title_a, title_b) AS title_pair, count(*) AS n FROM tp GROUP BY 1 HAVING count(*) > 1 ORDER BY n DESC, 1 LIMIT 5",
         "pairs_bilingual": f"{pair} SELECT source_a, id_a, source_b, id_b, 2::BIGINT AS n_languages FROM pr",
         "pairs_filtered": f"""{titled}, k AS (SELECT *, least(title_a, title_b) AS t1, greatest(title_a, title_b) AS t2 FROM tp),
 g AS (SELECT DISTINCT least(trim(title_a), trim(title_b)) AS t1, greatest(trim(title_a), trim(title_b)) AS t2 FROM tp WHERE id_a::BIGINT % 5 = 0),
@@ -519,9 +551,7 @@ SELECT source, id, priority, ['4_tier', '3_tier', '2_tier', 'unaligned'][priorit
         "reject_holm": f"""WITH t AS (SELECT *, count(p) OVER (PARTITION BY metric) AS m, row_number() OVER (PARTITION BY metric ORDER BY p) AS r FROM ({TESTS})), b AS (SELECT *, min(CASE WHEN p >= 0.05::DOUBLE / (m - r + 1) THEN r END) OVER (PARTITION BY metric) AS bad FROM t)
 SELECT metric, step, coalesce(r < bad, true) AS reject FROM b""",
         "reject_bonferroni": f"SELECT metric, step, p < 0.05::DOUBLE / count(p) OVER (PARTITION BY metric) AS reject FROM ({TESTS})", "reject_none": f"SELECT metric, step, p < 0.05 AS reject FROM ({TESTS})",
-        "verdicts": """WITH s AS (SELECT c_custkey % 40 AS metric, CASE WHEN c_custkey % 11 = 0 THEN -1.0 ELSE 1.0 END AS shift, (c_custkey % 7) / 100.0 AS p FROM customer),
-c AS (SELECT metric, count(*) AS k, count(*) FILTER (shift < 0 AND 1 - p < 0.05) AS ws, count(*) FILTER (shift < 0) AS w, count(*) FILTER (shift > 0 AND p < 0.05) AS rs FROM s GROUP BY metric)
-SELECT metric, CASE WHEN ws > 0 THEN 'WRONG DIRECTION' WHEN w > 0 THEN 'NEAR-MONO' WHEN rs = k THEN 'PASS' ELSE 'monotonic ' || rs || '/' || k END AS verdict FROM c""",
+        "verdicts": _VERDICT.format(p="1 - p"), "verdicts_two_sided": _VERDICT.format(p="p"),
         "bleed_through": f"""WITH c AS ({CELLS}), m AS (SELECT metric, step, median(d_orig) AS mo, median(d_simp) AS ms FROM c GROUP BY ALL), p AS (SELECT metric, 100 * median(d_simp) / nullif(median(d_orig), 0) AS pooled FROM c GROUP BY metric)
 SELECT metric, round(100 * avg(ms) / nullif(avg(mo), 0), 6) AS ratio_of_means, round(median(100 * ms / nullif(mo, 0)), 6) AS median_of_ratios, round(100 * max_by(ms, step) / nullif(max_by(mo, step), 0), 6) AS last_step, round(any_value(pooled), 6) AS pooled FROM m JOIN p USING (metric) GROUP BY metric""",
         "mean_sd": f"SELECT metric, step, count(*) AS n, round(avg(value), 6) AS mean, round(stddev_samp(value), 6) AS sd FROM ({CELLS}) WHERE value <> -1 GROUP BY ALL", "tier_medians": f"SELECT metric, round(median(value) * 0.5, 6) AS median FROM ({CELLS}) GROUP BY metric",
@@ -531,5 +561,36 @@ SELECT metric, step, round(q1, 6) AS q1, round(med, 6) AS med, round(q3, 6) AS q
         "bigram_perplexity": BIGRAM,
         "adjacent_overlap": f"""WITH {TOK}, s AS (SELECT doc_id, sent_id, coalesce(list(DISTINCT lemma) FILTER (is_alpha AND NOT is_stop), []) AS l FROM tok GROUP BY ALL), n AS (SELECT *, lead(l) OVER (PARTITION BY doc_id ORDER BY sent_id) AS m FROM s)
 SELECT doc_id, round(avg(list_has_any(l, m)::INT), 6) AS ansp FROM n WHERE m IS NOT NULL GROUP BY doc_id""",
+        "subword_measures": f"""WITH {TOK}, b AS (SELECT doc_id, sent_id, len(regexp_extract_all(sentence, '[^\\s]{{1,4}}')) AS b FROM sx), n AS (SELECT doc_id, sent_id, count(*) AS n FROM tok GROUP BY ALL),
+a AS (SELECT doc_id, avg(b) AS bl, avg(b::DOUBLE / n) AS bt FROM b JOIN n USING (doc_id, sent_id) GROUP BY doc_id), o AS (SELECT doc_id, string_agg(text, ' ' ORDER BY sent_id, tok_i) AS t FROM tok WHERE NOT is_stop AND NOT is_alpha GROUP BY doc_id),
+r AS (SELECT doc_id, length(trim(text))::DOUBLE / nullif(len(regexp_extract_all(trim(text), '[^\\s]{{1,4}}')), 0) AS r FROM documents)
+SELECT doc_id, round(r, 6) AS bpe_char_ratio, round(bl, 6) AS bpe_sentence_length, round(bt, 6) AS avg_bpe_length, round(length(t)::DOUBLE / nullif(len(regexp_extract_all(t, '[^\\s]{{1,4}}')), 0), 6) AS bpe_char_ratio_lex
+FROM r LEFT JOIN a USING (doc_id) LEFT JOIN o USING (doc_id)""",
+        "masked_rank": f"""WITH {TOK}, f AS (SELECT lemma, count(*) AS c FROM tok GROUP BY lemma), k AS (SELECT lemma, rank() OVER (ORDER BY c DESC) AS r, count(*) OVER () AS v FROM f),
+m AS (SELECT *, count(*) OVER (PARTITION BY doc_id, sent_id) AS n, row_number() OVER (PARTITION BY doc_id, sent_id ORDER BY md5('0:' || sent_id || ':' || tok_i), tok_i) AS h FROM tok)
+SELECT doc_id, round(avg(r::DOUBLE / v), 6) AS lmfm FROM m JOIN k USING (lemma) WHERE h <= greatest(1, round(n * 0.15::DOUBLE)) GROUP BY doc_id""",
+        "keyness_bayes_g": f"""WITH {KEY}, x AS (SELECT *, a + b + c + d AS n, (a + b) * (a + c) / (a + b + c + d) AS ea, (a + b) * (b + d) / (a + b + c + d) AS eb, (c + d) * (a + c) / (a + b + c + d) AS ec, (c + d) * (b + d) / (a + b + c + d) AS ed FROM ke),
+y AS (SELECT *, a + sign(ea - a) * least(0.5, abs(ea - a)) AS ya, b + sign(eb - b) * least(0.5, abs(eb - b)) AS yb, c + sign(ec - c) * least(0.5, abs(ec - c)) AS yc, d + sign(ed - d) * least(0.5, abs(ed - d)) AS yd FROM x)
+SELECT token, round(ll - ln(n), 6) AS bf, round(CASE WHEN a / (a + c) < b / (b + d) THEN -2 ELSE 2 END * (ya * ln(ya / ea) + yb * ln(yb / eb) + yc * ln(yc / ec) + yd * ln(yd / ed)), 6) AS g FROM y""",
+        "knn_by_label": f"""WITH p AS (SELECT a.vec_id AS query_id, b.vec_id AS rowid, sqrt(list_sum(list_transform(list_zip({_VA}, {_VB}), lambda x: (x[1] - x[2]) * (x[1] - x[2])))) AS distance FROM embeddings a JOIN embeddings b USING (label) WHERE a.vec_id % 20 = 0)
+SELECT query_id, rowid, round(distance, 6) AS distance FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, rowid) AS rn FROM p) WHERE rn <= 3""",
+        "min_distance": f"""WITH p AS (SELECT a.vec_id AS query_id, b.vec_id AS rowid, b.label, sqrt(list_sum(list_transform(list_zip({_VA}, {_VB}), lambda x: (x[1] - x[2]) * (x[1] - x[2])))) AS distance FROM embeddings a, embeddings b WHERE a.vec_id % 20 = 0)
+SELECT query_id, label, round(min(distance), 6) AS distance FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, rowid) AS rn FROM p) WHERE rn <= 5 GROUP BY ALL""",
+        "reverse_search": f"""WITH near AS (SELECT query_id, rowid, distance, rn FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, rowid) AS rn FROM (
+  SELECT a.vec_id AS query_id, b.vec_id AS rowid, sqrt(list_sum(list_transform(list_zip({_VA}, {_VB}), lambda x: (x[1] - x[2]) * (x[1] - x[2])))) AS distance FROM embeddings a, embeddings b WHERE a.vec_id % 20 = 0)) WHERE rn <= 5),
+{_look('title', 5).replace("WHERE doc_id % 20 = 0", "WHERE doc_id IN (SELECT rowid FROM near)")}
+SELECT query_id, arg_min(rowid, nn) AS rowid, round(arg_min(distance, nn), 6) AS distance FROM (SELECT near.query_id, near.rowid, near.distance, near.rn AS nn FROM near JOIN top ON top.query_id = near.rowid AND top.rowid = near.query_id) GROUP BY query_id""",
+        "unresolved_titles": f"""{titled}, x AS (SELECT DISTINCT substring(text, 1, 12) AS t FROM documents SEMI JOIN labels USING (doc_id)), y AS (SELECT 'a' AS side, title_a AS title FROM tp UNION ALL SELECT 'b', title_b FROM tp)
+SELECT side, title, 'x' AS label, count(*) AS n FROM y ANTI JOIN x ON x.t = y.title GROUP BY ALL""",
+        "edge_counts": f"""WITH e AS (SELECT *, CASE label WHEN 'richtig_1' THEN 'richtig' WHEN 'False' THEN 'falsch' ELSE label END AS l FROM ({EDGES})), c AS (SELECT DISTINCT least(a, b) AS a, greatest(a, b) AS b,
+ CASE WHEN a > b AND l = 'spezialisierung' THEN 'generalisierung' WHEN a > b AND l = 'generalisierung' THEN 'spezialisierung' ELSE l END AS label, judge, model, CASE WHEN a > b THEN b_view ELSE a_view END AS a_view, CASE WHEN a > b THEN a_view ELSE b_view END AS b_view FROM e)
+SELECT judge, label, count(*) AS n FROM c GROUP BY ROLLUP (judge, label)""",
+        "rule_judge": f"""{titled}, l AS (SELECT *, lower(trim(title_a)) AS x, lower(trim(title_b)) AS y FROM tp)
+SELECT language, id_a, id_b, CASE WHEN x = y THEN 'richtig' WHEN contains(x, y) THEN 'spezialisierung' WHEN contains(y, x) THEN 'generalisierung' ELSE 'falsch' END AS pred FROM l""",
+        "oriented_deltas": """WITH v AS (SELECT o_orderkey AS id, o_totalprice AS value FROM orders), t AS (SELECT DISTINCT o_orderpriority AS sa, o_orderstatus AS sb FROM orders),
+p AS (SELECT DISTINCT sa, sb, o_orderkey AS a, o_custkey AS b FROM orders JOIN t ON sa = o_orderpriority AND sb = o_orderstatus)
+SELECT sa, sb, a, b, round(x.value, 6) AS va, round(y.value, 6) AS vb, round(y.value - x.value, 6) AS delta FROM p JOIN v x ON x.id = a JOIN v y ON y.id = b""",
+        "simplify_rule": rf"""WITH s AS (SELECT doc_id, regexp_extract_all(text, '[^.!?\n]+[.!?]*|[.!?]+') AS ss FROM documents)
+SELECT doc_id, md5(array_to_string(list_transform(ss, lambda x: trim(CASE WHEN len(string_split_regex(trim(x), ' +')) > 12 THEN regexp_replace(x, '[,;] +', '. ', 'g') ELSE x END)), ' ')) AS text FROM s""",
         "split_registry": "SELECT * FROM (VALUES ('msd','professional','de'), ('msd','amateur','de'), ('msd','short','de'), ('gesund','amateur','de'), ('apoum','amateur','de')) t(source, subtree, language)",
     }

@@ -114,7 +114,7 @@ _P = np.uint64(0x9E3779B97F4A7C15)
 _PINV = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 _M1, _M2 = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53)
 _BYTE = np.random.default_rng(20240607).integers(1, 1 << 63, 256, dtype=np.uint64) | np.uint64(1)
-_OTHER = np.random.default_rng(20240608).integers(1, 1 << 63, 256, dtype=np.uint64) | np.uint64(1)
+_OTHER = np.random.default_rng(20240608).integers(1, 1 << 32, 256, dtype=np.uint64).astype(np.uint32)
 _POW: dict[str, np.ndarray] = {"p": np.ones(1, np.uint64), "i": np.ones(1, np.uint64)}
 
 
@@ -192,8 +192,12 @@ def span_hashes32(data: np.ndarray, s: np.ndarray, e: np.ndarray) -> np.ndarray:
     """A second hash of each byte span, of 32 bits, over other byte values."""
     if not len(s):
         return np.zeros(0, np.int32)
-    h = prefix(_OTHER[data])
-    return (mix((h[e] - h[s]) * _powers(len(data) + 1)[1][s]) >> np.uint64(32)).astype(np.uint32).view(np.int32)
+    n = len(data)
+    p, i = _powers(n + 1)
+    h = np.zeros(n + 1, np.uint32)
+    np.cumsum(_OTHER[data] * p[:n].astype(np.uint32), out=h[1:])
+    x = ((h[e] - h[s]) * i[s].astype(np.uint32)).astype(np.uint64)
+    return (mix(x + (e - s).astype(np.uint64)) >> np.uint64(32)).astype(np.uint32).view(np.int32)
 
 
 def sliding_min(v: np.ndarray, w: int) -> np.ndarray:

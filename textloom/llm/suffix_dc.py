@@ -185,16 +185,14 @@ def repeated_anchors(docs: DataFrame, firsts: Marks, n: int, k: int, chunk: int
     bits = max(1, (8 * parts - 1).bit_length())
 
     def keys(b):
-        data, off = text_buffer(b["text"])
         mine = firsts.passes(row_key(b["doc"].to_numpy(), b["th"].to_numpy()))
+        data, off = text_buffer(b["text"].filter(pa.array(mine)))
         found = []
         for i, j in chunks(off, chunk):
             row, _, _, place, g, _ = _anchors(data[off[i]:off[j]], off[i:j + 1] - off[i], n, k)
-            r = row[place] + i
-            ok = mine[r]
-            if ok.any():
-                x = g[place[ok]]
-                found.append((x << np.uint64(16) | x >> np.uint64(48), r[ok]))
+            if len(place):
+                x = g[place]
+                found.append((x << np.uint64(16) | x >> np.uint64(48), row[place] + i))
         if not found:
             return
         g, r = (np.concatenate(x) for x in zip(*found))
@@ -247,15 +245,16 @@ def repeats(docs: DataFrame, n: int = N, k: int = K, hot: int = HOT, chunk: int
 
     def snippets(b):
         """Snippets under marked anchors, chunk by chunk: bytes, rows, places in the rows, starts, counts, anchors, hashes."""
-        data, off = text_buffer(b["text"])
         mine = firsts.passes(row_key(b["doc"].to_numpy(), b["th"].to_numpy()))
+        own_rows = np.flatnonzero(mine)
+        data, off = text_buffer(b["text"].filter(pa.array(mine)))
         for i, j in chunks(off, chunk):
             part, po = data[off[i]:off[j]], off[i:j + 1] - off[i]
             row, first, count, gram, g, h = _anchors(part, po, n, k)
             if not len(first):
                 continue
             key = g[gram]
-            ok = mine[i:j][row[first]] & marks.passes(key)
+            ok = marks.passes(key)
             first, count, key = first[ok], count[ok], key[ok]
             warm = heat.passes(key)
             if warm.any():  # one string a snippet, keyed by its content
@@ -265,7 +264,7 @@ def repeats(docs: DataFrame, n: int = N, k: int = K, hot: int = HOT, chunk: int
                 first, count, key = np.r_[first[~warm], f], np.r_[count[~warm], np.ones(len(f), np.int64)], np.r_[key[~warm], own]
             if len(first):
                 ends, r = first + count + n - 1, row[first]
-                yield part, i + r, first - po[r], first, count, key, C.spans_of(h, first, ends).view(np.int64), C.span_hashes32(part, first, ends)
+                yield part, own_rows[i + r], first - po[r], first, count, key, C.spans_of(h, first, ends).view(np.int64), C.span_hashes32(part, first, ends)
 
     def kinds_of(b):
         doc, got = b["doc"].to_numpy(), []

@@ -116,3 +116,101 @@ def near(rows, n=3, share=85):
                 a, b = sorted((root(d), root(o)))
                 up[b] = a
     return [(d, len(sets[d]), root(d), root(d) == d) for d, _ in rows]
+
+
+def _upper_tail(z):
+    import math
+    return 0.5 * math.erfc(z / math.sqrt(2))
+
+
+def secret_spans(rows, q=0.05, q_random=0.01):
+    """(start, kind, end) of base and added spans by doc_id, by one pass of plain Python over each text."""
+    import math
+
+    from textloom.llm import secrets as S
+    assign = re.compile(r"""(?:[pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][dD]|[sS][eE][cC][rR][eE][tT]|[tT][oO][kK][eE][nN]|[aA][pP][iI]_?[kK][eE][yY])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
+    base, tests = {}, []
+    for d, t in rows:
+        t = t or ""
+        spans = [(m.start(), 0, m.end()) for m in assign.finditer(t) if len(m[1]) >= 6]
+        masked = t
+        for a, _, e in spans:
+            masked = masked[:a] + "\n" * (e - a) + masked[e:]
+        spans += [(m.start(), 1, m.end()) for m in re.finditer(r"AKIA[A-Z0-9]{16,}", t)] + [(m.start(), 2, m.end()) for m in re.finditer(r"[0-9a-f]{24,}", t)]
+        base[d] = sorted(spans)
+        for m in re.finditer(r"[A-Za-z0-9+/_-]{20,}", masked):
+            s = m[0]
+            if re.search(r"[0-9a-f]{24,}|AKIA[A-Z0-9]{16,}", s):
+                continue
+            alphabet = next((a for _, p, a in S.ENCODINGS if re.search(p, s)), None)
+            if alphabet is None:
+                continue
+            n, k, x = len(s), len(alphabet), [alphabet.index(c) for c in s]
+            same = sum(s.count(c) * (s.count(c) - 1) for c in alphabet)
+            mean, hi = sum(x) / n, sum(v >= k / 2 for v in x)
+            runs = 1 + sum((a >= k / 2) != (b >= k / 2) for a, b in zip(x, x[1:]))
+            two = 2 * hi * (n - hi)
+            var = two * (two - n) / (n * n * (n - 1))
+            zr = abs(runs - two / n - 1) / math.sqrt(var) if var > 0 else 99.0
+            v2 = sum((v - mean) ** 2 for v in x)
+            rho = sum((a - mean) * (b - mean) for a, b in zip(x, x[1:])) / v2 if v2 > 0 else 1.0
+            cube = 2 / (9 * (k - 1))
+            chi = max(0.0, (k * (same + n) / n - n) / (k - 1))
+            p = min(_upper_tail((chi ** (1 / 3) - 1 + cube) / math.sqrt(cube)), 2 * _upper_tail(zr), 2 * _upper_tail(abs(rho * n + 1) / math.sqrt(n)))
+            kappa = max(1.5 / k, 0.05)
+            pt = _upper_tail((n * (n - 1) * kappa - same) / math.sqrt(2 * n * (n - 1) * kappa * (1 - kappa)))
+            tests.append((0 if n < 24 else 1 if n < 32 else 2 if n < 48 else 3, min(1.0, 3 * p), pt, d, (m.start(), 3, m.end())))
+
+    def cut(at, level):
+        out = {}
+        for c in {x[0] for x in tests}:
+            bins = sorted((math.floor(-10 * math.log10(max(x[at], 1e-40))) for x in tests if x[0] == c), reverse=True)
+            out[c] = max((10 ** (-b / 10) for b in set(bins) if 10 ** (-b / 10) * len(bins) / sum(y >= b for y in bins) <= level), default=0.0)
+        return out
+
+    random, text = cut(1, q_random), cut(2, q)
+    for c, p, pt, d, span in tests:
+        if p > random[c] and pt <= text[c]:
+            base[d] = sorted([*base[d], span])
+    return base
+
+
+def mix(rows, weights=(5, 2, 1), passes=3):
+    """(doc_id, size, source_size, target, taken) of (doc_id, text, source): slots one by one."""
+    word = re.compile(r"[^\x20\x09-\x0D]+")
+    docs = [(d, len(word.findall(t or "")), s) for d, t, s in rows]
+    names = sorted({s for *_, s in docs}, key=lambda s: (s is None, s or ""))
+    size = {s: sum(n for _, n, x in docs if x == s) for s in names}
+    weight = {s: weights[i % len(weights)] for i, s in enumerate(names)}
+    target, left, rest = {}, set(names), float(sum(size.values()))
+    while True:
+        total = sum(weight[s] for s in left)
+        full = [s for s in left if total and rest * weight[s] / total >= passes * size[s]]
+        if not full:
+            break
+        for s in full:
+            target[s] = float(passes * size[s])
+        left -= set(full)
+        rest = sum(size.values()) - sum(target.values())
+    for s in left:
+        target[s] = rest * weight[s] / sum(weight[x] for x in left)
+    words = max(16, min(1024, sum(size.values()) // max(1, len(names) * 1024)))
+    block = {s: max(1, min(words, int(target[s] // 64))) for s in names}
+    due = {s: target[s] / block[s] for s in names}
+    live, upto, at = [s for s in names if target[s] > 0], {}, 0.0
+    for s in live:
+        at += due[s]
+        upto[s] = at
+    got = dict.fromkeys(names, 0)
+    for k in range(sum(-int(-due[s] // 1) for s in names) if live else 0):
+        x = k * 0.6180339887498949 % 1.0
+        s = next((s for s in live if x < upto[s] / at), live[-1])
+        got[s] += block[s]
+    out = []
+    for s in names:
+        own = sorted((hashlib.md5(("none" if d is None else str(d)).encode()).hexdigest(), (d is None, d or 0), n, d) for d, n, x in docs if x == s)
+        start = 0
+        for _, _, n, d in own:
+            out.append((d, n, size[s], target[s], sum(min(n, max(0, got[s] - p * size[s] - start)) for p in range(passes))))
+            start += n
+    return out

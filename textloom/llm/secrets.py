@@ -107,7 +107,10 @@ def with_spans(docs: DataFrame) -> DataFrame:
 
 
 def _tail(z: Column) -> Column:
-    """Upper tail of the normal law: the density times a polynomial, its error below 1e-7."""
+    """Upper tail of the normal law: the density times a polynomial, from 2.5 on times a continued fraction.
+
+    The relative error is below one in ten thousand throughout.
+    """
     # Fixed values of the approximation.
     coefficients, scale = (0.319381530, -0.356563782, 1.781477937, -1.821255978, 1.330274429), 0.2316419
     x = F.abs(z)
@@ -115,7 +118,10 @@ def _tail(z: Column) -> Column:
     poly = F.lit(0.0)
     for c in reversed(coefficients):
         poly = (poly + c) * t
-    p = F.exp(-x * x / 2) * 0.3989422804014327 * poly
+    deep = x
+    for k in range(14, 0, -1):
+        deep = x + k / deep
+    p = F.exp(-x * x / 2) * 0.3989422804014327 * F.when(x < 2.5, poly).otherwise(1 / deep)
     return F.when(z >= 0, p).otherwise(1 - p)
 
 
@@ -151,7 +157,7 @@ def battery(runs: DataFrame, s: str = "s") -> DataFrame:
     cube = 2 / (9 * (k - 1))  # Wilson-Hilferty: the cube root is nearly normal
     p = F.least(_tail((F.pow(F.col("_chi"), 1 / 3) - (1 - cube)) / F.sqrt(cube)), 2 * _tail(F.col("_zr")), 2 * _tail(F.abs(rho * n + 1) / F.sqrt(n)))
     text_z = (n * (n - 1) * kappa - F.col("_same")) / F.sqrt(2 * n * (n - 1) * kappa * (1 - kappa))
-    return df.withColumns({"p_random": F.least(F.lit(1.0), 3 * p), "p_text": _tail(text_z)}).drop(
+    return df.withColumns({"p_random": F.when(F.col("encoding").isNotNull(), F.least(F.lit(1.0), 3 * p)), "p_text": _tail(text_z)}).drop(
         "_sym", "_k", "_x", "_same", "_mean", "_hi", "_runs", "_var", "_cov", "_chi", "_zr")
 
 

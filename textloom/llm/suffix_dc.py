@@ -196,11 +196,12 @@ def repeated_anchors(docs: DataFrame, firsts: Marks, n: int, k: int, chunk: int
         if not found:
             return
         g, r = (np.concatenate(x) for x in zip(*found))
-        order = np.argsort(g, kind="stable")  # rows ascend under one anchor
+        order = np.argsort(g)
         g, r = g[order], r[order]
-        new = np.r_[True, g[1:] != g[:-1]]
-        other = np.add.reduceat((new | np.r_[True, r[1:] != r[:-1]]).astype(np.int64), np.flatnonzero(new))
-        g, count = g[new], np.minimum(other, 255).astype(np.uint8)
+        first = np.flatnonzero(np.r_[True, g[1:] != g[:-1]])
+        several = np.minimum.reduceat(r, first) < np.maximum.reduceat(r, first)
+        times = np.diff(np.r_[first, len(g)])
+        g, count = g[first], np.where(several, np.minimum(times, 255), 1).astype(np.uint8)
         bucket = (g >> np.uint64(64 - bits)).astype(np.int64)
         lead = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]])
         ends = np.r_[lead[1:], len(g)]
@@ -272,10 +273,10 @@ def repeats(docs: DataFrame, n: int = N, k: int = K, hot: int = HOT, chunk: int
             got.append((sk, s2, doc[r], key.view(np.int64)))
         if got:
             sk, s2, d, g = (np.concatenate(x) for x in zip(*got))
-            order = np.lexsort((d, s2, sk))
+            order = np.argsort(sk)
             sk, s2, d, g = sk[order], s2[order], d[order], g[order]
             lead = np.flatnonzero(np.r_[True, (sk[1:] != sk[:-1]) | (s2[1:] != s2[:-1])])
-            yield {"g": g[lead], "sk": sk[lead], "s2": s2[lead], "lo": d[lead], "hi": d[np.r_[lead[1:], len(d)] - 1]}
+            yield {"g": g[lead], "sk": sk[lead], "s2": s2[lead], "lo": np.minimum.reduceat(d, lead), "hi": np.maximum.reduceat(d, lead)}
 
     span = (F.min("lo").alias("lo"), F.max("hi").alias("hi"))
     kinds = stored(arrow(kinds_of, docs, "g long, sk long, s2 int, lo long, hi long").groupBy("g", "sk", "s2").agg(*span))

@@ -2,22 +2,25 @@
 
 A window is ``n`` consecutive words. Every window has one fingerprint: its smallest ``k``-word gram, leftmost on
 ties, so equal windows have equal fingerprints and neighbouring windows share one. Batches of documents, ascending
-by doc_id, become sorted immutable runs (fingerprint, first and last document) in bucketed tables; each new run is
-merge-joined with the older ones without a shuffle; when ``fanout`` runs have gathered, they are merged into one and
-the old ones are dropped. Fingerprints seen in two documents or more mark slots of a bitmap of fixed size.
+by doc_id, become sorted immutable runs (fingerprint, first and last document) in bucketed tables under the index's
+folder; each batch is merge-joined with the older runs without a shuffle of those; when ``fanout`` runs have gathered,
+the two smallest neighbours are merged, and the old ones are deleted. An index can be closed and opened again
+(``RunIndex.open``), so that ``dedup_batch`` finds what a new batch shares with history from runs alone.
 
-Verification reads the texts again, takes the windows whose fingerprint's slot is marked, and compares whole
-windows by 64-bit hash: a window counts as repeated if the first document that holds it is smaller. A slot marked by
-chance only costs a comparison, so the bitmap bounds memory and never changes results.
+The fingerprints that a batch shares with history, or that two of its documents share, are marked. Verification reads
+the texts, takes the windows whose fingerprint is marked, and compares whole windows by 64-bit hash: a window counts as
+repeated if the first document that holds it is smaller. A slot marked by chance only costs a comparison.
 
 Copies of a whole text are found first by SHA-256 and left out of the index (every window of a later copy also
 starts in the first one). Null texts have no words. A null doc_id ranks after all others; documents with equal
-doc_id never remove from one another. Repeated rows get equal results.
+doc_id never remove from one another. Repeated rows get equal results. Very long texts are read whole by the task that
+holds them; an empty table gives no rows; columns beyond doc_id and text are ignored.
 """
 
 from __future__ import annotations
 
 import hashlib
+import json
 import uuid
 
 import numpy as np
@@ -26,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from textloom.llm import common as C
-from textloom.llm.common import Marks, arrow, chunks, keyed, row_key, stored, text_buffer
+from textloom.llm.common import Marks, arrow, chunks, keyed, row_key, shared_dir, stored, text_buffer
 
 N, K, CHUNK = 13, 5, 1 << 20
 INSIDE = ~C.SPACE_BYTES
@@ -79,19 +82,52 @@ def _index(batch: DataFrame, firsts: Marks, n: int, k: int) -> DataFrame:
 
 
 class RunIndex:
-    """Sorted immutable runs in bucketed tables, merged when ``fanout`` of them have gathered."""
+    """Sorted immutable runs in bucketed tables under a folder, merged when ``fanout`` of them have gathered.
 
-    def __init__(self, spark, fanout: int = 3):
-        self.spark, self.fanout, self.runs, self.name = spark, fanout, [], f"run_{uuid.uuid4().hex[:12]}"
-        self.buckets, self.made = int(spark.conf.get("spark.sql.shuffle.partitions")), 0
+    Runs are external tables: their files stay in the folder, which all executors share, and only their names are in the
+    session's catalog. ``close`` writes the list of runs; ``open`` reads it and names them anew.
+    """
+
+    def __init__(self, spark, path: str | None = None, fanout: int = 4):
+        self.spark, self.fanout, self.runs, self.made = spark, fanout, [], 0
+        self.path = path or shared_dir(spark)
+        self.buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+    @classmethod
+    def open(cls, spark, path: str, fanout: int = 4) -> "RunIndex":
+        """The index at a path, empty if there is none."""
+        index = cls(spark, path, fanout)
+        if index._files().exists(index._at("list")):
+            last = max(int(s.getPath().getName()) for s in index._files().listStatus(index._at("list")))
+            state = json.loads(spark.read.text(f"{path}/list/{last}").first()[0])
+            index.buckets, index.made = state["buckets"], last
+            for name in state["runs"]:
+                spark.sql(f"create table if not exists {name} (g long, lo long, hi long) using parquet clustered by (g) sorted by (g) into {index.buckets} buckets location '{path}/{name}'")
+            index.runs = state["runs"]
+        return index
+
+    def _at(self, name: str):
+        return self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
+
+    def _files(self):
+        return self._at("x").getFileSystem(self.spark._jsc.hadoopConfiguration())
+
+    def close(self) -> None:
+        self.made += 1
+        state = json.dumps({"buckets": self.buckets, "runs": self.runs})
+        self.spark.createDataFrame([(state,)], "value string").coalesce(1).write.text(f"{self.path}/list/{self.made}")
 
     def _write(self, df: DataFrame) -> str:
         self.made += 1
-        table = f"{self.name}_{self.made}"
+        table = f"run_{uuid.uuid4().hex}"
         with C.tidy(self.spark):
-            df.write.bucketBy(self.buckets, "g").sortBy("g").format("parquet").saveAsTable(table)
+            df.write.option("path", f"{self.path}/{table}").bucketBy(self.buckets, "g").sortBy("g").format("parquet").saveAsTable(table)
         return table
 
+    def _delete(self, table: str) -> None:
+        self.spark.sql(f"drop table if exists {table}")
+        self._files().delete(self._at(table), True)
+
     def add(self, prints: DataFrame) -> DataFrame:
         """Adds a batch's (g, doc); returns the fingerprints that it shares with older runs or within itself."""
         run = prints.repartition(self.buckets, "g").groupBy("g").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi"))
@@ -105,18 +141,18 @@ class RunIndex:
         return shared
 
     def compact(self) -> None:
-        """Merges runs while there are ``fanout`` or more; a full outer merge join needs no shuffle."""
+        """Merges the two oldest runs while there are ``fanout`` or more; a full outer merge join needs no shuffle."""
         while len(self.runs) >= self.fanout:
             a, b = self.runs[:2]
             x, y = self.spark.table(a), self.spark.table(b).hint("merge").withColumnsRenamed({"lo": "lo2", "hi": "hi2"})
             both = x.join(y, "g", "full_outer").select("g", F.least("lo", "lo2").alias("lo"), F.greatest("hi", "hi2").alias("hi"))
             self.runs = [self._write(both), *self.runs[2:]]
             for old in (a, b):
-                self.spark.sql(f"drop table {old}")
+                self._delete(old)
 
     def drop(self) -> None:
         for t in self.runs:
-            self.spark.sql(f"drop table if exists {t}")
+            self._delete(t)
         self.runs = []
 
 
@@ -137,19 +173,23 @@ def batches(docs: DataFrame, n: int) -> list[DataFrame]:
 def repeats(docs: DataFrame, n: int = N, k: int = K, n_batches: int = 3, chunk: int = CHUNK):
     """``doc, th, at, n``: per row, the window starts that also start in a smaller document (n is 1); and the later copies.
 
-    ``docs``: as ``keyed`` gives them.
+    ``docs``: as ``keyed`` gives them. An index of this call's own takes them in batches.
     """
-    spark = docs.sparkSession
     copies = Copies(docs)
-    firsts, index, shared = copies.firsts, RunIndex(spark), None
+    index, shared = RunIndex(docs.sparkSession), None
     try:
         for batch in batches(docs, n_batches):
             index.compact()
-            found = stored(index.add(_index(batch, firsts, n, k)))
+            found = stored(index.add(_index(batch, copies.firsts, n, k)))
             shared = found if shared is None else shared.unionAll(found)
     finally:
         index.drop()
-    marks = Marks(shared, "g")
+    return verified(docs, shared, copies, n, k, chunk), copies.later
+
+
+def verified(docs: DataFrame, shared: DataFrame, copies: Copies, n: int, k: int, chunk: int = CHUNK) -> DataFrame:
+    """Windows under the shared fingerprints that also start in a smaller document, gathered by row."""
+    marks, firsts = Marks(shared, "g"), copies.firsts
 
     def fn(b):
         data, off = text_buffer(b["text"])
@@ -174,7 +214,7 @@ def repeats(docs: DataFrame, n: int = N, k: int = K, n_batches: int = 3, chunk:
     per = gathered(wins.join(first, "wh").where("lo < doc").select("doc", "th", "at", F.lit(1).alias("n")))
     marks.drop()
     firsts.drop()
-    return per, copies.later
+    return per
 
 
 def gathered(hits: DataFrame) -> DataFrame:
@@ -235,3 +275,18 @@ def dedup(docs: DataFrame, n: int = N, k: int = K, n_batches: int = 3) -> DataFr
     joined, rest = marked_rows(own, per, later)
     schema = "doc_id long, n_words long, n_removed long, kept_sha256 string"
     return arrow(_finish(n), joined, schema).unionAll(arrow(_finish(n), rest, schema))
+
+
+def dedup_batch(index: RunIndex, batch: DataFrame, history: DataFrame, n: int = N, k: int = K) -> DataFrame:
+    """The query's columns for the rows of a batch, against itself and the documents before it; the index takes it in.
+
+    What may be shared comes from the index's runs; ``history`` (the documents that it has taken) is read once more,
+    only for the windows to compare. With batches ascending by doc_id, the results are those of all documents at once.
+    """
+    own, every = keyed(batch), keyed(history.select("doc_id", "text").unionAll(batch.select("doc_id", "text")))
+    copies = Copies(every)
+    shared = stored(index.add(_index(own, copies.firsts, n, k)))
+    per = verified(every, shared, copies, n, k)
+    joined, rest = marked_rows(keyed(batch, F.col("doc_id").cast("long").alias("doc_id")), per, copies.later)
+    schema = "doc_id long, n_words long, n_removed long, kept_sha256 string"
+    return stored(arrow(_finish(n), joined, schema).unionAll(arrow(_finish(n), rest, schema)))

@@ -65,20 +65,25 @@ def windows_of(data: np.ndarray, off: np.ndarray, n: int, k: int):
 
 
 def _index(batch: DataFrame, firsts: Marks, n: int, k: int) -> DataFrame:
-    """(g, doc) of the documents that are not later copies."""
+    """``g, lo, hi``: fingerprints of the documents that are not later copies, once for each record batch, with their
+    first and last document; so a very frequent one is a few rows."""
     def fn(b):
-        data, off = text_buffer(b["text"])
-        doc, th = b["doc"].to_numpy(), b["th"].to_numpy()
-        mine = firsts.passes(row_key(doc, th))
+        mine = firsts.passes(row_key(b["doc"].to_numpy(), b["th"].to_numpy()))
+        doc = b["doc"].to_numpy()[mine]
+        data, off = text_buffer(b["text"].filter(pa.array(mine)))
+        found = []
         for i, j in chunks(off, CHUNK):
             (_, _, row, _), (first, _, place, g) = windows_of(data[off[i]:off[j]], off[i:j + 1] - off[i], n, k)
-            if not len(first):
-                continue
-            r = row[first]
-            ok = mine[i:j][r]
-            yield {"g": g[place[ok]].view(np.int64), "doc": doc[i:j][r[ok]]}
+            if len(first):
+                found.append((g[place].view(np.int64), doc[i:j][row[first]]))
+        if found:
+            g, d = (np.concatenate(x) for x in zip(*found))
+            order = np.argsort(g)
+            g, d = g[order], d[order]
+            lead = np.flatnonzero(np.r_[True, g[1:] != g[:-1]])
+            yield {"g": g[lead], "lo": np.minimum.reduceat(d, lead), "hi": np.maximum.reduceat(d, lead)}
 
-    return arrow(fn, batch, "g long, doc long")
+    return arrow(fn, batch, "g long, lo long, hi long")
 
 
 class RunIndex:
@@ -129,8 +134,8 @@ class RunIndex:
         self._files().delete(self._at(table), True)
 
     def add(self, prints: DataFrame) -> DataFrame:
-        """Adds a batch's (g, doc); returns the fingerprints that it shares with older runs or within itself."""
-        run = prints.repartition(self.buckets, "g").groupBy("g").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi"))
+        """Adds a batch's (g, lo, hi); returns the fingerprints that it shares with older runs or within itself."""
+        run = prints.repartition(self.buckets, "g").groupBy("g").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
         table = self._write(run)
         new, shared = self.spark.table(table), None
         parts = [new.where("lo < hi").select("g")]

@@ -433,10 +433,10 @@ def _reverse(s, d):
 
 
 def _unresolved(s, d):
-    """Titles of pairs that no labelled document has: with their side, and in how many pairs."""
-    index = _nodes(s, d).join(table(s, d, "labels").select(F.col("doc_id").cast("string").alias("node")), "node", "left_semi")
-    left = linkage.unresolved(_titled(s, d).select("title_a", "title_b", F.lit("x").alias("label")), index)
-    return left.groupBy("side", "title", "label").agg(F.count("*").alias("n"))
+    """Unresolved titles of each side of the pairs; a side without any has a row too."""
+    left = linkage.unresolved(_titled(s, d).select("title_a", "title_b", F.lit("x").alias("label")), _nodes(s, d))
+    sides = s.createDataFrame([("a",), ("b",)], "side string")
+    return sides.join(left.groupBy("side").agg(F.count("*").alias("n")), "side", "left").select("side", F.coalesce("n", F.lit(0)).alias("n"))
 
 
 def _bi(s, d):
@@ -580,8 +580,8 @@ SELECT query_id, label, round(min(distance), 6) AS distance FROM (SELECT *, row_
   SELECT a.vec_id AS query_id, b.vec_id AS rowid, sqrt(list_sum(list_transform(list_zip({_VA}, {_VB}), lambda x: (x[1] - x[2]) * (x[1] - x[2])))) AS distance FROM embeddings a, embeddings b WHERE a.vec_id % 20 = 0)) WHERE rn <= 5),
 {_look('title', 5).replace("WHERE doc_id % 20 = 0", "WHERE doc_id IN (SELECT rowid FROM near)")}
 SELECT query_id, arg_min(rowid, nn) AS rowid, round(arg_min(distance, nn), 6) AS distance FROM (SELECT near.query_id, near.rowid, near.distance, near.rn AS nn FROM near JOIN top ON top.query_id = near.rowid AND top.rowid = near.query_id) GROUP BY query_id""",
-        "unresolved_titles": f"""{titled}, x AS (SELECT DISTINCT substring(text, 1, 12) AS t FROM documents SEMI JOIN labels USING (doc_id)), y AS (SELECT 'a' AS side, title_a AS title FROM tp UNION ALL SELECT 'b', title_b FROM tp)
-SELECT side, title, 'x' AS label, count(*) AS n FROM y ANTI JOIN x ON x.t = y.title GROUP BY ALL""",
+        "unresolved_titles": f"""{titled}, x AS (SELECT DISTINCT substring(text, 1, 12) AS t FROM documents), y AS (SELECT 'a' AS side, title_a AS title FROM tp UNION ALL SELECT 'b', title_b FROM tp),
+l AS (SELECT side, count(*) AS n FROM y ANTI JOIN x ON x.t = y.title GROUP BY side) SELECT side, coalesce(n, 0) AS n FROM (VALUES ('a'), ('b')) s(side) LEFT JOIN l USING (side)""",
         "edge_counts": f"""WITH e AS (SELECT *, CASE label WHEN 'richtig_1' THEN 'richtig' WHEN 'False' THEN 'falsch' ELSE label END AS l FROM ({EDGES})), c AS (SELECT DISTINCT least(a, b) AS a, greatest(a, b) AS b,
  CASE WHEN a > b AND l = 'spezialisierung' THEN 'generalisierung' WHEN a > b AND l = 'generalisierung' THEN 'spezialisierung' ELSE l END AS label, judge, model, CASE WHEN a > b THEN b_view ELSE a_view END AS a_view, CASE WHEN a > b THEN a_view ELSE b_view END AS b_view FROM e)
 SELECT judge, label, count(*) AS n FROM c GROUP BY ROLLUP (judge, label)""",

@@ -69,32 +69,30 @@ def formula(name: str):
     return FORMULAS[name]
 
 
-def totals(study: DataFrame, ref: DataFrame) -> list:
-    """Totals and types of both lists: two rows, counted in one job."""
-    both = study.select(F.lit(0).alias("k"), "freq").unionAll(ref.select(F.lit(1), "freq")).groupBy("k").agg(F.sum("freq").alias("total"), F.count("*").alias("types"))
-    found = {r["k"]: r for r in both.collect()}
-    return [found.get(k) or {"total": 0, "types": 0} for k in (0, 1)]
+def totals(study: DataFrame, ref: DataFrame) -> DataFrame:
+    """Totals and types of both lists as one row: sn, sk, rn, rk. Plans that also read the lists reuse their shuffles."""
+    of = lambda df, n, k: df.agg(F.coalesce(F.sum("freq"), F.lit(0)).alias(n), F.count("*").alias(k))
+    return of(study, "sn", "sk").join(F.broadcast(of(ref, "rn", "rk")))  # one row each
 
 
 def contingency(study: DataFrame, ref: DataFrame, smoothing: float = 0.1) -> DataFrame:
-    """Full outer union of tokens with cells a, b, c, d. The totals are one row each."""
+    """Full outer union of tokens with cells a, b, c, d. The totals are one row, joined within the same plan."""
     if smoothing < 0:
         raise ValueError("smoothing must not be negative")
-    s, r = totals(study, ref)
     j = study.withColumnRenamed("freq", "study_freq").join(ref.withColumnRenamed("freq", "ref_freq"), "token", "full_outer")
-    j = j.withColumns({c: F.coalesce(c, F.lit(0)) for c in ("study_freq", "ref_freq")})
-    a, b = F.col("study_freq") + F.lit(float(smoothing)), F.col("ref_freq") + F.lit(float(smoothing))
+    j = j.withColumns({c: F.coalesce(c, F.lit(0)) for c in ("study_freq", "ref_freq")}).join(F.broadcast(totals(study, ref)))  # one row
+    k = F.lit(float(smoothing))
     return j.withColumns({
-        "study_rel_freq": F.try_divide(F.col("study_freq").cast("double"), F.lit(s["total"])), "ref_rel_freq": F.try_divide(F.col("ref_freq").cast("double"), F.lit(r["total"])),
-        "a": a, "b": b, "c": F.lit(s["total"]) - F.col("study_freq") + F.lit(smoothing * s["types"]), "d": F.lit(r["total"]) - F.col("ref_freq") + F.lit(smoothing * r["types"])})
+        "study_rel_freq": F.try_divide(F.col("study_freq").cast("double"), F.col("sn")), "ref_rel_freq": F.try_divide(F.col("ref_freq").cast("double"), F.col("rn")),
+        "a": F.col("study_freq") + k, "b": F.col("ref_freq") + k, "c": F.col("sn") - F.col("study_freq") + k * F.col("sk"), "d": F.col("rn") - F.col("ref_freq") + k * F.col("rk")}).drop("sn", "sk", "rn", "rk")
 
 
 def unknown_mass(study: DataFrame, ref: DataFrame, smoothing: float = 0.1) -> DataFrame:
     """All tokens that only the reference has, as one row."""
-    s, r = totals(study, ref)
     out = ref.join(study, "token", "left_anti").agg(F.coalesce(F.sum("freq"), F.lit(0)).alias("ref_freq"))
+    out = out.join(F.broadcast(totals(study, ref)))  # one row each
     k = F.lit(float(smoothing))
-    return out.select(F.lit("<unk>").alias("token"), "ref_freq", k.alias("a"), (F.col("ref_freq") + k).alias("b"), (F.lit(s["total"]) + k * s["types"]).alias("c"), (F.lit(r["total"]) - F.col("ref_freq") + k * r["types"]).alias("d"))
+    return out.select(F.lit("<unk>").alias("token"), "ref_freq", k.alias("a"), (F.col("ref_freq") + k).alias("b"), (F.col("sn") + k * F.col("sk")).alias("c"), (F.col("rn") - F.col("ref_freq") + k * F.col("rk")).alias("d"))
 
 
 def compare(study: DataFrame, ref: DataFrame, metrics: tuple[str, ...] = METRICS, smoothing: float = 0.1) -> DataFrame:

@@ -11,18 +11,26 @@ def bigrams(tok: DataFrame, key: str = "doc_id") -> DataFrame:
     return tok.select(key, "sent_id", "tok_i", "lemma", F.coalesce(F.lag("lemma").over(w), F.lit("<s>")).alias("before"))
 
 
-def fit(tok: DataFrame, key: str = "doc_id") -> tuple[DataFrame, DataFrame]:
-    """Counts of pairs and of first members."""
+def fit(tok: DataFrame, key: str = "doc_id") -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Counts of pairs (before, lemma, c2), of their first members (before, c1), and the number of types (one row, v).
+
+    All come from the pair counts: a lemma is the second member of some pair, so the types are theirs.
+    """
     two = bigrams(tok, key).groupBy("before", "lemma").agg(F.count("*").alias("c2"))
-    return two, two.groupBy("before").agg(F.sum("c2").alias("c1"))
+    return two, two.groupBy("before").agg(F.sum("c2").alias("c1")), two.select("lemma").distinct().agg(F.count("lemma").alias("v"))
 
 
-def sentence_loss(tok: DataFrame, model: tuple[DataFrame, DataFrame], vocabulary: int, add: float = 0.1, key: str = "doc_id") -> DataFrame:
-    """``key, sent_id, n, loss``: mean negative log-probability with additive smoothing."""
-    two, one = model
-    j = bigrams(tok, key).join(two, ["before", "lemma"], "left").join(one, "before", "left")
-    p = (F.coalesce("c2", F.lit(0)) + add) / (F.coalesce("c1", F.lit(0)) + add * vocabulary)
-    return j.groupBy(key, "sent_id").agg(F.count("*").alias("n"), F.avg(-F.ln(p)).alias("loss"))
+def sentence_loss(tok: DataFrame, model: tuple[DataFrame, DataFrame, DataFrame], add: float = 0.1, key: str = "doc_id") -> DataFrame:
+    """``key, sent_id, n, loss``: mean negative log-probability with additive smoothing.
+
+    Probabilities are made once for each distinct pair, so places take part in one join only.
+    """
+    two, one, size = model
+    at = bigrams(tok, key)
+    pairs = at.select("before", "lemma").distinct().join(two, ["before", "lemma"], "left").join(one, "before", "left").join(F.broadcast(size))  # one row
+    p = (F.coalesce("c2", F.lit(0)) + add) / (F.coalesce("c1", F.lit(0)) + add * F.col("v"))
+    j = at.join(pairs.select("before", "lemma", (-F.ln(p)).alias("_l")), ["before", "lemma"])
+    return j.groupBy(key, "sent_id").agg(F.count("*").alias("n"), F.avg("_l").alias("loss"))
 
 
 def perplexities(loss: DataFrame, key: str = "doc_id", least: int = 3) -> DataFrame:
@@ -46,13 +54,12 @@ def masked_rank(tok: DataFrame, unigrams: DataFrame, ratio: float = 0.15, seed:
 
     ``unigrams``: token, rank (1 the most frequent); unknown tokens rank last.
     """
-    types = F.lit(unigrams.count())
     w = Window.partitionBy(key, "sent_id")
     h = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("sent_id").cast("string"), F.col("tok_i").cast("string")).cast("binary"))
     t = tok.withColumns({"_n": F.count("*").over(w), "_h": F.row_number().over(w.orderBy(h, "tok_i"))})
     m = t.where(F.col("_h") <= F.greatest(F.lit(1), F.round(F.col("_n") * ratio)))
-    j = m.join(unigrams.withColumnRenamed("token", "lemma"), "lemma", "left")
-    return j.groupBy(key).agg(F.avg(F.coalesce("rank", types) / types).alias("lmfm"))
+    j = m.join(unigrams.withColumnRenamed("token", "lemma"), "lemma", "left").join(F.broadcast(unigrams.agg(F.count("*").alias("_v"))))  # one row
+    return j.groupBy(key).agg(F.avg(F.coalesce("rank", "_v") / F.col("_v")).alias("lmfm"))
 
 
 def simplify(docs: DataFrame, max_words: int = 12, text: str = "text") -> DataFrame:

@@ -178,8 +178,7 @@ DOC_WORDS = rf"dw AS (SELECT doc_id, lower(t) AS token FROM (SELECT doc_id, unne
 
 def _freq_table(s, d):
     f = keyness.frequencies(_tok(s, d).where("is_word"))
-    total = f.agg(F.sum("freq").alias("t")).first()["t"]
-    return f.select("token", (F.col("freq") / F.lit(float(total or 1))).alias("rel"))
+    return f.join(F.broadcast(f.agg(F.sum("freq").cast("double").alias("t")))).select("token", (F.col("freq") / F.col("t")).alias("rel"))  # one row
 
 
 def _measures(s, d):
@@ -281,9 +280,7 @@ SELECT metric, CASE WHEN miss > 0 THEN 'missing data' WHEN e = 0 THEN '(no expec
 
 def _bigram(s, d):
     tok = _tok(s, d)
-    two, one = language_model.fit(tok)
-    v = tok.select("lemma").distinct().count()
-    return rounded(language_model.perplexities(language_model.sentence_loss(tok, (two, one), v)), 4)
+    return rounded(language_model.perplexities(language_model.sentence_loss(tok, language_model.fit(tok))), 4)
 
 
 BIGRAM = f"""WITH {TOK}, b AS (SELECT doc_id, sent_id, lemma, coalesce(lag(lemma) OVER (PARTITION BY doc_id, sent_id ORDER BY tok_i), '<s>') AS before FROM tok),

@@ -7,6 +7,8 @@ character; tags come from word lists and endings; a token hangs on the one befor
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -29,11 +31,15 @@ SOCIAL = (r"(?:https?://|www\.)\S+|[\w.+-]+@[\w-]+(?:\.[\w-]+)+|[:;=8][-o']?[()\
 VOWELS = "[aeiouyäöüáàâéèêíîóôúùû]+"
 
 
+def _ends(text: Column, *endings: str) -> Column:
+    return functools.reduce(lambda a, b: a | b, (F.endswith(text, F.lit(e)) for e in endings))
+
+
 def tag(text: Column) -> Column:
     low = F.lower(text)
     return (F.when(text.rlike(r"^\p{N}+$"), "NUM").when(~text.rlike(r"[\p{L}\p{N}]"), F.when(F.lit(PUNCTUATION).contains(text), "PUNCT").otherwise("SYM"))
             .when(low.isin(*DETERMINERS), "DET").when(low.isin(*ADPOSITIONS), "ADP").when(low.isin(*AUXILIARIES), "AUX").when(low.isin(*CONJUNCTIONS), "CCONJ")
-            .when(low.rlike("(ing|ed|en|er)$"), "VERB").when(low.rlike("(ly|lich|ment)$"), "ADJ").otherwise("NOUN"))
+            .when(_ends(low, "ing", "ed", "en", "er"), "VERB").when(_ends(low, "ly", "lich", "ment"), "ADJ").otherwise("NOUN"))
 
 
 def sentences(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:

@@ -8,7 +8,12 @@ from pyspark.sql import functions as F
 
 def bigrams(tok: DataFrame, key: str = "doc_id") -> DataFrame:
     w = Window.partitionBy(key, "sent_id").orderBy("tok_i")
-    return tok.select(key, "sent_id", "tok_i", "lemma", F.coalesce(F.lag("lemma").over(w), F.lit("<s>")).alias("before"))
+    return tok.select(key, "sent_id", "tok_i", F.coalesce("lemma", F.lit("")).alias("lemma"), F.coalesce(F.lag("lemma").over(w), F.lit("<s>")).alias("before"))
+
+
+def _pairs(at: DataFrame) -> DataFrame:
+    """Counts of pairs. The test of the count is always true: with it, every use shares one shuffle of the counts."""
+    return at.groupBy("before", "lemma").agg(F.count("*").alias("c2")).where("c2 > 0")
 
 
 def fit(tok: DataFrame, key: str = "doc_id") -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -16,7 +21,7 @@ def fit(tok: DataFrame, key: str = "doc_id") -> tuple[DataFrame, DataFrame, Data
 
     All come from the pair counts: a lemma is the second member of some pair, so the types are theirs.
     """
-    two = bigrams(tok, key).groupBy("before", "lemma").agg(F.count("*").alias("c2"))
+    two = _pairs(bigrams(tok, key))
     return two, two.groupBy("before").agg(F.sum("c2").alias("c1")), two.select("lemma").distinct().agg(F.count("lemma").alias("v"))
 
 
@@ -27,7 +32,7 @@ def sentence_loss(tok: DataFrame, model: tuple[DataFrame, DataFrame, DataFrame],
     """
     two, one, size = model
     at = bigrams(tok, key)
-    pairs = at.select("before", "lemma").distinct().join(two, ["before", "lemma"], "left").join(one, "before", "left").join(F.broadcast(size))  # one row
+    pairs = _pairs(at).select("before", "lemma").join(two, ["before", "lemma"], "left").join(one, "before", "left").join(F.broadcast(size))  # one row
     p = (F.coalesce("c2", F.lit(0)) + add) / (F.coalesce("c1", F.lit(0)) + add * F.col("v"))
     j = at.join(pairs.select("before", "lemma", (-F.ln(p)).alias("_l")), ["before", "lemma"])
     return j.groupBy(key, "sent_id").agg(F.count("*").alias("n"), F.avg("_l").alias("loss"))

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from textloom.llm import (bpe_count, fingerprint, langid_gru, minhash_circulant, mixing, quality_gam, secrets, substring_lsm, suffix_dc,
-                          winnow)
+from textloom.llm import (bpe_count, fingerprint, langid_gru, lloyd, minhash_circulant, mixing, periodic, quality_gam, secrets, substring_lsm,
+                          suffix_dc, topk, winnow)
 from textloom.llm.common import load
 
 
@@ -26,6 +26,9 @@ def queries() -> dict:
         "op8_fingerprint": lambda s, d: fingerprint.report(docs(s, d)),
         "op9_suffix_dedup": lambda s, d: suffix_dc.dedup(docs(s, d)),
         "op10_source_mix": lambda s, d: mixing.mix(docs(s, d)),
+        "op11_periodic_runs": lambda s, d: periodic.report(docs(s, d)),
+        "op12_dual_tree_lloyd": lambda s, d: lloyd.report(load(s, d, "embeddings")),
+        "op13_branch_bound_topk": lambda s, d: topk.report(load(s, d, "embeddings")),
     }
 
 
@@ -93,5 +96,33 @@ SELECT doc_id, size, source, ss AS source_size, target,
        (least(size, greatest(0, got - start)) + least(size, greatest(0, got - ss - start)) + least(size, greatest(0, got - 2 * ss - start)))::BIGINT AS taken FROM o"""
 
 
+
+
+def op12_sql(k: int = 40, rounds: int = 5) -> str:
+    """Lloyd's rounds written out, a common table for each."""
+    far = "list_sum(list_transform(list_zip(v, c), lambda z: (z[1] - z[2]) * (z[1] - z[2])))"
+    mean = "((s - ((s % n) + n) % n) // n)::BIGINT"
+    ctes = ["""e AS MATERIALIZED (SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS v FROM embeddings
+     WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = 64)""",
+            f"""c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY h) - 1 AS k, v AS c FROM (SELECT sha256('2:' || vec_id) AS h, v FROM e ORDER BY h LIMIT {k}))"""]
+    near = lambda i: f"a{i} AS MATERIALIZED (SELECT vec_id, v, arg_min(k, (d, k)) AS k, min(d) AS d FROM (SELECT vec_id, v, k, {far} AS d FROM e, c{i}) GROUP BY vec_id, v)"
+    for i in range(rounds):
+        ctes += [near(i), f"""c{i + 1} AS MATERIALIZED (SELECT c{i}.k, coalesce(m.c, c{i}.c) AS c FROM c{i} LEFT JOIN
+     (SELECT k, list({mean} ORDER BY i) AS c FROM (SELECT k, i, sum(v[i]) AS s, count(*) AS n FROM a{i}, range(1, 65) t(i) GROUP BY k, i) GROUP BY k) m USING (k))"""]
+    ctes.append(near(rounds))
+    return "WITH " + ",\n".join(ctes) + f"""
+SELECT vec_id, k::INTEGER AS cluster, d::BIGINT AS distance, sum(d) OVER (PARTITION BY k)::BIGINT AS cluster_inertia, sum(d) OVER ()::BIGINT AS inertia,
+       sha256(array_to_string(c, ',')) AS centroid_sha256 FROM a{rounds} JOIN c{rounds} USING (k)"""
+
+
+OP13 = """
+WITH e AS (SELECT vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)::BIGINT) AS v FROM embeddings
+     WHERE len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = len(embedding)),
+s AS (SELECT q.vec_id AS query_id, c.vec_id, list_sum(list_transform(list_zip(q.v, c.v), lambda z: z[1] * z[2]))::BIGINT AS score
+      FROM e q JOIN e c ON q.vec_id <> c.vec_id AND len(q.v) = len(c.v) WHERE q.vec_id % 20 = 0)
+SELECT query_id, rank::INTEGER AS rank, vec_id, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s) WHERE rank <= 20"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op2_substring_lsm": OP2, "op6_minhash_circulant": OP6, "op7_decontaminate": OP7, "op10_source_mix": OP10}
+    return {"op2_substring_lsm": OP2, "op6_minhash_circulant": OP6, "op7_decontaminate": OP7, "op10_source_mix": OP10, "op12_dual_tree_lloyd": op12_sql(),
+            "op13_branch_bound_topk": OP13}

@@ -27,15 +27,20 @@ SPACE_BYTES = np.zeros(256, bool)
 SPACE_BYTES[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 
 
+_OWN: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
     """A fresh folder under ``spark.checkpoint.dir``; only where that is unset, and only in a local session, one of our own."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
             raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-        base = "file://" + tempfile.mkdtemp(prefix="textloom-")
-        atexit.register(shutil.rmtree, base[7:], ignore_errors=True)
-        spark.conf.set("spark.checkpoint.dir", base)
+        app = spark.sparkContext.applicationId
+        if app not in _OWN:
+            _OWN[app] = "file://" + tempfile.mkdtemp(prefix="textloom-")
+            atexit.register(shutil.rmtree, _OWN[app][7:], ignore_errors=True)
+        base = _OWN[app]
     return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
 
 

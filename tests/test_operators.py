@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from textloom.functions import text as T
-from textloom.operators import keyness, linkage, metrics, search, stats
+from textloom.operators import index, keyness, linkage, metrics, stats
 from textloom.sources import corpus, sinks
 from textloom.streaming import incremental
 
@@ -62,7 +62,9 @@ def test_two_hops(spark):
 def test_phrases(spark):
     t = spark.createDataFrame([(1, "heart attack", "signs of heart attack"), (2, "attack heart", "none")], "rowid long, title string, text string")
     q = spark.createDataFrame([(1, 1, "heart attack", "title")], "query_id int, phrase_id int, phrase string, col string")
-    assert [(r["rowid"], r["tf"]) for r in search.phrase_hits(search.postings(t), q).collect()] == [(1, 1)]
+    found = index.build(t)
+    assert [(r["rowid"], r["rn"]) for r in found.bm25(q).collect()] == [(1, 1)]
+    assert sorted(r["rowid"] for r in found.bm25(q.withColumn("col", F.lit(None).cast("string"))).collect()) == [1]
 
 
 def test_sources_and_sinks(spark, tmp_path):
@@ -75,7 +77,7 @@ def test_sources_and_sinks(spark, tmp_path):
     assert {tuple(r) for r in corpus.frequency_list(spark, str(tmp_path / "f.json")).collect()} == {("NA", 3), ("b", 1)}
     sinks.append_new(df.select("article_id"), str(tmp_path / "out"), ["article_id"])
     sinks.append_new(df.select("article_id"), str(tmp_path / "out"), ["article_id"])
-    assert spark.read.parquet(str(tmp_path / "out")).count() == 1
+    assert sinks.appended(spark, str(tmp_path / "out")).count() == 1
     with pytest.raises(ValueError):
         sinks.append_new(df.select("article_id", "title"), str(tmp_path / "out"), ["article_id"])
     with zipfile.ZipFile(tmp_path / "b.xlsx", "w") as z:
@@ -91,7 +93,7 @@ def test_streaming_append(spark, tmp_path):
     for _ in range(2):
         q = incremental.append_measures(stream, lambda b: b.select("id", F.length("text").alias("n")), str(tmp_path / "out"), str(tmp_path / "cp"), "id")
         q.awaitTermination()
-    assert spark.read.parquet(str(tmp_path / "out")).count() == 2
+    assert sinks.appended(spark, str(tmp_path / "out")).count() == 2
 
 
 def test_entry_without_optional_part():

@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from textloom.operators import search
+from textloom.operators import index, search
 from textloom.plans import registry
 
 DATA = "/root/testdata/sf0.001"
@@ -21,7 +21,7 @@ def test_lookup_equals_phrase_search(spark):
     rows = registry._titles(spark, DATA).withColumnRenamed("doc_id", "rowid")
     q = registry._title_queries(rows.where("rowid % 7 = 0"))
     one = q.selectExpr("query_id", "posexplode(phrases) as (phrase_id, phrase)").withColumn("col", F.lit("title"))
-    want = search.bm25(search.postings(rows), one, 5)
+    want = index.build(rows).bm25(one, 5)
     key = lambda df: sorted((r["query_id"], r["rn"], r["rowid"], round(r["rank"], 9)) for r in df.collect())
     got = key(search.lookup_hits(rows, q))
     assert got == key(want) and len(got) > 25
@@ -30,7 +30,7 @@ def test_lookup_equals_phrase_search(spark):
 def test_reverse_search_looks_titles_up(spark):
     near, rows = registry._near(spark, DATA), registry._titles(spark, DATA).withColumnRenamed("doc_id", "rowid")
     one = registry._title_queries(rows).selectExpr("query_id", "posexplode(phrases) as (phrase_id, phrase)").withColumn("col", F.lit("title"))
-    back = {(r["query_id"], r["rowid"]) for r in search.bm25(search.postings(rows), one, 5).collect()}
+    back = {(r["query_id"], r["rowid"]) for r in index.build(rows).bm25(one, 5).collect()}
     want = {}
     for r in sorted(near.collect(), key=lambda r: (r["query_id"], r["distance"], r["rowid"])):
         if (r["rowid"], r["query_id"]) in back:
@@ -49,7 +49,7 @@ def test_title_lookup_takes_titles(spark):
     one = registry._title_queries(rows.where("rowid % 20 = 0")).selectExpr("query_id", "posexplode(phrases) as (phrase_id, phrase)").withColumn("col", F.lit("title"))
     meta = {r["rowid"]: r for r in rows.select("rowid", "source", "language").collect()}
     want = {}
-    for r in search.bm25(search.postings(rows), one, 5).collect():
+    for r in index.build(rows).bm25(one, 5).collect():
         want.setdefault(r["query_id"], []).append(meta[r["rowid"]])
     want = {q: (",".join(sorted({r["source"] for r in rs})), ",".join(sorted({r["language"] for r in rs}))) for q, rs in want.items()}
     got = {r["query_id"]: (r["sources"], r["languages"]) for r in registry.queries()["title_lookup"](spark, DATA).collect()}

@@ -313,16 +313,19 @@ def usage(calls: DataFrame, *by: str) -> DataFrame:
 
 
 def judge_run(pairs: DataFrame, done: DataFrame | None, provider, path: str, keys: list[str]) -> DataFrame:
-    """Judges what a resumed run has left and appends full rows to ``path/full`` and slim ones to ``path/slim``."""
-    from textloom.sources.sinks import append_new, exists
+    """Judges what a resumed run has left and appends full and slim rows to ``path``, which become visible together.
+
+    Answers are written once before the commit, so that both tables hold the same ones. Returns all full rows.
+    """
+    from textloom.operators.staging import staged
+    from textloom.sources.sinks import Ledger, append_all, appended
+    spark = pairs.sparkSession
     rest = pairs if done is None else remaining(pairs, done, keys)
-    full = f"{path}/full"
-    if exists(pairs.sparkSession, full):
-        rest = remaining(rest, pairs.sparkSession.read.parquet(full), keys)
-    append_new(judged(rest, provider), full, keys)
-    whole = pairs.sparkSession.read.parquet(full)
-    append_new(whole.select(*keys, "pred"), f"{path}/slim", keys)
-    return whole
+    if Ledger(spark, path).batches():
+        rest = remaining(rest, appended(spark, path, "full"), keys)
+    full = staged(judged(rest, provider))
+    append_all({"full": full, "slim": full.select(*keys, "pred")}, path, keys)
+    return appended(spark, path, "full")
 
 
 def evaluated(gold: DataFrame, provider, limit: int | None = None, hard: bool = False) -> tuple[DataFrame, DataFrame]:

@@ -5,70 +5,30 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-K1, B = 1.2, 0.75  # fixed values of the ranking formula
-WORD = r"[\p{L}\p{N}]+"
+from textloom.operators.index import idf, tf_part, words
 
 
-def postings(table: DataFrame, columns: tuple[str, ...] = ("title", "text"), key: str = "rowid") -> DataFrame:
-    """``col, term, rowid, pos``."""
-    one = lambda c: table.select(F.lit(c).alias("col"), F.col(key).alias("rowid"), F.posexplode(F.regexp_extract_all(F.lower(c), F.lit(WORD), F.lit(0))).alias("pos", "term"))
-    out = one(columns[0])
-    for c in columns[1:]:
-        out = out.unionAll(one(c))
-    return out
-
-
-def phrase_hits(post: DataFrame, queries: DataFrame) -> DataFrame:
-    """``query_id, phrase_id, rowid, tf``: matches of phrases. ``queries``: query_id, phrase_id, phrase, optional col.
-
-    A phrase's words are joined to postings by term; a match has all of them at one offset, so a phrase of any length
-    takes one join and one aggregation.
-    """
-    words = queries.withColumn("w", F.regexp_extract_all(F.lower("phrase"), F.lit(WORD), F.lit(0))).withColumn("m", F.size("w"))
-    if "col" not in words.columns:
-        words = words.withColumn("col", F.lit(None).cast("string"))
-    terms = words.select("query_id", "phrase_id", F.col("col").alias("want"), "m", F.posexplode("w").alias("off", "term"))
-    at = post.join(terms, "term").where("want is null or want = col").select("query_id", "phrase_id", "rowid", "col", "m", (F.col("pos") - F.col("off")).alias("at"), "off")
-    full = at.groupBy("query_id", "phrase_id", "rowid", "col", "at", "m").agg(F.countDistinct("off").alias("c")).where("c = m")
-    return full.groupBy("query_id", "phrase_id", "rowid").agg(F.count("*").alias("tf"))
-
-
-def bm25(post: DataFrame, queries: DataFrame, k: int | None = None) -> DataFrame:
-    """``query_id, rowid, rank, rn``: rank is minus the score, so smaller is better; ties by rowid."""
-    length = post.groupBy("rowid").agg(F.count("*").alias("dl"))
-    stats = length.agg(F.count("*").alias("n_docs"), F.avg("dl").alias("avgdl"))
-    hit = phrase_hits(post, queries)
-    df = hit.groupBy("query_id", "phrase_id").agg(F.count("*").alias("n"))
-    j = hit.join(df, ["query_id", "phrase_id"]).join(length, "rowid").join(F.broadcast(stats))  # one row
-    idf = F.greatest(F.ln((F.col("n_docs") - F.col("n") + 0.5) / (F.col("n") + 0.5)), F.lit(1e-6))
-    score = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
-    out = j.groupBy("query_id", "rowid").agg((-F.sum(score)).alias("rank"))
-    # Sums differ in their last digits with the order of phrases, so equal ranks are told to nine digits.
-    out = out.withColumn("rn", F.row_number().over(Window.partitionBy("query_id").orderBy(F.round("rank", 9), "rowid")))
-    return out if k is None else out.where(F.col("rn") <= k)
-
 
 def lookup_hits(table: DataFrame, queries: DataFrame, k: int = 5, column: str = "title", columns: tuple[str, ...] = ("title", "text")) -> DataFrame:
-    """``query_id, rowid, rank, rn``: what ``bm25`` gives for phrases sought in one short column.
+    """``query_id, rowid, rank, rn``: phrases sought in one short column, without an index.
 
-    ``table``: rowid and the columns; ``queries``: query_id, phrases (array). Equal queries are searched once, and runs
-    of words are joined to whole phrases, so common words make no pairs.
+    ``table``: rowid and the columns; ``queries``: query_id, phrases (array). Equal queries are searched once. A phrase is
+    compared only at places of its first two words, so neither common words nor other runs of words make rows.
     """
-    words = lambda c: F.regexp_extract_all(F.lower(c), F.lit(WORD), F.lit(0))
     dl = sum((F.coalesce(F.greatest(F.size(words(c)), F.lit(0)), F.lit(0)) for c in columns), F.lit(0))
     rows = table.select("rowid", words(column).alias("w"), dl.alias("dl")).where("dl > 0")
     stats = rows.agg(F.count("*").alias("n_docs"), F.avg("dl").alias("avgdl"))
     q = queries.select("query_id", F.filter(F.transform("phrases", words), lambda p: F.size(p) > 0).alias("set"))
     sets = q.select("set").distinct().select("set", F.explode("set").alias("phrase"))
-    phrases = sets.select("phrase").distinct()
-    sizes = sorted(r["m"] for r in phrases.select(F.size("phrase").alias("m")).distinct().collect())
-    runs = lambda m: F.when(F.size("w") >= m, F.transform(F.sequence(F.lit(1), F.size("w") - m + 1), lambda i: F.slice(F.col("w"), i, m)))
-    none = F.array().cast("array<array<string>>")
-    grams = rows.select("rowid", "dl", F.explode(F.concat(none, *(F.coalesce(runs(m), none) for m in sizes))).alias("phrase"))
-    hit = grams.join(phrases, "phrase", "left_semi").groupBy("phrase", "rowid", "dl").agg(F.count("*").alias("tf"))
+    start = lambda c: F.xxhash64(F.get(c, F.lit(0)), F.get(c, F.lit(1)))
+    phrases = sets.select("phrase").distinct().withColumn("two", F.size("phrase") > 1).withColumn("h", F.when(F.col("two"), start(F.col("phrase"))).otherwise(F.xxhash64(F.col("phrase")[0])))
+    at = rows.select("rowid", "dl", "w", F.posexplode("w").alias("i", "first"))
+    both = F.array(F.struct(F.lit(False).alias("two"), F.xxhash64("first").alias("h")), F.struct(F.lit(True).alias("two"), F.xxhash64("first", F.get("w", F.col("i") + 1)).alias("h")))
+    at = at.select("rowid", "dl", "i", "w", F.explode(both).alias("x")).select("rowid", "dl", "i", "w", "x.*")
+    same = F.slice("w", F.col("i") + 1, F.size("phrase")) == F.col("phrase")
+    hit = at.join(phrases, ["two", "h"]).where(same).groupBy("phrase", "rowid", "dl").agg(F.count("*").alias("tf"))
     df = hit.groupBy("phrase").agg(F.count("*").alias("n"))
-    idf = F.greatest(F.ln((F.col("n_docs") - F.col("n") + 0.5) / (F.col("n") + 0.5)), F.lit(1e-6))
-    score = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
+    score = idf(F.col("n_docs"), F.col("n")) * tf_part(F.col("tf"), F.col("dl"), F.col("avgdl"))
     one = hit.join(df, "phrase").join(F.broadcast(stats)).select("phrase", "rowid", score.alias("score"))  # one row
     out = sets.join(one, "phrase").groupBy("set", "rowid").agg((-F.sum("score")).alias("rank"))
     out = out.withColumn("rn", F.row_number().over(Window.partitionBy("set").orderBy(F.round("rank", 9), "rowid"))).where(F.col("rn") <= k)

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textloom.functions import text as T
-from textloom.operators import annotate, keyness, language_model, linkage, metrics, search, stats, vocabulary
+from textloom.operators import annotate, index, keyness, language_model, linkage, metrics, search, stats, vocabulary
 from textloom.sources import corpus
 
 TOK = annotate.token_sql()
@@ -108,24 +108,38 @@ def _rows(s, d):
     return _titles(s, d).withColumnRenamed("doc_id", "rowid")
 
 
+def _asked(rows):
+    """The phrases of every twentieth title."""
+    return _title_queries(rows.where(F.col("rowid") % 20 == 0)).select("query_id", F.posexplode(F.array_distinct("phrases")).alias("phrase_id", "phrase"))
+
+
 def _phrase_search(s, d):
     """The titles of every twentieth document, as phrases, in all texts: the ten best of each."""
     rows = _rows(s, d)
-    return rounded(search.lookup_hits(rows, _title_queries(rows.where(F.col("rowid") % 20 == 0)), 10, "text")).select("query_id", "rowid", "rank")
+    found = index.build(rows).bm25(_asked(rows).withColumn("col", F.lit("text")), 10)
+    return rounded(found).select("query_id", "rowid", "rank")
 
 
 def _phrase_top(s, d):
-    """The same queries in all titles, by postings."""
+    """The same queries in all titles."""
+    rows = _rows(s, d)
+    return rounded(index.build(rows, ("title",)).bm25(_asked(rows), 10)).select("query_id", "rowid", "rank")
+
+
+def _keyword_top(s, d):
+    """The words of every twentieth title, each by itself, in all texts: the ten best of each, pruned by block."""
     rows = _rows(s, d)
-    q = _title_queries(rows.where(F.col("rowid") % 20 == 0)).select("query_id", F.posexplode(F.array_distinct("phrases")).alias("phrase_id", "phrase"))
-    return rounded(search.bm25(search.postings(rows, ("title",)), q, 10)).select("query_id", "rowid", "rank")
+    q = rows.where(F.col("rowid") % 20 == 0).select(F.col("rowid").alias("query_id"), F.explode(index.words("title")).alias("term"), F.lit("text").alias("col"))
+    return rounded(index.build(rows).best(q, 10)).select("query_id", "rowid", "rank")
 
 
-def _look(column: str, k: int, length: str | None = None) -> str:
+def _look(column: str, k: int, length: str | None = None, each: bool = False) -> str:
     """CTEs of the search for every twentieth title: ``top`` (query_id, rowid, rank, rn). Lengths count both columns."""
     size = f"len(regexp_extract_all(lower(coalesce({length or 'title'}, '')), {WORDS}))" + ("" if length else f" + len(regexp_extract_all(lower(coalesce(text, '')), {WORDS}))")
+    parts = f"""list_filter(list_transform(list_filter(list_transform(string_split(translate(lower(title), '"()', ''), ','), lambda p: trim(p)), lambda p: p <> ''), lambda p: regexp_extract_all(p, {WORDS})), lambda p: len(p) > 0)"""
+    phrases = f"list_transform(regexp_extract_all(lower(title), {WORDS}), lambda w: [w])" if each else parts
     return rf"""ti AS ({TITLES}), rw AS (SELECT doc_id AS rowid, regexp_extract_all(lower({column}), {WORDS}) AS w, {size} AS dl FROM ti), st AS (SELECT count(*) AS n, avg(dl) AS a FROM rw WHERE dl > 0),
-qs AS (SELECT doc_id AS query_id, list_distinct(list_filter(list_transform(list_filter(list_transform(string_split(translate(lower(title), '"()', ''), ','), lambda p: trim(p)), lambda p: p <> ''), lambda p: regexp_extract_all(p, {WORDS})), lambda p: len(p) > 0)) AS ps FROM ti WHERE doc_id % 20 = 0),
+qs AS (SELECT doc_id AS query_id, list_distinct({phrases}) AS ps FROM ti WHERE doc_id % 20 = 0),
 qp AS (SELECT query_id, unnest(ps) AS phrase FROM qs), sz AS (SELECT DISTINCT len(phrase) AS m FROM qp), pd AS (SELECT DISTINCT phrase FROM qp),
 gr AS (SELECT rowid, dl, w, m, unnest(range(len(w) - m + 1)) AS i FROM rw, sz WHERE len(w) >= m), hp AS (SELECT rowid, dl, list_slice(w, i + 1, i + m) AS phrase FROM gr),
 ht AS (SELECT phrase, rowid, dl, count(*) AS tf FROM hp SEMI JOIN pd USING (phrase) GROUP BY ALL), df AS (SELECT phrase, count(*) AS k FROM ht GROUP BY phrase),
@@ -353,7 +367,7 @@ def queries() -> dict:
         "keyness_merge_outer": lambda s, d: rounded(_merge(s, d, "outer")), "keyness_merge_inner": lambda s, d: rounded(_merge(s, d, "inner")),
         "jargon_density": lambda s, d: keyness.jargon_density(_doc_words(s, d), _jargon_table(s, d)),
         "jargon_terms": lambda s, d: rounded(keyness.jargon_terms(_doc_words(s, d), _jargon_table(s, d))).where("is_jargon").select("doc_id", "token", "freq_in_text", "score"),
-        "phrase_search": _phrase_search, "phrase_top": _phrase_top,
+        "phrase_search": _phrase_search, "phrase_top": _phrase_top, "keyword_top": _keyword_top,
         "title_lookup": lambda s, d: search.lookup_titles(*_hits(s, d), ["source", "language"]).select("query_id", F.array_join("source", ",").alias("sources"), F.array_join("language", ",").alias("languages")),
         "knn_l2": _knn("l2"), "knn_l1": _knn("l1"), "knn_cosine": _knn("cosine"),
         "knn_by_label": _knn_label, "min_distance": lambda s, d: rounded(search.min_distance(_near(s, d), "label")),
@@ -507,6 +521,7 @@ SELECT doc_id, round(avg(d), 6) AS dep_tree_depth FROM (SELECT doc_id, sent_id,
 SELECT doc_id, sum(n)::BIGINT AS total_tokens, coalesce(sum(n) FILTER ("or" > 20 AND ref_rel_freq <= 0.001::DOUBLE), 0)::BIGINT AS jargon_count, round(100.0 * coalesce(sum(n) FILTER ("or" > 20 AND ref_rel_freq <= 0.001::DOUBLE), 0) / sum(n), 4) AS jargon_per_100 FROM t JOIN ke USING (token) GROUP BY doc_id""",
         "jargon_terms": f"""WITH {KEY}, {DOC_WORDS} SELECT doc_id, token, count(*) AS freq_in_text, round(max("or"), 6) AS score FROM dw JOIN ke USING (token) WHERE "or" > 20 AND ref_rel_freq <= 0.001::DOUBLE GROUP BY doc_id, token""",
         "phrase_search": f"WITH {_look('text', 10)} SELECT query_id, rowid, round(rank, 6) AS rank FROM top",
+        "keyword_top": f"WITH {_look('text', 10, each=True)} SELECT query_id, rowid, round(rank, 6) AS rank FROM top",
         "phrase_top": f"WITH {_look('title', 10, 'title')} SELECT query_id, rowid, round(rank, 6) AS rank FROM top",
         "title_lookup": f"""WITH {_look('title', 5)}, j AS (SELECT t.query_id, t.rn, ti.source, ti.language FROM top t JOIN ti ON ti.doc_id = t.rowid)
 SELECT query_id, CASE WHEN bool_or(rn = 1 AND source IS NOT NULL) THEN array_to_string(list_sort(list(DISTINCT source) FILTER (source <> '')), ',') END AS sources,

@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from textloom.functions import text as T
-from textloom.operators import annotate, drivers, keyness, linkage, search, significance, stats, store
+from textloom.operators import annotate, drivers, index, keyness, linkage, search, significance, stats, store
 from textloom.plans import registry as R
 from textloom.plans.registry import rounded, table
 
@@ -163,8 +163,9 @@ def _store_append(s, d):
 
 def _highlights(s, d):
     rows = R._rows(s, d).withColumn("metadata", F.to_json(F.struct("source")))
-    q = R._title_queries(rows.where(F.col("rowid") % 20 == 0)).select("query_id", F.posexplode(F.array_distinct("phrases")).alias("phrase_id", "phrase"))
-    return store.highlighted(rows.select("rowid", "title", "text", "metadata"), search.postings(rows, ("title",)), q, 5).select("query_id", "rowid", "rn", "title", F.md5(F.col("text").cast("binary")).alias("text"), F.size("offsets").alias("n_offsets"))
+    docs = rows.select("rowid", "title", "text", "metadata")
+    got = store.highlighted(docs, index.build(rows, ("title",)), R._asked(rows), 5)
+    return got.select("query_id", "rowid", "rn", "title", F.md5(F.col("text").cast("binary")).alias("text"), F.to_json("offsets").alias("offsets"))
 
 
 KEYS = ("doid", "icd10", "mesh", "descriptor_ui", "pschyrembel_id", "instance_id")

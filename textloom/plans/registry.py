@@ -32,9 +32,8 @@ def _docs(s, d):
 
 
 def _spread(df: DataFrame) -> DataFrame:
-    """A file read by one task is dealt out before the heavy projection."""
-    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return df.repartition(n, "doc_id") if len(df.inputFiles()) < n else df
+    """A table that fewer tasks read than there are cores is dealt out before the heavy projection."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), "doc_id") if df.rdd.getNumPartitions() < df.sparkSession.sparkContext.defaultParallelism else df
 
 
 def _tok(s, d, *keep):
@@ -52,7 +51,11 @@ def _freqs(s, d):
 
 def _titles(s, d):
     """Documents as records: title is the first line's first 40 characters."""
-    return _docs(s, d).select("doc_id", F.col("lang").alias("language"), "source", F.substring(F.split_part("text", F.lit("\n"), F.lit(1)), 1, 40).alias("title"), "text", "n_chars")
+    return _titled_docs(_docs(s, d))
+
+
+def _titled_docs(docs: DataFrame) -> DataFrame:
+    return docs.select("doc_id", F.col("lang").alias("language"), "source", F.substring(F.split_part("text", F.lit("\n"), F.lit(1)), 1, 40).alias("title"), "text", "n_chars")
 
 
 TITLES = "SELECT doc_id, lang AS language, source, substring(split_part(text, chr(10), 1), 1, 40) AS title, text, n_chars FROM documents"
@@ -105,7 +108,7 @@ CELLS = "SELECT l_returnflag AS metric, l_linestatus AS step, l_quantity - 25 AS
 
 
 def _rows(s, d):
-    return _titles(s, d).withColumnRenamed("doc_id", "rowid")
+    return _titled_docs(_spread(_docs(s, d))).withColumnRenamed("doc_id", "rowid")
 
 
 def _asked(rows):

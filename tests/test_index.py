@@ -174,3 +174,47 @@ def test_judging_writes_both_tables_or_none(spark, tmp_path):
     assert sinks.Ledger(spark, str(tmp_path / "j")).batches() == []
     assert linkage.judge_run(pairs, None, lambda a, b: ("falsch", {}), str(tmp_path / "j"), ["id"]).count() == 2
     assert sinks.appended(spark, str(tmp_path / "j"), "slim").count() == 2
+
+
+# ---- nearest neighbours ---------------------------------------------------------------------------
+
+def vectors_of(spark, n, spread, groups=8, width=12):
+    import numpy as np
+    rng = np.random.default_rng(4)
+    centre = rng.normal(size=(groups, width)) * 5
+    x = centre[np.arange(n) % groups] + rng.normal(size=(n, width)) * spread
+    x[:40] = x[0]  # one vector many times: ties go by number
+    rows = [(i, [float(v) for v in x[i]], i % 3) for i in range(n)]
+    return x, spark.createDataFrame(rows, "rowid long, embedding array<double>, part int").repartition(3)
+
+
+@pytest.mark.parametrize("metric", ["l2", "l1", "cosine"])
+@pytest.mark.parametrize("on", [[], ["part"]])
+def test_pruned_neighbours_are_exact(spark, metric, on):
+    import numpy as np
+    x, df = vectors_of(spark, 900, 0.3)
+    odd = spark.createDataFrame([(5000, None, 0), (5001, [0.0] * 12, 1)], df.schema)
+    q = df.where("rowid % 50 = 0").selectExpr("rowid as query_id", "embedding as q", "part")
+    seen = {}
+    got = {}
+    for r in search.nearest(q.select("query_id", "q", *on), df.unionByName(odd).select("rowid", "embedding", *on), 5, metric, on, seen=seen).collect():
+        got.setdefault(r["query_id"], []).append((r["rn"], r["rowid"], round(r["distance"], 6)))
+    for i in range(0, 900, 50):
+        d = {"l2": lambda a, b: np.sqrt(((a - b) ** 2).sum(1)), "l1": lambda a, b: np.abs(a - b).sum(1),
+             "cosine": lambda a, b: 1 - (a @ b) / (np.linalg.norm(a, axis=1) * np.linalg.norm(b))}[metric](x, x[i])
+        ids = [j for j in range(900) if not on or j % 3 == i % 3]
+        want = [(round(float(d[j]), 6), j) for j in ids] + ([(round(float({"l2": np.linalg.norm(x[i]), "l1": np.abs(x[i]).sum()}.get(metric, 9)), 6), 5001)] if metric != "cosine" and (not on or i % 3 == 1) else [])
+        assert [e for _, _, e in sorted(got[i])] == [e for e, _ in sorted(want)[:5]]
+        if metric != "cosine":  # ties in the last digits may order otherwise under cosine
+            assert [j for _, j, _ in sorted(got[i])] == [j for _, j in sorted(want)[:5]]
+    print(f"{metric} {on}: scored {seen['scored']} of {seen['pairs']} pairs")
+
+
+@pytest.mark.parametrize("metric", ["l2", "l1", "cosine"])
+def test_under_a_tenth_of_the_pairs_is_scored(spark, metric):
+    _, df = vectors_of(spark, 4000, 0.02, groups=40)
+    q = df.where("rowid % 100 = 0").selectExpr("rowid as query_id", "embedding as q")
+    seen = {}
+    assert search.nearest(q, df.select("rowid", "embedding"), 5, metric, seen=seen).count() == 200
+    print(f"{metric}: scored {seen['scored'] / seen['pairs']:.3f} of all pairs")
+    assert seen["scored"] < 0.1 * seen["pairs"]

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from textloom.operators.index import idf, tf_part, words
+from textloom.operators.staging import staged
 
 
 
@@ -65,19 +66,75 @@ def distance(a: Column, b: Column, metric: str = "l2") -> Column:
     raise ValueError(metric)
 
 
-def nearest(queries: DataFrame, table: DataFrame, k: int = 4, metric: str = "l2", on: list[str] | None = None) -> DataFrame:
-    """``query_id, rowid, distance, rn``: the k nearest rows of each query, ties by rowid.
+PIVOTS, CHUNK = 256, 4096
 
-    ``queries``: query_id, q, and the columns ``on``; ``table``: rowid, embedding, and the same columns. A stated set of
-    queries meets all rows; rows are salted over tasks, each keeps its own k best before the last comparison.
+
+def pivots(vectors: DataFrame, most: int = PIVOTS) -> DataFrame:
+    """One row, ``pivots``: vectors that stand for cells, as many as the square root of the rows and ``most`` at most.
+
+    ``vectors``: rowid, v. They are chosen by a hash of the number, so reruns agree.
+    """
+    n = vectors.count()
+    chosen = vectors.orderBy(F.xxhash64("rowid"), "rowid").limit(max(1, min(most, int(n ** 0.5))))
+    return chosen.agg(F.collect_list("v").alias("pivots"))
+
+
+def nearest(queries: DataFrame, table: DataFrame, k: int = 4, metric: str = "l2", on: list[str] | None = None, most: int = PIVOTS, seen: dict | None = None) -> DataFrame:
+    """``query_id, rowid, distance, rn``: the k nearest rows of each query, ties by rowid; exact.
+
+    ``queries``: query_id, q, and the columns ``on``; ``table``: rowid, embedding, and the same columns. Rows belong to the
+    cell of their nearest pivot, and a row's distance to it is stored. A query first meets the nearest cells that hold k
+    rows; the k-th distance found there leaves out every cell, and within cells every row, that the triangle inequality
+    puts beyond it. Cells are dealt out in chunks, so no task holds a whole one. Cosine distances are pruned as Euclidean
+    ones of unit vectors; rows without a distance (null vectors, zero vectors under cosine) are nobody's neighbours.
+    ``seen`` gets the numbers of pairs scored and of all pairs, for which extra jobs run.
     """
-    keys = on or []
-    salts = int(table.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    q = queries.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    t = table.withColumn("salt", F.pmod(F.xxhash64("rowid"), F.lit(salts)).cast("int"))
-    d = q.join(t, ["salt", *keys]).select("query_id", "rowid", "salt", distance(F.col("q"), F.col("embedding"), metric).alias("distance"))
-    local = d.withColumn("r", F.row_number().over(Window.partitionBy("query_id", "salt").orderBy("distance", "rowid"))).where(F.col("r") <= k)
-    return local.select("query_id", "rowid", "distance", F.row_number().over(Window.partitionBy("query_id").orderBy("distance", "rowid")).alias("rn")).where(F.col("rn") <= k)
+    keys = list(on or [])
+    if metric not in ("l2", "l1", "cosine"):
+        raise ValueError(metric)
+    double = lambda c: F.transform(c, lambda x: x.cast("double"))
+    unit = lambda c: F.transform(c, lambda x: x / F.sqrt(F.aggregate(c, F.lit(0.0), lambda s, v: s + v * v)))
+    some = lambda c: F.col(c).isNotNull() & ((F.lit(metric != "cosine")) | F.exists(c, lambda x: x != 0))
+    place = (lambda c: unit(double(c))) if metric == "cosine" else double
+    space = "l1" if metric == "l1" else "l2"
+    rows = staged(table.where(some("embedding")).select("rowid", *keys, "embedding", place("embedding").alias("v")))
+    asked = queries.where(some("q")).select("query_id", *keys, "q", place("q").alias("qv"))
+    one = staged(pivots(rows, most))  # one row of ``most`` vectors at most
+    far = lambda v: F.transform("pivots", lambda p: distance(p, F.col(v), space))
+    base = rows.crossJoin(F.broadcast(one)).withColumn("ds", far("v")).withColumn("r", F.array_min("ds"))
+    base = base.withColumn("cell", F.array_position("ds", F.col("r")).cast("int")).drop("ds", "pivots", "v")
+    base = staged(base)
+    cells = base.groupBy(*keys, "cell").agg(F.count("*").alias("n"), F.min("r").alias("low"), F.max("r").alias("high"))
+    cells = staged(cells.withColumn("chunks", F.ceil(F.col("n") / CHUNK).cast("int")))
+    base = base.join(F.broadcast(cells.select(*keys, "cell", "chunks")) if not keys else cells.select(*keys, "cell", "chunks"), [*keys, "cell"])
+    base = base.withColumn("chunk", F.pmod(F.xxhash64("rowid"), F.col("chunks")).cast("int")).drop("chunks")
+    # Each query with all cells of its group in one array, nearest first, each with the least distance a row in it can have.
+    group = cells.groupBy(*keys).agg(F.collect_list(F.struct("cell", "n", "low", "high", "chunks")).alias("cells"))
+    q = asked.crossJoin(F.broadcast(one)).withColumn("ds", far("qv")).withColumn("nearest", F.array_min("ds")).drop("pivots", "qv")
+    q = q.join(group, keys) if keys else q.crossJoin(F.broadcast(group))  # one row without keys
+    dq = lambda c: F.element_at("ds", c["cell"])
+    bound = lambda c: F.greatest(dq(c) - c["high"], c["low"] - dq(c), (dq(c) - F.col("nearest")) / 2, F.lit(0.0))
+    q = q.withColumn("cells", F.array_sort(F.transform("cells", lambda c: F.struct(dq(c).alias("dq"), c["cell"].alias("cell"), c["n"].alias("n"), c["chunks"].alias("chunks"), bound(c).alias("least")))))
+    before = F.aggregate("cells", F.struct(F.lit(0).cast("long").alias("n"), F.lit(0).alias("i")), lambda s, c: F.when(s["n"] >= k, s).otherwise(F.struct((s["n"] + c["n"]).alias("n"), (s["i"] + 1).alias("i"))))
+    q = staged(q.withColumn("first", before["i"]).drop("ds", "nearest"))
+
+    def scored(parts: DataFrame, limit) -> DataFrame:
+        """Distances of queries (with ``c``, one cell each) to the rows of the cell that may lie within ``limit``."""
+        each = parts.withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("c.chunks") - 1))).withColumn("cell", F.col("c.cell"))
+        met = each.join(base, [*keys, "cell", "chunk"])
+        met = met if limit is None else met.where(limit.isNull() | (F.abs(F.col("c.dq") - F.col("r")) <= limit))
+        return met.select("query_id", "rowid", distance(F.col("q"), F.col("embedding"), metric).alias("distance"))
+
+    top = lambda df: df.withColumn("rn", F.row_number().over(Window.partitionBy("query_id").orderBy("distance", "rowid"))).where(F.col("rn") <= k)
+    begun = q.select("query_id", *keys, "q", F.explode(F.slice("cells", 1, F.col("first"))).alias("c"))
+    found = staged(top(scored(begun, None)))
+    kth = found.where(F.col("rn") == k).select("query_id", (F.sqrt(2 * F.greatest("distance", F.lit(0.0))) + 1e-6 if metric == "cosine" else F.col("distance") * (1 + 1e-9) + 1e-12).alias("limit"))
+    rest = q.join(kth, "query_id", "left").select("query_id", *keys, "q", "limit", F.explode(F.slice("cells", F.col("first") + 1, F.size("cells"))).alias("c"))
+    rest = rest.where("limit is null or c.least <= limit")
+    more = scored(rest, F.col("limit"))
+    if seen is not None:
+        seen.update(scored=scored(begun, None).count() + more.count(), pairs=asked.count() * rows.count())
+    return top(found.drop("rn").unionByName(more))
 
 
 def lookup_titles(hits: DataFrame, rows: DataFrame, keys: list[str]) -> DataFrame:

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from textloom.functions import text as T
 from textloom.operators import annotate, index, keyness, language_model, linkage, metrics, search, stats, vocabulary
+from textloom.operators.staging import staged
 from textloom.sources import corpus
 
 TOK = annotate.token_sql()
@@ -441,7 +442,7 @@ def _title_queries(records: DataFrame) -> DataFrame:
 
 def _reverse(s, d):
     """Vectors are those of the documents of the same number; neighbours' titles are looked up among all documents."""
-    n, rows = _near(s, d).persist(), _titles(s, d).withColumnRenamed("doc_id", "rowid")
+    n, rows = staged(_near(s, d)), _titles(s, d).withColumnRenamed("doc_id", "rowid")
     found = search.lookup_hits(rows, _title_queries(rows.join(n.select("rowid").distinct(), "rowid", "left_semi")))
     return rounded(search.reverse_checked(n, found.select(F.col("query_id").alias("rowid"), F.col("rowid").alias("query_id"))))
 

@@ -8,7 +8,7 @@ the two smallest neighbours are merged, and the old ones are deleted. An index c
 (``RunIndex.open``), so that ``dedup_batch`` finds what a new batch shares with history from runs alone.
 
 The fingerprints that a batch shares with history, or that two of its documents share, are marked. Verification reads
-the texts, takes the windows whose fingerprint is marked, and compares whole windows by 64-bit hash: a window counts as
+the texts, takes the windows whose fingerprint is marked, and compares whole windows by hashes of 96 bits: a window counts as
 repeated if the first document that holds it is smaller. A slot marked by chance only costs a comparison.
 
 Copies of a whole text are found first by SHA-256 and left out of the index (every window of a later copy also
@@ -193,7 +193,10 @@ def repeats(docs: DataFrame, n: int = N, k: int = K, n_batches: int = 3, chunk:
 
 
 def verified(docs: DataFrame, shared: DataFrame, copies: Copies, n: int, k: int, chunk: int = CHUNK) -> DataFrame:
-    """Windows under the shared fingerprints that also start in a smaller document, gathered by row."""
+    """Windows under the shared fingerprints that also start in a smaller document, gathered by row.
+
+    Windows are compared by two hashes of their words over different byte values, of 64 and 32 bits.
+    """
     marks, firsts = Marks(shared, "g"), copies.firsts
 
     def fn(b):
@@ -201,7 +204,8 @@ def verified(docs: DataFrame, shared: DataFrame, copies: Copies, n: int, k: int,
         doc, th = b["doc"].to_numpy(), b["th"].to_numpy()
         mine = firsts.passes(row_key(doc, th))
         for i, j in chunks(off, chunk):
-            (_, _, row, h), (first, count, place, g) = windows_of(data[off[i]:off[j]], off[i:j + 1] - off[i], n, k)
+            raw = data[off[i]:off[j]]
+            (s, e, row, h), (first, count, place, g) = windows_of(raw, off[i:j + 1] - off[i], n, k)
             if not len(first):
                 continue
             ok = mine[i:j][row[first]] & marks.passes(g[place])
@@ -211,12 +215,13 @@ def verified(docs: DataFrame, shared: DataFrame, copies: Copies, n: int, k: int,
             at = np.repeat(first - np.r_[0, np.cumsum(count)[:-1]], count) + np.arange(count.sum())
             base = np.searchsorted(row, np.arange(j - i))  # first word of each row
             r = row[at]
-            yield {"wh": C.grams(h, n)[at].view(np.int64), "doc": doc[i:j][r], "th": th[i:j][r], "at": (at - base[r]).astype(np.int32)}
+            other = C.grams(C.span_hashes32(raw, s, e).view(np.uint32).astype(np.uint64), n)[at] >> np.uint64(32)
+            yield {"wh": C.grams(h, n)[at].view(np.int64), "w2": other.astype(np.uint32).view(np.int32), "doc": doc[i:j][r], "th": th[i:j][r], "at": (at - base[r]).astype(np.int32)}
 
-    wins = stored(arrow(fn, docs, "wh long, doc long, th long, at int"))
+    wins = stored(arrow(fn, docs, "wh long, w2 int, doc long, th long, at int"))
     # First holders are stored before they are joined, so that the rows of a very frequent window can be split.
-    first = stored(wins.groupBy("wh").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi")).where("lo < hi").select("wh", "lo"))
-    per = gathered(wins.join(first, "wh").where("lo < doc").select("doc", "th", "at", F.lit(1).alias("n")))
+    first = stored(wins.groupBy("wh", "w2").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi")).where("lo < hi").select("wh", "w2", "lo"))
+    per = gathered(wins.join(first, ["wh", "w2"]).where("lo < doc").select("doc", "th", "at", F.lit(1).alias("n")))
     marks.drop()
     firsts.drop()
     return per

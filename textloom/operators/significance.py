@@ -130,7 +130,7 @@ def bleed_cells(quads: DataFrame, keys: Sequence[str], n_steps: int, alpha: floa
     """
     k = [*keys, "step"]
     stat = stats.with_p(stats.signed_ranks(quads, k, "d_simp"), "greater").where("p is not null")
-    return bleed_report(stat.join(quads.groupBy(*k).agg(F.median("d_orig").alias("orig")), k).withColumnRenamed("median_delta", "simp"), keys, n_steps, alpha)
+    return bleed_report(stat.join(stats.quantiles(quads, k, "d_orig", orig=0.5).drop("n"), k).withColumnRenamed("median_delta", "simp"), keys, n_steps, alpha)
 
 
 def bleed_report(steps: DataFrame, keys: Sequence[str], n_steps: int, alpha: float = 0.05) -> DataFrame:

@@ -256,7 +256,7 @@ def _gold(s, d):
 
 
 def _signed(s, d):
-    return rounded(stats.signed_ranks(_cells(s, d), ["metric", "step"]))
+    return rounded(stats.signed_ranks(_cells(s, d), ["metric", "step"]).drop("ranks2"))
 
 
 SIGNED = f"""c AS ({CELLS}), md AS (SELECT metric, step, count(*) AS n_all, median(delta) AS median_delta FROM c GROUP BY ALL),

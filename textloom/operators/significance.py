@@ -17,6 +17,8 @@ from textloom.operators import stats
 # Chains from hard to easy, the tier of each view, and labels of sources.
 CHAINS = {"de": ("msd_expert", "msd_lay", "gesund", "apoum"), "en": ("msd_expert", "msd_lay", "gesund", "nhs")}
 TIERS = {("msd", "professional"): "msd_expert", ("msd", "amateur"): "msd_lay", ("gesund", "amateur"): "gesund", ("apoum", "amateur"): "apoum", ("nhs", "amateur"): "nhs"}
+TIER_NODES, VIEWS = {"msd_expert": "msd", "msd_lay": "msd"}, {"msd_expert": "professional", "msd_lay": "amateur"}
+LABELS, JUDGES = ("richtig", "spezialisierung", "generalisierung"), ("human", "llm", "site")
 SOURCE_LABELS = {"apoum": "Apotheken\nUmschau", "nhs": "NHS", "gesund": "gesund.\nbund", "msd_short": "MSD Manual\n(Quick Facts)",
                  "msd_lay": "MSD\nConsumer", "msd_expert": "MSD Manual\n(Professional)"}
 WRONG_COLOUR = "#D55E00"
@@ -26,16 +28,50 @@ def adjacent(chain: Sequence[str]) -> list[tuple[str, str]]:
     return list(zip(chain[:-1], chain[1:]))
 
 
-def step_pairs(edges: DataFrame, chain: Sequence[str]) -> DataFrame:
-    """``sa, sb, a, b``: edges of each step, turned to it, once each. ``edges``: a, b, source_a, source_b (with view).
+def node_source(source: str) -> str:
+    """The source of a view's articles: msd_expert and msd_lay are two views of one."""
+    return TIER_NODES.get(source, source)
 
-    Sources name the view (msd_expert, msd_lay), so a step inside one source needs the same article on both sides;
-    other steps ignore language and view. The article's number is what follows the source in its node.
+
+def step_pairs(edges: DataFrame, chain: Sequence[str], language: str = "de") -> DataFrame:
+    """``sa, sb, a, b``: edges of each step, turned to it, once each. ``edges``: a, b, source_a, source_b, a_view, b_view.
+
+    A step between two views of one source needs the same article on both sides and the views of this language, in either
+    order. Other steps ask for their two sources alone, in either order, whatever the language and the views.
+    """
+    def match(sa: str, sb: str) -> Column:
+        x, y = node_source(sa), node_source(sb)
+        turned = lambda a, b: F.struct(F.lit(sa).alias("sa"), F.lit(sb).alias("sb"), F.col(a).alias("a"), F.col(b).alias("b"))
+        ahead, back = (F.col("source_a") == x) & (F.col("source_b") == y), (F.col("source_a") == y) & (F.col("source_b") == x)
+        if x == y:
+            va, vb = (f"{language}_{VIEWS[s]}" for s in (sa, sb))
+            same = ahead & (F.col("a") == F.col("b"))
+            ahead, back = same & (F.col("a_view") == va) & (F.col("b_view") == vb), same & (F.col("a_view") == vb) & (F.col("b_view") == va)
+        return F.when(ahead, turned("a", "b")).when(back, turned("b", "a"))
+
+    found = F.explode(F.array_compact(F.array(*(match(*s) for s in adjacent(chain))))).alias("s")
+    return edges.select(found).select("s.*").distinct()
+
+
+def aligned_significance(edges: DataFrame, values: DataFrame, registry: DataFrame, language: str, labels: Sequence[str], judges: Sequence[str],
+                         how: str = "holm", alpha: float = 0.05) -> DataFrame:
+    """From aligned values to marked cells, one plan: ``language, metric, expected, pos, sa, sb, n_pairs, n_values, delta,
+    p, right, sig, marker, emphasis``.
+
+    ``edges``: as for ``step_pairs``, with label and judge, of which the given ones count; ``values``: metric, source (a view
+    of the chain), id, value; ``registry``: metric, expected, the whole family of the correction. Cells of metrics without
+    expectation are left out; cells without a p-value stay, unmarked, and leave their metric without emphasis.
     """
-    steps = edges.sparkSession.createDataFrame([(i, *s) for i, s in enumerate(adjacent(chain))], "pos int, source string, next string")
-    got = stats.oriented_pairs(edges, steps)
-    family = lambda c: F.split_part(c, F.lit("_"), F.lit(1))
-    return got.where((family(F.col("sa")) != family(F.col("sb"))) | (F.col("a") == F.col("b")))
+    for given, known, name in ((labels, LABELS, "label"), (judges, JUDGES, "judge")):
+        if unknown := set(given) - set(known):
+            raise ValueError(f"unknown {name}: {sorted(unknown)}")
+    chain = CHAINS[language]
+    pairs = step_pairs(edges.where(F.col("label").isin(*labels) & F.col("judge").isin(*judges)), chain, language)
+    stat = cells(registry.where("expected <> 0"), chain, pairs, values)
+    tested = stats.with_p(stat, alternative(F.col("expected"))).withColumn("language", F.lit(language))
+    sig = significance_markers(significance_cells(tested, ("language",), how, alpha))
+    out = sig.join(label_emphasis(sig, len(chain) - 1), ["language", "metric"])
+    return out.select("language", "metric", "expected", "pos", "sa", "sb", "n_pairs", "n_values", "delta", "p", "right", "sig", "marker", "emphasis")
 
 
 def cells(metrics: DataFrame, chain: Sequence[str], pairs: DataFrame, values: DataFrame, sign: Column | None = None) -> DataFrame:

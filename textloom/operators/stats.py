@@ -76,10 +76,10 @@ def signed_ranks(df: DataFrame, keys: list[str], delta: str = "delta", small: in
 
     ``ranks2`` gives twice the ranks of all non-zero deltas, for groups of ``small`` at most.
     """
-    d = df.where(F.col(delta).isNotNull() & ~F.isnan(delta)).select(*keys, F.col(delta).alias("_d"))
+    d = staged(df.where(F.col(delta).isNotNull() & ~F.isnan(delta)).select(*keys, F.col(delta).alias("_d")))
     med = quantiles(d, keys, "_d", median_delta=0.5).withColumnRenamed("n", "n_all")
     signs = d.where(F.col("_d") != 0).select(*keys, F.abs("_d").alias("_m"), F.col("_d"))
-    ranks = value_ranks(signs, keys, "_m").withColumn("rank", F.col("before") + (F.col("c") + 1) / 2)
+    ranks = staged(value_ranks(signs, keys, "_m")).withColumn("rank", F.col("before") + (F.col("c") + 1) / 2)
     pos = signs.where("_d > 0").groupBy(*keys, "_m").agg(F.count("*").alias("pos"))
     t = F.col("c")
     r = ranks.join(pos, [*keys, "_m"], "left").withColumn("pos", F.coalesce("pos", F.lit(0)))
@@ -133,7 +133,8 @@ def with_p(ranks: DataFrame, alternative: str | Column = "two-sided", exact_up_t
     high = F.when(exact, exact_p(r2, F.col("w_plus"))).otherwise(upper_tail(F.col("z")))
     low = F.when(exact, exact_p(r2, F.col("w_minus"))).otherwise(upper_tail(-F.col("z")))
     p = F.when(side == "greater", high).when(side == "less", low).otherwise(F.least(F.lit(1.0), 2 * F.least(high, low)))
-    return ranks.withColumn("p", F.when(F.col("n") > 0, p)).drop("ranks2")
+    # Written, so that the many later uses of a p-value do not work it out anew.
+    return staged(ranks.withColumn("p", F.when(F.col("n") > 0, p)).drop("ranks2"))
 
 
 def rejected(tests: DataFrame, family: list[str], how: str = "holm", alpha: float = 0.05) -> DataFrame:

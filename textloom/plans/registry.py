@@ -259,10 +259,17 @@ def _signed(s, d):
     return rounded(stats.signed_ranks(_cells(s, d), ["metric", "step"]).drop("ranks2"))
 
 
+
+# The upper tail of the normal law by its series, for tests of groups of more than 50 values.
+TAIL = "(0.5 - sign({z}) * exp(-{z} * {z} / 2) / sqrt(2 * pi()) * list_sum(list_transform(range(0, 200), lambda i: exp((2 * i + 1) * ln(abs({z}) + 1e-300) - lgamma(2 * i + 2) + i * ln(2) + lgamma(i + 1)))))"
+# P(W+ >= w) over all sign patterns: the number of patterns for each sum of doubled ranks, built up rank by rank.
+PATTERNS = ("list_sum(list_slice(list_reduce(list_concat([list_concat([1.0::DOUBLE], list_transform(range(list_sum(r2)::BIGINT), lambda i: 0.0::DOUBLE))], list_transform(r2, lambda x: [x])), "
+            "lambda acc, x: list_transform(range(1, list_sum(r2)::BIGINT + 2), lambda i: acc[i] + CASE WHEN i - x[1] >= 1 THEN acc[(i - x[1])::BIGINT] ELSE 0 END)), ceil(2 * {w})::BIGINT + 1, 1000000)) / pow(2, len(r2))")
 SIGNED = f"""c AS ({CELLS}), md AS (SELECT metric, step, count(*) AS n_all, median(delta) AS median_delta FROM c GROUP BY ALL),
 t AS (SELECT metric, step, abs(delta) AS m, count(*) AS t, count(*) FILTER (delta > 0) AS pos FROM c WHERE delta <> 0 GROUP BY ALL),
 r AS (SELECT *, coalesce(sum(t) OVER (PARTITION BY metric, step ORDER BY m ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + (t + 1) / 2 AS rank FROM t),
 a AS (SELECT metric, step, sum(t)::BIGINT AS n, sum(rank * pos) AS w_plus, sum(rank * (t - pos)) AS w_minus, sum(t::HUGEINT * t * t - t)::BIGINT AS ties, sum(pos)::BIGINT AS n_pos FROM r GROUP BY ALL),
+r2 AS (SELECT metric, step, flatten(list(list_transform(range(t), lambda i: (2 * rank)::DOUBLE))) AS r2 FROM r GROUP BY ALL),
 z AS (SELECT *, (w_plus - n::DOUBLE * (n + 1) / 4) / sqrt(n::DOUBLE * (n + 1) * (2 * n + 1) / 24 - ties / 48.0) AS z FROM a)
 SELECT metric, step, n_all, round(median_delta, 6) AS median_delta, n, round(w_plus, 6) AS w_plus, round(w_minus, 6) AS w_minus, ties, n_pos, round(z, 6) AS z, round((w_plus - w_minus) / (w_plus + w_minus), 6) AS rank_biserial, round(n_pos::DOUBLE / n, 6) AS pct_positive FROM md JOIN z USING (metric, step)"""
 
@@ -399,7 +406,7 @@ def queries() -> dict:
         "best_instances": _instances, "resume_rest": lambda s, d: linkage.remaining(_docs(s, d).select("doc_id"), table(s, d, "labels"), ["doc_id"]),
         "adjacent_steps": lambda s, d: stats.adjacent_steps(_chain(s, d)),
         "oriented_deltas": lambda s, d: rounded(_delta(s, d)),
-        "signed_ranks": _signed, "signed_rank_p": lambda s, d: stats.with_p(stats.signed_ranks(_cells(s, d), ["metric", "step"])).select("metric", "step", "p"),
+        "signed_ranks": _signed, "signed_rank_p": lambda s, d: rounded(stats.with_p(stats.signed_ranks(_cells(s, d), ["metric", "step"])).select("metric", "step", "p")),
         "reject_holm": _rejected("holm"), "reject_bonferroni": _rejected("bonferroni"), "reject_none": _rejected("none"),
         "verdicts": lambda s, d: stats.grade(_steps(s, d), ["metric"]), "verdicts_two_sided": lambda s, d: stats.grade(_steps(s, d), ["metric"], one_sided=False),
         "bleed_through": lambda s, d: rounded(stats.bleed_through(_cells(s, d), ["metric"])),
@@ -564,6 +571,7 @@ SELECT source, id, priority, ['4_tier', '3_tier', '2_tier', 'unaligned'][priorit
         "resume_rest": "SELECT doc_id FROM documents ANTI JOIN labels USING (doc_id)",
         "adjacent_steps": "SELECT * FROM (SELECT n_regionkey AS language, n_nationkey AS pos, n_name AS source, lead(n_name) OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) AS next FROM nation) WHERE next IS NOT NULL",
         "signed_ranks": f"WITH {SIGNED}",
+        "signed_rank_p": f"WITH {SIGNED.rpartition('SELECT metric')[0]} SELECT metric, step, round(CASE WHEN n <= 50 THEN least(1, 2 * least({PATTERNS.format(w='w_plus')}, {PATTERNS.format(w='w_minus')})) ELSE least(1, 2 * {TAIL.format(z='abs(z)')}) END, 6) AS p FROM z JOIN r2 USING (metric, step)",
         "reject_holm": f"""WITH t AS (SELECT *, count(p) OVER (PARTITION BY metric) AS m, row_number() OVER (PARTITION BY metric ORDER BY p) AS r FROM ({TESTS})), b AS (SELECT *, min(CASE WHEN p >= 0.05::DOUBLE / (m - r + 1) THEN r END) OVER (PARTITION BY metric) AS bad FROM t)
 SELECT metric, step, coalesce(r < bad, true) AS reject FROM b""",
         "reject_bonferroni": f"SELECT metric, step, p < 0.05::DOUBLE / count(p) OVER (PARTITION BY metric) AS reject FROM ({TESTS})", "reject_none": f"SELECT metric, step, p < 0.05 AS reject FROM ({TESTS})",

@@ -123,6 +123,58 @@ SELECT metric, sa, sb, coalesce(n_pairs, 0) AS n_pairs, coalesce(n_values, 0) AS
  round((w_plus - n::DOUBLE * (n + 1) / 4) / sqrt(n::DOUBLE * (n + 1) * (2 * n + 1) / 24 - ties / 48.0), 4) AS z FROM g LEFT JOIN md USING (metric, sa, sb) LEFT JOIN a USING (metric, sa, sb) LEFT JOIN np USING (sa, sb)"""
 
 
+# ---- from values to markers -----------------------------------------------------------------------------
+
+def _aligned(s, d):
+    """Every fourth document is an article of one view; edges tie the k-th articles of the views in several ways."""
+    i, k = F.col("doc_id"), F.floor(F.col("doc_id") / 4)
+    docs = table(s, d, "documents").where("doc_id is not null")
+    name = F.concat(F.lit("x"), k.cast("string"))
+    kind = i % 5
+    ends = [("msd", "msd"), ("msd", "gesund"), ("apoum", "gesund"), ("gesund", "nhs"), ("msd", "nhs")]
+    at = lambda n: F.element_at(F.array(*(F.lit(e[n]) for e in ends)), (kind + 1).cast("int"))
+    views = [("de_professional", "de_amateur"), ("de_amateur", "de_professional"), ("en_professional", "en_amateur"), ("de_amateur", "en_amateur")]
+    view = lambda n: F.element_at(F.array(*(F.lit(v[n]) for v in views)), (k % 4 + 1).cast("int"))
+    edges = docs.select(name.alias("a"), F.concat(F.lit("x"), (k + F.when((kind == 0) | (i % 3 > 0), 0).otherwise(1)).cast("string")).alias("b"), at(0).alias("source_a"), at(1).alias("source_b"),
+                        view(0).alias("a_view"), view(1).alias("b_view"), _pick(("richtig", "spezialisierung", "falsch"), F.floor(i / 7)).alias("label"), _pick(("human", "llm", "site"), F.floor(i / 11)).alias("judge"))
+    value = F.create_map(F.lit("chars"), F.col("n_chars").cast("double"), F.lit("spread"), (i * 37 % 101).cast("double"), F.lit("free"), F.lit(1.0))
+    views_of = F.array(*map(F.lit, ("msd_expert", "msd_lay", "gesund", "apoum", "nhs")))
+    every = docs.select(name.alias("id"), (i % 4).alias("c"), F.explode(views_of).alias("source"), value.alias("v")).where("(case source when 'msd_expert' then 0 when 'msd_lay' then 1 when 'gesund' then 2 else 3 end) = c")
+    return edges, every.select("source", "id", F.explode("v").alias("metric", "value")), s.createDataFrame([("chars", -1), ("spread", 1), ("free", 0)], "metric string, expected int")
+
+
+ALIGNED = f"""ed AS (SELECT 'x' || (doc_id // 4) AS a, 'x' || (doc_id // 4 + CASE WHEN doc_id % 5 = 0 OR doc_id % 3 > 0 THEN 0 ELSE 1 END) AS b, ['msd','msd','apoum','gesund','msd'][doc_id % 5 + 1] AS sa0, ['msd','gesund','gesund','nhs','nhs'][doc_id % 5 + 1] AS sb0,
+ ['de_professional','de_amateur','en_professional','de_amateur'][(doc_id // 4) % 4 + 1] AS av, ['de_amateur','de_professional','en_amateur','en_amateur'][(doc_id // 4) % 4 + 1] AS bv, {_sql_pick(('richtig', 'spezialisierung', 'falsch'), '(doc_id // 7)')} AS label,
+ {_sql_pick(('human', 'llm', 'site'), '(doc_id // 11)')} AS judge FROM documents),
+ok AS (SELECT * FROM ed WHERE label IN ('richtig', 'spezialisierung') AND judge IN ('human', 'site')),
+vv AS (SELECT 'x' || (doc_id // 4) AS id, unnest(CASE doc_id % 4 WHEN 0 THEN ['msd_expert'] WHEN 1 THEN ['msd_lay'] WHEN 2 THEN ['gesund'] ELSE ['apoum', 'nhs'] END) AS source, n_chars::DOUBLE AS chars, (doc_id * 37 % 101)::DOUBLE AS spread FROM documents),
+v AS (SELECT id, source, 'chars' AS metric, chars AS value FROM vv UNION ALL SELECT id, source, 'spread', spread FROM vv),
+st AS (SELECT * FROM (VALUES ('de', 0, 'msd_expert', 'msd_lay', 'msd', 'msd'), ('de', 1, 'msd_lay', 'gesund', 'msd', 'gesund'), ('de', 2, 'gesund', 'apoum', 'gesund', 'apoum'),
+ ('en', 0, 'msd_expert', 'msd_lay', 'msd', 'msd'), ('en', 1, 'msd_lay', 'gesund', 'msd', 'gesund'), ('en', 2, 'gesund', 'nhs', 'gesund', 'nhs')) t(language, pos, sa, sb, na, nb)),
+pr AS (SELECT DISTINCT language, pos, sa, sb, CASE WHEN ahead THEN a ELSE b END AS a, CASE WHEN ahead THEN b ELSE a END AS b FROM (SELECT *, CASE WHEN na = nb THEN a = b AND av = language || '_professional' AND bv = language || '_amateur' ELSE true END AND sa0 = na AND sb0 = nb AS ahead,
+ CASE WHEN na = nb THEN a = b AND bv = language || '_professional' AND av = language || '_amateur' ELSE true END AND sa0 = nb AND sb0 = na AS back FROM ok, st) WHERE ahead OR back)"""
+ALIGNED_TESTS = f"""{ALIGNED}, dl AS (SELECT language, x.metric, pos, pr.sa, pr.sb, y.value - x.value AS delta FROM pr JOIN v x ON x.source = sa AND x.id = a JOIN v y ON y.source = sb AND y.id = b AND y.metric = x.metric),
+md AS (SELECT language, metric, pos, count(*) AS n_values, median(delta) AS delta FROM dl GROUP BY ALL), tt AS (SELECT language, metric, pos, abs(delta) AS m, count(*) AS t, count(*) FILTER (delta > 0) AS up FROM dl WHERE delta <> 0 GROUP BY ALL),
+rr AS (SELECT *, coalesce(sum(t) OVER (PARTITION BY language, metric, pos ORDER BY m ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + (t + 1) / 2 AS rank FROM tt),
+aa AS (SELECT language, metric, pos, sum(t)::DOUBLE AS n, sum(rank * up) AS w, sum(t::HUGEINT * t * t - t)::DOUBLE AS ties, flatten(list(list_transform(range(t), lambda i: (2 * rank)::DOUBLE))) AS r2 FROM rr GROUP BY ALL),
+zz AS (SELECT *, (w - n * (n + 1) / 4) / sqrt(n * (n + 1) * (2 * n + 1) / 24 - ties / 48) * CASE metric WHEN 'chars' THEN -1 ELSE 1 END AS z, CASE metric WHEN 'chars' THEN -1 ELSE 1 END AS expected FROM aa JOIN md USING (language, metric, pos)),
+pp AS (SELECT *, CASE WHEN n > 50 THEN {R.TAIL.format(z='z')} WHEN expected > 0 THEN {R.PATTERNS.format(w='w')} ELSE {R.PATTERNS.format(w='(n * (n + 1) / 2 - w)')} END AS p, delta * expected > 0 AS "right" FROM zz), tw AS (SELECT *, CASE WHEN "right" THEN p ELSE 1 - p END AS pt FROM pp),
+ho AS (SELECT *, count(*) OVER (PARTITION BY language) AS k, row_number() OVER (PARTITION BY language ORDER BY pt) AS r FROM tw), bd AS (SELECT *, min(CASE WHEN pt >= 0.05::DOUBLE / (k - r + 1) THEN r END) OVER (PARTITION BY language) AS bad FROM ho),
+sg AS (SELECT *, coalesce(r < bad, true) AS sig FROM bd), em AS (SELECT language, metric, count(*) FILTER ("right" AND sig) AS good, count(*) FILTER (NOT "right" AND sig) AS wrong, count(*) AS n FROM sg GROUP BY ALL)"""
+
+
+def _aligned_steps(s, d):
+    edges = _aligned(s, d)[0].where("label in ('richtig', 'spezialisierung') and judge in ('human', 'site')")
+    one = lambda lang: significance.step_pairs(edges, significance.CHAINS[lang], lang).select(F.lit(lang).alias("language"), "*")
+    return one("de").unionByName(one("en"))
+
+
+def _aligned_significance(s, d):
+    edges, values, registry = _aligned(s, d)
+    one = lambda lang: significance.aligned_significance(edges, values, registry, lang, ("richtig", "spezialisierung"), ("human", "site"))
+    return rounded(one("de").unionByName(one("en")).select("language", "metric", "pos", "n_values", "delta", "p", "right", "sig", "marker", "emphasis"))
+
+
 def _bleed_steps(s, d):
     k = F.col("c_custkey")
     c = table(s, d, "customer").groupBy(F.col("c_nationkey").alias("n"), F.col("c_mktsegment").alias("metric"), (k % 3).cast("int").alias("step"))
@@ -304,7 +356,7 @@ def queries() -> dict:
         "significance_markers": lambda s, d: significance.significance_markers(_sig(s, d)).select("language", "metric", "pos", "marker"),
         "label_emphasis": lambda s, d: significance.label_emphasis(_sig(s, d), 3),
         "significance_brackets": lambda s, d: significance.brackets(_sig(s, d)).select("language", "metric", "pos", "level", "mark", "colour"),
-        "direction_cells": _direction_cells,
+        "direction_cells": _direction_cells, "aligned_steps": _aligned_steps, "aligned_significance": _aligned_significance,
         "direction_table": lambda s, d: rounded(significance.direction_table(significance.cells(m := _direction(s, d)[0], CHAIN, *_direction(s, d)[1:]))).select("metric", "sa", "sb", "delta", "p", "sig", "wrong_sig", "verdict"),
         "direction_wide": lambda s, d: rounded(significance.direction_wide(significance.direction_table(significance.cells(_direction(s, d)[0], CHAIN, *_direction(s, d)[1:])))),
         "source_dependence": lambda s, d: rounded(significance.source_dependence(_direction(s, d)[0], CHAIN, *_direction(s, d)[1:])).select("metric", "sa", "sb", "delta", "p", "sig", "rank_biserial", "pct_positive"),
@@ -346,7 +398,9 @@ SELECT doc_id, count(*) AS n, sum(f)::BIGINT AS total FROM t GROUP BY doc_id HAV
         "label_emphasis": f"""WITH {SIG}, n AS (SELECT language, metric, count(*) FILTER (sig AND "right") AS g, count(*) FILTER (sig AND NOT "right") AS w, count(*) AS k FROM sg GROUP BY ALL)
 SELECT language, metric, CASE WHEN w > 0 OR g = 0 OR k < 3 THEN '' WHEN g = 3 THEN 'bold' ELSE 'underline' END AS emphasis FROM n""",
         "significance_brackets": f"""WITH {SIG} SELECT language, metric, pos, (row_number() OVER (PARTITION BY language, metric ORDER BY pos) - 1)::INT AS level, CASE WHEN "right" THEN '*' ELSE '†' END AS mark, CASE WHEN "right" THEN 'black' ELSE '#D55E00' END AS colour FROM sg WHERE sig""",
-        "direction_cells": DIRECTION,
+        "direction_cells": DIRECTION, "aligned_steps": f"WITH {ALIGNED} SELECT language, sa, sb, a, b FROM pr",
+        "aligned_significance": f"""WITH {ALIGNED_TESTS} SELECT language, metric, pos, n_values, round(delta, 6) AS delta, round(p, 6) AS p, "right", sig, CASE WHEN sig AND "right" THEN '*' WHEN sig THEN '\\textdagger' ELSE '' END AS marker,
+ CASE WHEN wrong > 0 OR good = 0 OR em.n < 3 THEN '' WHEN good = 3 THEN 'bold' ELSE 'underline' END AS emphasis FROM sg JOIN em USING (language, metric)""",
         "bleed_report": f"WITH {BLEED} SELECT * FROM br",
         "bleed_grid": f"""WITH {BLEED}, sg AS (SELECT DISTINCT c_mktsegment AS metric FROM customer), de AS (SELECT * FROM br WHERE n = 2 AND length(metric) > 8), en AS (SELECT * FROM br WHERE n = 3 AND length(metric) < 10)
 SELECT sg.metric, de.stars AS de_stars, de.bleed_pct AS de_bleed_pct, en.stars AS en_stars, en.bleed_pct AS en_bleed_pct FROM sg LEFT JOIN de USING (metric) LEFT JOIN en USING (metric)""",

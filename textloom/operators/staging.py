@@ -31,3 +31,11 @@ def staged(df: DataFrame) -> DataFrame:
     path = fresh_dir(df.sparkSession)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def staged_by(df: DataFrame, *keys: str) -> DataFrame:
+    """The same as an external table bucketed by ``keys``: grouping and windows by them, or by them and more, need no shuffle."""
+    spark, n = df.sparkSession, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    name = f"textloom_step_{uuid.uuid4().hex}"
+    df.repartition(n, *keys).write.format("parquet").option("path", fresh_dir(spark)).bucketBy(n, *keys).saveAsTable(name)
+    return spark.table(name)

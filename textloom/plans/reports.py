@@ -27,16 +27,20 @@ def _articles(s, d):
     return table(s, d, "documents").select("source", F.lit("amateur").alias("subtree"), F.col("lang").alias("language"), F.col("doc_id").alias("article_id"), "text")
 
 
-BASIC = ("avg_sentence_length", "avg_syllable_length", "noun_ratio", "adjective_ratio", "verb_ratio", "function_word_ratio", "numbers_ratio", "negations_ratio", "type_token_ratio", "fkgl", "wstf", "herdans_c")
-
-
 def _metric_table(s, d):
-    """Measures of the articles that the labelled ones leave, as a resumed run makes them."""
+    """All thirty measures of the articles that the labelled ones leave, as a resumed run makes them."""
     rest = linkage.remaining(_articles(s, d), table(s, d, "labels").select(F.col("doc_id").alias("article_id")), ["article_id"])
-    return rounded(drivers.measured(rest, mode="plain").select("article_id", "language", *BASIC))
+    wide = drivers.measured(rest, R._freq_table(s, d), mode="plain").select("article_id", "language", *drivers.MEASURES)
+    digits = {"heaps_law_beta": 4, "heaps_law_beta_lex": 4, "word_freq": 8, "word_freq_filtered": 8}
+    return wide.withColumns({c: F.round(c, digits.get(c, 6)) for c in drivers.MEASURES})
 
 
-METRIC_TABLE = f"SELECT doc_id AS article_id, lang AS language, {', '.join(f'coalesce({c}, -1.0) AS {c}' for c in BASIC)} FROM ({R.MEASURES}) JOIN (SELECT doc_id, lang FROM documents) USING (doc_id) ANTI JOIN labels USING (doc_id)"
+def _metric_sql() -> str:
+    """The measures' own queries joined; -1 for undefined."""
+    own = R.oracle_sql()
+    parts = ("document_measures", "syntax_measures", "moving_ttr", "heaps_beta", "heaps_beta_lex", "lexical_chains", "noun_phrases", "tree_depth", "subword_measures", "word_frequency")
+    joins = " ".join(f"LEFT JOIN ({own[p]}) t{i} USING (doc_id)" for i, p in enumerate(parts))
+    return f"SELECT doc_id AS article_id, lang AS language, {', '.join(f'coalesce({c}::DOUBLE, -1.0) AS {c}' for c in drivers.MEASURES)} FROM (SELECT doc_id, lang FROM documents ANTI JOIN labels USING (doc_id)) {joins}"
 
 
 def _language_tables(s, d):
@@ -386,7 +390,7 @@ def oracle_sql() -> dict[str, str]:
     pair = f"WITH ats AS ({R.ATOMS}), {R._PAIR}"
     token = annotate.TOKEN
     return {
-        "metric_table": METRIC_TABLE, "jargon_by_language": f"{_jargon_sql('de')} UNION ALL {_jargon_sql('en')}",
+        "metric_table": _metric_sql(), "jargon_by_language": f"{_jargon_sql('de')} UNION ALL {_jargon_sql('en')}",
         "jargon_analysis": f"""WITH {R.KEY}, {R.DOC_WORDS} SELECT doc_id, token, count(*) AS freq_in_text, round(any_value("or"), 6) AS score, any_value("or") > 20 AS is_jargon, true AS in_dict FROM dw JOIN ke USING (token) GROUP BY doc_id, token""",
         "jargon_identify": f"""WITH {R.KEY}, {ASKED} SELECT word, round(coalesce("or", 1.0), 6) AS score, 'or' AS metric, token IS NOT NULL AS in_dict FROM w LEFT JOIN ke ON ke.token = word""",
         "jargon_compare": f"WITH {R.KEY}, {ASKED} SELECT word, round(coalesce(ll, 0.0), 6) AS score, token IS NOT NULL AS in_dict FROM w LEFT JOIN ke ON ke.token = word",

@@ -7,11 +7,11 @@ import duckdb
 import pandas as pd
 import pytest
 
-from textloom.plans import registry, reports
+from textloom.plans import learned, registry, reports
 
 DATA = "/root/testdata/sf0.001"
-SQL = registry.oracle_sql() | reports.oracle_sql()
-QUERIES = registry.queries() | reports.queries()
+SQL = registry.oracle_sql() | reports.oracle_sql() | learned.oracle_sql()
+QUERIES = registry.queries() | reports.queries() | learned.queries()
 
 
 @pytest.fixture(scope="module")

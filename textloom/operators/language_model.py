@@ -67,6 +67,15 @@ def masked_rank(tok: DataFrame, unigrams: DataFrame, ratio: float = 0.15, seed:
     return j.groupBy(key).agg(F.avg(F.coalesce("rank", "_v") / F.col("_v")).alias("lmfm"))
 
 
+def unigram_ranks(tok: DataFrame) -> DataFrame:
+    """``token, rank`` (1 the most frequent, ties alike), from the number of types of each larger frequency."""
+    f = tok.groupBy(F.col("lemma").alias("token")).agg(F.count("*").alias("freq"))
+    c = f.groupBy("freq").agg(F.count("*").alias("c"))
+    # There are few distinct frequencies: their number grows with the root of the corpus at most.
+    c = c.select("freq", (1 + F.coalesce(F.sum("c").over(Window.orderBy(F.desc("freq")).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).alias("rank"))
+    return f.join(c, "freq").select("token", "rank")
+
+
 def simplify(docs: DataFrame, max_words: int = 12, text: str = "text") -> DataFrame:
     """The default rewriting provider: sentences of more words are cut at their commas and semicolons."""
     sents = F.regexp_extract_all(text, F.lit(r"[^.!?\n]+[.!?]*|[.!?]+"), F.lit(0))

@@ -316,13 +316,8 @@ round(exp(sum(loss * n) / sum(n)), 4) AS appl_fulltext FROM l GROUP BY doc_id"""
 
 
 def _mask(s, d):
-    """Ranks from the number of types of each larger frequency; there are few distinct frequencies."""
-    from pyspark.sql import Window
     tok = _tok(s, d)
-    f = keyness.frequencies(tok)
-    c = f.groupBy("freq").agg(F.count("*").alias("c"))
-    c = c.select("freq", (1 + F.coalesce(F.sum("c").over(Window.orderBy(F.desc("freq")).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).alias("rank"))
-    return rounded(language_model.masked_rank(tok, f.join(c, "freq").select("token", "rank")))
+    return rounded(language_model.masked_rank(tok, language_model.unigram_ranks(tok)))
 
 
 def _hits(s, d):

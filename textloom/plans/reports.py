@@ -354,8 +354,8 @@ def queries() -> dict:
         "jargon_analysis": lambda s, d: rounded(_detector(s, d).analyze(R._doc_words(s, d))).select("doc_id", "token", "freq_in_text", "score", "is_jargon", "in_dict"),
         "jargon_identify": lambda s, d: rounded(_detector(s, d).identify(_asked(s, d))),
         "jargon_compare": lambda s, d: rounded(_detector(s, d).compare(_asked(s, d), "ll")).select("word", "score", "in_dict"),
-        "jargon_top": lambda s, d: _detector(s, d).terms(R._doc_words(s, d), limit=5).groupBy("doc_id").agg(F.count("*").alias("n"), F.sum("freq_in_text").alias("total")).where("n < 5").select("doc_id", "n", "total"),
-        "model_measures": lambda s, d: rounded(drivers.model_measures(R._tok(s, d)), 4).drop("ansp"),
+        "jargon_top": lambda s, d: _detector(s, d).terms(R._doc_words(s, d), limit=5).select("doc_id", "place", "token", "freq_in_text"),
+        "model_measures": lambda s, d: rounded(drivers.model_measures(R._tok(s, d)), 4),
         "significance_cells": lambda s, d: rounded(_sig(s, d)).select("language", "metric", "pos", "right", "sig"),
         "significance_markers": lambda s, d: significance.significance_markers(_sig(s, d)).select("language", "metric", "pos", "marker"),
         "label_emphasis": lambda s, d: significance.label_emphasis(_sig(s, d), 3),
@@ -394,9 +394,10 @@ def oracle_sql() -> dict[str, str]:
         "jargon_analysis": f"""WITH {R.KEY}, {R.DOC_WORDS} SELECT doc_id, token, count(*) AS freq_in_text, round(any_value("or"), 6) AS score, any_value("or") > 20 AS is_jargon, true AS in_dict FROM dw JOIN ke USING (token) GROUP BY doc_id, token""",
         "jargon_identify": f"""WITH {R.KEY}, {ASKED} SELECT word, round(coalesce("or", 1.0), 6) AS score, 'or' AS metric, token IS NOT NULL AS in_dict FROM w LEFT JOIN ke ON ke.token = word""",
         "jargon_compare": f"WITH {R.KEY}, {ASKED} SELECT word, round(coalesce(ll, 0.0), 6) AS score, token IS NOT NULL AS in_dict FROM w LEFT JOIN ke ON ke.token = word",
-        "jargon_top": f"""WITH {R.KEY}, {R.DOC_WORDS}, t AS (SELECT doc_id, token, count(*) AS f FROM dw JOIN ke USING (token) WHERE "or" > 20 AND ref_rel_freq <= 0.001::DOUBLE GROUP BY ALL)
-SELECT doc_id, count(*) AS n, sum(f)::BIGINT AS total FROM t GROUP BY doc_id HAVING count(*) < 5""",
-        "model_measures": R.BIGRAM,
+        "jargon_top": f"""WITH {R.KEY}, {R.DOC_WORDS}, t AS (SELECT doc_id, token, "or" AS o, count(*) AS f FROM dw JOIN ke USING (token) WHERE "or" > 20 AND ref_rel_freq <= 0.001::DOUBLE GROUP BY ALL),
+n AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY o DESC, token)::INT AS place FROM t) SELECT doc_id, place, token, f AS freq_in_text FROM n WHERE place <= 5""",
+        "model_measures": f"""SELECT doc_id, appl_filtered_mean, appl_filtered_median, appl_full_mean, appl_full_median, appl_fulltext, round(ansp, 4) AS ansp, round(lmfm, 4) AS lmfm
+FROM ({R.BIGRAM}) LEFT JOIN ({R.oracle_sql()["adjacent_overlap"].replace("round(avg(list_has_any(l, m)::INT), 6)", "avg(list_has_any(l, m)::INT)")}) USING (doc_id) LEFT JOIN ({R.oracle_sql()["masked_rank"].replace("round(avg(r::DOUBLE / v), 6)", "avg(r::DOUBLE / v)")}) USING (doc_id)""",
         "significance_cells": f'WITH {SIG} SELECT language, metric, pos, "right", sig FROM sg',
         "significance_markers": f"""WITH {SIG} SELECT language, metric, pos, CASE WHEN sig AND "right" THEN '*' WHEN sig THEN '\\textdagger' ELSE '' END AS marker FROM sg""",
         "label_emphasis": f"""WITH {SIG}, n AS (SELECT language, metric, count(*) FILTER (sig AND "right") AS g, count(*) FILTER (sig AND NOT "right") AS w, count(*) AS k FROM sg GROUP BY ALL)

@@ -230,9 +230,10 @@ def html_pages(pages: DataFrame, key: str = "page_id", html: str = "html") -> Da
 
 
 def embeddings(spark: SparkSession, path: str, dim: int) -> DataFrame:
-    """Vectors of the right width, one a key."""
-    df = spark.read.schema("key string, embedding array<float>").json(path).where(F.size("embedding") == dim)
-    return df.groupBy("key").agg(F.last("embedding").alias("embedding"))
+    """Vectors of the right width, one a key: the last one by the order of files and lines."""
+    df = spark.read.schema("key string, embedding array<float>").json(path).withColumn("_i", F.monotonically_increasing_id())
+    df = df.withColumn("_f", F.input_file_name()).where(F.size("embedding") == dim)
+    return df.groupBy("key").agg(F.max_by("embedding", F.struct("_f", "_i")).alias("embedding"))
 
 
 def prompts(text: str) -> dict[str, tuple[str, str]]:

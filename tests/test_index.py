@@ -218,3 +218,27 @@ def test_under_a_tenth_of_the_pairs_is_scored(spark, metric):
     assert search.nearest(q, df.select("rowid", "embedding"), 5, metric, seen=seen).count() == 200
     print(f"{metric}: scored {seen['scored'] / seen['pairs']:.3f} of all pairs")
     assert seen["scored"] < 0.1 * seen["pairs"]
+
+
+@pytest.mark.parametrize("metric", ["l2", "l1", "cosine"])
+def test_block_distances_have_the_bits_of_the_expression(spark, metric):
+    import numpy as np
+    rng = np.random.default_rng(8)
+    a, b = rng.normal(size=(7, 33)), rng.normal(size=(5, 33)).astype(np.float32).astype(float)
+    df = spark.createDataFrame([(i, j, a[i].tolist(), b[j].tolist()) for i in range(7) for j in range(5)], "i int, j int, a array<double>, b array<double>")
+    got = search.pair_distances(a, b, metric)
+    assert all(r["d"] == got[r["i"], r["j"]] for r in df.select("i", "j", search.distance(df["a"], df["b"], metric).alias("d")).collect())
+
+
+def test_vectors_with_nulls_or_of_other_widths_are_no_neighbours(spark):
+    rows = spark.createDataFrame([(1, [0.0, 1.0]), (2, [0.0, None]), (3, [1.0]), (4, [3.0, 1.0]), (5, None)], "rowid long, embedding array<double>")
+    q = spark.createDataFrame([("x", [0.0, 1.0]), ("y", [2.0])], "query_id string, q array<double>")
+    got = [(r["query_id"], r["rowid"], r["distance"]) for r in search.nearest(q, rows, 5).orderBy("query_id", "rn").collect()]
+    assert got == [("x", 1, 0.0), ("x", 4, 3.0), ("y", 3, 1.0)]
+
+
+def test_no_pair_of_vectors_is_scored_by_an_interpreted_expression(spark, capsys):
+    df = spark.range(50).selectExpr("id as rowid", "array(double(id), 1d) as embedding")
+    search.nearest(df.selectExpr("rowid as query_id", "embedding as q"), df, 3).explain()
+    plan = capsys.readouterr().out
+    assert "FlatMapCoGroupsInArrow" in plan and "zip_with" not in plan

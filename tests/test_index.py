@@ -242,3 +242,17 @@ def test_no_pair_of_vectors_is_scored_by_an_interpreted_expression(spark, capsys
     search.nearest(df.selectExpr("rowid as query_id", "embedding as q"), df, 3).explain()
     plan = capsys.readouterr().out
     assert "FlatMapCoGroupsInArrow" in plan and "zip_with" not in plan
+
+
+def test_scores_have_the_bits_of_the_formula_and_ranks_are_rounded_in_binary(spark):
+    import random
+    r = random.Random(3)
+    rows = [(i, r.uniform(1e-6, 12), r.randint(1, 9), r.randint(1, 90_000), r.uniform(400, 900)) for i in range(2000)]
+    df = spark.createDataFrame(rows, "i int, w double, tf long, dl long, a double")
+    got = {x["i"]: x["s"] for x in df.select("i", index.score(df["w"], df["tf"], df["dl"], df["a"]).alias("s")).collect()}
+    assert all(got[i] == w * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / a)) for i, w, tf, dl, a in rows)
+    edge = [round(-k - 0.5 * 1e-9 - j * 1e-9, 10) for k in range(20) for j in range(20)]
+    binary = lambda x: -float(int(-x * 1e9 + 0.5))
+    edge = [x for x in edge if abs(abs(x * 1e9) % 1 - 0.5) < 1e-3]
+    placed = [x["p"] for x in spark.createDataFrame([(x,) for x in edge], "rank double").coalesce(1).select(index.place("rank").alias("p")).collect()]
+    assert placed == [binary(x) for x in edge] and len(edge) > 100

@@ -139,3 +139,20 @@ def test_nested_sets_of_documents(spark, tmp_path):
     for bad in (("xor", p("a"), p("b")), ("not", p("a"), p("b")), ("and",), ("phrase", "body", "a")):
         with pytest.raises(ValueError):
             found.matching(bad)
+
+
+def test_statistics_of_words_come_from_one_table_of_counts(spark, capsys):
+    from textloom.operators import boundaries
+    df = spark.createDataFrame([(1, "Dr. Wu came. Then he left. Then he slept."), (2, "See p. 3. Then go. Dr. Wu"), (3, None), (4, "")], "doc_id int, text string")
+    w = boundaries.words(df)
+    counts = boundaries.counted(w)
+    rows = lambda x: sorted(map(tuple, x.collect()))
+    known = boundaries.abbreviations(w)
+    assert rows(boundaries.abbreviations(w, counts)) == rows(known)
+    assert rows(boundaries.starters(w, known, counts=counts)) == rows(boundaries.starters(w, known))
+    assert rows(boundaries.collocations(w, known, counts=counts)) == rows(boundaries.collocations(w, known))
+    capsys.readouterr()
+    own = boundaries.abbreviations(w, counts)
+    boundaries.starters(w, own, counts=counts).explain()
+    boundaries.collocations(w, own, counts=counts).explain()
+    assert "regexp_extract_all" not in capsys.readouterr().out

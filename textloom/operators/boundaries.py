@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from textloom.operators.staging import staged
+
 # Published thresholds of the method.
 ABBREVIATION, STARTER, COLLOCATION, RARE = 0.3, 30.0, 7.88, 0.99
 BLANKS = r"[^ \t\n\r\f\x0B]+"
@@ -28,12 +30,27 @@ def words(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame
                           "type": F.when(low.rlike(r"^[-+]?\p{N}+([.,]\p{N}+)*\z"), NUMBER).otherwise(low)})
 
 
-def abbreviations(w: DataFrame) -> DataFrame:
+def counted(w: DataFrame, key: str = "doc_id") -> DataFrame:
+    """``type, period, next, c``: how often each type, with its final period or without, precedes each type in a text (null:
+    ends it). Written once: all statistics come from these counts, so words are cut once for all of them."""
+    s = w.select("type", "period", F.lead("type").over(Window.partitionBy(key).orderBy("i")).alias("next"))
+    return staged(s.groupBy("type", "period", "next").agg(F.count("*").alias("c")))
+
+
+def _sum_if(test: Column | str, c: str = "c") -> Column:
+    return F.coalesce(F.sum(F.when(F.col(test) if isinstance(test, str) else test, F.col(c))), F.lit(0))
+
+
+def abbreviations(w: DataFrame, counts: DataFrame | None = None) -> DataFrame:
     """``type, n, n_period, score, abbreviation``: the statistics of every type that ends in a period somewhere.
 
-    Numbers are no abbreviations; whether they end a sentence, their successor tells.
+    Numbers are no abbreviations; whether they end a sentence, their successor tells. ``counts`` (here and below): the words'
+    ``counted``, where several statistics share them.
     """
-    c = w.where("type <> ''").groupBy("type").agg(F.count("*").alias("n"), F.count_if("period").alias("n_period"))
+    if counts is None:
+        c = w.where("type <> ''").groupBy("type").agg(F.count("*").alias("n"), F.count_if("period").alias("n_period"))
+    else:
+        c = counts.where("type <> ''").groupBy("type").agg(F.sum("c").alias("n"), _sum_if("period").alias("n_period"))
     total = c.agg(F.sum("n").alias("_all"), F.sum("n_period").alias("_periods"))
     j = c.where(F.col("n_period") > 0).crossJoin(F.broadcast(total))  # one row
     k, n = F.col("n_period").cast("double"), F.col("n").cast("double")
@@ -57,20 +74,18 @@ def association(a: Column, b: Column, ab: Column, n: Column) -> Column:
     return -2 * (term(ab, a, p) + term(b - ab, n - a, p) - term(ab, a, p1) - term(b - ab, n - a, p2))
 
 
-def _followed(w: DataFrame, known: DataFrame, key: str) -> DataFrame:
-    """Words with their successor in the text, and whether they are abbreviations. A text is one group."""
-    order = Window.partitionBy(key).orderBy("i")
-    s = w.withColumns({"next": F.lead("type").over(order), "next_bare": F.lead("bare").over(order)})
+def _short(s: DataFrame, known: DataFrame) -> DataFrame:
+    """Adds ``short``, whether a word or a count of words is of an abbreviation."""
     return s.join(known.where("abbreviation").select("type", F.lit(True).alias("short")), "type", "left").withColumn("short", F.coalesce("short", F.lit(False)))
 
 
-def starters(w: DataFrame, known: DataFrame, key: str = "doc_id") -> DataFrame:
+def starters(w: DataFrame, known: DataFrame, key: str = "doc_id", counts: DataFrame | None = None) -> DataFrame:
     """``type, n, n_after, score, starter``: words that follow a period of no abbreviation or number more often than chance."""
-    s = _followed(w, known, key).where("type <> ''")
+    s = _short(counted(w, key) if counts is None else counts, known).where("type <> ''")
     ends = F.col("period") & ~F.col("short") & (F.col("type") != NUMBER)
-    after = s.where(ends & F.col("next").rlike(r"\p{L}")).groupBy(F.col("next").alias("type")).agg(F.count("*").alias("n_after"))
-    total = s.agg(F.count("*").alias("_all"), F.count_if(ends).alias("_ends"))
-    n = s.groupBy("type").agg(F.count("*").alias("n"))
+    after = s.where(ends & F.col("next").rlike(r"\p{L}")).groupBy(F.col("next").alias("type")).agg(F.sum("c").alias("n_after"))
+    total = s.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("_all"), _sum_if(ends).alias("_ends"))
+    n = s.groupBy("type").agg(F.sum("c").alias("n"))
     j = n.join(after, "type").crossJoin(F.broadcast(total))  # one row
     d = lambda c: F.col(c).cast("double")
     score = association(d("n"), d("_ends"), F.least(d("n_after"), d("n")), d("_all"))
@@ -78,11 +93,11 @@ def starters(w: DataFrame, known: DataFrame, key: str = "doc_id") -> DataFrame:
     return j.select("type", "n", "n_after", score.alias("score"), ((score >= STARTER) & more).alias("starter"))
 
 
-def collocations(w: DataFrame, known: DataFrame, key: str = "doc_id") -> DataFrame:
+def collocations(w: DataFrame, known: DataFrame, key: str = "doc_id", counts: DataFrame | None = None) -> DataFrame:
     """``type, next, n, score, collocation``: pairs around the period of an abbreviation or a number that belong together."""
-    s = _followed(w, known, key).where("type <> ''")
-    pairs = s.where(F.col("period") & (F.col("short") | (F.col("type") == NUMBER)) & F.col("next").rlike(r"\p{L}")).groupBy("type", "next").agg(F.count("*").alias("n"))
-    one = s.groupBy("type").agg(F.count("*").alias("c"))
+    s = _short(counted(w, key) if counts is None else counts, known).where("type <> ''")
+    pairs = s.where(F.col("period") & (F.col("short") | (F.col("type") == NUMBER)) & F.col("next").rlike(r"\p{L}")).groupBy("type", "next").agg(F.sum("c").alias("n"))
+    one = s.groupBy("type").agg(F.sum("c").alias("c"))
     j = pairs.join(one.withColumnRenamed("c", "a"), "type").join(one.withColumnsRenamed({"c": "b", "type": "next"}), "next").crossJoin(F.broadcast(one.agg(F.sum("c").alias("_all"))))
     d = lambda c: F.col(c).cast("double")
     score = association(d("a"), d("b"), F.least(d("n"), d("a"), d("b")), d("_all"))
@@ -96,7 +111,8 @@ def sentences(w: DataFrame, known: DataFrame, begin: DataFrame, pairs: DataFrame
     ``! ?`` always end a sentence. The period of an abbreviation or a number does so before a starter in upper case only,
     and never in a collocation; any other period does unless a word in lower case follows.
     """
-    s = _followed(w, known, key)
+    order = Window.partitionBy(key).orderBy("i")
+    s = _short(w.withColumns({"next": F.lead("type").over(order), "next_bare": F.lead("bare").over(order)}), known)
     s = s.join(begin.where("starter").select(F.col("type").alias("next"), F.lit(True).alias("begins")), "next", "left")
     s = s.join(pairs.where("collocation").select("type", "next", F.lit(True).alias("holds")), ["type", "next"], "left")
     upper = F.col("next_bare").rlike(r"^\p{Lu}")

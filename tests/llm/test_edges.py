@@ -236,3 +236,13 @@ def test_first_stage_in_a_fresh_session_elsewhere(tmp_path):
     env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
     out = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=300)
     assert "fine" in out.stdout, out.stderr[-2000:]
+
+
+def test_substring_index_of_the_query_merges_its_runs(spark, monkeypatch):
+    sizes, add = [], substring_lsm.RunIndex.add
+    monkeypatch.setattr(substring_lsm.RunIndex, "add", lambda self, prints: sizes.append(len(self.runs)) or add(self, prints))
+    words = " ".join(f"w{i}" for i in range(20))
+    df = spark.createDataFrame([(i, f"{words} x{i}" if i in (3, 55, 90) else f"own{i} text") for i in range(100)], "doc_id long, text string")
+    got = {r["doc_id"]: r["n_removed"] for r in substring_lsm.dedup(df).collect()}
+    assert sizes == [0, 1, 1]  # the third batch meets one merged run
+    assert {i: n for i, n in got.items() if n} == {55: 20, 90: 20}

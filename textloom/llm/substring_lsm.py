@@ -181,7 +181,8 @@ def repeats(docs: DataFrame, n: int = N, k: int = K, n_batches: int = 3, chunk:
     ``docs``: as ``keyed`` gives them. An index of this call's own takes them in batches.
     """
     copies = Copies(docs)
-    index, shared = RunIndex(docs.sparkSession), None
+    # Two runs are merged before a third batch comes, so that it is joined with one run and not with each batch before it.
+    index, shared = RunIndex(docs.sparkSession, fanout=2), None
     try:
         for batch in batches(docs, n_batches):
             index.compact()

@@ -256,3 +256,25 @@ def test_scores_have_the_bits_of_the_formula_and_ranks_are_rounded_in_binary(spa
     edge = [x for x in edge if abs(abs(x * 1e9) % 1 - 0.5) < 1e-3]
     placed = [x["p"] for x in spark.createDataFrame([(x,) for x in edge], "rank double").coalesce(1).select(index.place("rank").alias("p")).collect()]
     assert placed == [binary(x) for x in edge] and len(edge) > 100
+
+
+def test_no_token_is_shuffled_when_postings_are_made(spark, tmp_path, monkeypatch):
+    """Texts are dealt out by block; what is dealt out by term are postings, one row for all of a block's documents."""
+    _, df = rows_of(spark)
+    plans, write = {}, index.PositionalIndex._write
+
+    def kept(self, name, out):
+        plans[name] = out._jdf.queryExecution().optimizedPlan().toString()
+        write(self, name, out)
+
+    monkeypatch.setattr(index.PositionalIndex, "_write", kept)
+    made = index.build(df, ("title", "text"), str(tmp_path / "i"))
+    assert "MapInArrow" in plans["postings"] and "Generate" not in plans["postings"] and "rows" not in plans["skips"].split("\n")[0]
+    got = {(r["col"], r["term"], x["rowid"]): (x["dl"], x["pos"]) for r in made.table("postings").collect() for x in r["rows"]}
+    want = {}
+    for r in df.collect():
+        w = {c: WORD.findall((r[c] or "").lower()) for c in ("title", "text")}
+        for c in w:
+            for i, t in enumerate(w[c]):
+                want.setdefault((c, t, r["rowid"]), (sum(map(len, w.values())), []))[1].append(i)
+    assert got == want

@@ -278,3 +278,15 @@ def test_no_token_is_shuffled_when_postings_are_made(spark, tmp_path, monkeypatc
             for i, t in enumerate(w[c]):
                 want.setdefault((c, t, r["rowid"]), (sum(map(len, w.values())), []))[1].append(i)
     assert got == want
+
+
+def test_hits_are_ranked_before_texts_join_them(spark, tmp_path):
+    _, df = rows_of(spark)
+    asked = spark.createDataFrame([(1, 0, "the of"), (2, 0, "w1")], "query_id int, phrase_id int, phrase string")
+    got = store.highlighted(df, index.build(df, ("title",), str(tmp_path / "i")), asked, 3)
+    plan = got._jdf.queryExecution().optimizedPlan().toString().split("\n")
+    depth = lambda line: len(line) - len(line.lstrip(" :+-*"))
+    at = next(i for i, line in enumerate(plan) if "Window [row_number()" in line)
+    below = [line for line in plan[at + 1:] if depth(line) > depth(plan[at])]
+    assert below and not any("text#" in line and "Relation" not in line and "LogicalRDD" not in line for line in below), "\n".join(plan)
+    assert sorted((r["query_id"], r["rn"]) for r in got.collect()) == [(q, n) for q in (1, 2) for n in (1, 2, 3)]

@@ -6,6 +6,15 @@ from textloom.operators import annotate, keyness, language_model, linkage, metri
 from textloom.plans import registry
 
 
+def test_masked_places_of_sentences_are_those_of_tokens(spark):
+    docs = spark.createDataFrame([(1, "One two three four five six seven eight. Nine two. Ten\n\nno one"), (2, "")], "doc_id long, text string")
+    tok = annotate.tokens(docs)
+    ranks = language_model.unigram_ranks(tok)
+    rows = lambda t: sorted((r["doc_id"], round(r["lmfm"], 12)) for r in language_model.masked_rank(t, ranks, ratio=0.4).collect())
+    assert rows(annotate.sentence_words(docs)) == rows(tok)
+    assert "Window" not in language_model.masked_rank(annotate.sentence_words(docs), ranks)._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_node_pairs_are_those_of_expanded_titles(spark):
     pairs = spark.createDataFrame([("s", "t"), ("s", "u"), ("t", "t"), ("t", "s")], "title_a string, title_b string")
     index = spark.createDataFrame([("s" if i % 3 else "t", f"n{i}") for i in range(40)] + [("u", "n1"), ("u", "z"), ("u", None)], "title string, node string")

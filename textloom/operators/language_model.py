@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from textloom.operators.staging import staged
+
 
 def bigrams(tok: DataFrame, key: str = "doc_id") -> DataFrame:
     w = Window.partitionBy(key, "sent_id").orderBy("tok_i")
@@ -57,23 +59,33 @@ def adjacent_overlap(tok: DataFrame, key: str = "doc_id") -> DataFrame:
 def masked_rank(tok: DataFrame, unigrams: DataFrame, ratio: float = 0.15, seed: int = 0, key: str = "doc_id") -> DataFrame:
     """Mean relative rank of masked tokens: max(1, round(ratio * n)) of each sentence, chosen by a seeded hash.
 
-    ``unigrams``: token, rank (1 the most frequent); unknown tokens rank last.
+    ``unigrams``: token, rank (1 the most frequent); unknown tokens rank last. ``tok`` may be a table of sentences
+    (``annotate.sentence_words``): then each array is sorted by itself, and only masked tokens become rows.
     """
+    if "words" in tok.columns:
+        place = lambda x, i: F.struct(F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("sent_id").cast("string"), i.cast("string")).cast("binary")).alias("h"), i.alias("i"), F.lower(x).alias("w"))
+        dealt = tok.select(key, F.sort_array(F.transform("words", place)).alias("_p"))
+        some = F.slice("_p", 1, F.greatest(F.lit(1), F.round(F.size("_p") * ratio).cast("int")))
+        return _mean_rank(dealt.select(key, F.explode(some).alias("_p")).select(key, F.col("_p.w").alias("lemma")), unigrams, key)
     w = Window.partitionBy(key, "sent_id")
     h = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("sent_id").cast("string"), F.col("tok_i").cast("string")).cast("binary"))
     t = tok.withColumns({"_n": F.count("*").over(w), "_h": F.row_number().over(w.orderBy(h, "tok_i"))})
     m = t.where(F.col("_h") <= F.greatest(F.lit(1), F.round(F.col("_n") * ratio)))
-    j = m.join(unigrams.withColumnRenamed("token", "lemma"), "lemma", "left").join(F.broadcast(unigrams.agg(F.count("*").alias("_v"))))  # one row
+    return _mean_rank(m, unigrams, key)
+
+
+def _mean_rank(masked: DataFrame, unigrams: DataFrame, key: str) -> DataFrame:
+    j = masked.join(unigrams.withColumnRenamed("token", "lemma"), "lemma", "left").join(F.broadcast(unigrams.agg(F.count("*").alias("_v"))))  # one row
     return j.groupBy(key).agg(F.avg(F.coalesce("rank", "_v") / F.col("_v")).alias("lmfm"))
 
 
 def unigram_ranks(tok: DataFrame) -> DataFrame:
     """``token, rank`` (1 the most frequent, ties alike), from the number of types of each larger frequency."""
-    f = tok.groupBy(F.col("lemma").alias("token")).agg(F.count("*").alias("freq"))
+    f = staged(tok.groupBy(F.col("lemma").alias("token")).agg(F.count("*").alias("freq")))  # one pass over the tokens
     c = f.groupBy("freq").agg(F.count("*").alias("c"))
     # There are few distinct frequencies: their number grows with the root of the corpus at most.
     c = c.select("freq", (1 + F.coalesce(F.sum("c").over(Window.orderBy(F.desc("freq")).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).alias("rank"))
-    return f.join(c, "freq").select("token", "rank")
+    return staged(f.join(c, "freq").select("token", "rank"))
 
 
 def simplify(docs: DataFrame, max_words: int = 12, text: str = "text") -> DataFrame:

@@ -15,6 +15,20 @@ def test_masked_places_of_sentences_are_those_of_tokens(spark):
     assert "Window" not in language_model.masked_rank(annotate.sentence_words(docs), ranks)._jdf.queryExecution().optimizedPlan().toString()
 
 
+def test_a_word_of_a_text_is_looked_up_once(spark):
+    tok = annotate.tokens(spark.createDataFrame([(1, "a of a b 12 ."), (2, "...")], "doc_id long, text string"))
+    freq = spark.createDataFrame([("a", 0.5), ("of", 0.25), ("b", 1.0)], "token string, rel double")
+    got = metrics.word_freq(tok, freq)
+    assert sorted(map(tuple, got.collect())) == [(1, 0.45, 1.0), (2, None, None)]
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("Aggregate") == 2
+
+
+def test_words_are_what_no_tag_calls_punctuation_or_symbol(spark):
+    tok = annotate.tokens(spark.createDataFrame([(1, "İx a1 12 ٣4 ½ € . - é")], "doc_id long, text string"))
+    old = (F.col("pos") != "PUNCT") & ~((F.col("pos") != "NUM") & ~F.col("text").rlike(r"\p{L}"))
+    assert tok.where(F.col("is_word") != old).isEmpty()
+
+
 def test_node_pairs_are_those_of_expanded_titles(spark):
     pairs = spark.createDataFrame([("s", "t"), ("s", "u"), ("t", "t"), ("t", "s")], "title_a string, title_b string")
     index = spark.createDataFrame([("s" if i % 3 else "t", f"n{i}") for i in range(40)] + [("u", "n1"), ("u", "z"), ("u", None)], "title string, node string")

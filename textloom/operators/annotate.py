@@ -72,6 +72,21 @@ def tokens(docs: DataFrame, key: str = "doc_id", text: str = "text", *keep: str)
     return tok.withColumns({"is_punct": F.col("pos") == "PUNCT", "is_word": t.rlike(r"\p{L}|^\p{N}+$")})
 
 
+def word_counts(docs: DataFrame, words: Column, *keep: str) -> DataFrame:
+    """``keep, lemma, n``: the distinct words of each row's array with their number, for what is summed by word and text.
+
+    An array is sorted and cut where a word differs from the one before it, so no task holds a table of the words of many
+    texts and no token is shuffled. Rows are counted one by one: texts that share a key are summed by who asks.
+    """
+    w = F.col("_w")
+    sorted_ = docs.select(*keep, F.sort_array(words).alias("_w")).where(F.size("_w") > 0)
+    first = F.filter(F.sequence(F.lit(0), F.size(w) - 1), lambda i: (i == 0) | (F.get(w, i) != F.get(w, i - 1)))
+    at = sorted_.select(*keep, "_w", first.alias("_f"))
+    f = F.col("_f")
+    run = lambda i, k: F.struct(F.get(w, i).alias("lemma"), (F.coalesce(F.get(f, k + 1), F.size(w)) - i).cast("long").alias("n"))
+    return at.select(*keep, F.inline(F.transform(f, run)))
+
+
 def social_tokens(docs: DataFrame, text: str = "text", *keep: str) -> DataFrame:
     """``keep, i, token``: a tokeniser for web text, one for all languages: links, addresses, emoticons, tags, words with
     inner hyphens and apostrophes, numbers with separators, abbreviations, and single other characters are tokens."""

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from textloom.operators.staging import staged
 from textloom.sources import corpus
 
 METRICS = ("ll", "or", "pd", "bf")
@@ -123,15 +124,48 @@ def token_scores(tok: DataFrame, table: DataFrame, metric: str = "or") -> DataFr
     return tok.join(t, "token", "left").withColumns({"score": F.coalesce("_s", F.lit(1.0 if metric == "or" else 0.0)), "in_dict": F.coalesce("_in", F.lit(False))}).drop("_s", "_in")
 
 
+def counted_types(tok: DataFrame, key: str = "doc_id") -> DataFrame:
+    """``key, token, freq_in_text``. A table of counts (``annotate.word_counts``) stays as it is: one row a text and word."""
+    if "n" in tok.columns:
+        return tok.select(key, F.col("lemma").alias("token"), F.col("n").alias("freq_in_text"))
+    return tok.groupBy(key, F.col("lemma").alias("token")).agg(F.count("*").alias("freq_in_text"))
+
+
 def jargon_terms(tok: DataFrame, table: DataFrame, threshold: float = 20.0, metric: str = "or", ref_cut: float = 0.001, key: str = "doc_id") -> DataFrame:
     """Per document and type: score, frequency and whether it counts as jargon."""
-    types = tok.groupBy(key, F.col("lemma").alias("token")).agg(F.count("*").alias("freq_in_text"))
-    scored = token_scores(types, table, metric)
+    scored = token_scores(counted_types(tok, key), table, metric)
     return scored.withColumn("is_jargon", (F.col("score") > threshold) & (~F.col("in_dict") | (F.col("ref_rel_freq") <= ref_cut)))
 
 
+def _jargon_of(table: DataFrame, threshold: float, metric: str, ref_cut: float) -> DataFrame | None:
+    """The tokens of a table that are jargon, written; None where tokens that the table lacks are jargon too.
+
+    They are few beside all tokens, and the planner knows the size of what is written: while it is small, the words of
+    texts meet it where they lie; else both are shuffled.
+    """
+    if (1.0 if metric == "or" else 0.0) > threshold:
+        return None
+    s = F.coalesce(metric, F.lit(1.0 if metric == "or" else 0.0)).alias("score")
+    return staged(table.select("token", s, "ref_rel_freq", F.lit(True).alias("in_dict"), F.lit(True).alias("is_jargon")).where((F.col("score") > threshold) & (F.col("ref_rel_freq") <= ref_cut)))
+
+
+def _places(tok: DataFrame, key: str) -> DataFrame:
+    """``key, token, _n`` of tokens or of counts, not counted further: few of them are kept."""
+    return tok.select(key, F.col("lemma").alias("token"), (F.col("n") if "n" in tok.columns else F.lit(1).cast("long")).alias("_n"))
+
+
+def jargon_only(tok: DataFrame, table: DataFrame, threshold: float = 20.0, metric: str = "or", ref_cut: float = 0.001, key: str = "doc_id") -> DataFrame:
+    """The rows of ``jargon_terms`` that are jargon."""
+    known = _jargon_of(table, threshold, metric, ref_cut)
+    if known is None:
+        return jargon_terms(tok, table, threshold, metric, ref_cut, key).where("is_jargon")
+    found = _places(tok, key).join(known, "token").groupBy("token", key, *known.columns[1:]).agg(F.sum("_n").alias("freq_in_text"))
+    return found.select("token", key, "freq_in_text", "ref_rel_freq", "score", "in_dict", "is_jargon")
+
+
 def jargon_density(tok: DataFrame, table: DataFrame, threshold: float = 20.0, ref_cut: float = 0.001, key: str = "doc_id") -> DataFrame:
-    t = jargon_terms(tok, table, threshold, "or", ref_cut, key)
+    known = _jargon_of(table, threshold, "or", ref_cut)
+    t = jargon_terms(tok, table, threshold, "or", ref_cut, key) if known is None else _places(tok, key).withColumnRenamed("_n", "freq_in_text").join(known.select("token", "is_jargon"), "token", "left")
     n, j = F.sum("freq_in_text"), F.coalesce(F.sum(F.when(F.col("is_jargon"), F.col("freq_in_text"))), F.lit(0))
     return t.groupBy(key).agg(n.alias("total_tokens"), j.alias("jargon_count"), F.round(F.try_divide(100.0 * j, n), 4).alias("jargon_per_100"))
 
@@ -183,13 +217,12 @@ class JargonDetector:
         """Every distinct token of each text: score, frequency, whether the score exceeds the threshold (20 for odds
         ratios, else 0), and its place by falling score."""
         cut = threshold if threshold is not None else 20.0 if metric == "or" else 0.0
-        types = self._own(tok, "lemma").groupBy(key, F.col("lemma").alias("token")).agg(F.count("*").alias("freq_in_text"))
-        got = token_scores(types, self.table, metric).withColumn("is_jargon", F.col("score") > cut)
+        got = token_scores(counted_types(self._own(tok, "lemma"), key), self.table, metric).withColumn("is_jargon", F.col("score") > cut)
         return got.withColumn("place", F.row_number().over(Window.partitionBy(key).orderBy(F.desc("score"), "token"))).drop("ref_rel_freq")
 
     def terms(self, tok: DataFrame, threshold: float = 20.0, metric: str = "or", ref_cut: float = 0.001, limit: int | None = None, key: str = "doc_id") -> DataFrame:
         """Jargon of each text by falling score, at most ``limit`` a text where a limit is given."""
-        got = jargon_terms(self._own(tok, "lemma"), self.table, threshold, metric, ref_cut, key).where("is_jargon")
+        got = jargon_only(self._own(tok, "lemma"), self.table, threshold, metric, ref_cut, key)
         got = got.withColumn("place", F.row_number().over(Window.partitionBy(key).orderBy(F.desc("score"), "token")))
         return got if limit is None else got.where(F.col("place") <= limit)
 

@@ -3,6 +3,7 @@
 import itertools
 import json
 import math
+import re
 import statistics
 
 import pytest
@@ -179,6 +180,15 @@ def test_small_ones(spark):
     assert [tuple(r) for r in annotate.search_tokens(df, lemma=lambda w: F.when(w == "c", "--").otherwise("x")).orderBy("i").collect()] == [(1, 0, "x", 0, 3), (1, 1, "c", 4, 5)]
 
 
+def test_offsets_of_terms_need_no_sort(spark):
+    df = spark.createDataFrame([(1, "Äb, c"), (2, None), (3, " ..é\n"), (4, ""), (1, "x  y")], "doc_id int, text string")
+    got = annotate.search_tokens(df)
+    want = [(d, i, m.group().lower(), len(t[:m.start()].encode()), len(t[:m.end()].encode())) for d, t in ((1, "Äb, c"), (3, " ..é\n"), (1, "x  y")) for i, m in enumerate(re.finditer(r"\w+|[^ \n\w]", t))]
+    assert sorted(map(tuple, got.collect())) == sorted(want)
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "Window" not in plan and "Sort" not in plan
+
+
 def test_markdown(spark):
     md = "# Head\n\ntext *it* **b** [a](u) ![i](v) $x+1$\n\n| a | b |\n|---|---|\n| 1 | 2 |\n\n- one\n  - two\n\n> said\n\n```\ncode\n```\nend[^1]\n\n[^1]: note"
     assert T.markdown_text(md).split("\n\n") == ["Head", "text it b a", "one", "two", "said", "code", "end", "note"]

@@ -9,9 +9,13 @@ from __future__ import annotations
 
 import functools
 
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from textloom.session import ship
+
 # Word lists of the rule annotator.
 DETERMINERS = ("the", "a", "an", "this", "der", "die", "das", "ein", "eine", "le", "la", "les", "un", "une", "el", "los", "las")
 ADPOSITIONS = ("of", "in", "on", "at", "by", "for", "with", "to", "from", "von", "zu", "mit", "auf", "de", "en", "pour", "con", "por")
@@ -55,6 +59,12 @@ def sentence_words(docs: DataFrame, key: str = "doc_id", text: str = "text", *ke
     return sent.select(key, *keep, "sent_id", F.regexp_extract_all("sentence", F.lit(TOKEN), F.lit(0)).alias("words")).where(F.size("words") > 0)
 
 
+def text_sentences(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """``key, sents``: every text's sentences, each as the array of its tokens, which may be empty."""
+    found = F.filter(F.transform(F.regexp_extract_all(text, F.lit(SENTENCE), F.lit(0)), lambda s: F.trim(s)), lambda s: s != "")
+    return docs.where(F.col(text).isNotNull()).select(key, F.transform(found, lambda s: F.regexp_extract_all(s, F.lit(TOKEN), F.lit(0))).alias("sents"))
+
+
 def is_punct(text: Column) -> Column:
     """What ``tag`` calls PUNCT."""
     return ~text.rlike(r"[\p{L}\p{N}]") & F.lit(PUNCTUATION).contains(text)
@@ -105,17 +115,25 @@ def search_tokens(docs: DataFrame, key: str = "doc_id", text: str = "text", lemm
     """``key, i, term, start, end``: terms of a search index with byte offsets of their words in the text.
 
     ``lemma`` makes a term of a word's column (default: lower case); a lemma ``--`` falls back to the word. Words and the
-    gaps between them alternate, so offsets are running sums over one text.
+    gaps between them alternate, so offsets are running sums over one text's array; no token is shuffled or sorted. Texts are told apart by rows, not by key.
     """
     words = F.regexp_extract_all(text, F.lit(TOKEN), F.lit(0))
     gaps = F.split(text, TOKEN, -1)
-    rows = docs.select(key, F.posexplode(F.zip_with(words, F.slice(gaps, 1, F.size(gaps) - 1), lambda w, g: F.struct(w.alias("w"), F.octet_length(g).alias("g")))).alias("i", "x"))
-    w = F.col("x.w")
-    size = F.octet_length(w)
-    before = Window.partitionBy(key).orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
+    cut = docs.where(F.col(text).isNotNull()).select(key, words.alias("_w"), F.zip_with(words, F.slice(gaps, 1, F.size(gaps) - 1), lambda w, g: F.octet_length(g) + F.octet_length(w)).alias("_n"))
+    ship(docs.sparkSession)
+    ends = cut.select(key, "_w", F.arrow_udf(_running, "array<int>")("_n").alias("_e"))
+    rows = ends.select(key, F.posexplode(F.zip_with("_w", "_e", lambda w, e: F.struct(w.alias("w"), e.alias("e")))).alias("i", "x"))
+    w, end = F.col("x.w"), F.col("x.e")
     made = lemma(w) if lemma else F.lower(w)
-    out = rows.select(key, "i", F.when(made == "--", w).otherwise(made).alias("term"), size.alias("_n"), F.sum(F.col("x.g") + size).over(before).cast("int").alias("end"))
-    return out.select(key, "i", "term", (F.col("end") - F.col("_n")).alias("start"), "end")
+    return rows.select(key, "i", F.when(made == "--", w).otherwise(made).alias("term"), (end - F.octet_length(w)).alias("start"), end.alias("end"))
+
+
+def _running(sizes: pa.Array) -> pa.Array:
+    """Running sums within each list."""
+    at = sizes.offsets.to_numpy() - sizes.offsets[0].as_py()
+    total = np.append(0, np.cumsum(sizes.flatten().to_numpy(), dtype=np.int64))
+    own = total[1:] - np.repeat(total[at[:-1]], np.diff(at))
+    return pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(own, pa.int32()))
 
 
 def token_sql(keep: str = "") -> str:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from textloom.operators import annotate
 from textloom.operators.staging import staged
 
 
@@ -49,7 +50,16 @@ def perplexities(loss: DataFrame, key: str = "doc_id", least: int = 3) -> DataFr
 
 
 def adjacent_overlap(tok: DataFrame, key: str = "doc_id") -> DataFrame:
-    """Share of neighbouring sentences that share a content lemma: the default next-sentence provider."""
+    """Share of neighbouring sentences that share a content lemma: the default next-sentence provider.
+
+    ``tok`` may be a table of texts with their sentences as arrays of words (``annotate.text_sentences``): then neighbours are
+    met in the array, and neither tokens nor sentences are gathered or sorted.
+    """
+    if "sents" in tok.columns:
+        content = lambda w: F.array_distinct(F.transform(F.filter(w, lambda x: x.rlike(r"^\p{L}+$") & ~F.lower(x).isin(*annotate.STOPS)), F.lower))
+        own = tok.select(key, F.transform(F.filter("sents", lambda w: F.size(w) > 0), content).alias("_s")).where(F.size("_s") > 1)
+        met = F.size(F.filter(F.sequence(F.lit(1), F.size("_s") - 1), lambda i: F.arrays_overlap(F.get("_s", i), F.get("_s", i - 1))))
+        return own.select(key, met.alias("_m"), (F.size("_s") - 1).alias("_n")).groupBy(key).agg((F.sum("_m") / F.sum("_n")).alias("ansp"))
     s = tok.where("is_alpha and not is_stop").groupBy(key, "sent_id").agg(F.collect_set("lemma").alias("l"))
     every = tok.select(key, "sent_id").distinct().join(s, [key, "sent_id"], "left").withColumn("l", F.coalesce("l", F.array().cast("array<string>")))
     nxt = every.withColumn("m", F.lead("l").over(Window.partitionBy(key).orderBy("sent_id"))).where("m is not null")

@@ -3,8 +3,8 @@
 import pytest
 from pyspark.sql import functions as F
 
-from textloom.operators import annotate, drivers, gram_blocks, language_model
-from textloom.plans import registry, reports
+from textloom.operators import annotate, drivers, gram_blocks, language_model, ngrams
+from textloom.plans import learned, registry, reports
 
 DATA = "/root/testdata/sf0.001"
 ODD = [(1, "One, two three. Four!\n\t\n ... ? (a) b.c"), (2, ""), (3, None), (4, "x"), (5, "Ärger — ½ 12 12. Straße, STRASSEİ - -"), (None, "no key. At all"), (6, "\t. \n\t"), (7, "a b a. a b c"), (7, "a b a. a b c")]
@@ -26,6 +26,13 @@ def test_pair_losses_equal_those_of_tokens(docs, monkeypatch):
     assert rows(gram_blocks.bigram_loss(docs)) == rows(language_model.sentence_loss(tok, language_model.fit(tok)))
 
 
+def test_triple_losses_equal_those_of_tokens(docs, monkeypatch):
+    monkeypatch.setattr(gram_blocks, "PART", 1 << 16)
+    tok = annotate.tokens(docs)
+    assert rows(gram_blocks.trigram_loss(docs)) == rows(ngrams.sentence_loss(tok, ngrams.fit(tok)))
+    assert rows(gram_blocks.trigram_loss(docs.where("false"))) == []
+
+
 def test_no_texts_give_no_rows(docs):
     assert rows(gram_blocks.bigram_loss(docs.where("false"))) == [] == rows(gram_blocks.bigram_loss(docs.where("doc_id in (1000002, 1000003)")))
 
@@ -35,7 +42,7 @@ def test_model_measures_of_texts_equal_those_of_tokens(docs):
     assert rows(drivers.model_measures(one)) == rows(drivers.model_measures(annotate.tokens(one)))
 
 
-@pytest.mark.parametrize("name", ["bigram_perplexity", "model_measures"])
+@pytest.mark.parametrize("name", ["bigram_perplexity", "trigram_perplexity", "model_measures"])
 def test_no_place_is_sorted_or_joined(spark, name):
-    plan = (registry.queries() | reports.queries())[name](spark, DATA)._jdf.queryExecution().optimizedPlan().toString()
+    plan = (registry.queries() | reports.queries() | learned.queries())[name](spark, DATA)._jdf.queryExecution().optimizedPlan().toString()
     assert "before" not in plan and "collect_set" not in plan and "lag(" not in plan

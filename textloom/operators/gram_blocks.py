@@ -224,3 +224,121 @@ def bigram_loss(docs: DataFrame, add: float = 0.1, key: str = "doc_id", text: st
     kind = dict(docs.dtypes)[key]
     pairs = made.groupBy("part").cogroup(back.where("part >= 0").groupBy("part"))
     return pairs.applyInArrow(losses, f"{key} {kind}, sent_id INT, n LONG, loss DOUBLE")
+
+
+# ---- triples ---------------------------------------------------------------------------------------
+
+#: A round's rows to a share and from it: ``part`` is the one that asks or gets an answer, -1 for counts passed on to ``round``.
+ROW = pa.schema([("round", pa.int32()), ("share", pa.int32()), ("part", pa.int32()), *((c, pa.binary()) for c in ("k0", "k1", "k2", "x0", "x1", "x2")), *((c, pa.int64()) for c in ("n1", "n2", "total", "types"))])
+ROW_SQL = "round INT, share INT, part INT, k0 BINARY, k1 BINARY, k2 BINARY, x0 BINARY, x1 BINARY, x2 BINARY, n1 LONG, n2 LONG, total LONG, types LONG"
+
+
+class _Triples:
+    """A part's distinct triples, their pairs and its words, with what each round asks: keys and what these are dealt out by."""
+
+    def __init__(self, p: _Part):
+        size = len(p.hash)
+        context, at = np.unique(p.before(2) * size + p.before(1), return_inverse=True)
+        triple, self.places, self.n = np.unique(at.ravel() * size + p.codes, return_inverse=True, return_counts=True)
+        u, self.v, self.w = context[triple // size] // size, context[triple // size] % size, triple % size
+        pair, self.pair = np.unique(self.v * size + self.w, return_inverse=True)
+        self.keys = {1: [p.hash[u], p.hash[self.v], p.hash[self.w]], 2: [p.hash[pair // size], p.hash[pair % size]], 3: [p.hash]}
+
+    def dealt(self, round_: int) -> list[np.ndarray]:
+        k = self.keys[round_]
+        return k[:2] if round_ == 1 else _dealt(*k) if round_ == 2 else k
+
+
+def _to_shares(round_: int, part: int, keys: list[np.ndarray], by: list[np.ndarray], values: list[np.ndarray], shares: int) -> Iterator[dict]:
+    order, found, first = _share(by, shares)
+    for k, s in enumerate(found):
+        o = order[first[k]:first[k + 1]]
+        yield {"round": round_, "share": int(s), "part": part} | {f"k{i}": x[o].tobytes() for i, x in enumerate(keys)} | {f"x{i}": _narrow(x[o]) for i, x in enumerate(values)}
+
+
+def _asks(round_: int, shares: int):
+    def batches(them):
+        for row in _rows(them):
+            t = _Triples(p := _Part(row))
+            for r in _to_shares(round_, p.part, t.keys[round_], t.dealt(round_), [t.n] if round_ == 1 else [], shares):
+                yield pa.RecordBatch.from_pylist([r], ROW)
+    return batches
+
+
+def _round(round_: int, shares: int):
+    """One share of all parts: answers in each part's order, and what the next round adds up."""
+    def summed(t: pa.Table) -> pa.Table:
+        rows = t.to_pylist()
+        sizes = [len(r["k0"]) // 8 for r in rows]
+        keys = [np.concatenate([np.frombuffer(r[f"k{i}"], np.uint64) for r in rows]) for i in range(4 - round_)]
+        order, first, number = _groups(*keys)
+        column = lambda x: np.concatenate([np.zeros(k, np.int64) if r[x] is None else _wide(r[x], k) for r, k in zip(rows, sizes)])
+        sums = [np.add.reduceat(column(f"x{i}")[order], first) for i in range(3 if round_ == 3 else 1)]
+        own = [k[order][first] for k in keys]
+        answers, more = sums, []
+        if round_ == 1:  # counts of triples, sums and types of their contexts; a pair has as many as words before it
+            new = np.append(True, (own[0][1:] != own[0][:-1]) | (own[1][1:] != own[1][:-1]))
+            at, context = np.flatnonzero(new), np.cumsum(new) - 1
+            answers = [sums[0], np.add.reduceat(sums[0], at)[context], np.diff(np.append(at, len(new)))[context]]
+            o, f, _ = _groups(own[1], own[2])
+            v, w = own[1][o][f], own[2][o][f]
+            more = _to_shares(2, -1, [v, w], _dealt(v, w), [np.add.reduceat(np.where(own[1] == START, sums[0], 1)[o], f)], shares)
+        elif round_ == 2:  # counts of pairs; sums and types after a word, types before one
+            word, at = np.unique(np.concatenate(own), return_inverse=True)
+            v, w = at.ravel()[:len(own[0])], at.ravel()[len(own[0]):]
+            count = lambda x, n=None: np.bincount(x, n, len(word)).astype(np.int64)
+            more = _to_shares(3, -1, [word], [word], [count(v, sums[0]), count(v), count(w)], shares)
+        counts, out, end = sums[-1], [], 0
+        for r, k in zip(rows, sizes):
+            if r["part"] >= 0:
+                out.append({"round": round_, "share": r["share"], "part": r["part"]} | {f"x{i}": _narrow(x[number[end:end + k]]) for i, x in enumerate(answers)})
+            end += k
+        out.append({"round": 0, "part": -1, "n1": int((counts == 1).sum()), "n2": int((counts == 2).sum()), "total": int(counts.sum()), "types": int((counts > 0).sum())})
+        return pa.Table.from_pylist([*out, *more], ROW)
+    return summed
+
+
+def trigram_loss(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """``key, sent_id, n, loss``: what ``ngrams.sentence_loss`` gives for all tokens of the texts under their own model.
+
+    Three rounds: triples with their contexts, pairs by the words before them, words by the words before them.
+    """
+    made = coded(docs, key, text)
+    shares = made.count() or 1
+    rounds, sizes = [], {}
+    for r in (1, 2, 3):
+        rows = made.drop("keys").mapInArrow(_asks(r, shares), ROW_SQL)
+        if rounds:
+            rows = rows.unionByName(rounds[-1].where(f"round = {r}"))
+        rounds.append(staged(rows.repartition(shares, "share").groupBy("share").applyInArrow(_round(r, shares), ROW_SQL)))
+        sizes[r] = rounds[-1].where("round = 0").agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("n1", "n2", "total", "types"))).first()
+    discount = {r: s["n1"] / (s["n1"] + 2 * s["n2"]) if s["n1"] else 0.5 for r, s in sizes.items()}
+    total, types = sizes[3]["total"], sizes[3]["types"]
+
+    def losses(left: pa.Table, right: pa.Table) -> pa.Table:
+        schema = pa.schema([(key, left.schema.field("keys").type.value_type), ("sent_id", pa.int32()), ("n", pa.int64()), ("loss", pa.float64())])
+        if not left.num_rows:
+            return schema.empty_table()
+        p = _Part(left.drop_columns(["keys"]).to_pylist()[0])
+        t = _Triples(p)
+        got = {(r["round"], r["share"]): r for r in right.to_pylist()}
+
+        def answer(round_: int, n: int) -> list[np.ndarray]:
+            order, found, first = _share(t.dealt(round_), shares)
+            out = [np.empty(len(order), np.int64) for _ in range(n)]
+            for k, s in enumerate(found):
+                for i, x in enumerate(out):
+                    x[order[first[k]:first[k + 1]]] = _wide(got[round_, int(s)][f"x{i}"], first[k + 1] - first[k])
+            return out
+
+        (c3, s3, t3), (c2,), (s2, t2, c1) = answer(1, 3), answer(2, 1), answer(3, 3)
+        below = np.maximum(c1[t.w] - discount[3], 0) / total + discount[3] * types / total / (types + 1)
+        below = np.maximum(c2[t.pair.ravel()] - discount[2], 0) / s2[t.v] + discount[2] * t2[t.v] / s2[t.v] * below
+        p3 = np.maximum(c3 - discount[1], 0) / s3 + discount[1] * t3 / s3 * below
+        return _lost(p, -np.log(p3)[t.places.ravel()], left.column("keys").combine_chunks().flatten(), schema)
+
+    answers = rounds[0].where("part >= 0")
+    for r in rounds[1:]:
+        answers = answers.unionByName(r.where("part >= 0"))
+    kind = dict(docs.dtypes)[key]
+    return made.groupBy("part").cogroup(answers.select("part", "round", "share", "x0", "x1", "x2").groupBy("part")).applyInArrow(losses, f"{key} {kind}, sent_id INT, n LONG, loss DOUBLE")

@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from textloom.operators import index, search
+from textloom.operators import index, search, stats
 from textloom.plans import reports
 
 DATA = "/root/testdata/sf0.001"
@@ -21,3 +21,13 @@ def test_phrases_of_the_same_words_count_once(spark):
     for found in (search.lookup_hits(rows, q), index.build(rows).bm25(one, 5)):
         by = {n: [(r["rn"], r["rowid"], round(r["rank"], 9)) for r in sorted(found.collect(), key=lambda r: r["rn"]) if r["query_id"] == n] for n in (1, 2)}
         assert by[1] == by[2] and len(by[1]) == 2
+
+
+def test_cubes_of_counts_pass_64_bits(spark):
+    n = 2_200_000
+    d = spark.range(n + 1000).select(F.lit("g").alias("k"), F.when(F.col("id") < n, 1.0).otherwise(-2.0).alias("delta"))
+    got = stats.with_p(stats.signed_ranks(d, ["k"])).first()
+    assert int(got["ties"]) == n ** 3 - n + 1000 ** 3 - 1000 > 2 ** 63
+    total = n + 1000
+    var = (total * (total + 1) * (2 * total + 1) * 2 - (n ** 3 - n + 1000 ** 3 - 1000)) / 48
+    assert abs(got["z"] / ((n * (n + 1) / 2 - total * (total + 1) / 4) / var ** 0.5) - 1) < 1e-12 and got["p"] == 0

@@ -74,22 +74,23 @@ def signed_ranks(df: DataFrame, keys: list[str], delta: str = "delta", small: in
     """Per group: number, median of all deltas, rank sums of both signs without zeros, ties, normal statistic, effect
     size, share of positives. No task holds a group: ranks and medians come from ``value_ranks``.
 
-    ``ranks2`` gives twice the ranks of all non-zero deltas, for groups of ``small`` at most.
+    ``ranks2`` gives twice the ranks of all non-zero deltas, for groups of ``small`` at most. ``ties`` is a decimal: cubes of
+    counts pass 64 bits from 2.1 million equal values on.
     """
     d = staged(df.where(F.col(delta).isNotNull() & ~F.isnan(delta)).select(*keys, F.col(delta).alias("_d")))
     med = quantiles(d, keys, "_d", median_delta=0.5).withColumnRenamed("n", "n_all")
     signs = d.where(F.col("_d") != 0).select(*keys, F.abs("_d").alias("_m"), F.col("_d"))
     ranks = staged(value_ranks(signs, keys, "_m")).withColumn("rank", F.col("before") + (F.col("c") + 1) / 2)
     pos = signs.where("_d > 0").groupBy(*keys, "_m").agg(F.count("*").alias("pos"))
-    t = F.col("c")
+    t, whole = F.col("c"), F.col("c").cast("decimal(20,0)")
     r = ranks.join(pos, [*keys, "_m"], "left").withColumn("pos", F.coalesce("pos", F.lit(0)))
     some = [F.sort_array(F.flatten(F.collect_list(F.when(F.col("_n") <= small, F.array_repeat((2 * F.col("rank")).cast("int"), t.cast("int")))))).alias("ranks2")] if small else []
     if small:
         r = r.join(ranks.groupBy(*keys).agg(F.sum("c").alias("_n")), keys)
     agg = r.groupBy(*keys).agg(F.sum("c").alias("n"), F.sum(F.col("rank") * F.col("pos")).alias("w_plus"), F.sum(F.col("rank") * (t - F.col("pos"))).alias("w_minus"),
-                               F.sum(t * t * t - t).alias("ties"), F.sum("pos").alias("n_pos"), *some)
+                               F.sum((whole * whole * whole - whole).cast("decimal(38,0)")).alias("ties"), F.sum("pos").alias("n_pos"), *some)
     n = F.col("n").cast("double")
-    var = n * (n + 1) * (2 * n + 1) / 24 - F.col("ties") / 48.0
+    var = n * (n + 1) * (2 * n + 1) / 24 - F.col("ties").cast("double") / 48
     return med.join(agg, keys, "left").withColumns({
         "z": F.when(var > 0, (F.col("w_plus") - n * (n + 1) / 4) / F.sqrt(var)),
         "rank_biserial": F.try_divide(F.col("w_plus") - F.col("w_minus"), F.col("w_plus") + F.col("w_minus")),

@@ -48,3 +48,17 @@ def test_one_expression_is_answered_without_an_index(spark):
             search.admitted(docs, bad)
     plan = learned.queries()["boolean_search"](spark, DATA)._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan and "postings" not in plan and plan.count("regexp_extract_all") == 2
+
+
+def test_queries_of_the_same_phrases_are_ranked_once(spark):
+    rows = spark.createDataFrame([(i, "aa bb" if i % 2 else "aa", "x") for i in range(40)], "rowid long, title string, text string")
+    q = spark.createDataFrame([(n, i, p) for n in range(60) for i, p in enumerate(["aa", "bb"][:1 + n % 2])], "query_id long, phrase_id int, phrase string").withColumn("col", F.lit("title"))
+    made = index.build(rows)
+    every = {(r["query_id"], r["rn"]): (r["rowid"], round(r["rank"], 9)) for r in made.bm25(q).collect()}
+    cut = {(r["query_id"], r["rn"]): (r["rowid"], round(r["rank"], 9)) for r in made.bm25(q, 3).collect()}
+    assert cut == {x: y for x, y in every.items() if x[1] <= 3} and len(every) == 60 * 40
+    some = {(r["query_id"], r["rn"]): (r["rowid"], round(r["rank"], 9)) for r in made.bm25(q, 3, rows.where("rowid >= 30")).collect()}
+    assert len(some) == 180 and all(y[0] >= 30 and y in {every[x[0], n] for n in range(1, 41)} for x, y in some.items())
+    # Ranking rows by query would make 60 times 40 of them.
+    plan = made.bm25(q, 3)._jdf.queryExecution().optimizedPlan().toString()
+    assert "windowspecdefinition(query_id" not in plan and "windowspecdefinition(set" in plan
